@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch.llm import vectext as V
 from tarnwatch.llm.common import held_out, where_values, with_columns
-from tarnwatch.llm.toxicity import labelled
+from tarnwatch.llm.toxicity import fitted, labelled
 
 BITS, WIDTH = 17, 8
 PREFIXES, INNER = (), (1, 2, 3, 4)
@@ -61,7 +61,7 @@ def doc_bags(texts):
             # the special buckets count once a word, with the weight of a word's usual number of features
             tokens = max(times.sum(), 1)
             counts = np.bincount(inverse, np.append(np.repeat(times, size), special[:, k] / tokens * (np.repeat(times, size).sum())))
-            out[i] = (ids, (counts / max(counts.sum(), 1e-9)).astype(np.float32))
+            out[i] = (ids.astype(np.int32), (counts / max(counts.sum(), 1e-9)).astype(np.float32))
     return out
 
 
@@ -112,8 +112,7 @@ def scores(texts, model):
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = FIT_ROWS) -> tuple:
-    sample = labelled(docs, labels, target, rows).toPandas().sort_values("doc_id")
-    return fit(sample.text.tolist(), sample.y.tolist())
+    return fitted(labelled(docs, labels, target, rows), fit)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = FIT_ROWS) -> DataFrame:

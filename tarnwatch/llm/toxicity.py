@@ -16,7 +16,7 @@ from tarnwatch.llm.common import held_out, where_values, with_columns
 BITS = 20
 PREFIXES, INNER = (4, 5, 6, 7), ()
 #: Bound of the fit: labelled rows a class; everything else covers all rows.
-FIT_ROWS = 5000
+FIT_ROWS = 4000
 STEPS, RATE, SPARSE, SHRINK, BIAS, BIAS_MOST = 90, 0.2, 0.5, 3.0, -6.0, -5.0
 
 
@@ -69,15 +69,19 @@ def fit(texts: list, y) -> tuple:
     if not len(y) or y.min() == y.max():
         base = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.0
         return w.astype(np.float32), float(np.log(max(base * 0.01, 1e-6)))
-    parts, docs = [], 0
-    order = []
-    n_sent = n_word = 0
+    parts, order, docs, n_sent, n_word = [], [], 0, 0, 0
     for own, data in V.chunks(texts):
-        s, word, doc, feature, owner, _, _ = bag(data)
-        parts.append((s + n_sent, word + n_word, doc + docs, feature, owner + n_word))
-        n_sent, n_word, docs = n_sent + len(doc), n_word + (owner.max() + 1 if len(owner) else 0), docs + len(data)
+        s, word, doc, feature, owner, chunk, (_, first) = bag(data)
+        parts.append((s + n_sent, word + n_word, doc + docs, feature, owner + n_word, chunk.of(chunk.start[first], chunk.end[first])))
+        n_sent, n_word, docs = n_sent + len(doc), n_word + len(first), docs + len(data)
         order += own
-    sent, word, doc, feature, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    sent, word, doc, feature, owner, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    # one word for all chunks, with the features of its first
+    _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+    lead = np.zeros(n_word, bool)
+    lead[first] = True
+    feature, owner, word, n_word = feature[lead[owner]], same[owner[lead[owner]]], same[word], len(first)
     y = y[order]
     held = np.unique(doc[sent].astype(np.int64) * n_word + word)
     in_toxic, in_other = (np.bincount(feature, np.bincount(held % n_word, c[held // n_word], n_word)[owner], len(w)) for c in (y, 1 - y))
@@ -118,9 +122,23 @@ def scores(texts, model):
     return score, count, spots
 
 
+def fitted(sample: DataFrame, fit) -> tuple:
+    """fit(texts, labels) -> (array, number) of a bounded sample, run in one task: an executor's loss reruns it and
+    the driver holds no texts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows = sorted((r["doc_id"], r["text"], r["y"]) for b in batches for r in b.to_pylist())
+        weights, bias = fit([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
+
+    row = sample.select("doc_id", "text", F.col("y").cast("int").alias("y")).coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    return np.frombuffer(row.weights, np.float32), row.bias
+
+
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = FIT_ROWS) -> tuple:
-    sample = labelled(docs, labels, target, rows).toPandas().sort_values("doc_id")
-    return fit(sample.text.tolist(), sample.y.tolist())
+    return fitted(labelled(docs, labels, target, rows), fit)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = FIT_ROWS) -> DataFrame:
