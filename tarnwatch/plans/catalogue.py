@@ -1,4 +1,7 @@
-"""Every registered query and its SQL."""
+"""Every registered query of the library and its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tarnwatch.plans import alignment, evaluation, learning, scalars, spatial, streams
+
+MODULES = (alignment, evaluation, spatial, scalars, learning, streams)
+QUERIES: dict = {n: f for m in MODULES for n, f in m.QUERIES.items()}
+ORACLES: dict = {n: s for m in MODULES for n, s in m.ORACLES.items()}
