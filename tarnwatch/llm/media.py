@@ -8,6 +8,7 @@ import struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwatch.llm.common import fresh, stored
 from tarnwatch.llm.files import Ranges, Roller
@@ -140,8 +141,15 @@ def metadata(places: DataFrame) -> DataFrame:
     return placed(places).mapInArrow(run, "digest string, width long, height long, media_bytes long")
 
 
+FEATURES = "n_bytes long, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string"
+
+
 def features(places: DataFrame) -> DataFrame:
-    """Metadata by a header read, then the payload read back: sizes, digests, tail checksum and feature."""
+    """places (digest, file, offset, length) with metadata by a header read and what the payload, read back, gives.
+
+    The payload's SHA-256 is checked against the digest, so that is the digest read back, too.
+    """
+    own, made = places.schema.fields, [x.split() for x in FEATURES.split(", ")]
 
     def run(batches):
         import hashlib
@@ -150,8 +158,6 @@ def features(places: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         source = Ranges()
-        names = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         for b in batches:
             out = []
             for r in b.to_pylist():
@@ -160,20 +166,20 @@ def features(places: DataFrame) -> DataFrame:
                 payload = from_png(media)
                 if len(payload) != width * height or hashlib.sha256(payload).hexdigest() != r["digest"]:
                     raise ValueError(f"damaged payload {r['digest']}")
-                out.append((r["digest"], len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), width, height, feature_of(payload)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
+                out.append((len(payload.rstrip(b"\xff")), len(payload), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), width, height, feature_of(payload)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(made)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64() if t == "long" else pa.string()) for c, (_, t) in zip(columns, made, strict=True))], names=[f.name for f in own] + [n for n, _ in made])
         source.close()
 
-    return placed(places).mapInArrow(run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string")
+    return placed(places).mapInArrow(run, T.StructType([*own, *T.StructType.fromDDL(FEATURES).fields]))
 
 
 def media(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, digest, file, offset, length and features().
+    """docs (doc_id, text, ...) -> doc_id, digest (of the payload), file, offset, length and features().
 
     Each input row gives one row; rows of equal texts have equal values. A null text is an empty one, whose payload
     is WIDTH bytes 255.
     """
     rows = store(docs, folder)
-    places = stored(catalogue(rows), "media-places")
-    known = stored(places.join(stored(features(places), "media-features"), "digest"), "media-known")
+    known = stored(features(stored(catalogue(rows), "media-places")), "media-known")
     return rows.select("doc_id", "digest").join(known, "digest")
