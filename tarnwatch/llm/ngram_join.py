@@ -3,7 +3,7 @@
 Shingles are ordered from rare to frequent by a fixed-size count sketch of the whole corpus. A document of n shingles
 shows a prefix of n - ceil(0.8 n) + l of them; two similar sets share at least min(l, l') shingles of their prefixes,
 so a longer prefix asks for more shared tokens before a pair is verified. Each document takes the l of least
-estimated cost.
+estimated cost. Once both sizes are known, the pair's own needed overlap shortens both prefixes again.
 
 Equal sets are one node from the start. What is asked for is components, so pairs inside one are not verified twice:
 first each token's documents are checked against one of them (a star, not all pairs), and only documents of
@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwatch.llm import vectext as V
-from tarnwatch.llm.common import connected_components, stored, with_columns
+from tarnwatch.llm.common import connected_components, drop, small, stored, with_columns
 
 K = 5
 #: The sketch: 2**SKETCH counters, in PARTS rows.
@@ -26,6 +26,8 @@ SKETCH, PARTS = 18, 64
 MOST_L = 8
 #: Cost of verifying a candidate against that of reading a posting, for each shingle of the document.
 VERIFY = 0.05
+#: Most ids to broadcast, 8 MB of them.
+IDS = 1_000_000
 
 
 def shingle_sets(texts, k: int = K):
@@ -120,50 +122,66 @@ def signatures(docs: DataFrame, percent: int, k: int = K) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int = K) -> DataFrame:
-    """(id, tokens) of the documents whose doc_id is among ids (id)."""
-
-    rows = docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    """(id, tokens) of the documents whose doc_id is among ids (id); texts move only if the ids are beyond IDS."""
+    ids = small(stored(ids.withColumnRenamed("id", "doc_id"), "ngram-ids"), IDS)
+    rows = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     sets = with_columns(rows.select(F.col("doc_id").alias("id"), "text"), "text", lambda texts: [[t.astype(np.int64) for _, t in shingle_sets(texts, k)]], "tokens array<long>")
     return stored(sets, "ngram-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, percent: int, k: int = K) -> DataFrame:
     """Those (a, b) whose sets are similar; exact on 64-bit shingle hashes."""
+    pairs = stored(pairs.select("a", "b"), "ngram-pairs")
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
     a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b").distinct()
+    alike = 100 * both >= percent * (F.size("ta") + F.size("tb") - both)
+    out = stored(pairs.join(a, "a").join(b, "b").where(alike).select("a", "b").distinct(), "ngram-links")
+    drop(sets)
+    return out
+
+
+def meets(a: str, b: str, percent: int):
+    """Whether a token that two documents (n, l, pos) share counts for the pair: sizes that can be similar, and the
+    token within the first n - overlap + l of both, where overlap is what sets of just these sizes need."""
+    n, m, least = F.col(f"{a}.n"), F.col(f"{b}.n"), F.least(f"{a}.l", f"{b}.l")
+    overlap = F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & (F.col(f"{a}.pos") <= n - overlap + least) & (F.col(f"{b}.pos") <= m - overlap + least)
+
+
+def shared_enough(met: DataFrame) -> DataFrame:
+    """(a, b) of rows (a, b, least), a row a shared token, that share at least so many."""
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
-    """Enough links (a, b) between nodes (id, n, l, prefix) to join all that similar pairs join."""
-    posts = nodes.where("n > 0 and id is not null").select("id", "n", "l", F.explode("prefix").alias("token"))
+    """Enough links (a, b) between nodes (id, n, l, prefix) to join all that similar pairs join.
+
+    Two stars a token, about its least and its greatest document, spare dense groups the listing of their pairs; what
+    they leave in different components meets in the full join, so they decide nothing.
+    """
+    posts = nodes.select("id", "n", "l", F.posexplode("prefix").alias("pos", "token"))
+    posts = posts.select("token", F.struct("id", "n", "l", (F.col("pos") + 1).alias("pos")).alias("x"))
     by = W.partitionBy("token")
-    posts = posts.withColumns({"many": F.count("*").over(by), "a": F.min("id").over(by)}).where("many > 1").drop("many")
+    posts = posts.withColumns({"many": F.count("*").over(by), "end": F.min("x").over(by)}).where("many > 1").drop("many")
     posts = stored(posts, "ngram-posts")
-    sets = sets_of(docs, posts.select("id").distinct(), k)
-    sizes = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"))
-    close = 100 * F.least("na", "n") >= percent * F.greatest("na", "n")
-
-    def star(p: DataFrame) -> DataFrame:
-        pairs = p.where("a <> id").select("a", F.col("id").alias("b"), "n").distinct()
-        return verified(pairs.join(sizes, "a").where(close).select("a", "b"), sets, percent)
-
-    found = stored(star(posts), "ngram-links")
+    found = None
     for _ in range(2):
+        near = posts.where((F.col("end.id") != F.col("x.id")) & meets("end", "x", percent))
+        more = verified(docs, shared_enough(near.select(F.col("end.id").alias("a"), F.col("x.id").alias("b"), F.least("end.l", "x.l").alias("least"))), percent, k)
+        found = more if found is None else stored(found.unionByName(more), "ngram-links")
         comp = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        in_comp = posts.drop("a", "comp", "lo", "hi").join(comp, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-        spans = in_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("id").alias("a")).where("lo <> hi")
-        posts = stored(in_comp.join(spans, "token"), "ngram-posts")
-        if posts.isEmpty():
-            return found
-        if _ == 0:  # one more star, about the other end, before pairs are listed
-            found = stored(found.unionByName(star(posts)), "ngram-links")
-    left = posts.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("comp").alias("ca"))
-    right = posts.select("token", F.col("id").alias("b"), "n", "l", "comp")
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("comp")) & close)
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("la", "l")).alias("least")).where("shared >= least")
-    return stored(found.unionByName(verified(pairs.select("a", "b"), sets, percent)), "ngram-links")
+        in_comp = posts.select("token", "x", F.col("x.id").alias("id")).join(comp, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root", "id")
+        spans = in_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("x").alias("end")).where("lo <> hi")
+        done, posts = posts, stored(in_comp.join(spans.select("token", "end"), "token"), "ngram-posts")
+        drop(done)
+    left = posts.select("token", "x", F.col("comp").alias("ca"))
+    right = posts.select("token", F.col("x").alias("y"), "comp")
+    met = left.join(right, "token").where((F.col("x.id") < F.col("y.id")) & (F.col("ca") != F.col("comp")) & meets("x", "y", percent))
+    pairs = shared_enough(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.least("x.l", "y.l").alias("least")))
+    return stored(found.unionByName(verified(docs, pairs, percent, k)), "ngram-links")
 
 
 def ngram_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
@@ -174,9 +192,16 @@ def ngram_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
     document with several sets. A null doc_id links with nothing and has a null component. Each input row gives one.
     """
     signed = stored(signatures(docs, percent, k), "ngram-signed")
-    nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("prefix").alias("prefix"))
-    nodes = stored(nodes, "ngram-nodes")
-    comp = connected_components(links(docs, nodes, percent, k).select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(repeats(signed, nodes)))
+    nodes = stored(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id")), "ngram-nodes")
+    # of equal sets the least doc_id stands for all; the others' prefixes stay where they are
+    held = signed.where("n > 0 and doc_id is not null").select("node", "doc_id", "n", "l", "prefix")
+    repeated = small(stored(held.groupBy("doc_id").count().where("count > 1").select("doc_id"), "ngram-repeated"), IDS)
+    copies = held.select("node", "doc_id").join(nodes, "node").where("doc_id <> id").select("doc_id").distinct().join(repeated, "doc_id", "left_anti")
+    copies = small(stored(copies, "ngram-copies"), IDS)
+    once = held.join(repeated, "doc_id", "left_anti").join(copies, "doc_id", "left_anti")
+    again = held.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "node").agg(*[F.first(c).alias(c) for c in ("n", "l", "prefix")])
+    shown = once.unionByName(again).select(F.col("doc_id").alias("id"), "n", "l", "prefix")
+    comp = connected_components(links(docs, shown, percent, k).select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(repeats(signed, nodes)))
     roots = nodes.select("node", "id").join(comp, "id", "left").select("node", F.coalesce("root", "id").alias("root"))
     out = signed.select("doc_id", "n", "node").join(roots, "node", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
