@@ -102,3 +102,80 @@ def register(spark: SparkSession) -> None:
 def with_time(granules: DataFrame) -> DataFrame:
     """Granules without a time are rejected, never dated now."""
     return granules.where(F.try_to_timestamp("start").isNotNull())
+
+
+class Token:
+    """OAuth client credentials: a token that is asked for once and again before it ends."""
+
+    def __init__(self, ask: Callable[[dict], dict], client_id: str, client_secret: str, clock: Callable[[], float] = time.time, early: float = 60):
+        self.ask, self.form, self.clock, self.early = ask, {"grant_type": "client_credentials", "client_id": client_id, "client_secret": client_secret}, clock, early
+        self.value, self.until = None, 0.0
+
+    def get(self) -> str:
+        if self.value is None or self.clock() >= self.until - self.early:
+            got = retried(lambda: self.ask(self.form))
+            self.value, self.until = got["access_token"], self.clock() + float(got.get("expires_in", 300))
+        return self.value
+
+
+SCENE = "scene_id string, collection string, datetime string, cloud_cover double, west double, south double, east double, north double"
+
+
+def scenes(spark: SparkSession, search: Callable[[dict], dict], box: tuple, start: str, stop: str, collection: str, limit: int = 100, most_pages: int = 1000) -> DataFrame:
+    """A STAC catalogue's items in a box and time span, all pages (search: a request's body -> a FeatureCollection)."""
+    body, rows = {"collections": [collection], "bbox": list(box), "datetime": f"{start}/{stop}", "limit": limit}, []
+    for _ in range(most_pages):
+        page = retried(lambda body=body: search(body))
+        for f in page.get("features", []):
+            p, b = f.get("properties", {}), f.get("bbox") or [None] * 4
+            rows.append((f.get("id"), f.get("collection"), p.get("datetime"), None if p.get("eo:cloud_cover") is None else float(p["eo:cloud_cover"]), *[None if v is None else float(v) for v in (b[:2] + b[-2:])[:4]]))
+        after = next((x for x in page.get("links", []) if x.get("rel") == "next"), None)
+        if after is None:
+            break
+        body = body | after.get("body", {"next": after.get("href")})
+    return spark.createDataFrame(rows, SCENE)
+
+
+def process_request(box: tuple, start: str, stop: str, width: int, height: int, bands: tuple = ("B03", "B11", "SCL"), collection: str = "sentinel-2-l2a") -> dict:
+    """A raster service's request for bands of a box as one GeoTIFF of floats."""
+    script = f"//VERSION=3\nfunction setup() {{ return {{ input: {list(bands)!r}, output: {{ bands: {len(bands)}, sampleType: 'FLOAT32' }} }}; }}\nfunction evaluatePixel(s) {{ return [{', '.join('s.' + b for b in bands)}]; }}"
+    return {
+        "input": {"bounds": {"bbox": list(box), "properties": {"crs": "http://www.opengis.net/def/crs/EPSG/0/4326"}}, "data": [{"type": collection, "dataFilter": {"timeRange": {"from": start, "to": stop}}}]},
+        "output": {"width": width, "height": height, "responses": [{"identifier": "default", "format": {"type": "image/tiff"}}]},
+        "evalscript": script,
+    }
+
+
+TILE = "lake_uid string, scene_id string, ts string, height int, width int, green array<float>, swir array<float>, scl array<float>"
+
+
+def tile_rows(lake_uid: str, scene_id: str, ts: str, bands: list) -> tuple:
+    """A decoded raster's bands (2-D arrays) as a row of TILE; the decoder is the caller's."""
+    height, width = len(bands[0]), len(bands[0][0])
+    return (lake_uid, scene_id, ts, height, width, *([float(v) for row in b for v in row] for b in bands))
+
+
+def granules(spark: SparkSession, search: Callable[[dict], list], product: str, version: str, box: tuple, start: str, stop: str) -> DataFrame:
+    """A granule search's answers as GRANULE rows; those without a time are rejected."""
+    found = retried(lambda: search({"short_name": product, "version": version, "bounding_box": box, "temporal": (start, stop)}))
+    rows = [(g.get("id"), product, g.get("start"), g.get("stop"), g.get("url")) for g in found]
+    return with_time(spark.createDataFrame(rows, GRANULE))
+
+
+def features_by_id(spark: SparkSession, query: Callable[[dict], dict], size: int = 500) -> DataFrame:
+    """A map server's layer: its object ids, then the features of so many at once (attributes and geometry as JSON)."""
+    import json
+
+    ids = sorted(retried(lambda: query({"where": "1=1", "returnIdsOnly": "true"}))["objectIds"] or [])
+    rows = []
+    for at in range(0, len(ids), size):
+        page = retried(lambda at=at: query({"objectIds": ids[at : at + size], "outFields": "*", "f": "geojson"}))
+        rows += [(json.dumps(f.get("properties"), sort_keys=True), json.dumps(f.get("geometry"))) for f in page["features"]]
+    return spark.createDataFrame(rows, "properties string, geometry_json string")
+
+
+def run_scope(arguments: dict, sites: DataFrame, test_ids: list, key: str = "lake_uid") -> DataFrame:
+    """The sites of a run: one id, the test list, or all."""
+    if arguments.get("lake_id"):
+        return sites.where(F.col(key) == arguments["lake_id"])
+    return sites.where(F.col(key).isin(test_ids)) if arguments.get("test") else sites

@@ -226,4 +226,21 @@ def config(path: str, defaults: dict) -> dict:
 
 def credentials(names: dict[str, list[str]], env: dict) -> dict[str, bool]:
     """service -> whether all its variables are set."""
-    return {s: all(env.get(v) for v in vs) for s, vs in names.items()}
+    return {s: all(bool(env.get(v)) for v in vs) for s, vs in names.items()}
+
+
+def wkt(polygon):
+    """Rings -> WKT text, each ring closed."""
+    ring = "concat('(', array_join(transform(concat(r, slice(r, 1, 1)), p -> concat(cast(p.x as string), ' ', cast(p.y as string))), ', '), ')')"
+    return F.expr(f"concat('POLYGON (', array_join(transform({polygon}, r -> {ring}), ', '), ')')")
+
+
+def write_csv(df: DataFrame, path: str, polygon: str = "polygon") -> None:
+    """All rows as CSV, the polygon as WKT."""
+    out = df.withColumn(polygon, wkt(polygon)) if polygon in df.columns else df
+    out.write.mode("overwrite").option("header", True).csv(path)
+
+
+def predictor_schema(df: DataFrame, path: str, leave_out: tuple = ()) -> None:
+    """A feature table's predictors and types as YAML text."""
+    Path(path).write_text("predictors:\n" + "".join(f"  - name: {n}\n    type: {t}\n" for n, t in df.dtypes if n not in leave_out))
