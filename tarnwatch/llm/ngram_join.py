@@ -22,10 +22,10 @@ from tarnwatch.llm.common import connected_components, drop, small, stored, with
 
 K = 5
 #: The sketch: 2**SKETCH counters, in PARTS rows.
-SKETCH, PARTS = 18, 64
-MOST_L = 8
+SKETCH, PARTS = 21, 128
+MOST_L = 4
 #: Cost of verifying a candidate against that of reading a posting, for each shingle of the document.
-VERIFY = 0.05
+VERIFY = 0.02
 #: Most ids to broadcast, 8 MB of them.
 IDS = 1_000_000
 
@@ -65,7 +65,9 @@ def prefix(tokens, load, percent: int):
     order = np.lexsort((tokens, load))
     base = n - need(n, percent)
     most = min(MOST_L, n - base)
-    upto = np.cumsum(load[order][: base + most].astype(np.float64))[base:]
+    # most candidates are of about the document's size, and for those its prefix is this short
+    short = n - -(-2 * percent * n // (100 + percent))
+    upto = np.cumsum(load[order][: short + most].astype(np.float64))[short:]
     ls = np.arange(1, most + 1)
     # at most sum / l documents share l of the prefix's tokens
     cost = upto + upto / ls * VERIFY * n
@@ -74,13 +76,13 @@ def prefix(tokens, load, percent: int):
 
 
 def sketch(docs: DataFrame, k: int = K):
-    """Counts of all documents' distinct shingles by their hash's leading bits: 2**SKETCH numbers, about 1 MB."""
+    """Counts of all documents' distinct shingles by their hash's leading bits: 2**SKETCH numbers, 16 MB, however large the corpus."""
     width = (1 << SKETCH) // PARTS
 
     def count(batches):
         import pandas as pd
 
-        total = np.zeros(1 << SKETCH, np.int64)
+        total = np.zeros(1 << SKETCH, np.int32)
         for x in batches:
             for _, tokens in shingle_sets(x.text.tolist(), k):
                 at = (tokens >> V.U(64 - SKETCH)).astype(np.int64)
@@ -91,7 +93,10 @@ def sketch(docs: DataFrame, k: int = K):
     def add(x):
         import pandas as pd
 
-        total = sum((np.frombuffer(zlib.decompress(b), np.int64) for b in x.counts), np.zeros(width, np.int64))
+        total = np.zeros(width, np.int64)
+        for b in x.counts:
+            part = np.frombuffer(zlib.decompress(b), np.uint8)
+            total += part.view(np.int32 if len(part) == 4 * width else np.int64)
         return pd.DataFrame({"part": x.part[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     rows = docs.select("text").mapInPandas(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
@@ -173,9 +178,10 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = 80, k: int = K) -> D
         more = verified(docs, shared_enough(near.select(F.col("end.id").alias("a"), F.col("x.id").alias("b"), F.least("end.l", "x.l").alias("least"))), percent, k)
         found = more if found is None else stored(found.unionByName(more), "ngram-links")
         comp = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        in_comp = posts.select("token", "x", F.col("x.id").alias("id")).join(comp, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root", "id")
-        spans = in_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("x").alias("end")).where("lo <> hi")
-        done, posts = posts, stored(in_comp.join(spans.select("token", "end"), "token"), "ngram-posts")
+        comp = small(stored(comp, "ngram-comp"), IDS // 2)
+        in_comp = posts.select("token", "x", F.col("x.id").alias("id")).join(comp, "id", "left").select("token", "x", F.coalesce("root", "id").alias("comp"))
+        spans = in_comp.withColumns({"lo": F.min("comp").over(by), "hi": F.max("comp").over(by), "end": F.max("x").over(by)}).where("lo <> hi")
+        done, posts = posts, stored(spans.select("token", "x", "comp", "end"), "ngram-posts")
         drop(done)
     left = posts.select("token", "x", F.col("comp").alias("ca"))
     right = posts.select("token", F.col("x").alias("y"), "comp")
