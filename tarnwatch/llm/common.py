@@ -1,6 +1,7 @@
 """What the operators share: files in the cluster's shared folder, bounded broadcasts, connected components."""
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -90,6 +91,25 @@ def digest(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+#: Rows whose texts a worker holds as Python objects at a time.
+SLICE = 1024
+
+
+def slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task."""
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_columns(df: DataFrame, column: str, fn, ddl: str, keep_column: bool = False) -> DataFrame:
     """Add fn(values of `column`) -> one list or array for each field of ddl; other columns pass as they are."""
     new = T.StructType.fromDDL(ddl)
@@ -99,7 +119,7 @@ def with_columns(df: DataFrame, column: str, fn, ddl: str, keep_column: bool = F
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             made = fn(b.column(b.schema.get_field_index(column)).to_pylist())
             own = [b.column(b.schema.get_field_index(f.name)) for f in rest]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, t) for x, t in zip(made, types, strict=True))], names=[f.name for f in rest] + [f.name for f in new.fields])
@@ -113,7 +133,7 @@ def where_values(df: DataFrame, column: str, fn) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(fn(b.column(b.schema.get_field_index(column)).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

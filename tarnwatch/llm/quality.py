@@ -17,7 +17,7 @@ from tarnwatch.llm.toxicity import fitted, labelled
 BITS, WIDTH = 17, 8
 PREFIXES, INNER = (), (1, 2, 3, 4)
 #: Bound of the fit: labelled rows a class; everything else covers all rows.
-FIT_ROWS = 4000
+FIT_ROWS = 2500
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: Words seen before in the text, bigrams seen before, and words equal to the last: buckets of their own.
 AGAIN, PAIR, SAME = 0, 1, 2

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwatch.llm import vectext as V
-from tarnwatch.llm.common import held_out, where_values, with_columns
+from tarnwatch.llm.common import held_out, release, where_values, with_columns
 
 BITS = 20
 PREFIXES, INNER = (4, 5, 6, 7), ()
 #: Bound of the fit: labelled rows a class; everything else covers all rows.
-FIT_ROWS = 4000
+FIT_ROWS = 3000
 STEPS, RATE, SPARSE, SHRINK, BIAS, BIAS_MOST = 90, 0.2, 0.5, 3.0, -6.0, -5.0
 
 
@@ -39,8 +39,14 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int = FIT_RO
 
 
 def sentences(chunk: V.Chunk):
-    """For each word the number of its sentence; a sentence ends at . ! ? or a line's or text's end."""
-    stops = np.concatenate(([0], np.cumsum(V.STOP[chunk.raw])))
+    """For each word the number of its sentence; a sentence ends at . ! ? or a line's or text's end.
+
+    Marks in a row (!!, ...) are emphasis and end nothing, so that shouted text is not a bag of one-word sentences.
+    """
+    ends = V.STOP[chunk.raw]
+    mark = ends & (chunk.raw != 10)
+    alone = ~(np.append(mark[1:], False) | np.append(False, mark[:-1])) if len(mark) else mark
+    stops = np.concatenate(([0], np.cumsum(ends & (alone | ~mark))))
     return stops[chunk.start]
 
 
@@ -134,7 +140,7 @@ def fitted(sample: DataFrame, fit) -> tuple:
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
 
     row = sample.select("doc_id", "text", F.col("y").cast("int").alias("y")).coalesce(1).mapInArrow(run, "weights binary, bias double").first()
-    return np.frombuffer(row.weights, np.float32), row.bias
+    return fit([], []) if row is None else (np.frombuffer(row.weights, np.float32), row.bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = FIT_ROWS) -> tuple:

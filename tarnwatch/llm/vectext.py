@@ -7,7 +7,7 @@ chunk of its own.
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
