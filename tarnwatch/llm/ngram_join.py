@@ -26,6 +26,8 @@ SKETCH, PARTS = 21, 128
 MOST_L = 4
 #: Cost of verifying a candidate against that of reading a posting, for each shingle of the document.
 VERIFY = 0.02
+#: A token of more documents than this (by the sketch, above its mean) is hot: its rows are never gathered by token.
+HOT = 1000
 #: Most ids to broadcast, 8 MB of them.
 IDS = 1_000_000
 
@@ -60,7 +62,7 @@ def need(n, percent: int):
 
 
 def prefix(tokens, load, percent: int):
-    """(l, prefix): the l of least cost and that many tokens, rare ones first."""
+    """(l, prefix, its loads): the l of least cost and that many tokens, rare ones first."""
     n = len(tokens)
     order = np.lexsort((tokens, load))
     base = n - need(n, percent)
@@ -72,7 +74,7 @@ def prefix(tokens, load, percent: int):
     # at most sum / l documents share l of the prefix's tokens
     cost = upto + upto / ls * VERIFY * n
     l = int(ls[cost.argmin()])
-    return l, tokens[order[: base + l]]
+    return l, tokens[order[: base + l]], load[order[: base + l]]
 
 
 def sketch(docs: DataFrame, k: int = K):
@@ -107,23 +109,24 @@ def sketch(docs: DataFrame, k: int = K):
 
 
 def signatures(docs: DataFrame, percent: int, k: int = K) -> DataFrame:
-    """docs -> doc_id, node (of the shingle set), n, l, prefix."""
+    """docs -> doc_id, node (of the shingle set), n, l, prefix and which of its tokens are hot."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, k))
 
     def sign(texts):
         import hashlib
 
         spread = np.maximum(counts.value - int(counts.value.mean()), 1)
-        node, n, ls, pre = [], [], [], []
+        node, n, ls, pre, hot = [], [], [], [], []
         for _, tokens in shingle_sets(texts, k):
             n.append(len(tokens))
             node.append(hashlib.md5(tokens.tobytes()).digest())
-            l, p = prefix(tokens, spread[(tokens >> V.U(64 - SKETCH)).astype(np.int64)], percent) if len(tokens) else (0, tokens)
+            l, p, load = prefix(tokens, spread[(tokens >> V.U(64 - SKETCH)).astype(np.int64)], percent) if len(tokens) else (0, tokens, tokens)
             ls.append(l)
             pre.append(p.astype(np.int64))
-        return node, n, ls, pre
+            hot.append(load > HOT)
+        return node, n, ls, pre, hot
 
-    return with_columns(docs.select("doc_id", "text"), "text", sign, "node binary, n int, l int, prefix array<long>")
+    return with_columns(docs.select("doc_id", "text"), "text", sign, "node binary, n int, l int, prefix array<long>, hot array<boolean>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int = K) -> DataFrame:
@@ -161,16 +164,24 @@ def shared_enough(met: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
 
 
+def beside(rows: DataFrame, made: dict) -> DataFrame:
+    """rows (token, hot, ...) with aggregates of their token's rows: by a window, or for a hot token, whose rows no task
+    should hold, by partial sums that are joined back."""
+    by = W.partitionBy("token")
+    cold = rows.where("not hot").withColumns({n: a.over(by) for n, a in made.items()})
+    sums = stored(rows.where("hot").groupBy("token").agg(*[a.alias(n) for n, a in made.items()]), "ngram-hot")
+    return cold.unionByName(rows.where("hot").join(small(sums), "token").select(cold.columns))
+
+
 def links(docs: DataFrame, nodes: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
-    """Enough links (a, b) between nodes (id, n, l, prefix) to join all that similar pairs join.
+    """Enough links (a, b) between nodes (id, n, l, prefix, hot) to join all that similar pairs join.
 
     Two stars a token, about its least and its greatest document, spare dense groups the listing of their pairs; what
     they leave in different components meets in the full join, so they decide nothing.
     """
-    posts = nodes.select("id", "n", "l", F.posexplode("prefix").alias("pos", "token"))
-    posts = posts.select("token", F.struct("id", "n", "l", (F.col("pos") + 1).alias("pos")).alias("x"))
-    by = W.partitionBy("token")
-    posts = posts.withColumns({"many": F.count("*").over(by), "end": F.min("x").over(by)}).where("many > 1").drop("many")
+    posts = nodes.select("id", "n", "l", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "t"))
+    posts = posts.select(F.col("t.prefix").alias("token"), "t.hot", F.struct("id", "n", "l", (F.col("pos") + 1).alias("pos")).alias("x"))
+    posts = beside(posts, {"many": F.count("*"), "end": F.min("x")}).where("many > 1").drop("many")
     posts = stored(posts, "ngram-posts")
     found = None
     for _ in range(2):
@@ -179,9 +190,9 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = 80, k: int = K) -> D
         found = more if found is None else stored(found.unionByName(more), "ngram-links")
         comp = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         comp = small(stored(comp, "ngram-comp"), IDS // 2)
-        in_comp = posts.select("token", "x", F.col("x.id").alias("id")).join(comp, "id", "left").select("token", "x", F.coalesce("root", "id").alias("comp"))
-        spans = in_comp.withColumns({"lo": F.min("comp").over(by), "hi": F.max("comp").over(by), "end": F.max("x").over(by)}).where("lo <> hi")
-        done, posts = posts, stored(spans.select("token", "x", "comp", "end"), "ngram-posts")
+        in_comp = posts.select("token", "hot", "x", F.col("x.id").alias("id")).join(comp, "id", "left").select("token", "hot", "x", F.coalesce("root", "id").alias("comp"))
+        spans = beside(in_comp, {"lo": F.min("comp"), "hi": F.max("comp"), "end": F.max("x")}).where("lo <> hi")
+        done, posts = posts, stored(spans.select("token", "hot", "x", "comp", "end"), "ngram-posts")
         drop(done)
     left = posts.select("token", "x", F.col("comp").alias("ca"))
     right = posts.select("token", F.col("x").alias("y"), "comp")
@@ -200,13 +211,13 @@ def ngram_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
     signed = stored(signatures(docs, percent, k), "ngram-signed")
     nodes = stored(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id")), "ngram-nodes")
     # of equal sets the least doc_id stands for all; the others' prefixes stay where they are
-    held = signed.where("n > 0 and doc_id is not null").select("node", "doc_id", "n", "l", "prefix")
+    held = signed.where("n > 0 and doc_id is not null").select("node", "doc_id", "n", "l", "prefix", "hot")
     repeated = small(stored(held.groupBy("doc_id").count().where("count > 1").select("doc_id"), "ngram-repeated"), IDS)
     copies = held.select("node", "doc_id").join(nodes, "node").where("doc_id <> id").select("doc_id").distinct().join(repeated, "doc_id", "left_anti")
     copies = small(stored(copies, "ngram-copies"), IDS)
     once = held.join(repeated, "doc_id", "left_anti").join(copies, "doc_id", "left_anti")
-    again = held.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "node").agg(*[F.first(c).alias(c) for c in ("n", "l", "prefix")])
-    shown = once.unionByName(again).select(F.col("doc_id").alias("id"), "n", "l", "prefix")
+    again = held.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "node").agg(*[F.first(c).alias(c) for c in ("n", "l", "prefix", "hot")])
+    shown = once.unionByName(again).select(F.col("doc_id").alias("id"), "n", "l", "prefix", "hot")
     comp = connected_components(links(docs, shown, percent, k).select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(repeats(signed, nodes)))
     roots = nodes.select("node", "id").join(comp, "id", "left").select("node", F.coalesce("root", "id").alias("root"))
     out = signed.select("doc_id", "n", "node").join(roots, "node", "left")

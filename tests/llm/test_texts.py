@@ -138,6 +138,15 @@ def test_join_equals_brute_force(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == components(rows)
 
 
+def test_hot_tokens_give_the_same_links(spark, monkeypatch):
+    rng = random.Random(12)
+    seed = [rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(60)]
+    rows = [(i, edited(rng, seed, rng.randrange(4)), "s") for i in range(40)]
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    got = ngram_join.ngram_join(table(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == components(rows)
+
+
 def test_join_of_one_doc_id_with_two_texts(spark):
     a, b = " ".join(WORDS), " ".join(reversed(WORDS))
     rows = [(1, a, "s"), (5, a, "s"), (5, b, "s"), (9, b, "s")]
@@ -147,8 +156,8 @@ def test_join_of_one_doc_id_with_two_texts(spark):
 
 def test_prefix_grows_with_its_cost():
     tokens = np.arange(100, dtype=np.uint64)
-    l1, p1 = ngram_join.prefix(tokens, np.ones(100, np.int64), 80)
-    l2, p2 = ngram_join.prefix(tokens, np.full(100, 10**6), 80)
+    l1, p1, _ = ngram_join.prefix(tokens, np.ones(100, np.int64), 80)
+    l2, p2, _ = ngram_join.prefix(tokens, np.full(100, 10**6), 80)
     assert len(p1) == 20 + l1 and len(p2) == 20 + l2 and 1 <= l1 <= l2
 
 
