@@ -12,13 +12,14 @@ CANONICAL = [
     "elevation_m", "lake_area_km2", "lake_type", "glacier_id", "river_basin", "geometry_repair_status", "duplicate_status", "boundary_status", "india_overlap_ratio",
     "coordinate_flag", "source_url", "license", "access_date",
 ]
+# The names that sources use, first match wins, case does not count.
 CANDIDATES = {
-    "source_lake_id": ["id", "lake_id", "gl_id", "fid", "objectid"],
-    "elevation_m": ["elevation", "elev", "elevation_m", "altitude", "alt"],
-    "lake_area_km2": ["area_km2", "area", "lake_area", "shape_area"],
-    "lake_type": ["type", "lake_type", "gl_type", "class"],
-    "glacier_id": ["glacier_id", "rgi_id", "glims_id"],
-    "river_basin": ["basin", "river_basin", "subbasin"],
+    "source_lake_id": ["GLIMS_ID", "Lake_ID", "ID", "FID", "OBJECTID", "GL_ID"],
+    "elevation_m": ["Lake_Elev", "elevation", "elev", "DEM", "altitude", "Alt", "Z_mean", "Z_med"],
+    "lake_area_km2": ["Area_km2", "Area", "Lake_Area", "AREA_SQKM"],
+    "lake_type": ["lake_type", "type", "GL_Type"],
+    "glacier_id": ["glacier_id", "RGI_ID"],
+    "river_basin": ["river_basin", "basin", "Sub_Basin"],
 }
 
 

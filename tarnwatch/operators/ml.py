@@ -135,19 +135,23 @@ def domain_classifier(df: DataFrame, features: list[str], domain: str, unit: str
 
 
 def choose(candidates: list[dict], tolerance: float = 0.005) -> dict | None:
-    """Scan in order: a candidate wins by more pr_auc than the tolerance, or within it by higher f1, then simpler."""
+    """Scan in order: a candidate wins by pr_auc, else f1, else recall beyond the tolerance, else by being simpler. The
+    rule is not transitive, so the order of the candidates counts."""
     best = None
     for c in candidates:
-        if best is None or c["pr_auc"] > best["pr_auc"] + tolerance:
+        if best is None:
             best = c
-        elif abs(c["pr_auc"] - best["pr_auc"]) <= tolerance and (c["f1"], -c.get("complexity", 0)) > (best["f1"], -best.get("complexity", 0)):
+            continue
+        gaps = [c[m] - best[m] for m in ("pr_auc", "f1", "recall")]
+        beyond = next((g for g in gaps if abs(g) > tolerance), None)
+        if beyond is not None and beyond > 0 or beyond is None and c["complexity"] < best["complexity"]:
             best = c
     return best
 
 
 def choose_rounded(results: DataFrame) -> DataFrame:
-    """pr_auc, then recall, to three places, then the simpler model, then its name."""
-    return results.orderBy(F.round("pr_auc", 3).desc(), F.round("recall", 3).desc(), "complexity", "model_name").limit(1)
+    """pr_auc, f1 and recall to three places, then the simpler model, then its name."""
+    return results.orderBy(*[F.round(m, 3).desc() for m in ("pr_auc", "f1", "recall")], "complexity", "model_name").limit(1)
 
 
 def region_strategies(df: DataFrame, features: list[str], region: str, y: str, strategies: dict) -> DataFrame:

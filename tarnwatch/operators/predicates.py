@@ -8,8 +8,9 @@ from tarnwatch.functions.scalars import col
 # The words and limits below are part of the results.
 RELIABLE = r"doi|journal|university|survey"
 POPULAR = r"news|blog|times"
-INDIA_REGIONS = ("india", "sikkim", "himachal", "uttarakhand", "ladakh", "jammu", "kashmir", "arunachal")
-COUNTRIES = {"NP": "Nepal", "BT": "Bhutan", "IN": "India", "CN": "China", "PK": "Pakistan"}
+INDIA_REGIONS = ("himachal", "uttarakhand", "sikkim", "arunachal", "jammu", "kashmir", "ladakh", "india")
+COUNTRIES = {"NP": "Nepal", "BT": "Bhutan"}
+BOX = (6.0, 37.5, 68.0, 98.0)
 
 
 def weather_quality(temperature="temperature_2m_c", precipitation="precipitation_mm") -> tuple[Column, Column]:
@@ -35,9 +36,9 @@ def grid_longitude(lon, grid_max) -> Column:
     return F.when((col(grid_max) > 180) & (col(lon) < 0), col(lon) + 360).otherwise(col(lon))
 
 
-def coordinate_flag(lat="latitude", lon="longitude", box=(6.0, 38.0, 68.0, 98.0)) -> Column:
+def coordinate_flag(lat="latitude", lon="longitude", box=BOX) -> Column:
     inside = col(lat).between(box[0], box[1]) & col(lon).between(box[2], box[3])
-    return F.when(F.coalesce(inside, F.lit(False)), "valid").otherwise("out_of_bounds")
+    return F.when(F.coalesce(inside, F.lit(False)), "normal").otherwise("outside_expected_range")
 
 
 def mentions(columns: list, words=INDIA_REGIONS) -> Column:
@@ -60,16 +61,16 @@ def scientific(reference) -> Column:
 
 def country_name(code) -> Column:
     m = F.create_map(*[F.lit(x) for kv in COUNTRIES.items() for x in kv])
-    return F.coalesce(m[F.upper(col(code))], col(code))
+    return F.coalesce(m[col(code)], col(code))
 
 
-def temporal_status(match_status, date, precision, last_inventory_year: int = 2022) -> Column:
-    """Ordered: unmatched, no date, year or month only, after the inventory, labelable."""
+def temporal_status(match_status, confidence, date, precision) -> Column:
+    """Ordered: no confident match, weak event, no date, inexact date, labelable."""
     return (
         F.when(F.coalesce(col(match_status), F.lit("UNMATCHED")) != "HIGH_CONFIDENCE_MATCH", "TEMPORALLY_UNLABELABLE")
+        .when(~F.coalesce(col(confidence).isin("HIGH", "MEDIUM"), F.lit(False)), "TEMPORALLY_UNLABELABLE")
         .when(col(date).isNull(), "INVALID_DATE")
-        .when(col(precision).isin("YEAR", "MONTH"), "TEMPORALLY_UNLABELABLE")
-        .when(F.year(col(date)) > last_inventory_year, "TEMPORALLY_UNLABELABLE")
+        .when(~F.coalesce(col(precision).isin("DATE", "DATETIME"), F.lit(False)), "TEMPORALLY_UNLABELABLE")
         .otherwise("LABELABLE")
     )
 

@@ -140,8 +140,17 @@ def coarse(lat, lon) -> Column:
     return (F.pmod(F.col(lat), F.lit(1.0)) == 0) & (F.pmod(F.col(lon), F.lit(1.0)) == 0)
 
 
-def review_audit(matches: DataFrame) -> DataFrame:
-    """Audit class of a match by its candidates and distance."""
+def review_audit(matches: DataFrame, near: float = 1000.0) -> DataFrame:
+    """Manual-review matches by their candidates: one beyond 1 km, several, or anything else."""
     c, d = F.col("candidate_count"), F.col("match_distance_m")
-    status = F.when(F.col("match_status") == HIGH, "CONFIRMED").when(c == 0, "NO_CANDIDATE").when((c == 1) & (d <= 1000), "LIKELY_MATCH").when(c == 1, "SINGLE_DISTANT_CANDIDATE").otherwise("AMBIGUOUS")
-    return matches.withColumn("audit_status", status)
+    status = F.when((c == 1) & (d > near), "PLAUSIBLE_MATCH").when(c > 1, "AMBIGUOUS").otherwise("UNMAPPABLE")
+    confidence = F.when((c == 1) & (d > near), "MEDIUM").otherwise("LOW")
+    return matches.where(F.col("match_status") == MANUAL).withColumns({"audit_status": status, "audit_confidence": confidence})
+
+
+def unmatched_audit(events: DataFrame, sites: DataFrame, metres: float = 10000.0) -> DataFrame:
+    """(audit_class, rows) of unmatched events (a_id, a_lat, a_lon): no coordinates, whole degrees, sites near, none."""
+    near = geo.within_distance(events.where("a_lat is not null and a_lon is not null"), sites, metres).select("a_id").distinct().withColumn("_near", F.lit(True))
+    e = events.join(near, "a_id", "left")
+    kind = F.when(F.col("a_lat").isNull() | F.col("a_lon").isNull(), "NO_USABLE_GEOGRAPHY").when(coarse("a_lat", "a_lon"), "COARSE_GEOGRAPHY").when(F.col("_near"), "CANDIDATE_LAKES_EXIST").otherwise("MATCHING_PIPELINE_GAP")
+    return e.groupBy(kind.alias("audit_class")).agg(F.count("*").alias("rows"))

@@ -79,7 +79,7 @@ def k15_rounded_choice(spark, d):
     from tarnwatch.operators.metrics import confusion, rates
 
     m = rates(confusion(S.scores(spark, d), ["model_name"], threshold=0.5)).withColumns({"pr_auc": F.col("precision"), "complexity": F.length("model_name")})
-    return ml.choose_rounded(m.select("model_name", "pr_auc", "recall", "complexity"))
+    return ml.choose_rounded(m.select("model_name", "pr_auc", "f1", "recall", "complexity"))
 
 
-ORACLES["k15_rounded_choice"] = S.ctes("scores") + ", c as (select model_name, count(*) filter (predicted_class = 1 and true_label = 1) as tp, count(*) filter (predicted_class = 1) as said, count(*) filter (true_label = 1) as pos from scores group by 1) select model_name, tp / said as pr_auc, tp / pos as recall, cast(length(model_name) as int) as complexity from c order by round(tp / said, 3) desc, round(tp / pos, 3) desc, 4, 1 limit 1"
+ORACLES["k15_rounded_choice"] = S.ctes("scores") + ", c as (select model_name, count(*) filter (predicted_class = 1 and true_label = 1) as tp, count(*) filter (predicted_class = 1) as said, count(*) filter (true_label = 1) as pos from scores group by 1) select model_name, tp / said as pr_auc, 2 * tp / (said + pos) as f1, tp / pos as recall, cast(length(model_name) as int) as complexity from c order by round(tp / said, 3) desc, round(2 * tp / (said + pos), 3) desc, round(tp / pos, 3) desc, 5, 1 limit 1"

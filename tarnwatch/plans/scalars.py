@@ -17,7 +17,7 @@ def c05_quality_flags(spark, d):
     return e.select("event_id", flag.alias("flag"), reason.alias("reason"), P.scene_quality("f").alias("scene"), P.usable_scene("value", "n").alias("usable"), P.usable_precipitation("r").alias("rain_ok"))
 
 
-@query("select c_custkey, case when c_custkey % 50 between 6 and 38 and 60 + c_custkey % 50 between 68 and 98 then 'valid' else 'out_of_bounds' end as flag, case when c_custkey % 2 = 0 and c_custkey % 50 - 25 < 0 then c_custkey % 50 - 25 + 360 else c_custkey % 50 - 25 end as lon from customer")
+@query("select c_custkey, case when c_custkey % 50 between 6 and 37.5 and 60 + c_custkey % 50 between 68 and 98 then 'normal' else 'outside_expected_range' end as flag, case when c_custkey % 2 = 0 and c_custkey % 50 - 25 < 0 then c_custkey % 50 - 25 + 360 else c_custkey % 50 - 25 end as lon from customer")
 def c08_coordinate_flag(spark, d):
     k = F.col("c_custkey")
     c = S.table(spark, d, "customer").select("c_custkey", (k % 50).alias("latitude"), (60 + k % 50).alias("longitude"), (k % 50 - 25).alias("x"), F.when(k % 2 == 0, 359.5).otherwise(179.5).alias("top"))
@@ -41,17 +41,17 @@ def c11_source_reliability(spark, d):
     return e.select("event_id", P.reliability("r").alias("reliability"), P.scientific("r").alias("scientific"), X.text_or_null("r").alias("clean"))
 
 
-@query("select n_nationkey, case substr(n_name, 1, 2) when 'IN' then 'India' when 'CH' then 'CH' else substr(n_name, 1, 2) end as country from nation where n_nationkey in (select n_nationkey from nation where substr(n_name, 1, 2) not in ('NP', 'BT', 'CN', 'PK'))")
+@query("select n_nationkey, case n_nationkey % 3 when 0 then 'Nepal' when 1 then 'Bhutan' else n_name end as country from nation")
 def c13_recode(spark, d):
-    n = S.table(spark, d, "nation").withColumn("code", F.substring("n_name", 1, 2))
-    return n.where(~F.col("code").isin("NP", "BT", "CN", "PK")).select("n_nationkey", P.country_name("code").alias("country"))
+    k = F.col("n_nationkey") % 3
+    return S.table(spark, d, "nation").select("n_nationkey", P.country_name(F.when(k == 0, "NP").when(k == 1, "BT").otherwise(F.col("n_name"))).alias("country"))
 
 
-@query("with x as (select event_id, case when event_id % 5 = 0 then null when event_id % 5 = 1 then 'MANUAL_REVIEW' else 'HIGH_CONFIDENCE_MATCH' end as m, case when event_id % 6 <> 0 then cast(ts as date) + cast(event_id % 3 * -400 as int) end as d, list_extract(['YEAR', 'DATE', 'DATETIME', 'MONTH'], cast(event_id % 4 + 1 as int)) as p from events) select event_id, case when coalesce(m, 'UNMATCHED') <> 'HIGH_CONFIDENCE_MATCH' then 'TEMPORALLY_UNLABELABLE' when d is null then 'INVALID_DATE' when p in ('YEAR', 'MONTH') then 'TEMPORALLY_UNLABELABLE' when year(d) > 2022 then 'TEMPORALLY_UNLABELABLE' else 'LABELABLE' end as status from x")
+@query("with x as (select event_id, case when event_id % 5 = 0 then null when event_id % 5 = 1 then 'MANUAL_REVIEW' else 'HIGH_CONFIDENCE_MATCH' end as m, case when event_id % 6 <> 0 then cast(ts as date) + cast(event_id % 3 * -400 as int) end as d, list_extract(['YEAR', 'DATE', 'DATETIME', 'MONTH'], cast(event_id % 4 + 1 as int)) as p, list_extract(['HIGH', 'LOW', 'MEDIUM', null], cast(event_id // 7 % 4 + 1 as int)) as c from events) select event_id, case when coalesce(m, 'UNMATCHED') <> 'HIGH_CONFIDENCE_MATCH' then 'TEMPORALLY_UNLABELABLE' when not coalesce(c in ('HIGH', 'MEDIUM'), false) then 'TEMPORALLY_UNLABELABLE' when d is null then 'INVALID_DATE' when p in ('YEAR', 'MONTH') then 'TEMPORALLY_UNLABELABLE' else 'LABELABLE' end as status from x")
 def c15_temporal_cascade(spark, d):
     k = F.col("event_id")
-    e = S.table(spark, d, "events").select("event_id", F.when(k % 5 == 1, "MANUAL_REVIEW").when(k % 5 > 1, "HIGH_CONFIDENCE_MATCH").alias("m"), F.when(k % 6 != 0, F.date_add(F.to_date("ts"), (k % 3 * -400).cast("int"))).alias("date"), F.get(F.array(*map(F.lit, ("YEAR", "DATE", "DATETIME", "MONTH"))), (k % 4).cast("int")).alias("p"))
-    return e.select("event_id", P.temporal_status("m", "date", "p").alias("status"))
+    e = S.table(spark, d, "events").select("event_id", F.when(k % 5 == 1, "MANUAL_REVIEW").when(k % 5 > 1, "HIGH_CONFIDENCE_MATCH").alias("m"), F.when(k % 6 != 0, F.date_add(F.to_date("ts"), (k % 3 * -400).cast("int"))).alias("date"), F.get(F.array(*map(F.lit, ("YEAR", "DATE", "DATETIME", "MONTH"))), (k % 4).cast("int")).alias("p"), F.get(F.array(F.lit("HIGH"), F.lit("LOW"), F.lit("MEDIUM"), F.lit(None)), (F.floor(k / 7) % 4).cast("int")).alias("c"))
+    return e.select("event_id", P.temporal_status("m", "c", "date", "p").alias("status"))
 
 
 @query("select event_id, case event_id % 4 when 0 then 'confirmed' when 1 then 'manual_review' else 'unresolved' end as taxonomy, case when event_id % 3 = 0 then null else value end as payload from events")

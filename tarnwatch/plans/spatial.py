@@ -79,9 +79,16 @@ def j04_match_tiers(spark, d):
     return tiers(spark, d)
 
 
-@query(POINTS + " select audit_status, count(*) as rows from (select *, case when match_status = 'HIGH_CONFIDENCE_MATCH' then 'CONFIRMED' when candidate_count = 0 then 'NO_CANDIDATE' when candidate_count = 1 and match_distance_m <= 1000 then 'LIKELY_MATCH' when candidate_count = 1 then 'SINGLE_DISTANT_CANDIDATE' else 'AMBIGUOUS' end as audit_status from (with " + TIERS.lstrip(", ") + ")) group by 1")
+@query(POINTS + " select audit_status, audit_confidence, count(*) as rows from (select case when candidate_count = 1 and match_distance_m > 1000 then 'PLAUSIBLE_MATCH' when candidate_count > 1 then 'AMBIGUOUS' else 'UNMAPPABLE' end as audit_status, case when candidate_count = 1 and match_distance_m > 1000 then 'MEDIUM' else 'LOW' end as audit_confidence from (with " + TIERS.lstrip(", ") + ") where match_status = 'MANUAL_REVIEW') group by all")
 def j06_review_audit(spark, d):
-    return resolve.review_audit(tiers(spark, d)).groupBy("audit_status").agg(F.count("*").alias("rows"))
+    return resolve.review_audit(tiers(spark, d)).groupBy("audit_status", "audit_confidence").agg(F.count("*").alias("rows"))
+
+
+@query(POINTS + f", x as (select id, case when id % 10 = 0 then null when id % 10 = 1 then round(lat) else lat end as lat, case when id % 10 = 1 then round(lon) else lon end as lon from customers), n as (select distinct a.id from x a, suppliers b where a.lat is not null and {FLAT} <= 4000) select case when x.lat is null then 'NO_USABLE_GEOGRAPHY' when x.lat % 1 = 0 and x.lon % 1 = 0 then 'COARSE_GEOGRAPHY' when n.id is not null then 'CANDIDATE_LAKES_EXIST' else 'MATCHING_PIPELINE_GAP' end as audit_class, count(*) as rows from x left join n using (id) group by 1")
+def c20_unmatched_audit(spark, d):
+    k = F.col("a_id") % 10
+    a = side(customers(spark, d), "a").withColumns({"a_lat": F.when(k == 1, F.round("a_lat")).when(k > 1, F.col("a_lat")), "a_lon": F.when(k == 1, F.round("a_lon")).otherwise(F.col("a_lon"))})
+    return resolve.unmatched_audit(a, side(suppliers(spark, d), "b"), 4000)
 
 
 @query()

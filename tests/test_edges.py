@@ -264,8 +264,10 @@ def test_smote_balances(spark):
 
 
 def test_choice_scans_in_order():
-    c = [{"n": 1, "pr_auc": 0.50, "f1": 0.4}, {"n": 2, "pr_auc": 0.503, "f1": 0.5}, {"n": 3, "pr_auc": 0.507, "f1": 0.1}]
-    assert ml.choose(c)["n"] == 2 and ml.choose([]) is None
+    row = lambda n, pr, f1, recall, size: {"n": n, "pr_auc": pr, "f1": f1, "recall": recall, "complexity": size}
+    assert ml.choose([row(1, 0.50, 0.4, 0.1, 1), row(2, 0.503, 0.5, 0.1, 9), row(3, 0.507, 0.1, 0.9, 1)])["n"] == 2
+    assert ml.choose([row(1, 0.5, 0.4, 0.3, 2), row(2, 0.5, 0.4, 0.3, 1), row(3, 0.5, 0.4, 0.31, 9)])["n"] == 3
+    assert ml.choose([]) is None
 
 
 def test_null_flags_and_columns(spark):
