@@ -1,10 +1,11 @@
 """Main text of pages, with site templates removed.
 
 A page becomes a light element tree. Elements that by tag, role or class are not article (menus, adverts, comments,
-...) go. Every other container's subtree has a hash; Spark counts on how many different pages of a host each
-hash stands, and subtrees that recur on many go too. What is left of the article gives blocks of text.
+...) go. Every other container's subtree has a hash; Spark counts beside how many different texts of a host each
+hash stands, and subtrees that recur on many pages go too. What is left of the article gives blocks of text.
 """
 
+import hashlib
 import html as entities
 import re
 
@@ -33,7 +34,8 @@ WORDS = frozenset(
     "replies share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar login search copyright legal disclaimer".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-PROSE = HEADINGS | frozenset(("p", "pre", "blockquote"))
+#: Single blocks of text and parts of lists and tables: within an article their recurrence removes nothing.
+SINGLE = HEADINGS | frozenset("p pre blockquote li dt dd tbody thead tfoot tr td th caption figcaption summary option".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -42,11 +44,11 @@ LEAST, SHARE = 5, 0.3
 
 
 class Node:
-    __slots__ = ("tag", "gone", "root", "parts", "size", "prose", "inside")
+    __slots__ = ("tag", "gone", "root", "parts", "size", "inside")
 
     def __init__(self, tag, gone=False, root=False, inside=False):
         self.tag, self.gone, self.root, self.inside = tag, gone, root, inside
-        self.parts, self.size, self.prose = [], 0, tag in PROSE
+        self.parts, self.size = [], 0
 
 
 def is_gone(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
@@ -74,7 +76,7 @@ def is_gone(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
 
 
 def tree(text: str) -> Node:
-    """The page's tree; every node has its text's size and whether it holds prose."""
+    """The page's tree; every node has its text's size."""
     top = Node("#page")
     stack, at = [top], 0
 
@@ -83,7 +85,6 @@ def tree(text: str) -> Node:
         up = stack[-1]
         node.size += sum(len(p) for p in node.parts if isinstance(p, str))
         up.size += 0 if node.gone else node.size
-        up.prose = up.prose or node.prose and not node.gone
 
     def shut_to(tags, stops=()):
         for k in range(len(stack) - 1, 0, -1):
@@ -160,30 +161,50 @@ def roots(top: Node) -> list:
 
 
 def countable(node: Node, whole: bool) -> bool:
-    """Containers whose recurrence may remove them; in an article, only such as hold no prose."""
-    return node.tag in BLOCK and not node.gone and not node.root and node.size > 0 and node.tag not in ("html", "body") and (whole or not node.prose and node.tag not in ("table", "tbody", "tr", "td", "th", "li", "dd", "dt"))
+    """Containers whose recurrence may remove them; in an article, single blocks of text may not."""
+    return node.tag in BLOCK and not node.gone and not node.root and node.size > 0 and node.tag not in ("html", "body") and (whole or node.tag not in SINGLE)
 
 
-def subtree_keys(text) -> list[int]:
+def subtree_keys(text) -> list[dict]:
+    """The countable subtrees: key, and rest, a hash of the article's text outside of the subtree."""
     top = tree(text or "")
     main = roots(top)
     whole = main[0] is top
-    return sorted({stable(n) for r in main for n in walk(r) if countable(n, whole)})
+    found = [n for r in main for n in walk(r) if countable(n, whole)]
+    if not found:
+        return []
+    keys, sums = hashes(main), contents(main)
+    total = sum(sums[id(r)] for r in main)
+    return [dict(key=k, rest=r) for k, r in sorted({(keys[id(n)], signed(total - sums[id(n)])) for n in found})]
 
 
-def stable(node: Node) -> int:
-    """A subtree's hash that is equal on all machines (Python's own is not, for text)."""
-    import hashlib
+def digest(data: bytes) -> int:
+    """A hash that is equal on all machines (Python's own is not, for text)."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
 
-    h, todo = hashlib.blake2b(digest_size=8), [node]
-    while todo:
-        n = todo.pop()
-        if isinstance(n, Node):
-            h.update(b"<" + n.tag.encode("utf-8", "replace"))
-            todo += [">", *reversed(n.parts)]
-        else:
-            h.update(n.encode("utf-8", "replace"))
-    return int.from_bytes(h.digest(), "big", signed=True)
+
+def signed(n: int) -> int:
+    return (n + 2**63) % 2**64 - 2**63
+
+
+def hashes(main: list) -> dict:
+    """id(node) -> hash of its subtree's tags and text, without what is not article."""
+    out = {}
+    for r in main:
+        for n in reversed(list(walk(r))):
+            parts = [p.encode("utf-8", "replace") if isinstance(p, str) else b"\0%d" % out[id(p)] for p in n.parts if isinstance(p, str) or not p.gone]
+            out[id(n)] = digest(b"\0<".join((n.tag.encode("utf-8", "replace"), *parts)))
+    return out
+
+
+def contents(main: list) -> dict:
+    """id(node) -> sum of the hashes of its pieces of text, without what is not article."""
+    out = {}
+    for r in main:
+        for n in reversed(list(walk(r))):
+            lines = [" ".join(p.split()) for p in n.parts if isinstance(p, str)]
+            out[id(n)] = sum(digest(x.encode("utf-8", "replace")) for x in lines if x) + sum(out[id(p)] for p in n.parts if isinstance(p, Node) and not p.gone)
+    return out
 
 
 def main_text(text, templates=()) -> str:
@@ -192,6 +213,7 @@ def main_text(text, templates=()) -> str:
     main = roots(top)
     whole = main[0] is top
     templates = set(templates or ())
+    keys = hashes(main) if templates else {}
     blocks, words = [], []
 
     def flush():
@@ -208,7 +230,9 @@ def main_text(text, templates=()) -> str:
                 flush()
             elif isinstance(n, str):
                 words.append(n)
-            elif not n.gone and not (n.tag == "header" and n.inside) and not (templates and countable(n, whole) and stable(n) in templates):
+            elif templates and countable(n, whole) and keys[id(n)] in templates:
+                flush()
+            elif not n.gone and not (n.tag == "header" and n.inside):
                 if n.tag in BLOCK or n.tag == "#page":
                     flush()
                     todo.append(None)
@@ -227,12 +251,14 @@ def host(url: str = "url"):
 def templates(pages: DataFrame) -> DataFrame:
     """(host, templates): keys of subtrees that recur on many different pages of a host.
 
-    Copies of a page count once. A host's list is bounded by its pages' mean number of subtrees over SHARE.
+    Pages count by their text outside of the subtree, so that copies of a page, also near ones, count once and an
+    article's body is no template of its copies. A host's list is bounded by its pages' mean number of subtrees over
+    SHARE.
     """
     p = pages.select(host().alias("host"), F.xxhash64("html").alias("page"), F.col("html"))
-    keyed = stored(with_columns(p, "html", lambda htmls: [[subtree_keys(x) for x in htmls]], "keys array<long>"), "html-keys")
+    keyed = stored(with_columns(p, "html", lambda htmls: [[subtree_keys(x) for x in htmls]], "subtrees array<struct<key:long,rest:long>>"), "html-keys")
     n_pages = keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    seen = keyed.select("host", "page", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("on"))
+    seen = keyed.select("host", F.inline("subtrees")).distinct().groupBy("host", "key").agg(F.count("*").alias("on"))
     many = seen.where(F.col("on") >= LEAST).join(n_pages, "host").where(F.col("on") >= SHARE * F.col("pages"))
     return stored(many.groupBy("host").agg(F.collect_list("key").alias("templates")), "html-templates")
 

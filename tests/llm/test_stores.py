@@ -117,6 +117,21 @@ def test_templates_go_articles_stay(spark):
     assert html_extract.extract(p.where("false")).count() == 0
 
 
+def test_templates_with_prose_in_articles_go(spark):
+    promo = "<div class='x9'><h3>Stay close</h3><p>Get <b>letters</b></p></div>"
+    links = "<section><h2>Elsewhere</h2><ul><li>one<li>two</ul></section>"
+    art = lambda i: f"<article><header><h1>Title {i}</h1></header><div><p>story {i}</p>{promo}<p>shared passage</p><table><tr><td>shared cell</table></div>{links}</article>"
+    rows = [(i, f"http://a.example/{i}", page(art(i))) for i in range(12)]
+    # copies of one article whose pages differ elsewhere: its body is no template
+    rows += [(100 + i, f"http://b.example/{i}", page(f"<nav>{i}</nav><article><h1>One</h1><div><p>the body</p></div></article>")) for i in range(12)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "Title 3\nstory 3\nshared passage" and all(out[100 + i] == "One\nthe body" for i in range(12))
+    # one host's table differs by page: it stays
+    rows = [(i, "http://c.example/", page(f"<article><p>story {i}</p><table><tr><td>cell</td><td>{i}</td></tr></table>{promo}</article>")) for i in range(12)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "story 3\ncell\n3"
+
+
 def brute(rows, threshold=0.98):
     up, n = {}, [0] * len(rows)
     find = lambda a: a if up.setdefault(a, a) == a else find(up[a])
