@@ -214,7 +214,9 @@ def e13_snow_fraction(spark, d):
 
 @query()
 def h08_terrain(spark, d):
-    t = tiles(spark, d).where("size(green) >= 25").select("tile", F.lit(5).alias("height"), F.lit(5).alias("width"), F.slice("green", 1, 25).alias("elevation"))
+    """Whole tiles in rows of 5 pixels, the last row filled up with NULL."""
+    t = tiles(spark, d).withColumn("height", F.ceil(F.size("green") / 5).cast("int"))
+    t = t.select("tile", "height", F.lit(5).alias("width"), F.concat("green", F.array_repeat(F.lit(None).cast("int"), F.col("height") * 5 - F.size("green"))).alias("elevation"))
     return rounded(raster.terrain(t, ["tile"]), "mean_slope_deg", "max_slope_deg", "mean_aspect_deg")
 
 

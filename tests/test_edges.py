@@ -192,6 +192,23 @@ def test_aspect_is_the_ascent():
     assert np.allclose(aspect, 180) and np.allclose(slope, 45) and np.allclose(raster.slope_aspect(z, 10, 10, True)[1], 0)
 
 
+def test_terrain_takes_whole_tiles(spark, tmp_path):
+    from tarnwatch.plans import spatial
+
+    values = {1: [7.5, 1.0, 3.0], 2: [float(i * i % 17) for i in range(12)], 3: [float(i * 31 % 101) for i in range(64)]}
+    rows = [(i, u, v) for u, vs in values.items() for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    out = {r.tile: r for r in spatial.h08_terrain(spark, str(tmp_path)).collect()}
+    assert set(out) == set(values) and out[1].mean_slope_deg is None
+    for u, vs in values.items():
+        z = np.floor(np.array(vs))
+        assert np.isclose(out[u].elevation_m, z.mean())
+        if len(z) > 5:
+            z = np.concatenate([z, np.full(-len(z) % 5, np.nan)]).reshape(-1, 5)
+            slope, _ = raster.slope_aspect(z, 30, 30)
+            assert np.isclose(out[u].mean_slope_deg, np.nanmean(slope), atol=1e-5) and np.isclose(out[u].max_slope_deg, np.nanmax(slope), atol=1e-5)
+
+
 def dedup_loop(rows):
     """(leader of each) by the plain greedy loop."""
     from math import asin, cos, radians, sin, sqrt
