@@ -280,6 +280,15 @@ def test_smote_balances(spark):
     assert n[1] == 60 and out.where("true_label = 1 and (a > 1 or b > 1)").isEmpty()
 
 
+def test_smote_query_keeps_every_row(spark, tmp_path):
+    from tarnwatch.plans import learning
+
+    rows = [("R", i, i % 50, float(i), 0.1, 1, "F") for i in range(300)]
+    spark.createDataFrame(rows, "l_returnflag string, l_orderkey long, l_quantity long, l_extendedprice double, l_discount double, l_suppkey long, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    have = {r.l_extendedprice for r in learning.k07_smote(spark, str(tmp_path)).where("l_extendedprice = floor(l_extendedprice)").collect()}
+    assert have >= {r[3] for r in rows}
+
+
 def test_choice_scans_in_order():
     row = lambda n, pr, f1, recall, size: {"n": n, "pr_auc": pr, "f1": f1, "recall": recall, "complexity": size}
     assert ml.choose([row(1, 0.50, 0.4, 0.1, 1), row(2, 0.503, 0.5, 0.1, 9), row(3, 0.507, 0.1, 0.9, 1)])["n"] == 2
