@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwatch.functions.storage import stored
 from tarnwatch.operators.metrics import balanced_mean, ranking
 
 
@@ -92,35 +93,185 @@ def permutation_importance(predict, df: DataFrame, features: list[str], y: str =
     return sorted(out, key=lambda x: -x[1])
 
 
+def splits_of(x, parts: int) -> list:
+    """Row numbers of x in about `parts` parts by median splits of the widest column; equal rows stay together."""
+    todo, out = [(np.arange(len(x)), parts)], []
+    while todo:
+        i, n = todo.pop()
+        side = split(x[i]) if n > 1 else None
+        if side is None:
+            out.append(i)
+        else:
+            left = x[i, side[0]] <= side[1]
+            todo += [(i[~left], n - n // 2), (i[left], n // 2)]
+    return out
+
+
+def split(x):
+    """(column, largest value of the lower side), None where all rows are equal."""
+    if not len(x):
+        return None
+    c = int(np.argmax(x.max(0) - x.min(0)))
+    v = np.sort(x[:, c])
+    at = v[(len(v) - 1) // 2]
+    if at == v[-1]:
+        lower = v[v < at]
+        if not len(lower):
+            return None
+        at = lower[-1]
+    return c, at
+
+
+def tree_of(x, parts: int):
+    """Nested (column, value, lower, upper) of about `parts` leaves, None for a leaf."""
+    side = split(x) if parts > 1 else None
+    if side is None:
+        return None
+    left = x[:, side[0]] <= side[1]
+    return (*side, tree_of(x[left], parts // 2), tree_of(x[~left], parts - parts // 2))
+
+
+def leaves(tree, x):
+    """Each row's leaf number."""
+    out, n, todo = np.zeros(len(x), np.int32), 0, [(tree, np.arange(len(x)))]
+    while todo:
+        node, i = todo.pop()
+        if node is None:
+            out[i] = n
+            n += 1
+        else:
+            left = x[i, node[0]] <= node[1]
+            todo += [(node[3], i[~left]), (node[2], i[left])]
+    return out
+
+
+def gaps(lo, hi, low, high):
+    """Squared least distance of a box to each of several boxes."""
+    return (np.maximum(0, np.maximum(low - hi, lo - high)) ** 2).sum(1)
+
+
+def nearest(q, x, k: int, part: int = 256):
+    """(squared distances, rows of x) of the k nearest rows of x at a distance to each q, inf and -1 where there are fewer.
+
+    Exact: parts of x are left out only where their boxes are farther than all k found.
+    """
+    far, near = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
+    if not len(q) or not len(x):
+        return far, near
+    parts = splits_of(x, -(-len(x) // part))
+    low, high = np.array([x[i].min(0) for i in parts]), np.array([x[i].max(0) for i in parts])
+    for i in splits_of(q, -(-len(q) // part)):
+        for at in range(0, len(i), part):
+            own = i[at : at + part]
+            bound = gaps(q[own].min(0), q[own].max(0), low, high)
+            for b in np.argsort(bound, kind="stable"):
+                if bound[b] > far[own, -1].max():
+                    break
+                d = ((q[own][:, None] - x[parts[b]][None]) ** 2).sum(2)
+                d[d == 0] = np.inf
+                d = np.hstack([far[own], d])
+                rows = np.hstack([near[own], np.broadcast_to(parts[b], (len(own), len(parts[b])))])
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                far[own], near[own] = np.take_along_axis(d, best, 1), np.take_along_axis(rows, best, 1)
+    near[np.isinf(far)] = -1
+    return far, near
+
+
+def neighbours(points: DataFrame, features: list[str], k: int = 5, block: int = 2000) -> tuple[DataFrame, list]:
+    """(rows (features, _home, _d, _n, near_...), leaves' (number, rows)): of each distinct point its own other copies
+    (_d 0, _n of them), and candidates with their copies, among which are its k nearest.
+
+    Points are dealt to leaves of a k-d tree, laid out by a sample. Each leaf finds its own k nearest; a point then asks
+    every other leaf whose box is not farther than the k-th of these, so the leaves do not change what is found.
+    """
+    made, nears = ", ".join(f"{f} double" for f in features), ", ".join(f"`near_{f}` double" for f in features)
+    named = [f"near_{f}" for f in features]
+    distinct = stored(points.groupBy(*features).agg(F.count("*").alias("_m")), "smote-points")
+    n = distinct.count()
+    parts = min(1024, max(1, -(-n // block)))
+    sample = distinct.where(F.pmod(F.xxhash64(*features), F.lit(max(1, n // (100 * parts)))) == 0).select(*features).toPandas().to_numpy(float)
+    tree = tree_of(sample[np.lexsort(sample.T[::-1])], parts)
+
+    def deal(batches):
+        for t in batches:
+            yield t.assign(_home=leaves(tree, t[features].to_numpy(float)))
+
+    dealt = stored(distinct.mapInPandas(deal, f"{made}, _m long, _home int"), "smote-leaves")
+    boxes = dealt.groupBy("_home").agg(F.sum("_m").alias("rows"), *[F.min(f).alias(f"low_{f}") for f in features], *[F.max(f).alias(f"high_{f}") for f in features]).orderBy("_home").collect()
+    names = np.array([b._home for b in boxes], np.int32)
+    low, high = (np.array([[b[f"{s}_{f}"] for f in features] for b in boxes], float).reshape(len(boxes), -1) for s in ("low", "high"))
+
+    def found(q, x, t, others, far, near):
+        """A row for each of the neighbours near[i] of q[i]."""
+        i, j = np.nonzero(near >= 0)
+        to = near[i, j]
+        return dict(zip(features, q[i].T, strict=True)) | {"_home": t[i], "_d": far[i, j], "_n": others[to]} | dict(zip(named, x[to].T, strict=True))
+
+    def own(t):
+        import pandas as pd
+
+        t = t.sort_values(features, ignore_index=True)
+        x, m = t[features].to_numpy(float), t._m.to_numpy()
+        far, near = nearest(x, x, k)
+        # copies count too: with k of them nothing else is near
+        reach = np.where(m > k, -1.0, far[:, -1] * (1 + 1e-9))
+        asks = [[int(names[b]) for b in np.flatnonzero(gaps(p, p, low, high) <= r) if names[b] != t._home.iloc[0]] for p, r in zip(x, reach, strict=True)]
+        selves = pd.DataFrame(dict(zip(features, x.T, strict=True)) | {"_home": t._home, "_d": 0.0, "_n": m - 1} | dict(zip(named, x.T, strict=True)) | {"_asks": asks})
+        return pd.concat([selves, pd.DataFrame(found(x, x, t._home.to_numpy(), m, far, near)).assign(_asks=None)], ignore_index=True)
+
+    schema = f"{made}, _home int, _d double, _n long, {nears}"
+    first = stored(dealt.groupBy("_home").applyInPandas(own, f"{schema}, _asks array<int>"), "smote-own")
+
+    def other(asked, held):
+        import pandas as pd
+
+        held = held.sort_values(features, ignore_index=True)
+        q, x = asked[features].to_numpy(float), held[features].to_numpy(float)
+        return pd.DataFrame(found(q, x, asked._home.to_numpy(), held._m.to_numpy(), *nearest(q, x, k)), columns=[*features, "_home", "_d", "_n", *named])
+
+    asked = first.select(*features, "_home", F.explode("_asks").alias("_leaf"))
+    more = asked.groupBy("_leaf").cogroup(dealt.withColumnRenamed("_home", "_leaf").groupBy("_leaf")).applyInPandas(other, schema)
+    return first.drop("_asks").unionByName(more), [(b._home, b.rows) for b in boxes]
+
+
 def smote(df: DataFrame, features: list[str], y: str = "true_label", k: int = 5, seed: int = 42, block: int = 2000) -> DataFrame:
     """df plus synthetic positives up to the negatives' count, each between a positive and one of its k nearest.
 
-    Positives are dealt to blocks of about `block` rows by hash, so neighbours are found within a block; a block with a
-    single positive repeats it.
+    The nearest are sought among all positives; `block` is about the rows of a task's part and changes no neighbour. A
+    single positive is repeated.
     """
     n = df.agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("n")).first()
     if not n.p or n.p >= n.n:
         return df
-    each, blocks = (n.n - n.p) / n.p, max(1, -(-n.p // block))
-    columns = [f"{f} double" for f in features]
+    positives = df.where(F.col(y) == 1).select(*[F.col(f).cast("double").alias(f) for f in features]).dropna()
+    near, sizes = neighbours(positives, features, k, block)
+    ends = np.cumsum([0, *(s for _, s in sizes)])
+    shares = np.diff(np.rint(ends / max(ends[-1], 1) * (n.n - n.p)).astype(int))
+    counts = {home: int(c) for (home, _), c in zip(sizes, shares, strict=True)}
+    named = [f"near_{f}" for f in features]
 
     def make(t):
         import pandas as pd
 
-        x = t[features].to_numpy(float)
-        x = x[np.lexsort(x.T[::-1])]
-        rng = np.random.default_rng(seed + int(t._block.iloc[0]))
-        d = (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T
-        np.fill_diagonal(d, np.inf)
-        m = min(k, len(x) - 1)
-        near = np.argsort(d, axis=1, kind="stable")[:, :m] if m else np.zeros((len(x), 1), int)
-        count = int(np.floor(each * len(x) + rng.random()))
-        i = rng.integers(0, len(x), count)
-        j = near[i, rng.integers(0, near.shape[1], count)]
-        return pd.DataFrame(x[i] + rng.random((count, 1)) * (x[j] - x[i]), columns=features)
-
-    positives = df.where(F.col(y) == 1).select(*[F.col(f).cast("double").alias(f) for f in features]).dropna()
-    made = positives.withColumn("_block", F.pmod(F.xxhash64(*features), F.lit(blocks)).cast("int")).groupBy("_block").applyInPandas(make, ", ".join(columns))
+        t = t.sort_values([*features, "_d", *named], ignore_index=True)
+        first = (t._d == 0).to_numpy()
+        point = np.cumsum(first) - 1
+        copies = t._n.to_numpy()
+        before = np.cumsum(copies) - copies
+        before = before - before[first][point]
+        take = np.clip(k - before, 0, copies)
+        starts = np.flatnonzero(first)
+        total, upto = np.add.reduceat(take, starts), np.cumsum(take)
+        base = upto[starts] - take[starts]
+        rng = np.random.default_rng(seed + int(t._home.iloc[0]))
+        count, m = counts[int(t._home.iloc[0])], copies[starts] + 1
+        i = np.searchsorted(np.cumsum(m), rng.integers(0, m.sum(), count), side="right")
+        j = np.searchsorted(upto, base[i] + rng.integers(0, np.maximum(total[i], 1)), side="right")
+        j = np.where(total[i] > 0, np.minimum(j, len(t) - 1), starts[i])
+        a, b = t[features].to_numpy(float)[starts[i]], t[named].to_numpy(float)[j]
+        return pd.DataFrame(a + rng.random((count, 1)) * (b - a), columns=features)
+
+    made = near.groupBy("_home").applyInPandas(make, ", ".join(f"{f} double" for f in features))
     return df.unionByName(made.withColumn(y, F.lit(1)), allowMissingColumns=True)
 
 

@@ -280,6 +280,27 @@ def test_smote_balances(spark):
     assert n[1] == 60 and out.where("true_label = 1 and (a > 1 or b > 1)").isEmpty()
 
 
+def test_smote_neighbours_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 2)), rng.integers(0, 4, (100, 2)), np.full((30, 2), 9.0)]).astype(float)
+    near, sizes = ml.neighbours(spark.createDataFrame(x.tolist(), "a double, b double"), ["a", "b"], 5, 20)
+    assert len(sizes) > 10 and sum(s for _, s in sizes) == len(x)
+    got = {}
+    for r in near.collect():
+        got.setdefault((r.a, r.b), []).extend([r._d] * r._n)
+    for p in x:
+        want = np.sort(((x - p) ** 2).sum(1))[1:6]
+        assert np.allclose(sorted(got[tuple(p)])[:5], want)
+
+
+def test_smote_takes_the_nearest_of_all(spark):
+    # pairs 1 apart, each pair 100 from the next; more positives than a block holds
+    rows = [(100.0 * (i // 2) + i % 2, 0.0, 1) for i in range(200)] + [(0.0, 50.0, 0)] * 601
+    out = ml.smote(spark.createDataFrame(rows, "a double, b double, true_label int"), ["a", "b"], k=1, block=20)
+    a = [r.a for r in out.where("true_label = 1").collect()]
+    assert len(a) == 601 and all(v % 100 <= 1 for v in a)
+
+
 def test_smote_query_keeps_every_row(spark, tmp_path):
     from tarnwatch.plans import learning
 
