@@ -39,8 +39,10 @@ SINGLE = HEADINGS | frozenset("p pre blockquote li dt dd tbody thead tfoot tr td
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-#: A subtree is template if it stands on at least LEAST different pages of its host and on this share of them.
+#: A subtree is template if it stands on at least LEAST different pages of its host and on this share of them ...
 LEAST, SHARE = 5, 0.3
+#: ... or at one place on LEAST and on the share PLACED, or on ENOUGH, of them; not so single blocks and most of a page's text.
+PLACED, ENOUGH = 0.01, 1000
 
 
 class Node:
@@ -166,7 +168,8 @@ def countable(node: Node, whole: bool) -> bool:
 
 
 def subtree_keys(text) -> list[dict]:
-    """The countable subtrees: key, and rest, a hash of the article's text outside of the subtree."""
+    """The countable subtrees: key, rest, a hash of the article's text outside of the subtree, and place, once 0 for any
+    place and, for containers of at most half of the text, that counted from the start and from the end of their parent."""
     top = tree(text or "")
     main = roots(top)
     whole = main[0] is top
@@ -174,8 +177,29 @@ def subtree_keys(text) -> list[dict]:
     if not found:
         return []
     keys, sums = hashes(main), contents(main)
-    total = sum(sums[id(r)] for r in main)
-    return [dict(key=k, rest=r) for k, r in sorted({(keys[id(n)], signed(total - sums[id(n)])) for n in found})]
+    at = places(main)
+    total, size = sum(sums[id(r)] for r in main), sum(length(r) for r in main)
+    placed = lambda n: (0, *at[id(n)]) if n.tag not in SINGLE and 2 * n.size <= size else (0,)
+    return [dict(key=k, rest=r, place=p) for k, r, p in sorted({(keys[id(n)], signed(total - sums[id(n)]), p) for n in found for p in placed(n)})]
+
+
+def length(root: Node) -> int:
+    return root.size or sum(len(p) if isinstance(p, str) else 0 if p.gone else p.size for p in root.parts)
+
+
+def places(main: list) -> dict:
+    """id(node) -> its place by the tags above it and its number among its siblings, from the start and from the end."""
+    out = {}
+    for r in main:
+        todo = [(r, b"")]
+        while todo:
+            n, path = todo.pop()
+            path = digest(b"%s<%s" % (path, n.tag.encode("utf-8", "replace"))).to_bytes(8, "big", signed=True)
+            below = [p for p in n.parts if isinstance(p, Node) and not p.gone and p.size]
+            for k, p in enumerate(below):
+                out[id(p)] = digest(b"%s+%d" % (path, k)), digest(b"%s-%d" % (path, len(below) - k))
+                todo.append((p, path))
+    return out
 
 
 def digest(data: bytes) -> int:
@@ -252,15 +276,17 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, templates): keys of subtrees that recur on many different pages of a host.
 
     Pages count by their text outside of the subtree, so that copies of a page, also near ones, count once and an
-    article's body is no template of its copies. A host's list is bounded by its pages' mean number of subtrees over
-    SHARE.
+    article's body is no template of its copies. What recurs on a small share of a host's pages is template, not a
+    passage that they share, if it is a container and stands at the same place. A host's list is bounded by its pages'
+    mean number of subtrees over PLACED, or times its pages over ENOUGH.
     """
     p = pages.select(host().alias("host"), F.xxhash64("html").alias("page"), F.col("html"))
-    keyed = stored(with_columns(p, "html", lambda htmls: [[subtree_keys(x) for x in htmls]], "subtrees array<struct<key:long,rest:long>>"), "html-keys")
+    keyed = stored(with_columns(p, "html", lambda htmls: [[subtree_keys(x) for x in htmls]], "subtrees array<struct<key:long,rest:long,place:long>>"), "html-keys")
     n_pages = keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    seen = keyed.select("host", F.inline("subtrees")).distinct().groupBy("host", "key").agg(F.count("*").alias("on"))
-    many = seen.where(F.col("on") >= LEAST).join(n_pages, "host").where(F.col("on") >= SHARE * F.col("pages"))
-    return stored(many.groupBy("host").agg(F.collect_list("key").alias("templates")), "html-templates")
+    seen = keyed.select("host", F.inline("subtrees")).distinct().groupBy("host", "key", "place").agg(F.count("*").alias("on"))
+    need = F.when(F.col("place") == 0, SHARE * F.col("pages")).otherwise(F.least(PLACED * F.col("pages"), F.lit(float(ENOUGH))))
+    many = seen.where(F.col("on") >= LEAST).join(n_pages, "host").where(F.col("on") >= need)
+    return stored(many.groupBy("host").agg(F.collect_set("key").alias("templates")), "html-templates")
 
 
 def extract(pages: DataFrame) -> DataFrame:

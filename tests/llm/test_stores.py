@@ -132,6 +132,23 @@ def test_templates_with_prose_in_articles_go(spark):
     assert out[3] == "story 3\ncell\n3"
 
 
+def test_templates_on_a_small_share_of_pages_go(spark):
+    story = lambda i, n: "".join(f"<p>story {i} {k} of many words</p>" for k in range(n))
+    promo, notice, passage = (lambda v: f"<div><p>variant {v}</p></div>"), "<section><p>closed</p></section>", "<div><p>as they said</p></div>"
+    quote = "<blockquote>well known</blockquote>"
+    body = lambda i: f"{notice if i % 16 == 0 else quote if i % 16 == 1 else ''}{story(i, 4 + i % 3)}{promo(i % 4)}"
+    rows = [(i, "http://a.example/", page(f"<article>{body(i)}</article>")) for i in range(96)]
+    # a passage that six of the pages share, each at another place
+    rows += [(100 + i, "http://a.example/", page(f"<article>{story(100 + i, 2 + i)}{passage}{story(200 + i, 3 + 2 * i)}</article>")) for i in range(6)]
+    # no article root; too few pages
+    rows += [(200 + i, "http://b.example/", page(f"{story(i, 3)}{promo(i % 4)}")) for i in range(40)]
+    rows += [(300 + i, "http://c.example/", page(f"<article>{story(i, 3)}{promo(0)}</article>")) for i in range(4)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert not any("variant" in out[i] or "closed" in out[i] for i in (*range(96), *range(200, 240)))
+    assert all("as they said" in out[100 + i] for i in range(6)) and all("well known" in out[i] for i in range(1, 96, 16))
+    assert all(out[i].count("story") == 4 + i % 3 for i in range(96)) and all("variant 0" in out[300 + i] for i in range(4))
+
+
 def brute(rows, threshold=0.98):
     up, n = {}, [0] * len(rows)
     find = lambda a: a if up.setdefault(a, a) == a else find(up[a])
