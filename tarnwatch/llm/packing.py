@@ -4,7 +4,8 @@ Spark counts a global histogram of lengths; dynamic programming over it picks th
 inside a bucket, batches are runs of documents whose padded size fits the token budget.
 """
 
-import numpy as np
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,41 +13,56 @@ from pyspark.sql import functions as F
 from tarnwatch.llm.common import small, stored
 from tarnwatch.llm.mixing import n_words
 
-#: Lengths up to EXACT have a bin each; above, STEPS bins to a doubling, whose edge is the padded length. So the
-#: histogram has at most EXACT + 64 * STEPS bins, whatever the corpus.
-EXACT, STEPS = 512, 64
+#: The histogram is by exact lengths up to MOST different ones (a corpus of t tokens has at most sqrt(2 t) of them). Beyond
+#: that, lengths up to EXACT have a bin each and longer ones STEPS bins to a doubling, with its largest length as edge.
+MOST, EXACT, STEPS = 1_000_000, 512, 64
 CHUNKS = 2048
 
 
 def bin_edge(n: Column) -> Column:
-    """The padded length of a bin: n itself up to EXACT, else n rounded up to a multiple of 2**k / STEPS."""
+    """The upper end of a bin: n itself up to EXACT, else n rounded up to a multiple of 2**k / STEPS."""
     step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double") - 0.5))) / STEPS
     return F.when(n <= EXACT, n).otherwise((F.ceil(n / step) * step).cast("long")).cast("long")
 
 
 def boundaries(edges, counts, buckets: int) -> list[int]:
     """At most `buckets` of the sorted edges, the last included, that minimise sum(count * (boundary - edge))."""
-    edges, counts = np.asarray(edges, np.float64), np.asarray(counts, np.float64)
-    n = len(edges)
+    edges = [int(e) for e in edges]
+    n, total = len(edges), [0, *accumulate(int(c) for c in counts)]
     if not n:
         return []
-    total = np.concatenate(([0.0], np.cumsum(counts)))
-    best, froms = edges * total[1:], [np.zeros(n, int)]
+    best, froms = [e * t for e, t in zip(edges, total[1:], strict=True)], [[0] * n]
     for _ in range(min(buckets, n) - 1):
-        # best[j]: cost of bins 0..j; a last bucket (i, j] pads its rows to edges[j]. Row sums of lengths are constant.
-        cost = np.concatenate(([0.0], best))[None, :-1] + edges[:, None] * (total[1:, None] - total[None, :-1])
-        cost[np.triu_indices(n, 1)] = np.inf
-        at = cost.argmin(1)
-        best, froms = cost[np.arange(n), at], [*froms, at]
+        # best[j]: cost of bins 0..j; a last bucket i..j pads its rows to edges[j]. Row sums of lengths are constant.
+        # The least of cost[i] + edges[j] * (total[j + 1] - total[i]) is on the lower hull of lines in edges[j].
+        cost, hull, at, now, where = [0, *best], [], 0, [], []
+        for j, e in enumerate(edges):
+            while len(hull) > 1 and (cost[j] - cost[hull[-2]]) * (total[hull[-1]] - total[hull[-2]]) <= (cost[hull[-1]] - cost[hull[-2]]) * (total[j] - total[hull[-2]]):
+                hull.pop()
+            hull.append(j)
+            at = min(at, len(hull) - 1)
+            while at + 1 < len(hull) and cost[hull[at + 1]] - e * total[hull[at + 1]] <= cost[hull[at]] - e * total[hull[at]]:
+                at += 1
+            where.append(hull[at])
+            now.append(cost[hull[at]] + e * (total[j + 1] - total[hull[at]]))
+        best, froms = now, [*froms, where]
     out, j = [], n - 1
-    for at in reversed(froms):
-        out.append(int(edges[j]))
-        j = at[j] - 1
+    for i in reversed(froms):
+        out.append(edges[j])
+        j = i[j] - 1
         if j < 0:
             break
     return out[::-1]
 
 
+def histogram(d: DataFrame) -> list[tuple]:
+    """(largest length of a bin, rows) in order of length."""
+    by = d.groupBy("n_tokens").count()
+    if by.limit(MOST + 1).count() > MOST:
+        by = by.groupBy(bin_edge(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("n_tokens"), F.sum("count").alias("count"))
+    return sorted((r.n_tokens, r["count"]) for r in by.select("n_tokens", "count").collect())
+
+
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, token_budget: int = 16384) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_tokens, bucket, padded, batch, slot.
 
@@ -56,15 +72,15 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, token
     rows of their own. An empty table gives none.
     """
     n = n_words() if length is None else length.cast("long")
-    d = stored(docs.select("doc_id", n.alias("n_tokens")).withColumn("edge", bin_edge(F.col("n_tokens"))), "pack-docs")
-    hist = sorted((r.edge, r["count"]) for r in d.groupBy("edge").count().collect())
+    d = stored(docs.select("doc_id", n.alias("n_tokens")), "pack-docs")
+    hist = histogram(d)
     zero, hist = [h for h in hist if h[0] == 0], [h for h in hist if h[0] > 0]
     bounds = [0] * bool(zero) + boundaries([e for e, _ in hist], [c for _, c in hist], buckets)
     if not bounds:
         bounds = [0]
     pick = F.lit(bounds[-1])
     for b in reversed(bounds[:-1]):
-        pick = F.when(F.col("edge") <= b, b).otherwise(pick)
+        pick = F.when(F.col("n_tokens") <= b, b).otherwise(pick)
     d = d.withColumn("bucket", pick.cast("long")).withColumn("h", F.xxhash64("doc_id")).withColumn("chunk", F.shiftright(F.col("h"), 53).cast("int"))
     sizes = d.groupBy("bucket", "chunk").count()
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("count").over(W.partitionBy("bucket").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

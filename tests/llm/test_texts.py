@@ -224,6 +224,19 @@ def test_boundaries_are_optimal():
         assert cost == brute_cost(edges, counts, k)
 
 
+def test_long_lengths_pad_least(spark, monkeypatch):
+    rng = random.Random(6)
+    lengths = [rng.randrange(500, 21000) for _ in range(12)]
+    docs = spark.createDataFrame([(i, n, "") for i, n in enumerate(lengths * 3)], "doc_id long, n long, text string")
+    out = packing.pack(docs, F.col("n"), buckets=4).collect()
+    want = sorted(set(lengths))
+    assert sum(r.padded for r in out) == brute_cost(want, [3 * lengths.count(n) for n in want], 4) and max(r.bucket for r in out) == max(lengths)
+    # beyond MOST different lengths bins end at their largest length
+    monkeypatch.setattr(packing, "MOST", 5)
+    out = packing.pack(docs, F.col("n"), buckets=4).collect()
+    assert {r.bucket for r in out} <= set(lengths) and max(r.bucket for r in out) == max(lengths) and all(r.padded >= 0 for r in out)
+
+
 def test_pack_fills_batches(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.choice([3, 9, 40, 700])), "s") for i in range(500)] + [(600, None, "s"), (601, "", "s"), (7, "again and again", "s"), (7, "again and again", "s")]
