@@ -310,6 +310,20 @@ def test_smote_query_keeps_every_row(spark, tmp_path):
     assert have >= {r[3] for r in rows}
 
 
+def test_streams_give_their_last_windows(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tarnwatch.plans import streams
+
+    rows = [(i, i % 3, datetime(2024, 1, 1) + timedelta(hours=5 * i + i % 7), float(i), "view") for i in range(140)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    e = spark.read.parquet(f"{tmp_path}/events.parquet")
+    for name, w in (("l_daily_windows", F.window("ts", "1 day")), ("l_sliding_windows", F.window("ts", "3 days", "1 day")), ("l_sessions", F.session_window("ts", "6 hours"))):
+        want = e.groupBy("user_id", w.alias("w")).agg(F.count("*")).select("user_id", "w.start", "w.end", "count(1)").collect()
+        got = streams.QUERIES[name](spark, str(tmp_path)).select("lake_uid", "start", "end", "rows").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)), name
+
+
 def test_choice_scans_in_order():
     row = lambda n, pr, f1, recall, size: {"n": n, "pr_auc": pr, "f1": f1, "recall": recall, "complexity": size}
     assert ml.choose([row(1, 0.50, 0.4, 0.1, 1), row(2, 0.503, 0.5, 0.1, 9), row(3, 0.507, 0.1, 0.9, 1)])["n"] == 2
