@@ -1,8 +1,12 @@
 """Main text of pages, with site templates removed.
 
-A page becomes a light element tree. Elements that by tag, role or class are not article (menus, adverts, comments,
-...) go. Every other container's subtree has a hash; Spark counts beside how many different texts of a host each
-hash stands, and subtrees that recur on many pages go too. What is left of the article gives blocks of text.
+A page becomes a light element tree. Every container of the whole page, chrome included, has two hashes: one of its tags
+and text, and one of its shape alone (tags above it, tags, attributes, distinct child shapes; no text). Spark counts both
+per host. A subtree that recurs on many pages of its host goes, by its text wherever it stands, by its shape where it
+holds no prose of its own: mostly links, or a small share of those pages' text without paragraphs or headings. What the
+markup itself names as no article (nav, an advert's class, ...) is counted by name: where a name recurs its subtrees are
+template, and where it is too rare on its host to be counted (fewer than LEAST pages) the name alone decides. What
+remains of the article gives blocks of text.
 """
 
 import hashlib
@@ -12,7 +16,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwatch.llm.common import small, stored, with_columns
+from tarnwatch.llm.common import drop, small, stored, with_columns
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,8 +29,11 @@ ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot caption option optgroup h
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "p": ("table", "td", "th", "caption", "button", "object")}
 
-# Elements that are never article text, by tag, role, or a word of class or id.
-NOT_TEXT = frozenset("script style noscript template svg math canvas object embed iframe audio video nav footer aside form button select textarea input dialog menu head title".split())
+# Elements that show no text, and those that are named as no article by tag, role, or a word of class or id.
+UNSEEN = frozenset("script style noscript template svg math canvas object embed iframe audio video select textarea input dialog head title".split())
+NAMED = frozenset("nav footer aside form button menu".split())
+#: Tags that only format: a shape does not show them.
+INLINE = frozenset("b i em strong span u s small big sup sub mark font code abbr time q cite kbd samp var tt ins del br wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar toolbar alert".split())
 WORDS = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion "
@@ -34,6 +41,7 @@ WORDS = frozenset(
     "replies share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar login search copyright legal disclaimer".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | frozenset("p pre blockquote dd td th figcaption".split())
 #: Single blocks of text and parts of lists and tables: within an article their recurrence removes nothing.
 SINGLE = HEADINGS | frozenset("p pre blockquote li dt dd tbody thead tfoot tr td th caption figcaption summary option".split())
 
@@ -41,40 +49,46 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: A subtree is template if it stands on at least LEAST different pages of its host and on this share of them ...
 LEAST, SHARE = 5, 0.3
+#: ... or, by its shape, if links make LINKED of its text and it is not EVERYTHING, or if without prose it is at most MASS of its pages' text;
+LINKED, EVERYTHING, MASS = 0.5, 0.9, 0.25
 #: ... or at one place on LEAST and on the share PLACED, or on ENOUGH, of them; not so single blocks and most of a page's text.
 PLACED, ENOUGH = 0.01, 1000
+#: What a counted key is: a subtree's text anywhere or at one place, a shape without or with prose, a name, article roots.
+ANYWHERE, AT_PLACE, PLAIN, PROSE, NAME, ROOTS = range(6)
 
 
 class Node:
-    __slots__ = ("tag", "gone", "root", "parts", "size", "inside")
+    """A tag, its pieces of text and child nodes, its text's size and that of the links' text in it."""
 
-    def __init__(self, tag, gone=False, root=False, inside=False):
-        self.tag, self.gone, self.root, self.inside = tag, gone, root, inside
-        self.parts, self.size = [], 0
+    __slots__ = ("tag", "gone", "named", "root", "parts", "size", "links", "inside", "look")
 
+    def __init__(self, tag, gone=False, named="", root=False, inside=False, look=b""):
+        self.tag, self.gone, self.named, self.root, self.inside, self.look = tag, gone, named, root, inside, look
+        self.parts, self.size, self.links = [], 0, 0
 
-def is_gone(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """-> (not article text, article root)"""
-    root = tag in ("article", "main")
-    if tag in NOT_TEXT or tag == "header" and not in_article:
-        return True, False
+
+def kind_of(tag: str, attributes: str, in_article: bool) -> tuple[bool, str, bool, bytes]:
+    """-> (shows no text, the name that says it is no article, article root, what its shape shows of the attributes)"""
+    root, named, look = tag in ("article", "main"), tag if tag in NAMED or tag == "header" and not in_article else "", b""
+    if tag in UNSEEN:
+        return True, "", False, look
     if attributes and not attributes.isspace() and tag not in ("html", "body"):
         a = {k.lower(): entities.unescape(x or y or z) for k, x, y, z in ATTRIBUTE.findall(attributes)}
         if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-            return True, False
+            return True, "", False, look
         if a.get("role", "").lower() in ROLES:
-            return True, False
-        named = f"{a.get('class', '')} {a.get('id', '')}"
-        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()))
-        bad = words & WORDS
+            named = named or a["role"].lower()
+        look = " ".join([*sorted(a), *sorted(x for x in a.get("class", "").split() if not re.search(r"\d", x))]).encode("utf-8", "replace")
+        words = f"{a.get('class', '')} {a.get('id', '')}"
+        bad = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", words).lower())) & WORDS
         if root:
             bad &= {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "related", "sponsored", "promo"}
             # "article no-comments": only names that begin a class or id count on a root
-            bad = {w for w in bad if re.search(rf"(?:^|\s){w}", named.lower())}
+            bad = {w for w in bad if re.search(rf"(?:^|\s){w}", words.lower())}
         if bad and not (in_article and tag in HEADINGS):
-            return True, False
+            named = named or min(bad)
         root = root or a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody"
-    return False, root
+    return False, named, root and not named, look
 
 
 def tree(text: str) -> Node:
@@ -86,7 +100,9 @@ def tree(text: str) -> Node:
         node = stack.pop()
         up = stack[-1]
         node.size += sum(len(p) for p in node.parts if isinstance(p, str))
-        up.size += 0 if node.gone else node.size
+        if not node.gone:
+            up.size += node.size
+            up.links += node.size if node.tag == "a" else node.links
 
     def shut_to(tags, stops=()):
         for k in range(len(stack) - 1, 0, -1):
@@ -130,8 +146,9 @@ def tree(text: str) -> Node:
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
             shut()
         inside = stack[-1].inside or stack[-1].root
-        gone, root = is_gone(tag, m[3], inside)
-        node = Node(tag, gone or stack[-1].gone, root and not stack[-1].gone, inside)
+        gone, named, root, look = kind_of(tag, m[3], inside)
+        gone, named = gone or stack[-1].gone, named or stack[-1].named
+        node = Node(tag, gone, named, root and not gone and not named, inside, look)
         stack[-1].parts.append(node)
         stack.append(node)
     while len(stack) > 1:
@@ -148,17 +165,22 @@ def walk(node: Node):
         todo += [p for p in reversed(n.parts) if isinstance(p, Node)]
 
 
-def roots(top: Node) -> list:
+def seen(node: Node, named: bool = False) -> list:
+    """The child nodes that show text; without the named ones unless those count."""
+    return [p for p in node.parts if isinstance(p, Node) and not p.gone and (named or not p.named)]
+
+
+def roots(top: Node, without=lambda n: bool(n.named)) -> list:
     """The outermost article roots, or the whole page."""
     out, todo = [], [top]
     while todo:
         n = todo.pop()
-        if n.root and not n.gone and n.size:
+        if n.root and not n.gone and n.size and not without(n):
             out.append(n)
-        else:
+        elif not without(n):
             todo += [p for p in reversed(n.parts) if isinstance(p, Node)]
     # an article within main is the narrower root
-    narrow = [a for r in out if r.tag != "article" for a in walk(r) if a is not r and a.tag == "article" and a.root and not a.gone and a.size]
+    narrow = [a for r in out if r.tag != "article" for a in walk(r) if a is not r and a.tag == "article" and a.root and not a.gone and a.size and not without(a)]
     return narrow or out or [top]
 
 
@@ -168,19 +190,82 @@ def countable(node: Node, whole: bool) -> bool:
 
 
 def subtree_keys(text) -> list[dict]:
-    """The countable subtrees: key, rest, a hash of the article's text outside of the subtree, and place, once 0 for any
-    place and, for containers of at most half of the text, that counted from the start and from the end of their parent."""
+    """What Spark counts of a page: (kind, key, rest, place, size, links, total).
+
+    For a subtree's text: a hash of the article's text outside of it, and its place, once 0 for any place and, for
+    containers of at most half of the article, that counted from the start and from the end of their parent. For a shape:
+    a hash of the article's text, and the sizes of its text, of links in it, and of the page's.
+    """
     top = tree(text or "")
     main = roots(top)
     whole = main[0] is top
-    found = [n for r in main for n in walk(r) if countable(n, whole)]
-    if not found:
-        return []
-    keys, sums = hashes(main), contents(main)
-    at = places(main)
-    total, size = sum(sums[id(r)] for r in main), sum(length(r) for r in main)
-    placed = lambda n: (0, *at[id(n)]) if n.tag not in SINGLE and 2 * n.size <= size else (0,)
-    return [dict(key=k, rest=r, place=p) for k, r, p in sorted({(keys[id(n)], signed(total - sums[id(n)]), p) for n in found for p in placed(n)})]
+    sums, every = contents(main), {id(n) for r in main for n in walk(r)}
+    total = sum(sums[id(r)] for r in main)
+    blank = dict(place=0, size=0, links=0, total=0)
+    out = [blank | dict(kind=NAME, key=name_key(n), rest=0) for n in {n.named for n in walk(top) if n.named and not n.gone and n.size}]
+    out += [] if whole else [blank | dict(kind=ROOTS, key=ROOT_KEY, rest=0)]
+    found = [n for r in main for n in walk(r) if not n.named and countable(n, whole)]
+    keys = hashes(main) if found else {}
+    if found:
+        at, size = places(main), sum(length(r) for r in main)
+        placed = lambda n: (0, *at[id(n)]) if n.tag not in SINGLE and 2 * n.size <= size else (0,)
+        out += [blank | dict(kind=AT_PLACE if p else ANYWHERE, key=k, rest=r, place=p) for k, r, p in sorted({(keys[id(n)], signed(total - sums[id(n)]), p) for n in found for p in placed(n)})]
+    # chrome: what is outside of the article roots, or named
+    rest, holding = hashes([top], named=True), around(top, main)
+    out += [blank | dict(kind=ANYWHERE, key=k, rest=signed(total)) for k in sorted({rest[id(n)] for n in walk(top) if countable(n, True) and (n.named or id(n) not in every and id(n) not in holding)} - {keys.get(id(n)) for n in found})]
+    shape = shapes(top, main)
+    sizes: dict = {}
+    for n, key, kind in shape.values():
+        s = sizes.setdefault((kind, key), [0, 0])
+        s[0] += n.size
+        s[1] += n.links
+    out += [dict(kind=kind, key=key, rest=signed(total), place=0, size=s, links=x, total=length(top)) for (kind, key), (s, x) in sorted(sizes.items())]
+    return out
+
+
+def name_key(name: str) -> int:
+    return digest(b"name " + name.encode("utf-8", "replace"))
+
+
+def around(top: Node, main: list) -> set:
+    """id() of the article roots and of all nodes that hold one."""
+    out = {id(r) for r in main}
+    for n in reversed(list(walk(top))):
+        if any(id(c) in out for c in n.parts if isinstance(c, Node)):
+            out.add(id(n))
+    return out
+
+
+def shapes(top: Node, main: list) -> dict:
+    """id(node) -> (node, key of its shape and the tags above it, PLAIN or PROSE), of containers outside of the article.
+
+    The article is what its roots hold; on a page without, what lies in a container that has paragraphs or headings of
+    its own and at least half of the page's text.
+    """
+    looks, prose = {}, {}
+    ids, above = {id(r) for r in main if r is not top}, around(top, main)
+    for n in reversed(list(walk(top))):
+        own, text, p = set(), any(isinstance(x, str) and not x.isspace() for x in n.parts), n.tag in PARAGRAPHS
+        for c in seen(n, named=True):
+            if c.tag in INLINE:
+                own |= looks[id(c)][1]
+                text |= looks[id(c)][2]
+            elif c.size:
+                own.add(looks[id(c)][0])
+            p |= prose[id(c)]
+        key = digest(b"%s(%s)%s%s" % (n.tag.encode("utf-8", "replace"), n.look, b"#" if text else b"", b"".join(b"<%d" % x for x in sorted(own))))
+        looks[id(n)], prose[id(n)] = (key, own, text), p
+    out, half = {}, length(top) / 2
+    todo = [(top, b"")]
+    while todo:
+        n, path = todo.pop()
+        path = digest(b"%s<%s" % (path, n.tag.encode("utf-8", "replace"))).to_bytes(8, "big", signed=True)
+        if n is not top and countable(n, False) and id(n) not in above:
+            out[id(n)] = n, digest(path + b"%d" % looks[id(n)][0]), PROSE if prose[id(n)] else PLAIN
+        article = id(n) in ids or not ids and n.size >= half and any(c.tag in PARAGRAPHS for c in seen(n))
+        if not article:
+            todo += [(c, path) for c in seen(n, named=True)]
+    return out
 
 
 def length(root: Node) -> int:
@@ -195,7 +280,7 @@ def places(main: list) -> dict:
         while todo:
             n, path = todo.pop()
             path = digest(b"%s<%s" % (path, n.tag.encode("utf-8", "replace"))).to_bytes(8, "big", signed=True)
-            below = [p for p in n.parts if isinstance(p, Node) and not p.gone and p.size]
+            below = [p for p in seen(n) if p.size]
             for k, p in enumerate(below):
                 out[id(p)] = digest(b"%s+%d" % (path, k)), digest(b"%s-%d" % (path, len(below) - k))
                 todo.append((p, path))
@@ -207,16 +292,19 @@ def digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
 
 
+ROOT_KEY = digest(b"roots")
+
+
 def signed(n: int) -> int:
     return (n + 2**63) % 2**64 - 2**63
 
 
-def hashes(main: list) -> dict:
-    """id(node) -> hash of its subtree's tags and text, without what is not article."""
+def hashes(main: list, named: bool = False) -> dict:
+    """id(node) -> hash of its subtree's tags and text, without what shows no text or, unless those count, is named."""
     out = {}
     for r in main:
         for n in reversed(list(walk(r))):
-            parts = [p.encode("utf-8", "replace") if isinstance(p, str) else b"\0%d" % out[id(p)] for p in n.parts if isinstance(p, str) or not p.gone]
+            parts = [p.encode("utf-8", "replace") if isinstance(p, str) else b"\0%d" % out[id(p)] for p in n.parts if isinstance(p, str) or not p.gone and (named or not p.named)]
             out[id(n)] = digest(b"\0<".join((n.tag.encode("utf-8", "replace"), *parts)))
     return out
 
@@ -227,17 +315,49 @@ def contents(main: list) -> dict:
     for r in main:
         for n in reversed(list(walk(r))):
             lines = [" ".join(p.split()) for p in n.parts if isinstance(p, str)]
-            out[id(n)] = sum(digest(x.encode("utf-8", "replace")) for x in lines if x) + sum(out[id(p)] for p in n.parts if isinstance(p, Node) and not p.gone)
+            out[id(n)] = sum(digest(x.encode("utf-8", "replace")) for x in lines if x) + sum(out[id(p)] for p in seen(n))
+    return out
+
+
+def dropped(top: Node, main: list, keys: set) -> set:
+    """id() of the nodes whose subtree is template by one of the keys."""
+    whole, names = main[0] is top, {}
+    inner, rest, shape = hashes(main), hashes([top], named=True), shapes(top, main)
+    within, holding = {id(n) for r in main for n in walk(r)}, around(top, main)
+    out = set()
+    for n in walk(top):
+        k = id(n)
+        if n.named:
+            if n.named not in names:
+                names[n.named] = name_key(n.named) in keys
+            gone = names[n.named]
+        else:
+            gone = False
+        if gone or k in shape and shape[k][1] in keys:
+            out.add(k)
+        elif k in within and not n.named and countable(n, whole):
+            if inner[k] in keys:
+                out.add(k)
+        elif countable(n, True) and rest[k] in keys and (n.named or k not in holding):
+            out.add(k)
     return out
 
 
-def main_text(text, templates=()) -> str:
-    """The blocks of the article, one a line; templates: keys of subtrees to leave out."""
+def main_text(text, templates=None) -> str:
+    """The blocks of the article, one a line.
+
+    templates: keys of what to leave out, as templates() counts them for the page's host; with none of them all that shows
+    text is given. None stands for a page of no counted host: names and article roots decide.
+    """
     top = tree(text or "")
-    main = roots(top)
-    whole = main[0] is top
-    templates = set(templates or ())
-    keys = hashes(main) if templates else {}
+    if templates is None:
+        gone, main = set(), roots(top)
+        out_of = lambda n: bool(n.named)
+    else:
+        keys = set(templates)
+        gone = dropped(top, roots(top), keys) if keys else set()
+        out_of = lambda n: id(n) in gone
+        main = roots(top, out_of) if ROOT_KEY in keys else [top]
     blocks, words = [], []
 
     def flush():
@@ -254,15 +374,16 @@ def main_text(text, templates=()) -> str:
                 flush()
             elif isinstance(n, str):
                 words.append(n)
-            elif templates and countable(n, whole) and keys[id(n)] in templates:
-                flush()
-            elif not n.gone and not (n.tag == "header" and n.inside):
+            elif n.gone or out_of(n):
+                if n.tag in BLOCK:
+                    flush()
+            elif n.tag == "header" and n.inside and (templates is None or keys):  # of an article's own header, its headings
+                todo += [None, *(h for h in reversed([x for x in walk(n) if x.tag in HEADINGS and not x.gone and not out_of(x)]))]
+            else:
                 if n.tag in BLOCK or n.tag == "#page":
                     flush()
                     todo.append(None)
                 todo += reversed(n.parts)
-            elif n.tag == "header" and n.inside and not n.gone:  # of an article's own header, its headings
-                todo += [None, *(h for h in reversed([x for x in walk(n) if x.tag in HEADINGS and not x.gone]))]
         flush()
     return "\n".join(blocks)
 
@@ -272,30 +393,46 @@ def host(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+COUNTED = "array<struct<kind:int,key:long,rest:long,place:long,size:long,links:long,total:long>>"
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, templates): keys of subtrees that recur on many different pages of a host.
+    """(host, templates): keys of what recurs on many different pages of a host, and of its names.
 
-    Pages count by their text outside of the subtree, so that copies of a page, also near ones, count once and an
-    article's body is no template of its copies. What recurs on a small share of a host's pages is template, not a
-    passage that they share, if it is a container and stands at the same place. A host's list is bounded by its pages'
-    mean number of subtrees over PLACED, or times its pages over ENOUGH.
+    Pages count by their article's text (for a subtree of the article, by that outside of it), so that copies of a page, also
+    near ones, count once and an article's body is no template of its copies. What recurs on a small share of a host's
+    pages is template, not a passage that they share, if it is a container and stands at the same place. A host's list is
+    bounded by its pages' mean number of subtrees over PLACED, or times its pages over ENOUGH; names are a fixed list.
     """
     p = pages.select(host().alias("host"), F.xxhash64("html").alias("page"), F.col("html"))
-    keyed = stored(with_columns(p, "html", lambda htmls: [[subtree_keys(x) for x in htmls]], "subtrees array<struct<key:long,rest:long,place:long>>"), "html-keys")
+    keyed = stored(with_columns(p, "html", lambda htmls: [[subtree_keys(x) for x in htmls]], f"subtrees {COUNTED}"), "html-keys")
     n_pages = keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    seen = keyed.select("host", F.inline("subtrees")).distinct().groupBy("host", "key", "place").agg(F.count("*").alias("on"))
-    need = F.when(F.col("place") == 0, SHARE * F.col("pages")).otherwise(F.least(PLACED * F.col("pages"), F.lit(float(ENOUGH))))
-    many = seen.where(F.col("on") >= LEAST).join(n_pages, "host").where(F.col("on") >= need)
-    return stored(many.groupBy("host").agg(F.collect_set("key").alias("templates")), "html-templates")
+    every = keyed.select("host", F.inline("subtrees")).distinct().groupBy("host", "kind", "key", "place")
+    counts = every.agg(F.count("*").alias("on"), *[F.sum(c).alias(c) for c in ("size", "links", "total")])
+    kind, share = F.col("kind"), SHARE * F.col("pages")
+    mostly_links = (F.col("links") >= LINKED * F.col("size")) & (F.col("size") <= EVERYTHING * F.col("total"))
+    without_prose = (kind == PLAIN) & (F.col("size") <= MASS * F.col("total"))
+    recurs = (
+        F.when(kind == ANYWHERE, F.col("on") >= share)
+        .when(kind == AT_PLACE, F.col("on") >= F.least(PLACED * F.col("pages"), F.lit(float(ENOUGH))))
+        .when(kind.isin(PLAIN, PROSE), (F.col("on") >= share) & (mostly_links | without_prose))
+        .otherwise(F.lit(True))
+    )
+    many = counts.where((F.col("on") >= LEAST) | kind.isin(NAME, ROOTS)).join(n_pages, "host").where(recurs)
+    found = stored(many.groupBy("host").agg(F.collect_set("key").alias("templates")), "html-templates")
+    drop(keyed)
+    return found
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, ...) -> page_id, url, text, n_chars.
 
-    text is '' for a null or empty page and for one without article text; each input row gives one row.
+    text is '' for a null or empty page and for one without article text; each input row gives one row. Pages without a
+    host (a null or odd URL) are counted together. On a host of fewer than LEAST different pages nothing can recur often
+    enough, so only names and article roots decide there.
     """
     known = small(templates(pages))
     p = pages.select("page_id", "url", "html", host().alias("host")).join(known, "host", "left")
-    p = p.select("page_id", "url", F.struct("html", "templates").alias("page"))
+    p = p.select("page_id", "url", F.struct("html", F.coalesce("templates", F.array().cast("array<long>")).alias("templates")).alias("page"))
     out = with_columns(p, "page", lambda rows: [[main_text(r["html"], r["templates"]) for r in rows]], "text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import io
 import os
+import random
+import re
 import tarfile
 import zlib
 
@@ -149,6 +151,81 @@ def test_templates_on_a_small_share_of_pages_go(spark):
     assert all(out[i].count("story") == 4 + i % 3 for i in range(96)) and all("variant 0" in out[300 + i] for i in range(4))
 
 
+def counted(pages):
+    """Brute force: (host, html) -> host: the keys that recur, by plain sets."""
+    n, seen, out = {}, {}, {}
+    for host, x in pages:
+        n.setdefault(host, set()).add(x)
+        for k in html_extract.subtree_keys(x):
+            seen.setdefault((host, k["kind"], k["key"], k["place"]), set()).add(tuple(sorted(k.items())))
+    for (host, kind, key, _), rows in seen.items():
+        on, pages_ = len(rows), len(n[host])
+        size, links, total = (sum(dict(r)[c] for r in rows) for c in ("size", "links", "total"))
+        if kind in (html_extract.NAME, html_extract.ROOTS):
+            keep = True
+        elif kind == html_extract.ANYWHERE:
+            keep = on >= 5 and on >= 0.3 * pages_
+        elif kind == html_extract.AT_PLACE:
+            keep = on >= 5 and on >= min(0.01 * pages_, 1000)
+        else:
+            keep = on >= 5 and on >= 0.3 * pages_ and (2 * links >= size and size <= 0.9 * total or kind == html_extract.PLAIN and 4 * size <= total)
+        if keep:
+            out.setdefault(host, set()).add(key)
+    return out
+
+
+def site(i, div=False):
+    """A page whose menu, advert and footer differ on every page, as tags or as bare divs; and its article's text."""
+    rng = random.Random(i)
+    words = lambda n: " ".join(rng.choice("oak elm ash fir yew bay fig".split()) + str(rng.randrange(99)) for _ in range(n))
+    title, story = words(4), [words(rng.randrange(5, 60)) for _ in range(rng.randrange(2, 6))]
+    menu = "".join(f"<li><a href='/{k}'>{words(1)}</a></li>" for k in range(rng.randrange(3, 8)))
+    x = f"<nav><ul>{menu}</ul></nav><div class='ad'>{words(4)}</div><article><h1>{title}</h1><p>{'<p>'.join(story)}</article><footer>&copy; {words(5)}</footer>"
+    if div:
+        x = re.sub("<(/?)(?:nav|article|footer)", r"<\1div", x).replace(" class='ad'", "")
+    return page(x), "\n".join([title, *story])
+
+
+def test_chrome_of_other_words_goes_by_its_shape(spark):
+    rows, want = [], {}
+    for i in range(60):
+        rows.append((i, f"http://{'div' if i % 2 else 'tags'}.example/{i}", (site(i, i % 2 == 1))[0]))
+        want[i] = site(i)[1]
+    hosts = {i: u.split("/")[2] for i, u, _ in rows}
+    keys = counted((hosts[i], x) for i, _, x in rows)
+    assert all(html_extract.main_text(x, keys[hosts[i]]) == want[i] for i, _, x in rows)
+    # without the counts nothing goes: neither tags nor classes decide by themselves
+    assert all(len(html_extract.main_text(x, ())) > len(want[i]) for i, _, x in rows)
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.host: set(r.templates) for r in html_extract.templates(p).collect()} == keys
+    assert {r.page_id: r.text for r in html_extract.extract(p).collect()} == want
+
+
+def test_counts_equal_brute_force_on_the_given_pages(spark):
+    d = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(d):
+        return
+    p = spark.read.parquet(d)
+    rows = p.withColumn("host", html_extract.host()).collect()
+    keys = counted((r.host, r.html) for r in rows)
+    assert {r.host: set(r.templates) for r in html_extract.templates(p).collect()} == keys
+    assert {r.page_id: r.text for r in html_extract.extract(p).collect()} == {r.page_id: html_extract.main_text(r.html, keys.get(r.host, ())) for r in rows}
+
+
+def test_names_decide_where_too_rare_to_count(spark):
+    rows = [(i, "http://a.example/", page(f"<article><p>story {i} of words</p>{'<section class=comments><p>reader</p></section>' if i == 3 else ''}</article>")) for i in range(20)]
+    rows += [(100, "http://b.example/", page("<nav>menu</nav><div>lead</div><p>text</p>")), (101, None, page("<aside>x</aside><p>y" + "z" * 200_000))]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "story 3 of words" and out[100] == "lead\ntext" and out[101] == "y" + "z" * 200_000
+
+
+def test_shapes_leave_an_article_of_divs(spark):
+    story = lambda i: "".join(f"<div>paragraph {i} {k} of quite a few words</div>" for k in range(3 + i % 4))
+    rows = [(i, "http://a.example/", page(f"<div><a href='/'>home</a> <a href='/{i}'>next {i}</a></div><div>{story(i)}</div><div>note {i}</div>")) for i in range(20)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == "\n".join(f"paragraph {i} {k} of quite a few words" for k in range(3 + i % 4)) for i in range(20))
+
+
 def brute(rows, threshold=0.98):
     up, n = {}, [0] * len(rows)
     find = lambda a: a if up.setdefault(a, a) == a else find(up[a])
