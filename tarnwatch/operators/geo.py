@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwatch.functions.scalars import col, haversine_km, mercator_x, mercator_y
+from tarnwatch.functions.ranges import numbered
+from tarnwatch.functions.scalars import col, haversine_km, mercator_x, mercator_y, zfill
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -75,44 +76,6 @@ def valid(polygon) -> Column:
     return F.coalesce((F.size(F.array_distinct(ring)) >= 3) & (F.abs(ring_area(ring)) > 0), F.lit(False))
 
 
-def clip_ratio(polygons: DataFrame, boundary: list[tuple[float, float]], polygon: str = "polygon", out: str = "overlap_ratio") -> DataFrame:
-    """Share of each shell's area within a convex boundary (Sutherland-Hodgman), vectorised by batch."""
-    from pyspark.sql.functions import pandas_udf
-
-    edge = list(zip(boundary, boundary[1:] + boundary[:1], strict=True))
-    turn = sum(a[0] * b[1] - b[0] * a[1] for a, b in edge)
-    edge = edge if turn > 0 else [(b, a) for a, b in reversed(edge)]
-
-    def shoelace(p):
-        return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1], strict=True))) / 2 if len(p) > 2 else 0.0
-
-    def clip(p):
-        for (ax, ay), (bx, by) in edge:
-            side = lambda q: (bx - ax) * (q[1] - ay) - (by - ay) * (q[0] - ax)  # noqa: E731, B023
-            kept = []
-            for q, r in zip(p, p[1:] + p[:1], strict=True):
-                s, t = side(q), side(r)
-                if s >= 0:
-                    kept.append(q)
-                if (s >= 0) != (t >= 0):
-                    k = s / (s - t)
-                    kept.append((q[0] + k * (r[0] - q[0]), q[1] + k * (r[1] - q[1])))
-            p = kept
-            if not p:
-                break
-        return p
-
-    @pandas_udf("double")
-    def ratio(shells):
-        import pandas as pd
-
-        points = [[(q["x"], q["y"]) for q in s] if s is not None else [] for s in shells]
-        whole = [shoelace(p) for p in points]
-        return pd.Series([shoelace(clip(p)) / w if w else None for p, w in zip(points, whole, strict=True)], dtype="float64")
-
-    return polygons.withColumn(out, ratio(F.get(col(polygon), F.lit(0))))
-
-
 def boundary_status(ratio="overlap_ratio") -> Column:
     return F.when(col(ratio) >= 0.5, "inside").when(col(ratio) > 0, "boundary").otherwise("outside")
 
@@ -158,17 +121,21 @@ def nearest(a: DataFrame, b: DataFrame, metres: float, metric: str = "mercator")
     return a.join(best, "a_id", "left")
 
 
+def listed(df: DataFrame, polygon: str, size: float, reach: float = 0.0) -> DataFrame:
+    """df with a row for each grid cell (_cell) that a polygon's bounding box, widened by `reach`, touches."""
+    b = bounds(polygon)
+    span = lambda lo, hi: F.sequence(F.floor((b[lo] - reach) / size), F.floor((b[hi] + reach) / size))
+    d = df.withColumn("_cx", F.explode(span("min_x", "max_x"))).withColumn("_cy", F.explode(span("min_y", "max_y")))
+    return d.withColumn("_cell", F.struct(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))).drop("_cx", "_cy")
+
+
 def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 0.25) -> DataFrame:
     """(point_id, polygon_id) of points (point_id, x, y) in polygons (polygon_id, polygon).
 
     A polygon is listed in every cell of its bounding box; a point in its one.
     """
-    b = bounds("polygon")
-    lo_x, hi_x, lo_y, hi_y = (F.floor(b[n] / size) for n in ("min_x", "max_x", "min_y", "max_y"))
-    listed = polygons.withColumn("_cx", F.explode(F.sequence(lo_x, hi_x))).withColumn("_cy", F.explode(F.sequence(lo_y, hi_y)))
-    listed = listed.withColumn("_cell", F.struct(F.col("_cx").alias("cx"), F.col("_cy").alias("cy")))
     p = points.withColumn("_cell", F.get(cells("x", "y", size), F.lit(0)))
-    return p.join(listed, "_cell").where(contains("polygon", "x", "y")).select("point_id", "polygon_id")
+    return p.join(listed(polygons, "polygon", size), "_cell").where(contains("polygon", "x", "y")).select("point_id", "polygon_id")
 
 
 def first_region(points: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -184,8 +151,8 @@ def link_epochs(old: DataFrame, new: DataFrame, metres: float = 200.0, prefix: s
     b = new.select(F.col("uid").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
     m = nearest(a, b, metres)
     top = new.agg(F.coalesce(F.max(F.regexp_extract("uid", r"(\d+)$", 1).cast("long")), F.lit(0)).alias("_top"))
-    rest = m.where("b_id is null").withColumn("_n", F.row_number().over(W.orderBy("a_id")))
-    fresh = rest.join(top, how="cross").select("a_id", F.concat(F.lit(prefix), F.lpad((F.col("_n") + F.col("_top")).cast("string"), 6, "0")).alias("uid"), F.lit(None).cast("double").alias("distance_m"))
+    rest = numbered(m.where("b_id is null").select("a_id"), ["a_id"], "_n")
+    fresh = rest.join(F.broadcast(top), how="cross").select("a_id", F.concat(F.lit(prefix), zfill(F.col("_n") + F.col("_top"), 6)).alias("uid"), F.lit(None).cast("double").alias("distance_m"))
     return m.where("b_id is not null").select("a_id", F.col("b_id").alias("uid"), "distance_m").unionByName(fresh).withColumnRenamed("a_id", "id")
 
 

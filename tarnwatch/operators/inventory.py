@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwatch.functions.scalars import number, resolve, zfill
-from tarnwatch.operators.geo import near_duplicates
+from tarnwatch.functions.ranges import numbered, percentiles
+from tarnwatch.functions.scalars import number, resolve, utm_xy, zfill
+from tarnwatch.operators.geo import area, near_duplicates
 
 CANONICAL = [
     "lake_uid", "source_lake_id", "source_dataset", "source_version", "observation_epoch", "country", "state_or_region", "latitude", "longitude", "geometry",
@@ -37,11 +38,29 @@ def resolve_columns(df: DataFrame, candidates: dict | None = None) -> DataFrame:
 
 def to_km2(df: DataFrame, area: str = "lake_area_km2", limit: float = 100.0) -> DataFrame:
     """Areas over 1e6 if their median says that they are square metres."""
-    m = df.agg(F.percentile(number(area), F.lit(0.5)).alias("_median"))
+    m = percentiles(df.select(number(area).alias("_a")), [], "_a", [0.5]).select(F.col("q")[0].alias("_median"))
     a = number(area)
     return df.join(F.broadcast(m), how="cross").withColumn(area, F.when(F.col("_median") > limit, a / 1e6).otherwise(a)).drop("_median")
 
 
+def standardised(df: DataFrame, order: list, polygon: str | None = "polygon", zone: int = 44) -> DataFrame:
+    """Canonical id, elevation and area with their fallbacks: without an id column rows are ROW_0, ROW_1, ... in the
+    given order, and without an area column the polygon's own area in UTM metres counts. Areas are km2 to 6 places."""
+    have = {n: resolve(df, CANDIDATES[n]) for n in ("source_lake_id", "elevation_m", "lake_area_km2")}
+    d = df
+    if have["source_lake_id"]:
+        d = d.withColumn("source_lake_id", F.col(have["source_lake_id"]).cast("string"))
+    else:
+        d = numbered(d, order, "_n").withColumn("source_lake_id", F.concat(F.lit("ROW_"), (F.col("_n") - 1).cast("string"))).drop("_n")
+    d = d.withColumn("elevation_m", number(have["elevation_m"]) if have["elevation_m"] else F.lit(None).cast("double"))
+    if have["lake_area_km2"]:
+        d = to_km2(d.withColumn("lake_area_km2", number(have["lake_area_km2"])))
+    elif polygon:
+        flat = F.transform(polygon, lambda r: F.transform(r, lambda p: F.struct(*[c.alias(n) for c, n in zip(utm_xy(p["y"], p["x"], zone), "xy", strict=True)])))
+        d = d.withColumn("_flat", flat).withColumn("lake_area_km2", area("_flat") / 1e6).drop("_flat")
+    return d.withColumn("lake_area_km2", F.round("lake_area_km2", 6))
+
+
 def kelvin_to_celsius(c):
     return F.col(c) - 273.15
 
@@ -52,7 +71,7 @@ def metres_to_mm(c):
 
 def surrogate_ids(df: DataFrame, order: list, prefix: str, out: str = "lake_uid", width: int = 6) -> DataFrame:
     """prefix and a number in a declared order, which is total if the ids are to be stable."""
-    return df.withColumn("_n", F.row_number().over(W.orderBy(*order))).withColumn(out, F.concat(F.lit(prefix), zfill("_n", width))).drop("_n")
+    return numbered(df, order, "_n").withColumn(out, F.concat(F.lit(prefix), zfill("_n", width))).drop("_n")
 
 
 def registry(tables: dict[str, tuple[DataFrame, str]], constants: dict[str, dict]) -> DataFrame:
@@ -71,7 +90,7 @@ def duplicate_flags(df: DataFrame, metres: float = 50.0) -> DataFrame:
     d = df.withColumn("_exact", F.row_number().over(w) > 1)
     near = near_duplicates(d.where("not _exact"), metres).select("id", "duplicate_of")
     d = d.join(near, "id", "left")
-    return d.withColumn("duplicate_status", F.when(F.col("_exact"), "exact_duplicate").when(F.col("duplicate_of").isNotNull(), "near_duplicate").otherwise("unique")).drop("_exact")
+    return d.withColumn("duplicate_status", F.when(F.col("_exact"), "exact_duplicate").when(F.col("duplicate_of").isNotNull(), "near_duplicate_candidate").otherwise("unique")).drop("_exact")
 
 
 def id_quality(df: DataFrame, candidates=("id", "lake_id", "objectid", "fid")) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwatch.functions.ranges import running
 from tarnwatch.functions.scalars import fraction, hours_between
 
 
@@ -27,10 +28,9 @@ def rates(counts: DataFrame, null_if_one_class: bool = False) -> DataFrame:
 
 def ranking(df: DataFrame, by: list[str], y: str = "true_label", p: str = "predicted_probability") -> DataFrame:
     """roc_auc (ties count half) and pr_auc (average precision, tied scores one step); NULL without both classes, or
-    without a positive. Rows are summed by score first; the windows then run over distinct scores."""
+    without a positive. Rows are summed by score first; running counts then go over ranges of distinct scores."""
     s = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_s")).agg(F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) != 1).alias("_neg"))
-    down = W.partitionBy(*by).orderBy(F.col("_s").desc()).rowsBetween(W.unboundedPreceding, 0)
-    s = s.withColumns({"_tp": F.sum("_pos").over(down), "_fp": F.sum("_neg").over(down)})
+    s = running(s, by, [F.col("_s").desc()], {"_tp": "_pos", "_fp": "_neg"})
     # pairs of a positive with a negative of lower score, ties half; all in whole halves
     won = F.sum(F.col("_neg") * (2 * (F.col("_tp") - F.col("_pos")) + F.col("_pos")))
     steps = F.sum(F.col("_pos") * fraction(F.col("_tp"), F.col("_tp") + F.col("_fp")))

@@ -4,15 +4,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwatch.functions.ranges import percentiles
 from tarnwatch.functions.storage import stored
 from tarnwatch.operators.metrics import balanced_mean, ranking
+from tarnwatch.operators.shift import long
 
 
 def impute_values(train: DataFrame, features: list[str], how: str = "median") -> dict[str, float]:
     """Exact medians (or means) of the training rows; 0 for a feature without a value."""
-    f = (lambda c: F.percentile(c, F.lit(0.5))) if how == "median" else F.avg
-    row = train.agg(*[f(F.col(c).cast("double")).alias(c) for c in features]).first()
-    return {c: row[c] if row[c] is not None else 0.0 for c in features}
+    if how == "median":
+        middle = percentiles(long(train, [], features), ["feature"], "value", [0.5])
+        found = {r.feature: r.q[0] for r in middle.collect()}
+    else:
+        found = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in features]).first().asDict()
+    return {c: found[c] if found.get(c) is not None else 0.0 for c in features}
 
 
 def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:

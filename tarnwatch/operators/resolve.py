@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwatch.functions.scalars import haversine_km, named, sha_id
+from tarnwatch.functions.scalars import haversine_km, mercator_x, mercator_y, named, sha_id
 from tarnwatch.functions.storage import stored
 from tarnwatch.operators import geo
 
@@ -12,37 +12,47 @@ HIGH, MANUAL, UNMATCHED = "HIGH_CONFIDENCE_MATCH", "MANUAL_REVIEW", "UNMATCHED"
 RANK = {"HIGH": 3, "MEDIUM": 2, "LOW": 1, "UNVERIFIED": 0}
 
 
-def pair_scores(events: DataFrame, cell: float = 0.2) -> DataFrame:
+def pair_scores(events: DataFrame, cell: float = 0.2, only_absorbing: bool = False) -> DataFrame:
     """(i, j, score, absorbs) of events (idx, event_date, latitude, longitude, lake_name) with i before j and score > 0
     that can count: the distance adds 3 below 2 km and 1 below 10 km, an equal date 4 or year 2, an equal name 3.
 
     absorbs: score >= 6, or below 2 km on one date. A score of 3 needs a near pair, an equal date or an equal name, so
-    candidates come from three equi-joins, never from all pairs: grid cells, dates, names.
+    candidates come from three equi-joins, never from all pairs: grid cells, dates, names. Absorbing takes two of these
+    at once, so `only_absorbing` joins on (cell, date), (cell, name) and (date, name) alone: a date or a place with many
+    events is no list of pairs.
     """
     e = events.withColumn("_name", named("lake_name"))
     side = lambda p: e.select(*[F.col(c).alias(f"{p}_{c}") for c in ("idx", "event_date", "latitude", "longitude", "_name")])
     a, b = side("a"), side("b")
-    grid = a.withColumn("_cell", F.explode(geo.cells("a_longitude", "a_latitude", cell, 1))).join(b.withColumn("_cell", F.get(geo.cells("b_longitude", "b_latitude", cell), F.lit(0))), "_cell").drop("_cell")
-    met = grid
-    for c in ("event_date", "_name"):
-        met = met.unionByName(a.join(b, F.col(f"a_{c}") == F.col(f"b_{c}")))
-    met = met.where("a_idx < b_idx").dropDuplicates(["a_idx", "b_idx"])
+    on = {"event_date": F.col("a_event_date") == F.col("b_event_date"), "_name": F.col("a__name") == F.col("b__name")}
+    near, far = a.withColumn("_cell", F.explode(geo.cells("a_longitude", "a_latitude", cell, 1))), b.withColumn("_of", F.get(geo.cells("b_longitude", "b_latitude", cell), F.lit(0)))
+    here = F.col("_cell") == F.col("_of")
+    if only_absorbing:
+        joins = [near.join(far, here & on["event_date"]), near.join(far, here & on["_name"]), a.join(b, on["event_date"] & on["_name"])]
+    else:
+        joins = [near.join(far, here), *(a.join(b, c) for c in on.values())]
+    met = None
+    for j in joins:
+        j = j.where("a_idx < b_idx").drop("_cell", "_of")
+        met = j if met is None else met.unionByName(j)
+    met = met.dropDuplicates(["a_idx", "b_idx"])
     km = haversine_km("a_latitude", "a_longitude", "b_latitude", "b_longitude")
     same_date = F.coalesce(F.col("a_event_date") == F.col("b_event_date"), F.lit(False))
     same_year = F.coalesce(F.year("a_event_date") == F.year("b_event_date"), F.lit(False))
     same_name = F.coalesce(F.col("a__name") == F.col("b__name"), F.lit(False))
     score = F.when(km < 2, 3).when(km < 10, 1).otherwise(0) + F.when(same_date, 4).when(same_year, 2).otherwise(0) + F.when(same_name, 3).otherwise(0)
     absorbs = (score >= 6) | F.coalesce((km < 2) & same_date, F.lit(False))
-    return met.select(F.col("a_idx").alias("i"), F.col("b_idx").alias("j"), score.alias("score"), absorbs.alias("absorbs")).where("score >= 3 or absorbs")
+    out = met.select(F.col("a_idx").alias("i"), F.col("b_idx").alias("j"), score.alias("score"), absorbs.alias("absorbs"))
+    return out.where("absorbs") if only_absorbing else out.where("score >= 3 or absorbs")
 
 
-def leaders(events: DataFrame, pairs: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def leaders(events: DataFrame, pairs: DataFrame) -> DataFrame:
     """(idx, leader): greedy in order of idx. An event is a leader unless an earlier leader absorbs it; it then goes to
-    the earliest such. Rounds settle every event whose earlier absorbers are all settled, so they end."""
+    the earliest such. Each round settles at least the first unsettled event, so they end."""
     absorbing = stored(pairs.where("absorbs").select("i", "j"), "absorbing")
     state = events.select("idx").join(absorbing.select(F.col("j").alias("idx")).distinct().withColumn("_open", F.lit(True)), "idx", "left")
     state = stored(state.select("idx", F.when(F.col("_open").isNull(), F.col("idx")).alias("leader")), "leaders")
-    for _ in range(most_rounds):
+    while True:
         by = absorbing.join(state.select(F.col("idx").alias("i"), F.col("leader").alias("_of")), "i")
         leads = F.col("_of") == F.col("i")
         seen = by.groupBy(F.col("j").alias("idx")).agg(F.min(F.when(leads, F.col("i"))).alias("_first"), F.min(F.when(F.col("_of").isNull(), F.col("i"))).alias("_unsettled"))
@@ -51,7 +61,6 @@ def leaders(events: DataFrame, pairs: DataFrame, most_rounds: int = 1000) -> Dat
         state = stored(s.select("idx", settled.alias("leader")), "leaders")
         if state.where("leader is null").isEmpty():
             return state
-    raise RuntimeError("leader rounds did not end")
 
 
 def merge_events(events: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -73,32 +82,62 @@ def reconciliation(assigned: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.unionByName(review.select(F.col("i").alias("canonical"), F.col("j").alias("idx"), F.lit("CROSS_SOURCE_REVIEW").alias("dedup_status")))
 
 
-def match_sites(events: DataFrame, sites: DataFrame, near: float = 5000.0, far: float = 10000.0, gap: float = 300.0, metric: str = "mercator") -> DataFrame:
-    """Tiers for events (a_id, a_lat, a_lon) and site points with radii (b_id, b_lat, b_lon, b_radius_m): within one
-    site; within several; nearest within 5 km, dominant if the next is over `gap` m farther; 5 to 10 km; none."""
-    c = geo.within_distance(events, sites, far, metric).withColumn("edge_m", F.greatest(F.col("distance_m") - F.col("b_radius_m"), F.lit(0.0)))
-    w = W.partitionBy("a_id").orderBy("edge_m", "b_id")
+def projected(polygon, x, y):
+    """A lon/lat polygon's corners through x(lat, lon), y(lat, lon)."""
+    return F.transform(polygon, lambda r: F.transform(r, lambda p: F.struct(x(p["y"], p["x"]).alias("x"), y(p["y"], p["x"]).alias("y"))))
+
+
+def near_sites(events: DataFrame, sites: DataFrame, metres: float) -> DataFrame:
+    """(events' columns, sites' columns, inside, distance_m) of events (a_id, a_lat, a_lon) and site polygons (b_id,
+    polygon in degrees) at most `metres` from their sides in Web Mercator, 0 inside.
+
+    A site is listed in the grid cells that its bounding box, widened by the distance, touches; an event stands in one.
+    """
+    e = events.where("a_lat is not null and a_lon is not null").withColumns({"_x": mercator_x("a_lon"), "_y": mercator_y("a_lat")})
+    s = sites.withColumn("_flat", projected(F.col("polygon"), lambda lat, lon: mercator_x(lon), lambda lat, lon: mercator_y(lat)))
+    met = e.withColumn("_cell", F.get(geo.cells("_x", "_y", metres), F.lit(0))).join(geo.listed(s, "_flat", metres, metres), "_cell")
+    met = met.withColumns({"inside": geo.contains("polygon", "a_lon", "a_lat"), "_d": geo.distance("_flat", "_x", "_y")})
+    met = met.withColumn("distance_m", F.when(F.col("inside"), 0.0).otherwise(F.col("_d"))).where(F.col("distance_m") <= metres)
+    return met.drop("_cell", "_x", "_y", "_flat", "_d")
+
+
+def match_sites(events: DataFrame, sites: DataFrame, near: float = 5000.0, far: float = 10000.0, gap: float = 300.0) -> DataFrame:
+    """Tiers for events (a_id, a_lat, a_lon) and site polygons (b_id, polygon): in one site; in several; nearest side
+    within 5 km, dominant if the next is over `gap` m farther; within 10 km, for diagnosis only; none; no coordinates.
+
+    One candidate table of up to 10 km decides all tiers. Only the first and third tier name a site.
+    """
+    c = near_sites(events.select("a_id", "a_lat", "a_lon"), sites.select("b_id", "polygon"), far).select("a_id", "b_id", "inside", F.col("distance_m").alias("edge_m"))
+    w = W.partitionBy("a_id").orderBy(F.col("inside").desc(), "edge_m", "b_id")
     whole = W.partitionBy("a_id")
-    c = c.withColumns({"rank": F.row_number().over(w), "next_m": F.lead("edge_m").over(w), "inside": F.count_if(F.col("edge_m") == 0).over(whole), "within": F.count_if(F.col("edge_m") <= near).over(whole), "candidates": F.count("*").over(whole)})
-    best = c.where("rank = 1").select("a_id", "b_id", "edge_m", "next_m", "inside", "within", "candidates")
-    m = events.join(best, "a_id", "left")
+    c = c.withColumns({"rank": F.row_number().over(w), "next_m": F.lead("edge_m").over(w), "holds": F.count_if("inside").over(whole), "within": F.count_if(F.col("edge_m") <= near).over(whole), "candidates": F.count("*").over(whole)})
+    best = c.where("rank = 1").select("a_id", "b_id", "edge_m", "next_m", "holds", "within", "candidates")
+    m = events.select("a_id", "a_lat", "a_lon").join(best, "a_id", "left")
     status, method, confidence = tiers(gap, near)
-    return m.select("a_id", F.when(F.col("inside") <= 1, F.col("b_id")).alias("lake_uid"), status.alias("match_status"), method.alias("match_method"), confidence.alias("lake_match_confidence"), F.when(F.col("b_id").isNotNull(), F.col("edge_m")).alias("match_distance_m"), F.coalesce(F.when(F.col("inside") > 0, F.col("inside")).when(F.col("within") > 0, F.col("within")).otherwise(F.col("candidates")), F.lit(0)).alias("candidate_count"))
+    named = (F.col("holds") == 1) | ((F.col("holds") == 0) & (F.col("within") > 0))
+    diagnosed = (F.col("holds") == 0) & (F.col("within") == 0)
+    return m.select(
+        "a_id", F.when(named, F.col("b_id")).alias("lake_uid"), status.alias("match_status"), method.alias("match_method"), confidence.alias("lake_match_confidence"),
+        F.when(named, F.round("edge_m", 1)).alias("match_distance_m"), F.coalesce(F.when(F.col("holds") > 0, F.col("holds")).when(F.col("within") > 0, F.col("within")), F.lit(0)).alias("candidate_count"),
+        F.when(diagnosed, F.col("candidates")).alias("diagnostic_candidate_count"), F.when(diagnosed, F.col("b_id")).alias("nearest_candidate_lake_uid"), F.when(diagnosed, F.round("edge_m", 1)).alias("nearest_candidate_distance_m"),
+    )
 
 
 def tiers(gap: float, near: float) -> tuple[Column, Column, Column]:
-    inside, within = F.coalesce("inside", F.lit(0)), F.coalesce("within", F.lit(0))
+    holds, within = F.coalesce("holds", F.lit(0)), F.coalesce("within", F.lit(0))
     dominant = F.col("next_m").isNull() | (F.col("next_m") > near) | (F.col("next_m") - F.col("edge_m") > gap)
-    status = F.when(inside == 1, HIGH).when(inside > 1, MANUAL).when(within > 0, MANUAL).otherwise(UNMATCHED)
-    method = F.when(inside == 1, "polygon_intersection").when(inside > 1, "polygon_intersection_ambiguous").when(within > 0, "distance_buffer_5km").when(F.col("b_id").isNotNull(), "diagnostic_missed_match_10km").otherwise("no_candidate_10km")
-    confidence = F.when(inside == 1, "HIGH").when(inside > 1, "LOW").when(within > 0, F.when(dominant, "MEDIUM").otherwise("LOW")).otherwise("UNVERIFIED")
+    status = F.when(holds == 1, HIGH).when((holds > 1) | (within > 0), MANUAL).otherwise(UNMATCHED)
+    placed = F.col("a_lat").isNotNull() & F.col("a_lon").isNotNull()
+    method = F.when(holds == 1, "polygon_intersection").when(holds > 1, "polygon_intersection_ambiguous").when(within > 0, "distance_buffer_5km").when(F.col("b_id").isNotNull(), "diagnostic_missed_match_10km").when(placed, "no_candidate_10km")
+    confidence = F.when(holds == 1, "HIGH").when((holds == 0) & (within > 0), F.when(dominant, "MEDIUM").otherwise("LOW"))
     return status, method, confidence
 
 
 def candidate_queue(events: DataFrame, sites: DataFrame, metres: float = 5000.0) -> DataFrame:
-    """Every candidate of an event with its 1-based rank by distance."""
+    """Every candidate of an event with its 1-based rank by distance; sites are polygons or points (b_lat, b_lon)."""
     w = W.partitionBy("a_id").orderBy("distance_m", "b_id")
-    return geo.within_distance(events, sites, metres).select("a_id", "b_id", "distance_m", F.row_number().over(w).alias("candidate_rank"))
+    met = near_sites(events, sites, metres) if "polygon" in sites.columns else geo.within_distance(events, sites, metres)
+    return met.select("a_id", "b_id", "distance_m", F.row_number().over(w).alias("candidate_rank"))
 
 
 def name_ratio():
@@ -116,23 +155,55 @@ def name_ratio():
     return ratio
 
 
-def match_in_country(events: DataFrame, sites: DataFrame, least_ratio: float = 0.8) -> DataFrame:
-    """Nearest site of the event's own country (UTM zone 45 north), with name evidence.
+def nearest_site(events: DataFrame, sites: DataFrame, first: float = 10000.0, growth: int = 8) -> DataFrame:
+    """(a_id, b_id, distance_m): each event's nearest site of its country, however far, ties by b_id.
 
-    events (a_id, country, a_lat, a_lon, a_name), sites (b_id, country, b_lat, b_lon, b_radius_m, b_name). Names are
-    compared for the nearest sites only.
+    events (a_id, country, _x, _y), sites (b_id, country, _flat) in metres. Rings: sites are listed in cells as wide as
+    the reach, so a site within the reach is met for certain; events that find none within it go on to a reach `growth`
+    times wider, the last of which spans all sites and events.
+    """
+    box = geo.bounds("_flat")
+    e, s = (df.agg(*[F.min(F.least(*c)).alias(f"lo{k}") for k, c in enumerate(cs)], *[F.max(F.greatest(*c)).alias(f"hi{k}") for k, c in enumerate(cs)]).first() for df, cs in ((events, [(F.col("_x"), F.col("_x")), (F.col("_y"), F.col("_y"))]), (sites, [(box["min_x"], box["max_x"]), (box["min_y"], box["max_y"])])))
+    if e.lo0 is None or s.lo0 is None:
+        return events.select("a_id", F.lit(None).cast(dict(sites.dtypes)["b_id"]).alias("b_id"), F.lit(None).cast("double").alias("distance_m")).limit(0)
+    span = sum(max(e[f"hi{k}"], s[f"hi{k}"]) - min(e[f"lo{k}"], s[f"lo{k}"]) for k in (0, 1))
+    todo, found, reach = events.select("a_id", "country", "_x", "_y"), None, first
+    while True:
+        met = todo.withColumn("_cell", F.get(geo.cells("_x", "_y", reach), F.lit(0))).join(geo.listed(sites, "_flat", reach, reach), ["country", "_cell"])
+        met = met.withColumn("distance_m", geo.distance("_flat", "_x", "_y"))
+        best = met.groupBy("a_id").agg(F.min(F.struct("distance_m", "b_id")).alias("m")).select("a_id", "m.b_id", "m.distance_m")
+        best = stored(best.where(F.col("distance_m") <= reach) if reach < span else best, "nearest")
+        found = best if found is None else found.unionByName(best)
+        if reach >= span:
+            return found
+        todo = stored(todo.join(best.select("a_id"), "a_id", "left_anti"), "nearest-todo")
+        reach *= growth
+
+
+def match_in_country(events: DataFrame, sites: DataFrame, near: float = 5000.0, far: float = 10000.0, least_ratio: float = 0.8, zone: int = 45) -> DataFrame:
+    """Events against the nearest site of their own country, in UTM metres, with name or id evidence.
+
+    events (a_id, country, a_lat, a_lon, a_name, a_reported), sites (b_id, country, polygon, b_source_id, b_epoch). Inside a
+    site: a match, and evidence by itself. Within 5 km with evidence (name similarity over 0.8, or the reported id): for
+    review. Else unmatched; beyond 10 km no site is named.
     """
-    from tarnwatch.functions.scalars import normal_name, utm_xy
-
-    xy = lambda d, p: d.withColumns(dict(zip((f"_{p}x", f"_{p}y"), utm_xy(f"{p}_lat", f"{p}_lon", 45), strict=True)))
-    met = xy(events, "a").join(xy(sites, "b"), "country")
-    d = F.sqrt(F.pow(F.col("_ax") - F.col("_bx"), 2) + F.pow(F.col("_ay") - F.col("_by"), 2))
-    met = met.withColumn("distance_m", F.greatest(d - F.col("b_radius_m"), F.lit(0.0)))
-    best = met.groupBy("a_id").agg(F.min(F.struct("distance_m", "b_id", "a_name", "b_name")).alias("_m")).select("a_id", "_m.*")
-    evidence = F.coalesce(name_ratio()(normal_name("a_name"), normal_name("b_name")) > least_ratio, F.lit(False))
-    out = events.select("a_id").join(best, "a_id", "left").withColumn("lake_name_evidence", evidence)
-    status = F.when((F.col("distance_m") == 0) | F.col("lake_name_evidence"), HIGH).when(F.col("distance_m") <= 5000, MANUAL).otherwise(UNMATCHED)
-    return out.select("a_id", F.when(status != UNMATCHED, F.col("b_id")).alias("lake_uid"), status.alias("match_status"), F.col("distance_m").alias("nearest_lake_distance"), "lake_name_evidence")
+    from tarnwatch.functions.scalars import utm_xy
+
+    x, y = (lambda lat, lon: utm_xy(lat, lon, zone)[0]), (lambda lat, lon: utm_xy(lat, lon, zone)[1])
+    e = events.where("a_lat is not null and a_lon is not null").select("a_id", "country", x(F.col("a_lat"), F.col("a_lon")).alias("_x"), y(F.col("a_lat"), F.col("a_lon")).alias("_y"))
+    s = sites.select("b_id", "country", projected(F.col("polygon"), x, y).alias("_flat"))
+    best = nearest_site(e, s).join(sites.select("b_id", "b_source_id", "b_epoch"), "b_id")
+    m = events.select("a_id", "a_name", "a_reported").join(best, "a_id", "left")
+    d, source = F.col("distance_m"), F.col("b_source_id").cast("string")
+    alike = name_ratio()(F.lower("a_name"), F.lower(source)) > least_ratio
+    evidence = F.coalesce(alike, F.lit(False)) | F.coalesce(F.col("a_reported").cast("string") == source, F.lit(False))
+    m = m.withColumn("lake_name_evidence", evidence | F.coalesce(d == 0, F.lit(False)))
+    status = F.when(d == 0, HIGH).when((d <= near) & F.col("lake_name_evidence"), MANUAL).otherwise(UNMATCHED)
+    known = d <= far
+    return m.select(
+        "a_id", F.when(known, F.col("b_id")).alias("lake_uid"), status.alias("match_status"), F.when(known, d).alias("nearest_lake_distance"), "lake_name_evidence",
+        F.col("a_reported").alias("historical_source_lake_identifier"), F.when(known, F.col("b_epoch")).alias("inventory_epoch"), F.coalesce((d > 0) & (d <= near), F.lit(False)).alias("spatially_plausible_no_intersection"),
+    )
 
 
 def coarse(lat, lon) -> Column:

@@ -1,9 +1,11 @@
 """Distribution shift between domains, and the features that are common to all."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwatch.functions import ranges
+from tarnwatch.functions.ranges import running
+
 
 def long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
     """(ids, feature, value), a row a feature, in one scan."""
@@ -22,17 +24,16 @@ def wasserstein(df: DataFrame, features: list[str], domain: str, a: str, b: str)
     """Exact 1-D distance: the area between the two distribution functions, over distinct values."""
     x = long(df, [domain], features).where(F.col("value").isNotNull() & F.col(domain).isin(a, b))
     x = x.groupBy("feature", "value").agg(F.count_if(F.col(domain) == a).alias("na"), F.count_if(F.col(domain) == b).alias("nb"))
-    up, whole = W.partitionBy("feature").orderBy("value"), W.partitionBy("feature")
-    run = up.rowsBetween(W.unboundedPreceding, 0)
-    share = lambda n: F.try_divide(F.sum(n).over(run).cast("double"), F.sum(n).over(whole).cast("double"))
-    x = x.select("feature", F.abs(share("na") - share("nb")).alias("gap"), (F.lead("value").over(up) - F.col("value")).alias("width"))
+    whole = x.groupBy("feature").agg(F.sum("na").alias("all_a"), F.sum("nb").alias("all_b"))
+    x = running(x, ["feature"], ["value"], {"upto_a": "na", "upto_b": "nb"}, following="value").join(whole, "feature")
+    share = lambda n: F.try_divide(F.col(f"upto_{n}").cast("double"), F.col(f"all_{n}").cast("double"))
+    x = x.select("feature", F.abs(share("a") - share("b")).alias("gap"), (F.col("_next") - F.col("value")).alias("width"))
     return x.groupBy("feature").agg(F.sum(F.col("gap") * F.coalesce("width", F.lit(0.0))).alias("wasserstein"))
 
 
 def percentiles(df: DataFrame, by: list[str], c: str, at=(0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Exact, linear between neighbours."""
-    q = F.percentile(c, F.array(*[F.lit(p) for p in at]))
-    return df.groupBy(*by).agg(q.alias("_q")).select(*by, *[F.col("_q")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(at)])
+    return ranges.percentiles(df, by, c, at).select(*by, *[F.col("q")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(at)])
 
 
 def availability(df: DataFrame, by: list[str], features: list[str]) -> DataFrame:

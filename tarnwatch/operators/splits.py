@@ -7,13 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def leave_one_group_out(df: DataFrame, group: str = "lake_uid", y: str = "event_within_horizon", event: str = "matched_event_id") -> DataFrame:
-    """A fold a group with a positive: (fold, split_name, is_test) for each row; the name is the group's first event.
+def group_folds(df: DataFrame, group: str = "lake_uid", y: str = "event_within_horizon", event: str = "matched_event_id") -> DataFrame:
+    """(fold, split_name): a fold a group with a positive; the name is the group's first event."""
+    return df.where((F.col(y) == 1) & F.col(group).isNotNull()).groupBy(F.col(group).alias("fold")).agg(F.min(event).alias("split_name"))
 
-    Rows are repeated once a fold by definition; train rows of a fold are all others.
-    """
-    folds = df.where(F.col(y) == 1).groupBy(F.col(group).alias("fold")).agg(F.min(event).alias("split_name"))
-    return df.join(folds, how="cross").withColumn("is_test", F.col(group) == F.col("fold"))
+
+def fold(df: DataFrame, name, group: str = "lake_uid") -> DataFrame:
+    """df plus is_test for one fold: its rows are tested, all others train. A row without a group trains."""
+    return df.withColumn("is_test", F.coalesce(F.col(group) == F.lit(name), F.lit(False)))
+
+
+def fold_sizes(df: DataFrame, folds: DataFrame, group: str = "lake_uid") -> DataFrame:
+    """(fold, split_name, is_test, rows) of all folds, from one count a group: rows are never repeated once a fold."""
+    sizes = df.groupBy(F.col(group).alias("fold")).agg(F.count("*").alias("own"))
+    every = sizes.agg(F.sum("own").alias("every"))
+    both = folds.join(sizes, "fold").join(F.broadcast(every), how="cross")
+    rest = F.struct(F.lit(False).alias("is_test"), (F.col("every") - F.col("own")).alias("rows"))
+    out = both.select("fold", "split_name", F.inline(F.array(F.struct(F.lit(True).alias("is_test"), F.col("own").alias("rows")), rest)))
+    return out.where("rows > 0")
 
 
 def chronological(df: DataFrame, ts: str = "reference_timestamp", last_train_year: int = 2005) -> DataFrame:

@@ -32,15 +32,18 @@ def event_grid(events: DataFrame, before: int = 45, after: int = 45, key: str =
 def asof(left: DataFrame, sources: dict[str, DataFrame], key: str = "lake_uid", left_ts: str = "reference_timestamp", ts: str = "observation_timestamp", tie: str = "observation_id") -> DataFrame:
     """left plus, for each source, a struct `name` of its latest row at or before the row's time (NULL if none).
 
-    The row is picked, not its values: a NULL value of the latest row stays NULL. Equal times go by `tie`, largest
-    last. All sources share one union, one shuffle and one sort.
+    The row is picked, not its values: a NULL value of the latest row stays NULL. Equal times go by `tie` in its own
+    type (numbers as numbers, text by code point), largest last. All sources share one union, one shuffle and one sort.
     """
     left_columns = left.columns
-    both = left.select(F.col(key).alias("_k"), us(left_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_tie"), F.struct(*left_columns).alias("_left"))
+    # only rows of one source are compared, so sources whose ties have one type share a column
+    types = {n: dict(df.dtypes)[tie] for n, df in sources.items()}
+    ties = {t: f"_tie{k}" for k, t in enumerate(sorted(set(types.values())))}
+    both = left.select(F.col(key).alias("_k"), us(left_ts).alias("_t"), F.lit(1).alias("_side"), *[F.lit(None).cast(t).alias(n) for t, n in ties.items()], F.struct(*left_columns).alias("_left"))
     for name, df in sources.items():
         row = F.struct(*[c for c in df.columns if c != key])
-        both = both.unionByName(df.select(F.col(key).alias("_k"), us(ts).alias("_t"), F.lit(0).alias("_side"), F.lpad(F.col(tie).cast("string"), 24, " ").alias("_tie"), row.alias(name)), allowMissingColumns=True)
-    w = W.partitionBy("_k").orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
+        both = both.unionByName(df.select(F.col(key).alias("_k"), us(ts).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias(ties[types[name]]), row.alias(name)), allowMissingColumns=True)
+    w = W.partitionBy("_k").orderBy("_t", "_side", *ties.values()).rowsBetween(W.unboundedPreceding, 0)
     seen = both.withColumns({n: F.last(n, ignorenulls=True).over(w) for n in sources})
     return seen.where("_side = 1").select("_left.*", *sources)
 
@@ -96,15 +99,43 @@ def trend(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "lake_u
 
 
 def greedy_spacing(df: DataFrame, hours: float = 24, key: str = "lake_uid", ts: str = "reference_timestamp") -> DataFrame:
-    """(key, ts): per entity the times at least `hours` after the last kept one, the first kept.
+    """(key, ts): per entity the times at least `hours` after the last kept one, the first kept. NULL times are none.
 
-    A fold over the sorted times: each choice depends on the last, so no lag() does it.
+    Each choice depends on the last, so no lag() does it. Entities' times are sorted within partitions and read in
+    batches that carry only the last entity and time kept, so an entity's history is never held.
     """
     gap = int(hours * HOUR_US)
-    times = df.groupBy(key).agg(F.sort_array(F.collect_set(us(ts))).alias("t"))
-    # the accumulator holds the kept times; the last is its end
-    kept = F.aggregate("t", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(x))).otherwise(acc))
-    return times.select(key, F.explode(kept).alias("_t")).select(key, from_us("_t").alias(ts))
+    times = df.select(F.col(key).alias("_k"), us(ts).alias("_t")).where("_t is not null")
+    sorted_ = times.repartition("_k").sortWithinPartitions("_k", "_t")
+
+    def keep(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        now, last = object(), None
+        for b in batches:
+            k, t = b.column(0), b.column(1).to_numpy()
+            if not len(t):
+                continue
+            change = pc.fill_null(pc.not_equal(k[1:], k[:-1]), False).to_numpy(zero_copy_only=False) if len(t) > 1 else np.zeros(0, bool)
+            nulls = pc.is_null(k).to_numpy(zero_copy_only=False)
+            starts = np.concatenate(([0], np.flatnonzero(change | (nulls[1:] != nulls[:-1])) + 1, [len(t)]))
+            kept = []
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                name = k[int(i)].as_py()
+                last = last if name == now else None
+                now, at = name, int(i)
+                while True:
+                    at = at if last is None else int(i) + int(np.searchsorted(t[i:j], last + gap))
+                    if at >= j:
+                        break
+                    kept.append(at)
+                    last = int(t[at])
+            yield b.take(pa.array(kept, pa.int64()))
+
+    kept = sorted_.mapInArrow(keep, sorted_.schema)
+    return kept.select(F.col("_k").alias(key), from_us("_t").alias(ts))
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:

@@ -107,16 +107,25 @@ def b01_upsert_keep_last(spark, d):
     return upsert.upsert(x.where(~new), x.where(new), ["l_orderkey", "l_linenumber"], order).drop("l_shipdate")
 
 
-@query("with old as (select * from orders where o_orderkey % 3 <> 0), new as (select * from orders where o_orderkey % 3 = 0 and o_custkey % 2 = 0) select o_orderkey, o_custkey, o_totalprice from old where o_custkey not in (select o_custkey from new) union all select o_orderkey, o_custkey, o_totalprice from new")
+# A third of the orders replaces the rest's customers where its own is even; the odd ones are new customers.
+@query(
+    "with old as (select * from orders where o_orderkey % 3 <> 0), new as (select o_orderkey, o_custkey + case when o_custkey % 2 = 0 then 0 else 10000000 end as o_custkey, o_totalprice from orders where o_orderkey % 3 = 0) "
+    "select o_orderkey, o_custkey, o_totalprice from old where o_custkey not in (select o_custkey from new) union all select o_orderkey, o_custkey, o_totalprice from new"
+)
 def b02_replace_keys(spark, d):
     o = S.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return upsert.replace_keys(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 3 = 0 and o_custkey % 2 = 0"), "o_custkey")
+    customer = F.col("o_custkey") + F.when(F.col("o_custkey") % 2 == 0, 0).otherwise(10_000_000)
+    return upsert.replace_keys(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 3 = 0").withColumn("o_custkey", customer), "o_custkey")
 
 
-@query("with a as (select o_orderkey as id, o_totalprice as price from orders where o_orderkey % 2 = 0), b as (select o_orderkey as id, o_orderstatus as status from orders where o_orderkey % 4 = 0) select id, price, status from (select *, row_number() over (partition by id order by gen desc) as r from (select id, price, null as status, 0 as gen from a union all select id, null, status, 1 from b)) where r = 1")
+@query(
+    "with a as (select o_orderkey as id, o_totalprice as price from orders), b as (select o_orderkey + case when o_orderkey % 2 = 0 then 0 else 10000000 end as id, o_orderstatus as status from orders) "
+    "select id, price, status from (select *, row_number() over (partition by id order by gen desc) as r from (select id, price, null as status, 0 as gen from a union all select id, null, status, 1 from b)) where r = 1"
+)
 def b04_merge_idempotent(spark, d):
     o = S.table(spark, d, "orders")
-    a, b = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")), o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    half = F.col("o_orderkey") + F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(10_000_000)
+    a, b = o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")), o.select(half.alias("id"), F.col("o_orderstatus").alias("status"))
     once = upsert.upsert(a, b, ["id"])
     return upsert.upsert(once, b, ["id"])
 
@@ -224,9 +233,14 @@ def d18_window_coverage(spark, d):
     return labels.window_coverage(S.hazards(spark, d), S.feed(spark, d, "gpm"), 3)
 
 
-@query(S.ctes("hazards", "f_gpm") + ", s as (select lake_uid, min(observation_timestamp) as observation_min, max(observation_timestamp) as observation_max, count(*) as observation_count from f_gpm where observation_id % 2 = 0 and lake_uid % 5 <> 0 group by 1) select h.*, s.observation_min, s.observation_max, s.observation_count, case when s.observation_count is null then 'MISSING' when h.event_ts between s.observation_min and s.observation_max then 'OVERLAPS' else 'NO_OVERLAP' end as overlap_status from hazards h left join s using (lake_uid)")
+# Observations under ids moved by 3, so that some entities have none.
+@query(
+    S.ctes("hazards", "f_gpm")
+    + ", s as (select lake_uid + 3 as lake_uid, min(observation_timestamp) as observation_min, max(observation_timestamp) as observation_max, count(*) as observation_count from f_gpm group by 1) "
+    "select h.*, s.observation_min, s.observation_max, s.observation_count, case when s.observation_count is null then 'MISSING' when h.event_ts between s.observation_min and s.observation_max then 'OVERLAPS' else 'NO_OVERLAP' end as overlap_status from hazards h left join s using (lake_uid)"
+)
 def i15_event_overlap(spark, d):
-    return labels.overlap_status(S.hazards(spark, d), S.feed(spark, d, "gpm").where("observation_id % 2 = 0 and lake_uid % 5 <> 0"))
+    return labels.overlap_status(S.hazards(spark, d), S.feed(spark, d, "gpm").withColumn("lake_uid", F.col("lake_uid") + 3))
 
 
 @query(ALIGNED + " " + " union all ".join(f"select '{n}' as source, count(*) filter ({n}_timestamp > reference_timestamp) as violations from aligned" for n in S.FEEDS))

@@ -121,13 +121,10 @@ def c24_drop_all_null(spark, d):
     return s.agg(*[F.count(c).alias(c) for c in kept])
 
 
-ONE = "s as (select * from scores where lake_uid < 12)"
-
-
-@query(S.ctes("scores") + f", {ONE}, f as (select lake_uid as fold, min(matched_event_id) as split_name from s where true_label = 1 group by 1) select f.fold, f.split_name, s.lake_uid = f.fold as is_test, count(*) as rows from s, f group by all")
+@query(S.ctes("scores") + ", f as (select lake_uid as fold, min(matched_event_id) as split_name from scores where true_label = 1 group by 1) select f.fold, f.split_name, s.lake_uid = f.fold as is_test, count(*) as rows from scores s, f group by all")
 def k01_leave_one_group_out(spark, d):
-    out = splits.leave_one_group_out(S.scores(spark, d).where("lake_uid < 12").drop("fold"), y="true_label")
-    return out.groupBy("fold", "split_name", "is_test").agg(F.count("*").alias("rows"))
+    s = S.scores(spark, d).drop("fold")
+    return splits.fold_sizes(s, splits.group_folds(s, y="true_label"))
 
 
 @query("select year(o_orderdate) > 1998 as is_test, count(*) as rows from orders group by 1")
@@ -207,10 +204,15 @@ def e32_value_ranges(spark, d):
     return checks.value_ranges(S.table(spark, d, "customer"), ["c_acctbal"])
 
 
-@query(S.ctes("f_weather", "f_snow") + ", w as (select lake_uid, count(*) as n from f_weather where observation_id % 10 = 0 group by 1), s as (select lake_uid, count(*) as n from f_snow where observation_id % 10 = 0 group by 1) select lake_uid, coalesce(w.n, 0) as weather, coalesce(s.n, 0) as snow, concat_ws(',', case when w.n > 0 then 'weather' end, case when s.n > 0 then 'snow' end) as modalities from (select distinct user_id as lake_uid from events) left join w using (lake_uid) left join s using (lake_uid)")
+# Feeds under ids moved by 5 and by 11, so that some entities lack one or both.
+@query(
+    S.ctes("f_weather", "f_snow")
+    + ", w as (select lake_uid + 5 as lake_uid, count(*) as n from f_weather group by 1), s as (select lake_uid + 11 as lake_uid, count(*) as n from f_snow group by 1) "
+    "select lake_uid, coalesce(w.n, 0) as weather, coalesce(s.n, 0) as snow, concat_ws(',', case when w.n > 0 then 'weather' end, case when s.n > 0 then 'snow' end) as modalities from (select distinct user_id as lake_uid from events) left join w using (lake_uid) left join s using (lake_uid)"
+)
 def e30_modality_coverage(spark, d):
     e = S.table(spark, d, "events").select(F.col("user_id").alias("lake_uid"))
-    out = checks.coverage(e, {n: S.feed(spark, d, n).where("observation_id % 10 = 0") for n in ("weather", "snow")})
+    out = checks.coverage(e, {n: S.feed(spark, d, n).withColumn("lake_uid", F.col("lake_uid") + k) for n, k in (("weather", 5), ("snow", 11))})
     return out.withColumn("modalities", F.array_join("modalities", ","))
 
 
@@ -230,10 +232,10 @@ def f11_sort_and_limit(spark, d):
     return e.orderBy(F.col("user_id").desc(), "day").limit(50)
 
 
-@query("select id, price, status from (select o_orderkey as id, o_totalprice as price, null as status from orders where o_orderkey % 2 = 0 union all select o_orderkey, null, o_orderstatus from orders where o_orderkey % 3 = 0)")
+@query("select id, price, status from (select o_orderkey as id, o_totalprice as price, null as status from orders union all select o_orderkey, null, o_orderstatus from orders)")
 def g01_union_ragged(spark, d):
     o = S.table(spark, d, "orders")
-    return upsert.union_ragged(o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")), o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")))
+    return upsert.union_ragged(o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")), o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")))
 
 
 @query("select distinct user_id, cast(ts as date) as day from events")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tarnwatch.functions import scalars as X
-from tarnwatch.operators import geo, inventory, raster, resolve
+from tarnwatch.operators import geo, inventory, overlay, raster, resolve
 from tarnwatch.plans import standins as S
 from tarnwatch.plans.alignment import rounded
 from tarnwatch.plans.register import registry
@@ -60,18 +60,47 @@ def d16_link_epochs(spark, d):
     return geo.link_epochs(customers(spark, d), new, 3000).select("id", "uid", F.round("distance_m", 3).alias("distance_m"))
 
 
-TIERS = f""", c as (select a.id as a_id, b.id as b_id, greatest({FLAT} - (b.id % 5) * 300, 0) as e from customers a, suppliers b where {FLAT} <= 10000),
-r as (select *, row_number() over w as rank, lead(e) over w as nxt, count(*) filter (e = 0) over p as inside, count(*) filter (e <= 5000) over p as within, count(*) over p as n from c window w as (partition by a_id order by e, b_id), p as (partition by a_id)),
-m as (select k.id as a_id, r.* exclude a_id from customers k left join r on r.a_id = k.id and r.rank = 1)
-select a_id, case when inside <= 1 then b_id end as lake_uid, case when coalesce(inside, 0) = 1 then 'HIGH_CONFIDENCE_MATCH' when coalesce(inside, 0) > 1 or coalesce(within, 0) > 0 then 'MANUAL_REVIEW' else 'UNMATCHED' end as match_status,
-case when coalesce(inside, 0) = 1 then 'polygon_intersection' when coalesce(inside, 0) > 1 then 'polygon_intersection_ambiguous' when coalesce(within, 0) > 0 then 'distance_buffer_5km' when b_id is not null then 'diagnostic_missed_match_10km' else 'no_candidate_10km' end as match_method,
-case when coalesce(inside, 0) = 1 then 'HIGH' when coalesce(inside, 0) > 1 then 'LOW' when coalesce(within, 0) > 0 then case when nxt is null or nxt > 5000 or nxt - e > 300 then 'MEDIUM' else 'LOW' end else 'UNVERIFIED' end as lake_match_confidence,
-round(e, 3) as match_distance_m, coalesce(case when inside > 0 then inside when within > 0 then within else n end, 0) as candidate_count from m"""
+# Site polygons: squares of 0.01 to 0.05 degrees round the suppliers, every other with a hole of a quarter of their width.
+# Events stand off the grid, so that no point is on a side.
+OFF = 0.00001234
+SQUARES = f"""e as (select id as a_id, lat + {OFF} as lat, lon + {OFF} as lon from customers),
+p as (select *, {MX.format(t="e")} as x, {MY.format(t="e")} as y from e),
+q as (select id as b_id, lon, lat, 0.01 * (1 + id % 5) as r, id % 2 = 0 as holed, radians(lon - r) * 6378137.0 as x0, radians(lon + r) * 6378137.0 as x1,
+  ln(tan(pi() / 4 + radians(lat - r) / 2)) * 6378137.0 as y0, ln(tan(pi() / 4 + radians(lat + r) / 2)) * 6378137.0 as y1,
+  radians(lon - r / 4) * 6378137.0 as hx0, radians(lon + r / 4) * 6378137.0 as hx1, ln(tan(pi() / 4 + radians(lat - r / 4) / 2)) * 6378137.0 as hy0, ln(tan(pi() / 4 + radians(lat + r / 4) / 2)) * 6378137.0 as hy1 from suppliers),
+d as (select a_id, b_id, abs(p.lon - q.lon) < r and abs(p.lat - q.lat) < r as outer_in, holed and abs(p.lon - q.lon) < r / 4 and abs(p.lat - q.lat) < r / 4 as in_hole,
+  case when in_hole then least(x - hx0, hx1 - x, y - hy0, hy1 - y) when outer_in then 0 else sqrt(pow(greatest(x0 - x, x - x1, 0), 2) + pow(greatest(y0 - y, y - y1, 0), 2)) end as e,
+  outer_in and not in_hole as inside from p, q)"""
+TIERS = f""", {SQUARES},
+c as (select a_id, b_id, inside, e from d where e <= 10000),
+r as (select *, row_number() over w as rank, lead(e) over w as nxt, count(*) filter (inside) over v as holds, count(*) filter (e <= 5000) over v as within, count(*) over v as n from c window w as (partition by a_id order by inside desc, e, b_id), v as (partition by a_id)),
+m as (select k.id as a_id, k.id % 50 <> 0 as placed, r.* exclude a_id from customers k left join r on r.a_id = k.id and r.rank = 1 and k.id % 50 <> 0)
+select a_id, case when holds = 1 or (holds = 0 and within > 0) then b_id end as lake_uid,
+case when coalesce(holds, 0) = 1 then 'HIGH_CONFIDENCE_MATCH' when coalesce(holds, 0) > 1 or coalesce(within, 0) > 0 then 'MANUAL_REVIEW' else 'UNMATCHED' end as match_status,
+case when coalesce(holds, 0) = 1 then 'polygon_intersection' when coalesce(holds, 0) > 1 then 'polygon_intersection_ambiguous' when coalesce(within, 0) > 0 then 'distance_buffer_5km' when b_id is not null then 'diagnostic_missed_match_10km' when placed then 'no_candidate_10km' end as match_method,
+case when coalesce(holds, 0) = 1 then 'HIGH' when holds = 0 and within > 0 then case when nxt is null or nxt > 5000 or nxt - e > 300 then 'MEDIUM' else 'LOW' end end as lake_match_confidence,
+case when holds = 1 or (holds = 0 and within > 0) then round(e, 1) end as match_distance_m, cast(coalesce(case when holds > 0 then holds when within > 0 then within end, 0) as bigint) as candidate_count,
+case when holds = 0 and within = 0 then n end as diagnostic_candidate_count, case when holds = 0 and within = 0 then b_id end as nearest_candidate_lake_uid, case when holds = 0 and within = 0 then round(e, 1) end as nearest_candidate_distance_m from m"""
+
+
+def square(r):
+    at = lambda i, j: F.struct((F.col("lon") + i * r).alias("x"), (F.col("lat") + j * r).alias("y"))
+    return F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1))
+
+
+def site_polygons(spark, d):
+    r = 0.01 * (1 + F.col("id") % 5)
+    return suppliers(spark, d).select(F.col("id").alias("b_id"), F.when(F.col("id") % 2 == 0, F.array(square(r), square(r / 4))).otherwise(F.array(square(r))).alias("polygon"))
+
+
+def events_off(spark, d):
+    return customers(spark, d).select(F.col("id").alias("a_id"), (F.col("lat") + OFF).alias("a_lat"), (F.col("lon") + OFF).alias("a_lon"))
 
 
 def tiers(spark, d):
-    b = side(suppliers(spark, d), "b").withColumn("b_radius_m", F.col("b_id") % 5 * 300.0)
-    return resolve.match_sites(side(customers(spark, d), "a"), b).withColumn("match_distance_m", F.round("match_distance_m", 3))
+    """Every fiftieth event has no coordinates."""
+    e = events_off(spark, d)
+    return resolve.match_sites(e.withColumns({c: F.when(F.col("a_id") % 50 != 0, F.col(c)) for c in ("a_lat", "a_lon")}), site_polygons(spark, d))
 
 
 @query(POINTS + TIERS)
@@ -79,6 +108,11 @@ def j04_match_tiers(spark, d):
     return tiers(spark, d)
 
 
+@query(POINTS + f", {SQUARES}, c as (select a_id, b_id, e, row_number() over (partition by a_id order by e, b_id) as r from d where e <= 5000) select a_id, b_id, round(e, 3) as distance_m, cast(r as int) as candidate_rank from c")
+def d09_polygon_candidates(spark, d):
+    return resolve.candidate_queue(events_off(spark, d), site_polygons(spark, d)).withColumn("distance_m", F.round("distance_m", 3))
+
+
 @query(POINTS + " select audit_status, audit_confidence, count(*) as rows from (select case when candidate_count = 1 and match_distance_m > 1000 then 'PLAUSIBLE_MATCH' when candidate_count > 1 then 'AMBIGUOUS' else 'UNMAPPABLE' end as audit_status, case when candidate_count = 1 and match_distance_m > 1000 then 'MEDIUM' else 'LOW' end as audit_confidence from (with " + TIERS.lstrip(", ") + ") where match_status = 'MANUAL_REVIEW') group by all")
 def j06_review_audit(spark, d):
     return resolve.review_audit(tiers(spark, d)).groupBy("audit_status", "audit_confidence").agg(F.count("*").alias("rows"))
@@ -91,23 +125,59 @@ def c20_unmatched_audit(spark, d):
     return resolve.unmatched_audit(a, side(suppliers(spark, d), "b"), 4000)
 
 
-@query()
+def utm_sql(lat, lon, zone):
+    """(easting, northing) as SQL, by the same series."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    k = 2 * n**0.5 / (1 + n)
+    t = f"sinh(atanh(sin(radians({lat}))) - {k!r} * atanh({k!r} * sin(radians({lat}))))"
+    dl = f"radians({lon} - {6 * zone - 183})"
+    xi, eta = f"atan2({t}, cos({dl}))", f"atanh(sin({dl}) / sqrt(1 + pow({t}, 2)))"
+    e = " + ".join([eta, *(f"{c!r}::double * cos({2 * (j + 1)} * {xi}) * sinh({2 * (j + 1)} * {eta})" for j, c in enumerate(alpha))])
+    y = " + ".join([xi, *(f"{c!r}::double * sin({2 * (j + 1)} * {xi}) * cosh({2 * (j + 1)} * {eta})" for j, c in enumerate(alpha))])
+    return f"(500000 + {0.9996 * radius!r} * ({e}))", f"({0.9996 * radius!r} * ({y}))"
+
+
+def corners_sql(of, r, zone):
+    """Corners 0 to 3 of squares of half-width r, in UTM."""
+    return f"select {of}, k, {utm_sql(f'(lat + {r} * (case when k in (0, 1) then -1 else 1 end))', f'(lon + {r} * (case when k in (0, 3) then -1 else 1 end))', zone)[0]} as x, {utm_sql(f'(lat + {r} * (case when k in (0, 1) then -1 else 1 end))', f'(lon + {r} * (case when k in (0, 3) then -1 else 1 end))', zone)[1]} as y"
+
+
+IN_COUNTRY = f"""c as ({corners_sql('b_id', '0.01', 45)} from (select id as b_id, lat, lon from suppliers), range(4) t(k)),
+s as (select a.b_id, a.x as x0, a.y as y0, b.x as x1, b.y as y1 from c a join c b on a.b_id = b.b_id and b.k = (a.k + 1) % 4),
+e as (select id as a_id, lat + {OFF} as lat, lon + {OFF} as lon, c_nationkey % 5 as country from customers join customer on c_custkey = id),
+p as (select a_id, country, {utm_sql('lat', 'lon', 45)[0]} as x, {utm_sql('lat', 'lon', 45)[1]} as y from e),
+n as (select s_suppkey as b_id, s_nationkey % 5 as country from supplier),
+g as (select a_id, s.b_id, x, y, x0, y0, x1, y1, greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (pow(x1 - x0, 2) + pow(y1 - y0, 2)))) as t, (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) > 0 as l from p join n using (country) join s on s.b_id = n.b_id),
+w as (select a_id, b_id, case when bool_and(l) then 0 else min(sqrt(pow(x - (x0 + t * (x1 - x0)), 2) + pow(y - (y0 + t * (y1 - y0)), 2))) end as dist from g group by all),
+b as (select a_id, b_id, dist from (select *, row_number() over (partition by a_id order by dist, b_id) as r from w) where r = 1),
+v as (select k.id as a_id, b.b_id, b.dist, coalesce(chr(cast(97 + k.id % 7 as int)) = chr(cast(97 + b.b_id % 7 as int)) or chr(cast(97 + k.id % 11 as int)) = chr(cast(97 + b.b_id % 7 as int)), false) or coalesce(b.dist = 0, false) as ev from customers k left join b on b.a_id = k.id)
+select a_id, case when dist <= 10000 then b_id end as lake_uid, case when dist = 0 then 'HIGH_CONFIDENCE_MATCH' when dist <= 5000 and ev then 'MANUAL_REVIEW' else 'UNMATCHED' end as match_status,
+case when dist <= 10000 then round(dist, 3) end as nearest_lake_distance, ev as lake_name_evidence, repeat(chr(cast(97 + a_id % 11 as int)), 6) as historical_source_lake_identifier, case when dist <= 10000 then 2022 end as inventory_epoch,
+coalesce(dist > 0 and dist <= 5000, false) as spatially_plausible_no_intersection from v"""
+
+
+@query(POINTS + ", " + IN_COUNTRY)
 def j05_match_in_country(spark, d):
-    c = S.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 5).alias("country"), F.col("c_name").alias("a_name"))
-    a = side(customers(spark, d), "a").join(c, F.col("a_id") == c.id).drop("id")
-    s = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("country"), F.col("s_name").alias("b_name"))
-    b = side(suppliers(spark, d), "b").join(s, F.col("b_id") == s.id).drop("id").withColumn("b_radius_m", F.lit(500.0))
-    return rounded(resolve.match_in_country(a, b), "nearest_lake_distance")
+    word = lambda c, n: F.repeat(F.char(97 + F.col(c) % n), F.lit(6))
+    c = S.table(spark, d, "customer").select(F.col("c_custkey").alias("a_id"), (F.col("c_nationkey") % 5).alias("country"))
+    a = events_off(spark, d).join(c, "a_id").withColumns({"a_name": word("a_id", 7), "a_reported": word("a_id", 11)})
+    n = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("b_id"), (F.col("s_nationkey") % 5).alias("country"))
+    b = suppliers(spark, d).select(F.col("id").alias("b_id"), F.array(square(F.lit(0.01))).alias("polygon")).join(n, "b_id").withColumns({"b_source_id": word("b_id", 7), "b_epoch": F.lit(2022)})
+    return resolve.match_in_country(a, b).withColumn("nearest_lake_distance", F.round("nearest_lake_distance", 3))
+
+
+@query(POINTS + f", c as ({corners_sql('id', '0.2', 44)} from suppliers, range(4) t(k)), a as (select a.id, abs(sum(a.x * b.y - b.x * a.y)) / 2e6 as km2 from c a join c b on a.id = b.id and b.k = (a.k + 1) % 4 group by 1) select 'ROW_' || (row_number() over (order by id) - 1) as source_lake_id, null::double as elevation_m, round(km2, 3) as lake_area_km2 from a")
+def c02_inventory_fallbacks(spark, d):
+    s = suppliers(spark, d).select(F.col("id").alias("row"), F.array(square(F.lit(0.2))).alias("polygon"))
+    return inventory.standardised(s, ["row"]).select("source_lake_id", "elevation_m", F.round("lake_area_km2", 3).alias("lake_area_km2"))
 
 
 def boxes(spark, d):
     """Squares round the suppliers, with a square hole in every other."""
-    s = suppliers(spark, d)
-    def square(r):
-        at = lambda i, j: F.struct((F.col("lon") + i * r).alias("x"), (F.col("lat") + j * r).alias("y"))
-        return F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1))
-
-    return s.select(F.col("id").alias("polygon_id"), "lat", "lon", F.when(F.col("id") % 2 == 0, F.array(square(0.2), square(0.05))).otherwise(F.array(square(0.2))).alias("polygon"))
+    return suppliers(spark, d).select(F.col("id").alias("polygon_id"), "lat", "lon", F.when(F.col("id") % 2 == 0, F.array(square(0.2), square(0.05))).otherwise(F.array(square(0.2))).alias("polygon"))
 
 
 @query(POINTS + " select a.id as point_id, b.id as polygon_id from customers a, suppliers b where abs(a.lon - b.lon) < 0.2 and abs(a.lat - b.lat) < 0.2 and not (b.id % 2 = 0 and abs(a.lon - b.lon) < 0.05 and abs(a.lat - b.lat) < 0.05)")
@@ -125,14 +195,39 @@ def d12_first_region(spark, d):
     return geo.first_region(p, boxes(spark, d)).select("point_id", "region")
 
 
-@query(POINTS + " select id as polygon_id, cast(case when id % 2 = 0 then 0.15 else 0.16 end as double) as area, round(lon, 5) as x, round(lat, 5) as y, round(greatest(least(lon + 0.2, 87) - greatest(lon - 0.2, 86), 0) * greatest(least(lat + 0.2, 28) - greatest(lat - 0.2, 27), 0) / 0.16, 6) as overlap_ratio, case when round(greatest(least(lon + 0.2, 87) - greatest(lon - 0.2, 86), 0) * greatest(least(lat + 0.2, 28) - greatest(lat - 0.2, 27), 0) / 0.16, 6) >= 0.5 then 'inside' when greatest(least(lon + 0.2, 87) - greatest(lon - 0.2, 86), 0) * greatest(least(lat + 0.2, 28) - greatest(lat - 0.2, 27), 0) > 0 then 'boundary' else 'outside' end as boundary_status from suppliers")
+# A boundary that is not convex, and a second one that overlaps it: together three rectangles side by side.
+BOUNDARY = [[[(86.0, 27.0), (87.4, 27.0), (87.4, 27.5), (86.8, 27.5), (86.8, 28.0), (86.0, 28.0)]], [[(86.5, 27.3), (87.8, 27.3), (87.8, 27.4), (86.5, 27.4)]]]
+RECTANGLES = "b as (select * from (values (86.0::double, 86.8::double, 27.0::double, 28.0::double), (86.8, 87.4, 27.0, 27.5), (87.4, 87.8, 27.3, 27.4)) v(bx0, bx1, by0, by1))"
+OVERLAP = "greatest(least(lon + {r}, bx1) - greatest(lon - {r}, bx0), 0) * greatest(least(lat + {r}, by1) - greatest(lat - {r}, by0), 0)"
+
+
+@query(
+    POINTS + f", {RECTANGLES}, o as (select id, lat, lon, case when id % 2 = 0 then 0.15::double else 0.16::double end as area, sum({OVERLAP.format(r=0.2)} - case when id % 2 = 0 then {OVERLAP.format(r=0.05)} else 0 end) as part from suppliers, b group by all) "
+    "select id as polygon_id, area, round(lon, 5) as x, round(lat, 5) as y, round(part / area, 6) as overlap_ratio, case when round(part / area, 6) >= 0.5 then 'inside' when round(part / area, 6) > 0 then 'boundary' else 'outside' end as boundary_status from o"
+)
 def d13_overlap_ratio(spark, d):
-    b = geo.clip_ratio(boxes(spark, d), [(86.0, 27.0), (87.0, 27.0), (87.0, 28.0), (86.0, 28.0)])
+    b = overlay.overlap_ratio(boxes(spark, d), BOUNDARY)
     x, y = geo.centroid("polygon")
     r = F.round("overlap_ratio", 6)
     return b.select("polygon_id", F.round(geo.area("polygon"), 6).alias("area"), F.round(x, 5).alias("x"), F.round(y, 5).alias("y"), r.alias("overlap_ratio"), geo.boundary_status(r).alias("boundary_status"))
 
 
+@query(POINTS + f", {RECTANGLES} select distinct id as polygon_id from suppliers, b where sqrt(pow(greatest(lon - 0.05 - bx1, bx0 - lon - 0.05, 0), 2) + pow(greatest(lat - 0.05 - by1, by0 - lat - 0.05, 0), 2)) <= 0.1003")
+def d14_boundary_filter(spark, d):
+    s = suppliers(spark, d).select(F.col("id").alias("polygon_id"), F.array(square(F.lit(0.05))).alias("polygon"))
+    return overlay.meeting(s, BOUNDARY, 0.1003).select("polygon_id")
+
+
+@query(
+    POINTS + ", q as (select id % 5 as g, lon - 0.2 as x0, lon + 0.2 as x1, lat - 0.2 as y0, lat + 0.2 as y1 from suppliers), "
+    "xs as (select g, x, lead(x) over (partition by g order by x) as x2 from (select g, x0 as x from q union select g, x1 from q)), ys as (select g, y, lead(y) over (partition by g order by y) as y2 from (select g, y0 as y from q union select g, y1 from q)), "
+    "c as (select distinct xs.g, x, x2, y, y2 from xs join ys on xs.g = ys.g join q on q.g = xs.g and x0 <= x and x1 >= x2 and y0 <= y and y1 >= y2) select g, round(sum((x2 - x) * (y2 - y)), 6) as area from c group by 1"
+)
+def e28_dissolve(spark, d):
+    s = suppliers(spark, d).select((F.col("id") % 5).alias("g"), F.array(square(F.lit(0.2))).alias("polygon"))
+    return overlay.dissolve(s, ["g"]).groupBy("g").agg(F.round(F.sum(geo.area("polygon")), 6).alias("area"))
+
+
 @query(POINTS + ", t as (select unnest(generate_series(floor(lat - 0.2)::bigint, ceil(lat + 0.2)::bigint - 1)) as lat, lon from suppliers), u as (select lat, unnest(generate_series(floor(lon - 0.2)::bigint, ceil(lon + 0.2)::bigint - 1)) as lon from t) select distinct lat, lon, 'SRTMGL1_N' || lpad(lat::varchar, 2, '0') || 'E' || lpad(lon::varchar, 3, '0') as tile from u")
 def a17_dem_tiles(spark, d):
     b = suppliers(spark, d).select((F.col("lon") - 0.2).alias("min_x"), (F.col("lon") + 0.2).alias("max_x"), (F.col("lat") - 0.2).alias("min_y"), (F.col("lat") + 0.2).alias("max_y"))
@@ -165,31 +260,46 @@ def records(spark, d):
     )
 
 
-@query()
+RECORDS = """records as (select s_suppkey as idx, date '2000-01-01' + cast(s_suppkey // 3 * 37 % 2000 + case when s_suppkey % 7 = 0 then 1 else 0 end as int) as event_date, 27 + (s_suppkey // 3 * 7919 % 2000) / 1000.0::double + s_suppkey % 3 * 0.008::double as lat, 86 + (s_suppkey // 3 * 104729 % 2000) / 1000.0::double as lon, case when s_suppkey % 5 <> 0 then 'lake ' || (s_suppkey // 3 % 40) end as name from supplier)"""
+
+
+@query(f"with {RECORDS}, p as (select a.idx as i, b.idx as j, {HAVERSINE.format(a='a', b='b')} as km, a.event_date = b.event_date as sd, year(a.event_date) = year(b.event_date) as sy, coalesce(a.name = b.name, false) as sn from records a join records b on a.idx < b.idx), s as (select i, j, cast(case when km < 2 then 3 when km < 10 then 1 else 0 end + case when sd then 4 when sy then 2 else 0 end + case when sn then 3 else 0 end as int) as score, km, sd from p) select i, j, score, score >= 6 or (km < 2 and sd) as absorbs from s where score >= 3 or (km < 2 and sd)")
+def d22_pair_scores(spark, d):
+    return resolve.pair_scores(records(spark, d))
+
+
+# Greedy leaders in order: an event is taken by the earliest leader that absorbs it, else it leads.
+LEADERS = f"""{RECORDS}, p as (select a.idx as i, b.idx as j, {HAVERSINE.format(a='a', b='b')} as km, a.event_date = b.event_date as sd, year(a.event_date) = year(b.event_date) as sy, coalesce(a.name = b.name, false) as sn from records a join records b on a.idx < b.idx),
+sc as (select i, j, case when km < 2 then 3 when km < 10 then 1 else 0 end + case when sd then 4 when sy then 2 else 0 end + case when sn then 3 else 0 end as score, score >= 6 or (km < 2 and sd) as absorbs from p),
+ab as (select j, list(i order by i) as takers from sc where absorbs group by 1),
+seq as (select idx, row_number() over (order by idx) as r, coalesce(takers, []) as takers from records left join ab on j = idx),
+walk as (with recursive w(r, idx, leader, leads) as (select 0::bigint, null::bigint, null::bigint, []::bigint[] union all select seq.r, seq.idx, coalesce(list_filter(seq.takers, lambda x: list_contains(w.leads, x))[1], seq.idx), case when len(list_filter(seq.takers, lambda x: list_contains(w.leads, x))) = 0 then list_append(w.leads, seq.idx) else w.leads end from w join seq on seq.r = w.r + 1) select idx, leader from w where r > 0)"""
+
+
+@query(f"with {LEADERS} select idx, leader from walk")
 def j01_cross_source_dedup(spark, d):
     r = records(spark, d)
-    return resolve.leaders(r, resolve.pair_scores(r))
+    return resolve.leaders(r, resolve.pair_scores(r, only_absorbing=True))
 
 
-@query()
+@query(
+    f"with {LEADERS}, f as (select s_suppkey as idx, (['LOW', 'HIGH', 'MEDIUM', 'UNVERIFIED'])[s_suppkey % 4 + 1] as conf, case when s_suppkey % 5 = 0 then 'unknown' else 'Lake ' || (s_suppkey // 3 % 40) end as lake_name from supplier), "
+    "g as (select leader, count(*) as source_count, string_agg(cast(f.idx as varchar), '|' order by f.idx) as source_ids, string_agg('http://s/' || f.idx, '|' order by f.idx) as source_urls, max_by(conf, (case conf when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end, -f.idx)) as event_confidence from walk join f using (idx) group by 1) "
+    "select leader, cast(leader as varchar) as source_record_id, event_date, round(lat, 6) as latitude, round(lon, 6) as longitude, f.lake_name, source_count, source_ids, source_urls, event_confidence, substr(sha256(leader || '_' || event_date), 1, 12) as event_id from g join records r on r.idx = leader join f on f.idx = leader"
+)
 def j02_merged_events(spark, d):
     r = records(spark, d)
-    return resolve.merge_events(r, resolve.leaders(r, resolve.pair_scores(r)))
+    out = resolve.merge_events(r, resolve.leaders(r, resolve.pair_scores(r, only_absorbing=True)))
+    return rounded(out.drop("source_url"), "latitude", "longitude")
 
 
-@query()
+@query(
+    f"with {LEADERS} select leader as canonical, idx, case when idx = leader then 'NEW_EVENT' else 'DUPLICATE_EXISTING_EVENT' end as dedup_status from walk union all "
+    "select sc.i, sc.j, 'CROSS_SOURCE_REVIEW' from sc join walk a on a.idx = sc.i and a.leader = sc.i join walk b on b.idx = sc.j where not absorbs and score >= 3 and (b.leader > sc.i or b.leader = b.idx)"
+)
 def j02_reconciliation(spark, d):
     r = records(spark, d)
-    p = resolve.pair_scores(r)
-    return resolve.reconciliation(resolve.leaders(r, p), p)
-
-
-RECORDS = """records as (select s_suppkey as idx, date '2000-01-01' + cast(s_suppkey // 3 * 37 % 2000 + case when s_suppkey % 7 = 0 then 1 else 0 end as int) as event_date, 27 + (s_suppkey // 3 * 7919 % 2000) / 1000.0::double + s_suppkey % 3 * 0.008::double as lat, 86 + (s_suppkey // 3 * 104729 % 2000) / 1000.0::double as lon, case when s_suppkey % 5 <> 0 then 'lake ' || (s_suppkey // 3 % 40) end as name from supplier)"""
-
-
-@query(f"with {RECORDS}, p as (select a.idx as i, b.idx as j, {HAVERSINE.format(a='a', b='b')} as km, a.event_date = b.event_date as sd, year(a.event_date) = year(b.event_date) as sy, coalesce(a.name = b.name, false) as sn from records a join records b on a.idx < b.idx), s as (select i, j, cast(case when km < 2 then 3 when km < 10 then 1 else 0 end + case when sd then 4 when sy then 2 else 0 end + case when sn then 3 else 0 end as int) as score, km, sd from p) select i, j, score, score >= 6 or (km < 2 and sd) as absorbs from s where score >= 3 or (km < 2 and sd)")
-def d22_pair_scores(spark, d):
-    return resolve.pair_scores(records(spark, d))
+    return resolve.reconciliation(resolve.leaders(r, resolve.pair_scores(r, only_absorbing=True)), resolve.pair_scores(r))
 
 
 TILES = "tiles as (select user_id as tile, list(cast(floor(value) as int) order by event_id) as g, list(cast(event_id % 60 as int) order by event_id) as s, list(cast(event_id % 12 as int) order by event_id) as c from events group by 1)"
@@ -212,12 +322,20 @@ def e13_snow_fraction(spark, d):
     return t.select("tile", F.round(raster.snow_fraction(), 6).alias("snow_fraction"))
 
 
-@query()
+# Rows of 5 pixels; differences are one-sided at the rim, and NULL where a neighbour is.
+@query(
+    f"with {TILES}, px as (select tile, cast((pos - 1) // 5 as int) as r, cast((pos - 1) % 5 as int) as c, z, cast(ceil(n / 5.0) as int) as h from (select tile, unnest(range(1, cast(ceil(len(g) / 5.0) as int) * 5 + 1)) as pos, len(g) as n, g from tiles) t, lateral (select case when pos <= n then g[pos] end as z)), "
+    "nb as (select *, lag(z) over w as left_z, lead(z) over w as right_z, lag(z) over v as up_z, lead(z) over v as down_z from px window w as (partition by tile, r order by c), v as (partition by tile, c order by r)), "
+    "gr as (select tile, z, case when c = 0 then right_z - z when c = 4 then z - left_z else (right_z - left_z) / 2.0::double end / 30.0::double as gx, case when h = 1 then null when r = 0 then down_z - z when r = h - 1 then z - up_z else (down_z - up_z) / 2.0::double end / 30.0::double as gy from nb), "
+    "sa as (select tile, z, degrees(atan(sqrt(gx * gx + gy * gy))) as slope, case when gx is not null and gy is not null then (90 - degrees(atan2(-gy, gx)) + 720) % 360 end as aspect from gr) "
+    "select tile, round(avg(z), 5) as elevation_m, round(avg(slope), 5) as mean_slope_deg, round(max(slope), 5) as max_slope_deg, round((degrees(atan2(avg(sin(radians(aspect))), avg(cos(radians(aspect))))) + 360) % 360, 4) as mean_aspect_deg from sa group by 1"
+)
 def h08_terrain(spark, d):
-    """Whole tiles in rows of 5 pixels, the last row filled up with NULL."""
+    """Whole tiles, the last row filled up with NULL."""
     t = tiles(spark, d).withColumn("height", F.ceil(F.size("green") / 5).cast("int"))
     t = t.select("tile", "height", F.lit(5).alias("width"), F.concat("green", F.array_repeat(F.lit(None).cast("int"), F.col("height") * 5 - F.size("green"))).alias("elevation"))
-    return rounded(raster.terrain(t, ["tile"]), "mean_slope_deg", "max_slope_deg", "mean_aspect_deg")
+    out = raster.terrain(t, ["tile"])
+    return out.select("tile", *[F.round(c, 5).alias(c) for c in ("elevation_m", "mean_slope_deg", "max_slope_deg")], F.round("mean_aspect_deg", 4).alias("mean_aspect_deg"))
 
 
 @query("with m as (select quantile_cont(o_totalprice, 0.5) as m from orders) select o_orderkey, round(case when m > 100 then o_totalprice / 1e6 else o_totalprice end, 9) as lake_area_km2 from orders, m")
@@ -247,7 +365,7 @@ def c30_registry(spark, d):
 DUP = POINTS + f", w as (select *, 'P' || (id % 1400) as wkt from customers), e as (select *, row_number() over (partition by wkt order by id) > 1 as exact from w), n as (select a.id, min(b.id) as of from e a join e b on not a.exact and not b.exact and b.id < a.id and {FLAT} <= 500 group by 1)"
 
 
-@query(DUP + " select e.id, n.of as duplicate_of, case when exact then 'exact_duplicate' when n.of is not null then 'near_duplicate' else 'unique' end as duplicate_status from e left join n using (id)")
+@query(DUP + " select e.id, n.of as duplicate_of, case when exact then 'exact_duplicate' when n.of is not null then 'near_duplicate_candidate' else 'unique' end as duplicate_status from e left join n using (id)")
 def j03_duplicate_flags(spark, d):
     c = customers(spark, d).withColumn("wkt", F.concat(F.lit("P"), (F.col("id") % 1400).cast("string")))
     return inventory.duplicate_flags(c, 500).select("id", "duplicate_of", "duplicate_status")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tarnwatch.functions.ranges import numbered
+
 GRANULE = "granule_id string, product string, start string, stop string, url string"
 
 
@@ -52,10 +54,8 @@ def retried(call: Callable, tries: int = 3, wait: float = 1.0, sleep: Callable =
 
 def in_chunks(ids: DataFrame, column: str, size: int = 500) -> DataFrame:
     """(chunk, ids) in order of id, for services that take so many at once."""
-    from pyspark.sql import Window as W
-
-    n = F.floor((F.row_number().over(W.orderBy(column)) - 1) / size)
-    return ids.withColumn("chunk", n).groupBy("chunk").agg(F.sort_array(F.collect_list(column)).alias("ids"))
+    n = F.floor((F.col("_n") - 1) / size)
+    return numbered(ids, [column], "_n").withColumn("chunk", n).groupBy("chunk").agg(F.sort_array(F.collect_list(column)).alias("ids"))
 
 
 def first_existing(names: Iterable[str], candidates: list[str]) -> str | None:
@@ -131,9 +131,9 @@ def scenes(spark: SparkSession, search: Callable[[dict], dict], box: tuple, star
             rows.append((f.get("id"), f.get("collection"), p.get("datetime"), None if p.get("eo:cloud_cover") is None else float(p["eo:cloud_cover"]), *[None if v is None else float(v) for v in (b[:2] + b[-2:])[:4]]))
         after = next((x for x in page.get("links", []) if x.get("rel") == "next"), None)
         if after is None:
-            break
+            return spark.createDataFrame(rows, SCENE)
         body = body | after.get("body", {"next": after.get("href")})
-    return spark.createDataFrame(rows, SCENE)
+    raise RuntimeError(f"the catalogue has more than {most_pages} pages: narrow the box or the span")
 
 
 def process_request(box: tuple, start: str, stop: str, width: int, height: int, bands: tuple = ("B03", "B11", "SCL"), collection: str = "sentinel-2-l2a") -> dict:
