@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+_stored: list[str] = []
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -19,9 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share. Where the session names none a local session makes one; a cluster, whose
+    machines would each write to their own disk, is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tarnwatch-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -40,19 +45,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _stored.append(path)
     return out
 
 
+def release(spark: SparkSession) -> int:
+    """Delete all that stored() has written and drop() has not; for when no result is left that reads it."""
+    n = len(_stored)
+    while _stored:
+        remove(spark, _stored[-1])
+    return n
+
+
 def drop(df: DataFrame) -> None:
     """Delete a stored() table that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    remove(df.sparkSession, df._stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    if path in _stored:
+        _stored.remove(path)
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """A stored table with a broadcast hint if it has at most so many rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Bytes that a broadcast may hold, as rows in memory.
+BROADCAST = 32 << 20
+FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """A stored table with a broadcast hint if its rows take at most so many bytes; else as it is, for a shuffled join.
+
+    A row counts 16 bytes and 8 a column, and the columns of no fixed size what they hold.
+    """
+    loose = [f.name for f in df.schema.fields if not isinstance(f.dataType, FIXED)]
+    held = F.sum(F.octet_length(F.to_json(F.struct(*loose)))) if loose else F.lit(0)
+    r = df.agg(F.count("*").alias("rows"), F.coalesce(held, F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if r.rows * (16 + 8 * len(df.columns)) + r.bytes <= most else df
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -99,10 +129,10 @@ def slices(batches):
     for b in batches:
         for at in range(0, b.num_rows, SLICE):
             yield b.slice(at, SLICE)
-    release()
+    give_back()
 
 
-def release() -> None:
+def give_back() -> None:
     """Give freed memory back to the system: a Python worker outlives its task."""
     import ctypes
 

@@ -1,29 +1,31 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's logit is a bias plus the weights of its distinct words' hashed
-features (the word and its prefixes by bytes); the document's score is the noisy-or of its sentences,
+features (the word and its prefixes by characters); the document's score is the noisy-or of its sentences,
 1 - prod(1 - p). Only document labels are known: their gradient passes through the noisy-or to the sentences, so the
 model also says which sentences offend.
 """
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwatch.llm import vectext as V
-from tarnwatch.llm.common import held_out, release, where_values, with_columns
+from tarnwatch.llm.common import drop, held_out, stored, where_values, with_columns
 
 BITS = 20
 PREFIXES, INNER = (4, 5, 6, 7), ()
-#: Bound of the fit: labelled rows a class; everything else covers all rows.
-FIT_ROWS = 3000
+#: Bounds of the fit: labelled rows a class, and bytes of their texts in all; everything else covers all rows.
+FIT_ROWS, FIT_BYTES = 3000, 64 << 20
 STEPS, RATE, SPARSE, SHRINK, BIAS, BIAS_MOST = 90, 0.2, 0.5, 3.0, -6.0, -5.0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, text, y) of at most `rows` labelled documents a class, none held out, by a hash of doc_id.
+def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int = FIT_ROWS, most: int = FIT_BYTES) -> DataFrame:
+    """(doc_id, text, y) of at most `rows` labelled documents a class, none held out, by a hash of doc_id, and of these
+    as many as hold at most `most` / 2 bytes a class (whole texts; the first one always).
 
-    The broadcast side has at most 2 x rows rows by construction. A doc_id that repeats counts once, with its least
+    The broadcast sides have at most 2 x rows rows by construction. A doc_id that repeats counts once, with its least
     text and largest label.
     """
     known = (
@@ -35,7 +37,14 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int = FIT_RO
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
     picked = known.where("y = 1").orderBy(order, "doc_id").limit(rows).unionByName(known.where("y = 0").orderBy(order, "doc_id").limit(rows))
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    sample = stored(sample, "fit-sample")
+    upto = W.partitionBy("y").orderBy(order, "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    size = sample.select("doc_id", "y", F.octet_length("text").cast("long").alias("bytes"))
+    size = size.withColumns({"upto": F.sum("bytes").over(upto), "nth": F.count("*").over(upto)}).where((F.col("upto") <= most // 2) | (F.col("nth") == 1))
+    out = sample.join(F.broadcast(size.select("doc_id")), "doc_id", "left_semi")
+    out._sample = sample
+    return out
 
 
 def sentences(chunk: V.Chunk):
@@ -73,8 +82,8 @@ def fit(texts: list, y) -> tuple:
     y = np.asarray(y, np.float64)
     w, bias = np.zeros(1 << BITS), BIAS
     if not len(y) or y.min() == y.max():
-        base = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.0
-        return w.astype(np.float32), float(np.log(max(base * 0.01, 1e-6)))
+        # no weights: every document scores the smoothed share of toxic labels, 0 without labels
+        return np.zeros(0, np.float32), float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.0
     parts, order, docs, n_sent, n_word = [], [], 0, 0, 0
     for own, data in V.chunks(texts):
         s, word, doc, feature, owner, chunk, (_, first) = bag(data)
@@ -113,6 +122,11 @@ def scores(texts, model):
     w, bias = model
     score, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     spots = [[] for _ in texts]
+    if not len(w):
+        w, constant = np.zeros(1 << BITS, np.float32), bias
+        bias = -30.0
+    else:
+        constant = None
     for own, data in V.chunks(texts):
         sent, word, doc, feature, owner, chunk, (s, first) = bag(data)
         z = bias + np.bincount(sent, np.bincount(owner, w[feature], len(first))[word], len(doc))
@@ -125,7 +139,7 @@ def scores(texts, model):
         begin = chunk.ends - np.array([len(b) + 1 for b in data])
         for k in np.flatnonzero(p >= 0.3):
             spots[own[doc[k]]].append((int(chunk.start[lead[k]] - begin[doc[k]]), int(chunk.end[last[k]] - begin[doc[k]]), float(p[k])))
-    return score, count, spots
+    return score if constant is None else np.full(len(texts), constant), count, spots
 
 
 def fitted(sample: DataFrame, fit) -> tuple:
@@ -140,6 +154,7 @@ def fitted(sample: DataFrame, fit) -> tuple:
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
 
     row = sample.select("doc_id", "text", F.col("y").cast("int").alias("y")).coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    drop(sample._sample)
     return fit([], []) if row is None else (np.frombuffer(row.weights, np.float32), row.bias)
 
 
@@ -151,7 +166,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: i
     """docs (doc_id, text, ...) -> doc_id, held_out, score, predicted, n_sentences, offending.
 
     `offending` lists the sentences of probability >= 0.3 as (text, p). A null or empty text has no sentence and
-    scores 0. Each input row gives one row, repeated rows equal ones; with no usable label all scores are near 0.
+    scores 0. Each input row gives one row, repeated rows equal ones. Without usable labels every score is 0, with those of
+    one class only the smoothed share of toxic ones.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows=rows))
 
@@ -165,6 +181,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: i
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = FIT_ROWS) -> DataFrame:
-    """The documents that score below the threshold, with all their columns; nulls and empty texts stay."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows=rows))
+    """The documents that score below the threshold, with all their columns; null and empty texts stay.
+
+    Without usable labels of both classes there is no model, and all documents stay.
+    """
+    fitted_ = train(docs, labels, rows=rows)
+    if not len(fitted_[0]):
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(fitted_)
     return where_values(docs, "text", lambda texts: scores(texts, model.value)[0] < threshold)

@@ -76,18 +76,21 @@ class Chunk:
         return self.of(self.start, self.end)
 
 
-def ngrams(chunk: Chunk, start, end, sizes, prefixes, inner_salt: int = 0):
-    """(hash, index of word) of whole words, prefixes and inner n-grams (by bytes) of the given words."""
-    n, k = end - start, np.arange(len(start))
+def ngrams(chunk: Chunk, start, end, sizes, prefixes):
+    """(hash, index of word) of whole words, prefixes and inner n-grams of the given words, by characters of UTF-8."""
+    # a character begins at every byte but those that go on with one
+    at = np.append(np.flatnonzero((chunk.bytes & 0xC0) != 0x80), len(chunk.bytes))
+    first, last = np.searchsorted(at, start), np.searchsorted(at, end)
+    n, k = last - first, np.arange(len(start))
     hashes, owner = [chunk.of(start, end)], [k]
     for size in prefixes:
         m = n >= size
-        hashes.append(mix(chunk.of(start[m], start[m] + size) + U(1000 + size)))
+        hashes.append(mix(chunk.of(start[m], at[first[m] + size]) + U(1000 + size)))
         owner.append(k[m])
     for size in sizes:
         count = np.maximum(n - size + 1, 0)
         of = np.repeat(k, count)
-        at = start[of] + (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
-        hashes.append(mix(chunk.of(at, at + size) + U(2000 + size)))
+        c = first[of] + (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+        hashes.append(mix(chunk.of(at[c], at[c + size]) + U(2000 + size)))
         owner.append(of)
     return np.concatenate(hashes), np.concatenate(owner)
