@@ -1,9 +1,10 @@
 """Quality by supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed features: words, byte n-grams of words (punctuation
-included), and word bigrams in which a repeated word or bigram has a bucket of its own. A softmax over two classes
-reads that average; vectors and softmax are trained together by stochastic gradient descent in numpy. As all after
-the lookup is linear, scoring needs one number a bucket.
+A document is the average of learned vectors of its hashed features. Half of the weight is its words: a word is the average
+of its own vector and those of its character n-grams, punctuation included. The other half is word bigrams, in which a
+word is written by how long ago the text last used it (never, or 1, 2, 3-4, 5-8, ... words ago), so that what holds for
+repetition holds for any word. A softmax over two classes reads that average; vectors and softmax are trained together by
+stochastic gradient descent in numpy. As all after the lookup is linear, scoring needs one number a bucket.
 """
 
 import numpy as np
@@ -19,37 +20,39 @@ PREFIXES, INNER = (), (1, 2, 3, 4)
 #: Bound of the fit: labelled rows a class; everything else covers all rows.
 FIT_ROWS = 2500
 EPOCHS, RATE, SEED = 6, 0.5, 7
-#: Words seen before in the text, bigrams seen before, and words equal to the last: buckets of their own.
-AGAIN, PAIR, SAME = 0, 1, 2
+
+
+def bucket(hashes):
+    return (hashes >> V.U(64 - BITS)).astype(np.int64)
+
+
+def bigrams(which, doc):
+    """The bucket of each token's bigram of (word before, word), both by the distance to their last use in the text."""
+    n = len(which)
+    if not n:
+        return np.zeros(0, np.int64)
+    order = np.lexsort((np.arange(n), which, doc))
+    again = (which[order][1:] == which[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    since = np.zeros(n, np.int64)
+    since[order[1:][again]] = np.diff(order)[again]
+    symbol = np.where(since > 0, 1 + np.ceil(np.log2(np.maximum(since, 1))).astype(np.int64), 0)
+    before = np.where(np.append(False, doc[1:] == doc[:-1]), np.append(0, symbol[:-1]), 63)
+    return bucket(V.mix((before * 64 + symbol + 1).astype(V.U) * V.BASE))
 
 
 def features(data: list):
-    """-> (word feature, its word, word of each token, doc of each token, per-doc counts of the special buckets)"""
+    """-> (feature, its word, word of each token, bigram of each token, doc of each token)"""
     chunk = V.Chunk(data, V.SPACE)
-    hashes = chunk.words()
-    words, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    words, first, which = np.unique(chunk.words(), return_index=True, return_inverse=True)
     feature, owner = V.ngrams(chunk, chunk.start[first], chunk.end[first], INNER, PREFIXES)
-    doc = chunk.doc
-    follows = np.append(False, doc[1:] == doc[:-1]) if len(doc) else np.zeros(0, bool)
-    pair = V.mix(hashes[1:] * V.U(3) + hashes[:-1]) if len(doc) else hashes
-    special = np.zeros((3, len(data)))
-    with_doc = np.unique(doc.astype(np.int64) * max(len(words), 1) + which)
-    special[AGAIN] = np.bincount(doc, minlength=len(data)) - np.bincount(with_doc // max(len(words), 1), minlength=len(data))
-    if len(doc) > 1:
-        at = np.flatnonzero(follows)
-        d, h = doc[at], pair[at - 1]
-        o = np.lexsort((h, d))
-        seen = (np.diff(d[o]) == 0) & (h[o][1:] == h[o][:-1])
-        special[PAIR] = np.bincount(d[o][1:][seen], minlength=len(data))
-        special[SAME] = np.bincount(d[hashes[at] == hashes[at - 1]], minlength=len(data))
-    return (feature >> V.U(64 - BITS)).astype(np.int64), owner, which, doc, special
+    return bucket(feature), owner, which, bigrams(which, chunk.doc), chunk.doc
 
 
 def doc_bags(texts):
-    """For each text (in order) its distinct buckets and their shares of all features."""
+    """For each text (in order) its distinct buckets and their shares of the whole weight."""
     out = [None] * len(texts)
     for own, data in V.chunks(texts):
-        feature, owner, which, doc, special = features(data)
+        feature, owner, which, pairs, doc = features(data)
         order = np.argsort(owner, kind="stable")
         feature, start = feature[order], np.searchsorted(owner[order], np.arange(owner.max() + 2 if len(owner) else 1))
         ends = np.searchsorted(doc, np.arange(len(data) + 1))
@@ -57,21 +60,20 @@ def doc_bags(texts):
             words, times = np.unique(which[ends[k] : ends[k + 1]], return_counts=True)
             size = start[words + 1] - start[words]
             at = np.repeat(start[words], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            ids, inverse = np.unique(np.append(feature[at] + 3, [AGAIN, PAIR, SAME]), return_inverse=True)
-            # the special buckets count once a word, with the weight of a word's usual number of features
-            tokens = max(times.sum(), 1)
-            counts = np.bincount(inverse, np.append(np.repeat(times, size), special[:, k] / tokens * (np.repeat(times, size).sum())))
-            out[i] = (ids.astype(np.int32), (counts / max(counts.sum(), 1e-9)).astype(np.float32))
+            pair = pairs[ends[k] : ends[k + 1]]
+            ids, inverse = np.unique(np.append(feature[at], pair), return_inverse=True)
+            share = np.bincount(inverse, np.append(np.repeat(times / size, size), np.ones(len(pair))), len(ids))
+            out[i] = (ids.astype(np.int32), (share / max(share.sum(), 1e-9)).astype(np.float32))
     return out
 
 
 def fit(texts: list, y) -> tuple:
     """(score of each bucket, bias) after SGD with a linearly falling rate; equal data give equal models."""
     y = np.asarray(y, np.int64)
-    size = (1 << BITS) + 3
+    size = 1 << BITS
     if not len(y) or y.min() == y.max():
         base = (y.sum() + 1) / (len(y) + 2)
-        return np.zeros(size, np.float32), float(np.log(base / (1 - base)))
+        return np.zeros(0, np.float32), float(np.log(base / (1 - base)))
     bags = doc_bags(texts)
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (size, WIDTH)).astype(np.float32)
@@ -98,15 +100,12 @@ def fit(texts: list, y) -> tuple:
 def scores(texts, model):
     table, bias = model
     score = np.full(len(texts), 1 / (1 + np.exp(-bias)))
-    for own, data in V.chunks(texts):
-        feature, owner, which, doc, special = features(data)
+    for own, data in V.chunks(texts) if len(table) else ():
+        feature, owner, which, pairs, doc = features(data)
         n_words = int(owner.max()) + 1 if len(owner) else 0
-        value = np.bincount(owner, table[feature + 3], n_words)
-        count = np.bincount(owner, minlength=n_words)
-        total = np.bincount(doc, value[which], len(data))
-        n = np.bincount(doc, count[which], len(data))
-        extra = special / np.maximum(np.bincount(doc, minlength=len(data)), 1) * n
-        z = (total + (table[:3, None] * extra).sum(0)) / np.maximum(n + extra.sum(0), 1e-9) + bias
+        word = np.bincount(owner, table[feature], n_words) / np.maximum(np.bincount(owner, minlength=n_words), 1)
+        tokens = np.bincount(doc, minlength=len(data))
+        z = np.bincount(doc, word[which] + table[pairs], len(data)) / np.maximum(2 * tokens, 1) + bias
         score[np.array(own)] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return score
 
@@ -119,7 +118,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: in
     """docs (doc_id, text, ...) -> doc_id, held_out, score, predicted.
 
     A null or empty text has no feature and scores by the bias alone. Each input row gives one row; with labels of
-    one class only (or none) every score is that class's smoothed share.
+    one class only (or none) every score is the smoothed share of good ones.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows=rows))
     out = with_columns(docs.select("doc_id", held_out().alias("held_out"), "text"), "text", lambda texts: [scores(texts, model.value)], "score double")
@@ -127,6 +126,12 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: in
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = FIT_ROWS) -> DataFrame:
-    """The documents that score at least the threshold, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows=rows))
+    """The documents that score at least the threshold, with all their columns; null and empty texts score by the bias.
+
+    Without usable labels of both classes there is no model, and all documents stay.
+    """
+    fitted_ = train(docs, labels, rows=rows)
+    if not len(fitted_[0]):
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(fitted_)
     return where_values(docs, "text", lambda texts: scores(texts, model.value) >= threshold)
