@@ -4,25 +4,18 @@ Spark counts a global histogram of lengths; dynamic programming over it picks th
 inside a bucket, batches are runs of documents whose padded size fits the token budget.
 """
 
+from array import array
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwatch.llm.common import small, stored
+from tarnwatch.llm.common import drop, stored
 from tarnwatch.llm.mixing import n_words
 
-#: The histogram is by exact lengths up to MOST different ones (a corpus of t tokens has at most sqrt(2 t) of them). Beyond
-#: that, lengths up to EXACT have a bin each and longer ones STEPS bins to a doubling, with its largest length as edge.
-MOST, EXACT, STEPS = 1_000_000, 512, 64
-CHUNKS = 2048
-
-
-def bin_edge(n: Column) -> Column:
-    """The upper end of a bin: n itself up to EXACT, else n rounded up to a multiple of 2**k / STEPS."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double") - 0.5))) / STEPS
-    return F.when(n <= EXACT, n).otherwise((F.ceil(n / step) * step).cast("long")).cast("long")
+#: Ranges of a bucket's order, by the leading bits of its hash: no task sorts a bucket.
+CHUNK_BITS = 11
 
 
 def boundaries(edges, counts, buckets: int) -> list[int]:
@@ -31,11 +24,11 @@ def boundaries(edges, counts, buckets: int) -> list[int]:
     n, total = len(edges), [0, *accumulate(int(c) for c in counts)]
     if not n:
         return []
-    best, froms = [e * t for e, t in zip(edges, total[1:], strict=True)], [[0] * n]
+    best, froms = [e * t for e, t in zip(edges, total[1:], strict=True)], [array("q", [0]) * n]
     for _ in range(min(buckets, n) - 1):
         # best[j]: cost of bins 0..j; a last bucket i..j pads its rows to edges[j]. Row sums of lengths are constant.
         # The least of cost[i] + edges[j] * (total[j + 1] - total[i]) is on the lower hull of lines in edges[j].
-        cost, hull, at, now, where = [0, *best], [], 0, [], []
+        cost, hull, at, now, where = [0, *best], [], 0, [], array("q")
         for j, e in enumerate(edges):
             while len(hull) > 1 and (cost[j] - cost[hull[-2]]) * (total[hull[-1]] - total[hull[-2]]) <= (cost[hull[-1]] - cost[hull[-2]]) * (total[j] - total[hull[-2]]):
                 hull.pop()
@@ -55,12 +48,12 @@ def boundaries(edges, counts, buckets: int) -> list[int]:
     return out[::-1]
 
 
-def histogram(d: DataFrame) -> list[tuple]:
-    """(largest length of a bin, rows) in order of length."""
-    by = d.groupBy("n_tokens").count()
-    if by.limit(MOST + 1).count() > MOST:
-        by = by.groupBy(bin_edge(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("n_tokens"), F.sum("count").alias("count"))
-    return sorted((r.n_tokens, r["count"]) for r in by.select("n_tokens", "count").collect())
+def histogram(d: DataFrame) -> tuple:
+    """(lengths, rows of each), in order of length. A corpus of t tokens has at most sqrt(2 t) different lengths, 100 TB of
+    text about 6 million: two arrays of numbers on the driver."""
+    t = d.groupBy("n_tokens").count().toArrow()
+    order = t.column("n_tokens").to_numpy().argsort()
+    return t.column("n_tokens").to_numpy()[order], t.column("count").to_numpy()[order]
 
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, token_budget: int = 16384) -> DataFrame:
@@ -69,23 +62,28 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, token
     `bucket` is the padded length; a batch holds floor(token_budget / bucket) documents, at least 1, so only a
     document longer than the budget makes a batch beyond it. Documents of no tokens are in bucket 0 and in batches
     of token_budget rows. Inside a bucket the order is a hash of doc_id, then doc_id and length; repeated rows are
-    rows of their own. An empty table gives none.
+    rows of their own. An empty table gives none. Rows of equal doc_id and length are counted first and dealt their slots
+    from the count, so that a doc_id that many rows share is no task's sort.
     """
-    n = n_words() if length is None else length.cast("long")
-    d = stored(docs.select("doc_id", n.alias("n_tokens")), "pack-docs")
-    hist = histogram(d)
-    zero, hist = [h for h in hist if h[0] == 0], [h for h in hist if h[0] > 0]
-    bounds = [0] * bool(zero) + boundaries([e for e, _ in hist], [c for _, c in hist], buckets)
+    n = n_words() if length is None else F.coalesce(length.cast("long"), F.lit(0))
+    every = d = stored(docs.select("doc_id", n.alias("n_tokens")), "pack-docs")
+    lengths, counts = histogram(d)
+    some = lengths > 0
+    bounds = [0] * bool((~some).any()) + boundaries(lengths[some].tolist(), counts[some].tolist(), buckets)
     if not bounds:
         bounds = [0]
     pick = F.lit(bounds[-1])
     for b in reversed(bounds[:-1]):
         pick = F.when(F.col("n_tokens") <= b, b).otherwise(pick)
-    d = d.withColumn("bucket", pick.cast("long")).withColumn("h", F.xxhash64("doc_id")).withColumn("chunk", F.shiftright(F.col("h"), 53).cast("int"))
-    sizes = d.groupBy("bucket", "chunk").count()
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("count").over(W.partitionBy("bucket").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    offsets = small(stored(offsets.select("bucket", "chunk", "offset"), "pack-offsets"))
-    row = F.row_number().over(W.partitionBy("bucket", "chunk").orderBy("h", "doc_id", "n_tokens"))
-    d = d.withColumn("row", row).join(offsets, ["bucket", "chunk"]).withColumn("rank", F.col("offset") + F.col("row") - 1)
+    h = F.xxhash64("doc_id")
+    d = d.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("rows"))
+    d = d.withColumns({"bucket": pick.cast("long"), "h": h, "chunk": F.shiftright(h, 64 - CHUNK_BITS).cast("int")})
+    d = stored(d, "pack-rows")
+    drop(every)
+    sizes = d.groupBy("bucket", "chunk").agg(F.sum("rows").alias("rows"))
+    offsets = sizes.select("bucket", "chunk", F.coalesce(F.sum("rows").over(W.partitionBy("bucket").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    before = F.sum("rows").over(W.partitionBy("bucket", "chunk").orderBy("h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)) - F.col("rows")
+    d = d.withColumn("before", before).join(offsets, ["bucket", "chunk"]).withColumn("first", F.col("offset") + F.col("before"))
+    d = d.select("doc_id", "n_tokens", "bucket", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("rows") - 1)).alias("rank"))
     per = F.greatest(F.lit(1), F.floor(token_budget / F.greatest(F.col("bucket"), F.lit(1)))).cast("long")
     return d.select("doc_id", "n_tokens", "bucket", (F.col("bucket") - F.col("n_tokens")).alias("padded"), F.floor(F.col("rank") / per).alias("batch"), (F.col("rank") % per).alias("slot"))
