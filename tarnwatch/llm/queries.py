@@ -3,8 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tarnwatch.llm import embed_dedup, html_extract, media, mixing, ngram_join, packing, quality, sharding, toxicity, warc
+from tarnwatch.llm import embed_dedup, html_extract, media, mixing, ngram_join, packing, pipeline, quality, sharding, toxicity, warc
 from tarnwatch.llm.common import table
 
 
@@ -32,7 +31,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.media(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = (op1_toxicity, op2_quality, op3_warc, op4_embedding_dedup, op5_sharding, op6_media, op7_mixing, op8_ngram_join, op9_html_extract, op10_packing)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"

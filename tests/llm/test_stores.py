@@ -12,7 +12,9 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import embed_dedup, html_extract, media, warc
+from tarnwatch.llm import embed_dedup, html_extract, media, mixing, ngram_join, packing, pipeline, quality, sharding, toxicity, warc
+from tarnwatch.llm import vectext as V
+from tarnwatch.llm.common import held_out, small, stored, table
 
 PAGES = "page_id long, url string, html string, digest string"
 
@@ -284,16 +286,19 @@ def test_estimates_are_unbiased_and_bounds_hold():
     assert maybe.mean() < 0.01 and embed_dedup.could_link(rows, f, turned.astype(np.float32), 0.98).diagonal()[true >= 0.98].all()
 
 
-def test_pipeline_stages(spark, tmp_path):
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_stages(spark):
     import corpus_pipeline as C
 
-    d = "/root/testdata/sf0.001" if os.path.isdir("/root/testdata/sf0.001") else None
-    if d is None:
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
         return
-    docs, columns = C.table(spark, d, "documents"), None
+    docs, columns = table(spark, d, "documents"), None
     before = docs.count()
     for name, stage in C.STAGES:
-        out = C.stored(stage(spark, docs, d), "test-stage")
+        out = stored(stage(spark, docs, d), "test-stage")
         if name != "packing":
             assert out.columns == docs.columns
         if name == "n-gram Jaccard join":
@@ -301,3 +306,133 @@ def test_pipeline_stages(spark, tmp_path):
         docs, before, columns = out, out.count(), out.columns
     assert before > 50 and "batch" in columns
     assert C.run(spark, d).count() == before
+
+
+def odd_rows(spark, n=0):
+    """Nulls in every column, empty and very long texts, repeated rows, one doc_id with unlike texts, columns that clash."""
+    long = " ".join(f"w{k % 7919}x{k}" for k in range(30_000))
+    rows = [(1, None, None, None, None), (None, None, None, None, None), (None, None, None, None, None), (2, "", "en", "a", 0), (3, long, "en", "a", 1), (4, long + " more", "en", None, 1)]
+    rows += [(5, "one two three four five six", "en", "a", 1), (5, "quite another text of more words", "en", "a", 1), (6, "One two three FOUR five six", "en", "a", 1)] + [(7, "the same row again and again", "en", "b", 1)] * 3
+    rows += [(None, "a text without an id here", "en", "b", 1), (8, "a text without an id here", "en", "b", 1), (None, "another one without an id too", "en", "b", 1)]
+    df = spark.createDataFrame(rows, DOC)
+    clash = ("copies", "of", "copy", "_row", "_rid", "component_id", "n", "m", "part", "k", "bucket", "h", "rows", "score", "size", "key")
+    return df.withColumns({c: F.lit(c) for c in clash}).withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id"))).where(f"{1 - n} = 1")
+
+
+def labels_dir(spark, tmp_path, name, rows):
+    d = f"{tmp_path}/{name}"
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    docs, none = odd_rows(spark), odd_rows(spark, 1)
+    d = labels_dir(spark, tmp_path, "none", [])
+    one = labels_dir(spark, tmp_path, "one", [(i, 1, 1) for i in range(9)])
+    for where in (d, one):
+        # no labels, or of one class: nothing is rejected
+        assert pipeline.toxicity(spark, docs, where).count() == docs.count() == pipeline.quality(spark, docs, where).count()
+    both = labels_dir(spark, tmp_path, "both", [(i, i % 2, i % 2) for i in range(9)])
+    for stage in (pipeline.toxicity, pipeline.quality):
+        out = stage(spark, docs, both)
+        assert out.columns == docs.columns and out.count() <= docs.count()
+        assert stage(spark, none, both).count() == 0
+    for _, stage in pipeline.STAGES[2:]:
+        assert stage(spark, none, d).count() == 0
+    out = pipeline.near_duplicates(spark, docs, d)
+    assert out.columns == docs.columns
+    kept = sorted(((r.doc_id, (r.text or "")[:12]) for r in out.collect()), key=str)
+    # unlike texts of doc_id 5 are two documents, 6 copies one of them; 8 stays, not its copy without an id; equal rows once
+    want = [(1, ""), (None, ""), (2, ""), (3, "w0x0 w1x1 w2"), (5, "quite anothe"), (6, "One two thre"), (7, "the same row"), (8, "a text witho"), (None, "another one ")]
+    assert kept == sorted(want, key=str)
+    out = pipeline.mixing(spark, docs, d)
+    assert out.columns == docs.columns
+    packed = pipeline.packing(spark, docs, d)
+    assert packed.count() == docs.count() and packed.where("n_tokens = 0").count() == 4
+
+
+def test_operators_of_odd_rows(spark, tmp_path):
+    """Every dealt operator over documents gives a row for each, or none of an empty table."""
+    docs, none = odd_rows(spark), odd_rows(spark, 1)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(9)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    for f in (lambda x: toxicity.toxicity(x, labels), lambda x: quality.quality(x, labels), sharding.shard, mixing.mix, ngram_join.ngram_join, packing.pack, media.media):
+        assert f(docs).count() == docs.count() and f(none).count() == 0
+
+
+def test_models_of_one_class(spark):
+    docs = odd_rows(spark)
+    for share, y in ((12 / 13, 1), (1 / 13, 0)):
+        labels = spark.createDataFrame([(i, y, y) for i in range(100)], "doc_id long, quality int, toxic int")
+        ids = docs.select("doc_id").where("doc_id is not null and text is not null").distinct().join(labels.where(~held_out()), "doc_id").count()
+        share = (ids * y + 1) / (ids + 2)
+        for f in (toxicity.toxicity, quality.quality):
+            assert all(abs(r.score - share) < 1e-6 for r in f(docs, labels).collect())
+
+
+def test_fit_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000, None, None, 0) for i in range(200)], DOC)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = toxicity.labelled(docs, labels, "quality", 50, 20_000).groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in got} == {0: 10, 1: 10}
+    assert toxicity.labelled(docs, labels, "quality", 50, 1).count() == 2
+
+
+def test_noisy_or_equals_a_plain_loop():
+    """Scores of a fitted model, sentence by sentence and word by word."""
+    rng = random.Random(3)
+    words = "river stone cloud vile grub meadow lantern".split()
+    texts = [". ".join(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 5))) + "." for _ in range(120)] + ["", "...", "\xe9t\xe9 vile!\nnew line"]
+    y = [int("vile" in t) for t in texts]
+    w, bias = toxicity.fit(texts, y)
+    got = toxicity.scores(texts, (w, bias))[0]
+    for t, g in zip(texts, got, strict=True):
+        none = 1.0
+        for s in re.split(r"[.!?\n]", t):
+            own = {x for x in re.findall(r"[0-9a-z\x80-\U0010ffff]+", s.lower())}
+            if own:
+                z = bias
+                for x in own:
+                    chunk = V.Chunk([x.encode()], ~V.LETTER, lower=True)
+                    for size in (0, *[n for n in toxicity.PREFIXES if len(x) >= n]):
+                        end = len(x[:size].encode()) if size else len(x.encode())
+                        h = chunk.of(np.array([0]), np.array([end]))
+                        h = V.mix(h + V.U(1000 + size)) if size else h
+                        z += float(w[int(h[0] >> V.U(64 - toxicity.BITS))])
+                none *= 1 - 1 / (1 + np.exp(-z))
+        assert abs(g - (1 - none)) < 1e-5
+    assert np.mean((got >= 0.3) == np.array(y)) > 0.95
+
+
+def test_quality_score_equals_a_plain_loop():
+    """The average of learned values, feature by feature."""
+    rng = random.Random(4)
+    good = [" ".join(rng.choice("river stone cl\xf4ud meadow".split()) + str(k) for k in range(rng.randrange(3, 20))) for _ in range(40)]
+    bad = [" ".join(rng.choice("river stone".split()) for _ in range(rng.randrange(3, 20))) for _ in range(40)]
+    model = quality.fit(good + bad, [1] * 40 + [0] * 40)
+    texts = [good[0], bad[0], "", "one", "\xfc\xfc \xfc\xfc a"]
+    bucket = lambda h: int(h >> V.U(64 - quality.BITS))
+    for t, got in zip(texts, quality.scores(texts, model), strict=True):
+        values, seen, before = [], {}, 63
+        for k, word in enumerate(t.split()):
+            raw = word.encode()
+            chunk = V.Chunk([raw], V.SPACE)
+            own = [model[0][bucket(chunk.of(np.array([0]), np.array([len(raw)]))[0])]]
+            for size in quality.INNER:
+                for c in range(len(word) - size + 1):
+                    a, b = len(word[:c].encode()), len(word[: c + size].encode())
+                    own.append(model[0][bucket(V.mix(chunk.of(np.array([a]), np.array([b])) + V.U(2000 + size))[0])])
+            since = k - seen[word] if word in seen else 0
+            symbol = 1 + int(np.ceil(np.log2(since))) if since else 0
+            seen[word] = k
+            values += [np.mean(own), model[0][bucket(V.mix(np.array([before * 64 + symbol + 1], V.U) * V.BASE)[0])]]
+            before = symbol
+        z = (np.mean(values) if values else 0) + model[1]
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-5
+    assert (quality.scores(good, model) > 0.5).all() and (quality.scores(bad, model) < 0.5).all()
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    few = stored(spark.createDataFrame([(1, "x" * 5000)], "a long, b string"), "small")
+    assert hinted(small(few)) and not hinted(small(few, 4000)) and not hinted(small(stored(spark.range(1000), "small"), 16_000))
+    assert hinted(small(stored(spark.range(0), "small"), 0))

@@ -190,6 +190,71 @@ def test_mix_meets_targets(spark):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def brute_mix(rows, weight):
+    """Every source's whole order, row by row. rows: (doc_id, text, source)."""
+    import hashlib
+
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by = {}
+    for i, t, s in rows:
+        by.setdefault(s, []).append((i, t))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size(t) for _, t in by[s]) for s in names}
+    w = {s: k % 3 + 1 for k, s in enumerate(names)}
+    target, full = {}, set()
+    while True:
+        left, share = sum(total.values()) - sum(target[s] for s in full), sum(w[s] for s in names if s not in full)
+        for s in names:
+            if s not in full:
+                target[s] = left * w[s] / share
+        over = {s for s in names if s not in full and target[s] > 3 * total[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = float(3 * total[s])
+        full |= over
+    out = []
+    for s in names:
+        epochs = math.floor(target[s] / total[s]) if total[s] else 0
+        budget, upto = target[s] - epochs * total[s], 0
+        def key(r):
+            u = (int(hashlib.md5(("null" if r[0] is None else str(r[0])).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            return (-math.log(u) / weight(r[1]), r[0] is not None, r[0] or 0, size(r[1]))
+        for i, t in sorted(by[s], key=key):
+            n = size(t)
+            takes = n > 0 and (upto + n <= budget or upto < budget and upto + n - budget < budget - upto)
+            upto += n
+            out.append((i, n, (epochs + takes) * n))
+    return sorted(out, key=str)
+
+
+def test_mix_equals_a_whole_sort(spark):
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.randrange(1, 30)), rng.choice(["a", "b", "c", None])) for i in range(600)]
+    # many rows of one doc_id, equal and unlike; a source whose edge lies among equal rows
+    rows += [(7, "again and again", "a")] * 40 + [(None, "no id at all", "b")] * 300 + [(9, "one", "same")] * 50 + [(9, "two words", "same")] * 5
+    docs = table(spark, rows)
+    for w in (1.0, 0.01):
+        got = sorted(((r.doc_id, r.size, r.taken) for r in mixing.mix(docs, F.lit(w)).collect()), key=str)
+        assert got == brute_mix(rows, lambda _, w=w: w)
+
+
+def test_mixed_rows_are_those_that_mix_counts(spark):
+    rng = random.Random(22)
+    rows = [(i % 90 if i % 3 else None, prose(rng, rng.randrange(1, 6)), rng.choice(["a", "b", None])) for i in range(400)] + [(9, "one", "same")] * 50
+    docs = table(spark, rows).withColumns({c: F.lit(c) for c in ("copies", "of", "copy", "_row", "size", "taken")}).withColumn("epochs", F.map_from_arrays(F.array(F.lit("k")), F.array("doc_id")))
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    want, got = {}, {}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source, r.size] = want.get((r.doc_id, r.source, r.size), 0) + r.copies
+    for r in out.collect():
+        k = (r.doc_id, r.source, len(r.text.split()))
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert mixing.mixed(docs.where("false")).count() == 0
+
+
 def test_mix_prefers_quality(spark):
     docs = table(spark, [(i, "word " * 10 if i % 2 else "!!! ### $$$ w " * 5, "a" if i < 2000 else "b") for i in range(4000)])
     w = F.when(F.col("doc_id") % 2 == 1, 1.0).otherwise(0.05)
@@ -224,17 +289,27 @@ def test_boundaries_are_optimal():
         assert cost == brute_cost(edges, counts, k)
 
 
-def test_long_lengths_pad_least(spark, monkeypatch):
+def test_long_lengths_pad_least(spark):
     rng = random.Random(6)
     lengths = [rng.randrange(500, 21000) for _ in range(12)]
     docs = spark.createDataFrame([(i, n, "") for i, n in enumerate(lengths * 3)], "doc_id long, n long, text string")
     out = packing.pack(docs, F.col("n"), buckets=4).collect()
     want = sorted(set(lengths))
     assert sum(r.padded for r in out) == brute_cost(want, [3 * lengths.count(n) for n in want], 4) and max(r.bucket for r in out) == max(lengths)
-    # beyond MOST different lengths bins end at their largest length
-    monkeypatch.setattr(packing, "MOST", 5)
-    out = packing.pack(docs, F.col("n"), buckets=4).collect()
-    assert {r.bucket for r in out} <= set(lengths) and max(r.bucket for r in out) == max(lengths) and all(r.padded >= 0 for r in out)
+
+
+def test_many_lengths_take_little(spark):
+    """Boundaries over 200,000 different lengths: the hull is linear in them, and brute force agrees on a part."""
+    edges = list(range(1, 200_001))
+    b = packing.boundaries(edges, [1] * len(edges), 4)
+    assert len(b) == 4 and b[-1] == 200_000 and all(abs(x - 50_000 * (k + 1)) <= 1 for k, x in enumerate(b))
+
+
+def test_rows_of_one_doc_id_get_slots_from_their_count(spark):
+    rows = [(None, "a b c", "s")] * 3000 + [(5, "a b", "s")] * 700 + [(6, "a b", "s")]
+    out = packing.pack(table(spark, rows), buckets=2, token_budget=30).collect()
+    seen = {(r.bucket, r.batch, r.slot) for r in out}
+    assert len(out) == len(seen) == len(rows) and max(r.slot for r in out) == 14
 
 
 def test_pack_fills_batches(spark):
@@ -258,10 +333,6 @@ def test_pack_fills_batches(spark):
     assert packing.pack(docs.where("false")).count() == 0
 
 
-def test_bin_edges_cover(spark):
-    t = spark.range(0, 5000).select("id", packing.bin_edge(F.col("id")).alias("e")).collect()
-    assert all(r.e >= r.id and r.e <= max(512, r.id * (1 + 1 / 32)) for r in t) and [r.e for r in t] == sorted(r.e for r in t)
-
 
 def test_shards_fit_and_split_only_when_needed(spark):
     rng = random.Random(9)
