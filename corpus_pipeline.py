@@ -1,66 +1,5 @@
-"""The training-data pipeline: documents to packed batches, one operator a stage."""
+"""The training-data pipeline: documents to packed batches. Its stages are in tarnwatch.llm.pipeline."""
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tarnwatch.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from tarnwatch.llm.common import small, stored, table
-from tarnwatch.llm.mixing import mix
-from tarnwatch.llm.ngram_join import ngram_join
-from tarnwatch.llm.packing import pack
-from tarnwatch.llm.quality import keep_good
-from tarnwatch.llm.toxicity import drop_toxic
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.3."""
-    return drop_toxic(docs, table(spark, sf_dir, "labels"))
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more."""
-    return keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least doc_id; of rows that repeat a doc_id, one."""
-    groups = stored(ngram_join(docs).select("doc_id", "component_id"), "pipeline-groups")
-    others = small(stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-others"))
-    again = small(stored(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-again"))
-    kept = docs.join(others, "doc_id", "left_anti")
-    once = kept.join(again, "doc_id", "left_anti")
-    rest = kept.join(again, "doc_id", "left_semi")
-    columns = [c for c in docs.columns if c != "doc_id"]
-    first = rest.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("row")).select("doc_id", *[F.col("row")[c].alias(c) for c in columns])
-    return once.select(docs.columns).unionByName(first.select(docs.columns))
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, 0 to 4 rows."""
-    m = mix(docs)
-    copies = stored(m.groupBy("doc_id").agg(F.max("copies").alias("copies")), "pipeline-copies")
-    rows = docs.join(copies.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).where("copies > 0")
-    return rows.select(docs.columns + ["copies"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's bucket, batch and slot."""
-    return pack(docs)
-
-
-STAGES = [
-    ("toxicity", toxicity),
-    ("quality classifier", quality),
-    ("n-gram Jaccard join", near_duplicates),
-    ("mixing sources to target weights", mixing),
-    ("packing", packing),
-]
-
-#: Two stages are trained models, which SQL cannot express.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
