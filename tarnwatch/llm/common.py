@@ -85,6 +85,12 @@ def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
     return F.broadcast(df) if r.rows * (16 + 8 * len(df.columns)) + r.bytes <= most else df
 
 
+def tasks_for(spark: SparkSession, size: int, least: int = 4 << 20, most: int = 128 << 20) -> int:
+    """How many tasks for so many bytes: up to three for each core as long as they hold `least`, and no more than `most` a task."""
+    waves = 3 * spark.sparkContext.defaultParallelism
+    return max(1, min(-(-size // least), waves), -(-size // most))
+
+
 def held_out(doc_id: str = "doc_id"):
     """The rows whose labels no model may see."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

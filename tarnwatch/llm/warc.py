@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwatch.llm.common import fresh, small, stored
+from tarnwatch.llm.common import fresh, small, stored, tasks_for
 from tarnwatch.llm.files import Ranges, Roller
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -19,18 +19,20 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 MASK = (1 << 64) - 1
 
 
-def name_of(page_id) -> str:
-    """The record's URN; a page_id fits in its low 64 bits, a null has the next bit."""
+def name_of(page_id, copy: int = 0) -> str:
+    """The record's URN: a page_id in its low 64 bits, a null as the next bit, and above it the copy's number, 0 for the row
+    that revisits refer to; so that rows which repeat a page_id have names of their own."""
     import uuid
 
-    return f"urn:uuid:{uuid.UUID(int=1 << 64 if page_id is None else int(page_id) & MASK)}"
+    return f"urn:uuid:{uuid.UUID(int=copy << 65 | (1 << 64 if page_id is None else int(page_id) & MASK))}"
 
 
 def id_of(name: str):
     import uuid
 
     n = uuid.UUID(name).int
-    return None if n >> 64 else n - (1 << 64 if n >> 63 else 0)
+    low = n & MASK
+    return None if n >> 64 & 1 else low - (1 << 64 if low >> 63 else 0)
 
 
 def sha1_base32(data: bytes) -> str:
@@ -40,7 +42,7 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id, url, payload: bytes, refers_to, revisit: bool) -> tuple[bytes, str]:
+def record(page_id, url, payload: bytes, refers_to, revisit: bool, copy: int = 0) -> tuple[bytes, str]:
     """-> (the record as a gzip member, payload digest)"""
     import zlib
     from urllib.parse import quote
@@ -48,7 +50,7 @@ def record(page_id, url, payload: bytes, refers_to, revisit: bool) -> tuple[byte
     digest = sha1_base32(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name_of(page_id)}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name_of(page_id, copy)}>", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~"))
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}"]
@@ -81,11 +83,15 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0, file_byte
 
     Of pages with equal payloads of at least `least` bytes those with the largest page_id are responses (repeated
     rows of it all are), the others revisit it; a null page_id counts as the smallest, and if all are null all are
-    responses. Only digests are shuffled to find that out, never pages, unless more than 100,000 payloads repeat.
-    A retried task leaves a file that no index row names.
+    responses. Rows that repeat a page_id have record names of their own. Only digests and ids are shuffled to find that
+    out, never pages, unless those that repeat are more than small() takes. A retried task leaves a file that no index row
+    names.
     """
     folder = folder or fresh(pages.sparkSession, "warc")
-    p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
+    rows = p.select("page_id", "row").groupBy("page_id").agg(F.min("row").alias("lead"), F.count("*").alias("rows"))
+    rows = small(stored(rows.where("rows > 1").select(F.col("page_id").alias("of"), "lead"), "warc-repeated"))
+    p = p.join(rows, F.col("page_id").eqNullSafe(F.col("of")), "left").withColumn("copy", F.when(F.col("row") != F.col("lead"), F.col("row") + 1).otherwise(0))
     key = F.sha1(F.col("html").cast("binary"))
     again = p.where(F.octet_length("html") >= least).select("page_id", key.alias("k")).groupBy("k").agg(F.max("page_id").alias("first"), F.count("*").alias("many"))
     again = small(stored(again.where("many > 1").select("k", "first"), "warc-again"))
@@ -98,17 +104,17 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0, file_byte
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                data, digest = record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["first"], r["revisit"])
+                data, digest = record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["first"], r["revisit"], r["copy"])
                 file, offset = out.write(data)
                 rows.append((file, offset, len(data), r["url"], digest, r["page_id"], "revisit" if r["revisit"] else "response"))
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=[x.split()[0] for x in INDEX.split(", ")])
         out.close()
 
-    return stored(p.select("page_id", "url", "html", "first", "revisit").mapInArrow(run, INDEX), "warc-index")
+    return stored(p.select("page_id", "url", "html", "first", "revisit", "copy").mapInArrow(run, INDEX), "warc-index")
 
 
-def ranges(index: DataFrame, gap: int = 64 << 10, most: int = 4 << 20) -> DataFrame:
+def ranges(index: DataFrame, gap: int = 64 << 10, most: int = 1 << 20) -> DataFrame:
     """The selected records -> (file, start, stop, parts): neighbours at most `gap` bytes apart share a read of about `most`.
 
     Windows are by file, whose size write() bounds.
@@ -122,8 +128,11 @@ def ranges(index: DataFrame, gap: int = 64 << 10, most: int = 4 << 20) -> DataFr
 
 
 def read(index: DataFrame, where: Column | None = None, payloads: bool = True) -> DataFrame:
-    """The records that the index rows (those that `where` selects) name, fetched by coalesced ranges."""
+    """The records that the index rows (those that `where` selects) name, fetched by coalesced ranges, in as many tasks as
+    their bytes ask for."""
     chosen = index if where is None else index.where(where)
+    size = chosen.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    wanted = stored(ranges(chosen), "warc-ranges").repartitionByRange(tasks_for(index.sparkSession, size, 1 << 20), "file", "start").sortWithinPartitions("file", "start")
 
     def run(batches):
         import pyarrow as pa
@@ -137,4 +146,4 @@ def read(index: DataFrame, where: Column | None = None, payloads: bool = True) -
                 yield pa.RecordBatch.from_arrays([pa.array([None if n == "payload" and not payloads else x[n] for x in got], t) for n, t in fields], names=[n for n, _ in fields])
         from_file.close()
 
-    return ranges(chosen).mapInArrow(run, RECORD)
+    return wanted.mapInArrow(run, RECORD)
