@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwatch.llm.common import fresh, stored
+from tarnwatch.llm.common import drop, fresh, stored, tasks_for
 from tarnwatch.llm.files import Ranges, Roller
 
 WIDTH = 576
+#: Payloads whose places a task remembers, about 20 MB.
+SEEN = 100_000
 HEADER = 33
 ENTRY = "doc_id long, digest string, file string, offset long, length long"
 
@@ -81,8 +83,9 @@ def feature_of(payload: bytes) -> str:
 def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = 64 << 20) -> DataFrame:
     """docs (doc_id, text, ...) -> stored rows of ENTRY.
 
-    One pass without a shuffle of texts: a task stores a payload once, however often it meets it. Where several
-    tasks store the same payload, catalogue() keeps one of the copies and no row refers to the others.
+    One pass without a shuffle of texts: a task remembers its last SEEN payloads and stores none of them again. Where a
+    payload is stored more than once, by several tasks or beyond that memory, catalogue() keeps one of the copies and no
+    row refers to the others.
     """
     import tarfile
 
@@ -91,10 +94,11 @@ def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = 64 << 2
 
     def run(batches):
         import hashlib
+        from collections import OrderedDict
 
         import pyarrow as pa
 
-        out, seen = Roller(folder, ".tar", shard_bytes, b"\0" * 2 * block), {}
+        out, seen = Roller(folder, ".tar", shard_bytes, b"\0" * 2 * block), OrderedDict()
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -106,6 +110,8 @@ def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = 64 << 2
                     info.size = len(png)
                     file, at = out.write(info.tobuf(tarfile.USTAR_FORMAT) + png + b"\0" * (-len(png) % block))
                     seen[digest] = (file, at + block, len(png))
+                    if len(seen) > SEEN:
+                        seen.popitem(last=False)
                 rows.append((doc_id, digest, *seen[digest]))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=[x.split()[0] for x in ENTRY.split(", ")])
@@ -120,13 +126,15 @@ def catalogue(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(at).select("digest", "at.*")
 
 
-def placed(places: DataFrame) -> DataFrame:
-    """In order of file and offset, so that a task reads few files, forwards."""
-    return places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+def placed(places: DataFrame, cost) -> DataFrame:
+    """In order of file and offset, so that a task reads few files, forwards; as many tasks as the bytes to read ask for."""
+    size = places.agg(F.coalesce(F.sum(cost), F.lit(0)).cast("long")).first()[0]
+    return places.repartitionByRange(tasks_for(places.sparkSession, size), "file", "offset").sortWithinPartitions("file", "offset")
 
 
 def metadata(places: DataFrame) -> DataFrame:
-    """digest, width, height, media_bytes: a read of HEADER bytes a payload."""
+    """places with width and height: a read of HEADER bytes a payload, and of nothing else."""
+    own = places.schema.fields
 
     def run(batches):
         import pyarrow as pa
@@ -135,19 +143,21 @@ def metadata(places: DataFrame) -> DataFrame:
         for b in batches:
             rows = b.to_pylist()
             heads = [header_of(source.read(r["file"], r["offset"], HEADER)) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r["digest"] for r in rows], pa.string()), *(pa.array([h[k] for h in heads], pa.int64()) for k in (0, 1)), pa.array([r["length"] for r in rows], pa.int64())], names=["digest", "width", "height", "media_bytes"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([h[k] for h in heads], pa.int64()) for k in (0, 1))], names=[f.name for f in own] + ["width", "height"])
         source.close()
 
-    return placed(places).mapInArrow(run, "digest string, width long, height long, media_bytes long")
+    # a read of a header costs about what 4 KiB of payload do
+    return placed(places, F.lit(4096)).mapInArrow(run, T.StructType([*own, *T.StructType.fromDDL("width long, height long").fields]))
 
 
-FEATURES = "n_bytes long, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string"
+FEATURES = "n_bytes long, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def features(places: DataFrame) -> DataFrame:
-    """places (digest, file, offset, length) with metadata by a header read and what the payload, read back, gives.
+    """places with metadata() and with what their payloads, read back whole, give.
 
-    The payload's SHA-256 is checked against the digest, so that is the digest read back, too.
+    The payload's SHA-256 is checked against the digest, so that is the digest read back, too; its size against width and
+    height.
     """
     own, made = places.schema.fields, [x.split() for x in FEATURES.split(", ")]
 
@@ -161,25 +171,28 @@ def features(places: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for r in b.to_pylist():
-                width, height = header_of(source.read(r["file"], r["offset"], HEADER))
                 media = source.read(r["file"], r["offset"], r["length"])
                 payload = from_png(media)
-                if len(payload) != width * height or hashlib.sha256(payload).hexdigest() != r["digest"]:
+                if len(payload) != r["width"] * r["height"] or hashlib.sha256(payload).hexdigest() != r["digest"]:
                     raise ValueError(f"damaged payload {r['digest']}")
-                out.append((len(payload.rstrip(b"\xff")), len(payload), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), width, height, feature_of(payload)))
+                out.append((len(payload.rstrip(b"\xff")), len(payload), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload)))
             columns = list(zip(*out, strict=True)) if out else [[]] * len(made)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64() if t == "long" else pa.string()) for c, (_, t) in zip(columns, made, strict=True))], names=[f.name for f in own] + [n for n, _ in made])
         source.close()
 
-    return placed(places).mapInArrow(run, T.StructType([*own, *T.StructType.fromDDL(FEATURES).fields]))
+    return placed(places, F.col("length")).mapInArrow(run, T.StructType([*own, *T.StructType.fromDDL(FEATURES).fields]))
 
 
 def media(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, digest (of the payload), file, offset, length and features().
+    """docs (doc_id, text, ...) -> doc_id, digest (of the payload), file, offset, length, metadata() and features().
 
-    Each input row gives one row; rows of equal texts have equal values. A null text is an empty one, whose payload
+    Two passes over the stored bytes: headers fill width and height, then whole reads give features. Each input row gives one row; rows of equal texts have equal values. A null text is an empty one, whose payload
     is WIDTH bytes 255.
     """
     rows = store(docs, folder)
-    known = stored(features(stored(catalogue(rows), "media-places")), "media-known")
+    places = stored(catalogue(rows), "media-places")
+    headed = stored(metadata(places), "media-headers")
+    known = stored(features(headed), "media-known")
+    drop(places)
+    drop(headed)
     return rows.select("doc_id", "digest").join(known, "digest")
