@@ -57,12 +57,16 @@ def shard(docs: DataFrame, limit: int = 1 << 20) -> DataFrame:
     d = stored(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_bits().alias("h")), "shard-docs")
     by_hash = d.groupBy("h").agg(F.sum("n_bytes").alias("bytes"))
     leaves = directory(by_hash, limit)
-    depths = [r.depth for r in leaves.select("depth").distinct().collect()]
-    key = lambda depth: F.shiftright("h", DEPTH - depth)
-    # a leaf's key: its depth and prefix; a row probes the depths there are, at most DEPTH + 1
-    probe = F.array(*[F.struct(F.lit(k).alias("depth"), key(k).alias("prefix")) for k in sorted(depths)]) if depths else F.array().cast("array<struct<depth:int,prefix:bigint>>")
     leaves = leaves.withColumn("overflow", F.col("bytes") > limit)
-    rows = d.withColumn("p", F.explode(probe)).select("doc_id", "n_bytes", "p.depth", "p.prefix").join(small(leaves), ["depth", "prefix"])
+    # a row looks into one slot of the directory: its first `top` bits. Deeper leaves lie in one slot, shallower in several,
+    # at most 2**8; hashes are even, so a slot holds few leaves
+    r = leaves.agg(F.min("depth").alias("least"), F.percentile_approx("depth", 0.5).alias("middle")).first()
+    top = 0 if r.least is None else max(r.least, r.middle - 8)
+    first = F.expr(f"if(depth <= {top}, shiftleft(prefix, {top} - depth), shiftright(prefix, depth - {top}))")
+    last = F.expr(f"if(depth <= {top}, shiftleft(prefix + 1, {top} - depth) - 1, shiftright(prefix, depth - {top}))")
+    slots = stored(leaves.withColumn("slot", F.explode(F.sequence(first, last))), "shard-slots")
+    own = F.expr(f"shiftright(h, {DEPTH} - depth) = prefix")
+    rows = d.withColumn("slot", F.shiftright("h", DEPTH - top)).join(small(slots).withColumnRenamed("slot", "at"), (F.col("slot") == F.col("at")) & own)
     bits = F.when(F.col("depth") == 0, "").otherwise(F.expr("right(lpad(bin(prefix), 60, '0'), depth)"))
     rows = rows.select("doc_id", "n_bytes", "depth", bits.alias("shard"), F.col("bytes").alias("shard_bytes"), "overflow")
     return rows.where("not overflow").drop("overflow").unionByName(pages(rows.where("overflow").drop("overflow"), limit))
