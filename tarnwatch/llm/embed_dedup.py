@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tarnwatch.llm.common import connected_components, small, stored, with_columns
 
-#: Vectors of a label in one block; a tile is two blocks.
-BLOCK, STRIP = 2048, 256
+#: Vectors of a label in one block, or as many as make VALUES numbers; a tile is two blocks.
+BLOCK, VALUES, STRIP = 2048, 1 << 19, 256
 SEED = 20240601
 _rotations: dict = {}
 
@@ -127,7 +127,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     nodes = with_columns(nodes, "embedding", encode, "code binary, factor double", keep_column=True)
     # written first, so that the ids that the rows get are kept
     nodes = stored(stored(nodes, "embed-codes").withColumn("node", F.monotonically_increasing_id()).withColumn("d", F.size("embedding")), "embed-nodes")
-    blocks = small(stored(nodes.groupBy("label", "d").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "embed-blocks"))
+    blocks = small(stored(nodes.groupBy("label", "d").agg(F.ceil(F.count("*") / F.greatest(F.lit(BLOCK), F.floor(VALUES / F.col("d")))).cast("int").alias("blocks")), "embed-blocks"))
     dealt = nodes.join(blocks, ["label", "d"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
