@@ -28,8 +28,6 @@ MOST_L = 4
 VERIFY = 0.02
 #: A token of more documents than this (by the sketch, above its mean) is hot: its rows are never gathered by token.
 HOT = 1000
-#: Most ids to broadcast, 8 MB of them.
-IDS = 1_000_000
 
 
 def shingle_sets(texts, k: int = K):
@@ -130,8 +128,8 @@ def signatures(docs: DataFrame, percent: int, k: int = K) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int = K) -> DataFrame:
-    """(id, tokens) of the documents whose doc_id is among ids (id); texts move only if the ids are beyond IDS."""
-    ids = small(stored(ids.withColumnRenamed("id", "doc_id"), "ngram-ids"), IDS)
+    """(id, tokens) of the documents whose doc_id is among ids (id); texts move only if small() does not broadcast the ids."""
+    ids = small(stored(ids.withColumnRenamed("id", "doc_id"), "ngram-ids"))
     rows = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     sets = with_columns(rows.select(F.col("doc_id").alias("id"), "text"), "text", lambda texts: [[t.astype(np.int64) for _, t in shingle_sets(texts, k)]], "tokens array<long>")
     return stored(sets, "ngram-sets")
@@ -189,18 +187,39 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = 80, k: int = K) -> D
         more = verified(docs, shared_enough(near.select(F.col("end.id").alias("a"), F.col("x.id").alias("b"), F.least("end.l", "x.l").alias("least"))), percent, k)
         found = more if found is None else stored(found.unionByName(more), "ngram-links")
         comp = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        comp = small(stored(comp, "ngram-comp"), IDS // 2)
+        comp = small(stored(comp, "ngram-comp"))
         in_comp = posts.select("token", "hot", "x", F.col("x.id").alias("id")).join(comp, "id", "left").select("token", "hot", "x", F.coalesce("root", "id").alias("comp"))
         spans = beside(in_comp, {"lo": F.min("comp"), "hi": F.max("comp"), "end": F.max("x")}).where("lo <> hi")
         done, posts = posts, stored(spans.select("token", "hot", "x", "comp", "end"), "ngram-posts")
         drop(done)
-    left = posts.select("token", "x", F.col("comp").alias("ca"))
-    right = posts.select("token", F.col("x").alias("y"), "comp")
-    met = left.join(right, "token").where((F.col("x.id") < F.col("y.id")) & (F.col("ca") != F.col("comp")) & meets("x", "y", percent))
+    x, y = sides(posts, percent)
+    met = x.join(y, ["token", "class", "salt"]).where((F.col("ca") != F.col("cb")) & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & meets("x", "y", percent))
     pairs = shared_enough(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.least("x.l", "y.l").alias("least")))
     return stored(found.unionByName(verified(docs, pairs, percent, k)), "ngram-links")
 
 
+def sides(posts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """posts as (token, class, salt, x, ca) and (token, class, salt, y, cb), so that every pair of one token whose sizes can
+    be similar meets in one row, and no token's rows meet in one task.
+
+    A class holds sizes up to 100 / percent times its least: the larger document stands in its own, the smaller looks into
+    that and the next. A class of a token with more than HOT rows is dealt to salts, and the smaller documents look into all.
+    """
+    import math
+
+    place = F.log(F.col("x.n").cast("double")) / math.log(100 / percent) if percent < 100 else F.col("x.n").cast("double")
+    own = posts.withColumn("class", F.floor(place).cast("int"))
+    large = stored(own.groupBy("token", "class").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select(F.col("token").alias("t2"), F.col("class").alias("c2"), F.ceil(F.col("rows") / HOT).cast("int").alias("salts")), "ngram-large")
+    none = large.isEmpty()
+    large = small(large)
+    salts = lambda d: d.withColumn("salts", F.lit(1)) if none else d.join(large, (F.col("token") == F.col("t2")) & (F.col("class") == F.col("c2")), "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    y = salts(own).select("token", "class", F.pmod(F.xxhash64("x.id"), F.col("salts")).cast("int").alias("salt"), F.col("x").alias("y"), F.col("comp").alias("cb"))
+    # the margin covers a logarithm's last bits: a row too many looks in vain
+    looks = posts.withColumn("class", F.explode(F.sequence(F.floor(place - 1e-9).cast("int"), F.floor(place + 1 + 1e-9).cast("int"))))
+    x = salts(looks).select("token", "class", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "x", F.col("comp").alias("ca"))
+    return x, y
+
+
 def ngram_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id.
 
@@ -212,9 +231,9 @@ def ngram_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
     nodes = stored(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id")), "ngram-nodes")
     # of equal sets the least doc_id stands for all; the others' prefixes stay where they are
     held = signed.where("n > 0 and doc_id is not null").select("node", "doc_id", "n", "l", "prefix", "hot")
-    repeated = small(stored(held.groupBy("doc_id").count().where("count > 1").select("doc_id"), "ngram-repeated"), IDS)
+    repeated = small(stored(held.groupBy("doc_id").count().where("count > 1").select("doc_id"), "ngram-repeated"))
     copies = held.select("node", "doc_id").join(nodes, "node").where("doc_id <> id").select("doc_id").distinct().join(repeated, "doc_id", "left_anti")
-    copies = small(stored(copies, "ngram-copies"), IDS)
+    copies = small(stored(copies, "ngram-copies"))
     once = held.join(repeated, "doc_id", "left_anti").join(copies, "doc_id", "left_anti")
     again = held.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "node").agg(*[F.first(c).alias(c) for c in ("n", "l", "prefix", "hot")])
     shown = once.unionByName(again).select(F.col("doc_id").alias("id"), "n", "l", "prefix", "hot")
