@@ -82,6 +82,29 @@ def test_media_round_trip(spark):
     assert media.media(d.where("false")).count() == 0
 
 
+def test_a_task_that_forgets_payloads_keeps_one_place(spark, monkeypatch):
+    monkeypatch.setattr(media, "SEEN", 2)
+    d = spark.createDataFrame([(i, f"text {i % 5}", "") for i in range(40)], DOCS).coalesce(1)
+    rows = media.store(d)
+    assert rows.select("file", "offset").distinct().count() > 5 == media.catalogue(rows).count()
+    out = media.media(d).collect()
+    assert len(out) == 40 and len({(r.digest, r.file, r.offset) for r in out}) == 5
+
+
+def test_repeated_page_ids_have_names_of_their_own(spark):
+    rows = [(1, "u", "<p>a</p>", None)] * 3 + [(2, "u", "<p>b</p>", None), (None, "u", "x", None), (None, "u", "y", None), (5, None, "<p>a</p>", None), (-7, "u", "<p>a</p>", None)]
+    index = warc.write(spark.createDataFrame(rows, PAGES))
+    names = []
+    for r in index.collect():
+        with open(r.file.removeprefix("file://"), "rb") as f:
+            f.seek(r.offset)
+            names.append(re.search(rb"WARC-Record-ID: <(.*?)>", gzip.decompress(f.read(r.length)))[1])
+    assert len(set(names)) == len(rows)
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read(index).collect()), key=str)
+    want = [(1, "revisit", 5)] * 3 + [(2, "response", None), (None, "response", None), (None, "response", None), (5, "response", None), (-7, "revisit", 5)]
+    assert got == sorted(want, key=str)
+
+
 def test_header_reads_give_metadata(spark):
     d = spark.createDataFrame([(1, "x" * 1000, "")], DOCS)
     r = media.metadata(media.catalogue(media.store(d))).first()
@@ -269,6 +292,7 @@ def test_tiles_agree_with_one_block(spark, monkeypatch):
     t = spark.createDataFrame(vectors(3), "vec_id long, embedding array<float>, label int")
     one = sorted(map(str, embed_dedup.embedding_dedup(t).collect()))
     monkeypatch.setattr(embed_dedup, "BLOCK", 7)
+    monkeypatch.setattr(embed_dedup, "VALUES", 1)
     assert sorted(map(str, embed_dedup.embedding_dedup(t).collect())) == one
 
 

@@ -147,6 +147,22 @@ def test_hot_tokens_give_the_same_links(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == components(rows)
 
 
+def test_classes_and_salts_meet_every_pair_once(spark, monkeypatch):
+    rng = random.Random(13)
+    sizes = [rng.choice([1, 4, 5, 8, 10, 12, 15, 100, 125, 126]) for _ in range(60)]
+    rows = [(t, False, (i, n, 1, 1), i, None) for i, n in enumerate(sizes) for t in (1, 2)]
+    ddl = "token long, hot boolean, x struct<id:long,n:int,l:int,pos:int>, comp long, end string"
+    posts = spark.createDataFrame(rows, ddl)
+    for hot in (1000, 2):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        x, y = ngram_join.sides(posts, 80)
+        met = x.join(y, ["token", "class", "salt"]).where(F.struct("x.n", "x.id") < F.struct("y.n", "y.id")).select("token", "x.id", F.col("y.id").alias("j"), "x.n", F.col("y.n").alias("m")).collect()
+        got = [(r.token, r.id, r.j) for r in met if 100 * r.n >= 80 * r.m]
+        size = dict(enumerate(sizes))
+        want = {(t, i, j) for t in (1, 2) for i in size for j in size if (size[i], i) < (size[j], j) and 100 * size[i] >= 80 * size[j]}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_join_of_one_doc_id_with_two_texts(spark):
     a, b = " ".join(WORDS), " ".join(reversed(WORDS))
     rows = [(1, a, "s"), (5, a, "s"), (5, b, "s"), (9, b, "s")]
