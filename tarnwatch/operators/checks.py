@@ -63,6 +63,19 @@ def singletons(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(df.groupBy(*keys).count().where("count = 1").drop("count"), keys, "left_semi")
 
 
+def run_status(log: DataFrame, stage: str = "stage", line: str = "line", n: str = "n") -> DataFrame:
+    """(stage, status) of a run's log (stage, n, line): what follows [STATUS] in the last such line, UNKNOWN without one."""
+    said = F.when(F.col(line).startswith("[STATUS]"), F.struct(F.col(n), F.trim(F.substring(line, 9, 1000)).alias("s")))
+    return log.groupBy(stage).agg(F.coalesce(F.max(said)["s"], F.lit("UNKNOWN")).alias("status"))
+
+
+def completion(statuses: DataFrame, by: list[str], stage: str = "stage", status: str = "status") -> DataFrame:
+    """(by, complete): whether DEM, any time source, quality control and the leakage test came out well."""
+    well = F.col(status).isin("SUCCESS", "PARTIAL")
+    has = lambda *names: F.coalesce(F.bool_or(well & F.col(stage).isin(*names)), F.lit(False))
+    return statuses.groupBy(*by).agg((has("dem") & has("era5", "sentinel2", "modis", "gpm") & has("quality_control") & has("leakage_test")).alias("complete"))
+
+
 def stage_result(statuses: list[str]) -> str:
     """Of a stage's reported statuses the last; UNKNOWN without any."""
     return statuses[-1] if statuses else "UNKNOWN"

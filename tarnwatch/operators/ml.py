@@ -1,5 +1,7 @@
 """A thin learning layer over pyspark.ml: imputation, scaling, models, oversampling, importance, domain classifiers."""
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from tarnwatch.functions.ranges import percentiles
 from tarnwatch.functions.storage import stored
 from tarnwatch.operators.metrics import balanced_mean, ranking
-from tarnwatch.operators.shift import long
+from tarnwatch.operators.shift import long, present_columns
 
 
 def impute_values(train: DataFrame, features: list[str], how: str = "median") -> dict[str, float]:
@@ -83,6 +85,172 @@ def coefficient_importance(model, features: list[str]) -> list[tuple[str, float]
     return sorted(zip(features, map(float, v), strict=True), key=lambda x: (-x[1], x[0]))
 
 
+def nodes_of(tree) -> list:
+    """A fitted tree's leaves: (value, {feature: (low, high, share)}), the path's bounds low < x <= high of a feature and the
+    share of rows that its splits pass on."""
+    out, todo = [], [(tree._call_java("rootNode"), {})]
+    while todo:
+        node, path = todo.pop()
+        if "LeafNode" in node.getClass().getName():
+            out.append((float(node.prediction()), path))
+            continue
+        f, at, n = int(node.split().featureIndex()), float(node.split().threshold()), float(node.impurityStats().count())
+        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+        for child, own in ((node.leftChild(), (low, min(high, at))), (node.rightChild(), (max(low, at), high))):
+            todo.append((child, path | {f: (*own, share * float(child.impurityStats().count()) / n)}))
+    return out
+
+
+def ensemble(model) -> tuple[list, list]:
+    """(weight and leaves of each tree) of a boosted model."""
+    return list(map(float, model.treeWeights)), [nodes_of(t) for t in model.trees]
+
+
+def shap_of(x, weights: list, trees: list):
+    """(values, base): exact Shapley values of a tree ensemble's sum, path-dependent, for each row and feature.
+
+    A leaf's game is a product over the few features of its path: with a feature known, whether the row passes its splits;
+    unknown, the share of rows that do. So a leaf needs the subsets of its path's features only.
+    """
+    from itertools import combinations
+    from math import factorial
+
+    out, base = np.zeros(x.shape), 0.0
+    for weight, leaves_ in zip(weights, trees, strict=True):
+        for value, path in leaves_:
+            fs = list(path)
+            passes = {f: ((x[:, f] > path[f][0]) & (x[:, f] <= path[f][1])).astype(float) for f in fs}
+            base += weight * value * float(np.prod([path[f][2] for f in fs]))
+            for f in fs:
+                rest, total = [g for g in fs if g != f], np.zeros(len(x))
+                for n in range(len(rest) + 1):
+                    share = factorial(n) * factorial(len(rest) - n) / factorial(len(fs))
+                    for known in combinations(rest, n):
+                        term = np.full(len(x), share)
+                        for g in rest:
+                            term *= passes[g] if g in known else path[g][2]
+                        total += term
+                out[:, f] += weight * value * total * (passes[f] - path[f][2])
+    return out, base
+
+
+def shap(df: DataFrame, model, features: list[str]) -> DataFrame:
+    """df (features without NULLs) plus shap, an array of each feature's value, and margin, base plus their sum.
+
+    Boosted trees: exact and path-dependent. Linear models: coefficient times distance from the mean of df.
+    """
+    if hasattr(model, "coefficients"):
+        means = df.agg(*[F.avg(f).alias(f) for f in features]).first()
+        parts = [F.lit(float(c)) * (F.col(f) - F.lit(means[f])) for f, c in zip(features, model.coefficients, strict=True)]
+        base = float(model.intercept) + sum(float(c) * means[f] for f, c in zip(features, model.coefficients, strict=True))
+        return df.withColumn("shap", F.array(*parts)).withColumn("margin", F.aggregate("shap", F.lit(base), lambda s, v: s + v))
+    weights, trees = ensemble(model)
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", shap array<double>, margin double"
+
+    def run(batches):
+        for t in batches:
+            values, base = shap_of(t[features].to_numpy(float), weights, trees)
+            yield t.assign(shap=list(values), margin=base + values.sum(1))
+
+    return df.mapInPandas(run, schema)
+
+
+def mean_abs_shap(df: DataFrame, model, features: list[str]) -> DataFrame:
+    """(feature, mean_abs_shap)"""
+    s = shap(df.select(*features), model, features)
+    return s.agg(*[F.avg(F.abs(F.col("shap")[i])).alias(f) for i, f in enumerate(features)]).unpivot([], features, "feature", "mean_abs_shap")
+
+
+def configurations(depths=(2, 3, 4), rates=(0.03, 0.05, 0.1), trees=(100, 200, 400)) -> list[dict]:
+    """The models of a search, in the order in which ties are settled: two linear ones, two boosted with defaults, and a
+    boosted one for each depth, rate and number of trees."""
+    out = [dict(model_name=f"LogisticRegression{b}", kind="logistic", balanced=bool(b), complexity=1, settings={"reg": 1e-3}) for b in ("", "_Balanced")]
+    out += [dict(model_name=f"HistGB{b}", kind="boosted", balanced=bool(b), complexity=2, settings={"trees": 100, "depth": 5, "rate": 0.1}) for b in ("", "_Balanced")]
+    return out + [dict(model_name=f"XGB_d{d}_lr{r}_n{n}", kind="boosted", balanced=False, complexity=3, settings={"depth": d, "rate": r, "trees": n}) for d in depths for r in rates for n in trees]
+
+
+def fitted(train: DataFrame, test: DataFrame, features: list[str], y: str, config: dict, oversample: bool) -> DataFrame | None:
+    """test scored by one configuration, imputed and scaled by train alone; no balanced model on oversampled rows."""
+    if oversample and config["balanced"]:
+        return None
+    own = present_columns(train, features)
+    if not own:
+        return None
+    values = impute_values(train, own, "mean")
+    scales = scale_values(impute(train, values), own)
+    ready = lambda t: standardise(impute(t, values), scales)
+    a, b = ready(train), ready(test)
+    a = smote(a, own, y) if oversample else a
+    return fit_predict(a, b, own, y, config["kind"], config["balanced"], **config["settings"])[0]
+
+
+def search(df: DataFrame, features: list[str], configs: list[dict], group: str = "cv_group_id", y: str = "true_label", oversample: bool = False, folds: int = 3, thresholds=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), workers: int = 4) -> tuple[DataFrame, list[dict]]:
+    """(out-of-fold predictions, the choice of each fold): nested cross-validation over groups.
+
+    Each group with a positive is held out once. On the others, inner folds of whole groups score every configuration; the
+    best by choose() is fitted again and scores the group held out. Fits of one fold run side by side; the training rows are
+    a written table, and only metrics reach the driver.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tarnwatch.operators import metrics, splits
+
+    df = stored(df, "search")
+    out, chosen = None, []
+    for held in splits.group_folds(df, group, y, group).orderBy("fold").collect():
+        train, test = df.where(F.col(group) != F.lit(held.fold)), df.where(F.col(group) == F.lit(held.fold))
+        inner = splits.stratified_groups(train, group, y, folds)
+        if inner is None:
+            continue
+        inner = stored(inner.withColumnRenamed("fold", "_inner"), "search-inner")
+        names = [r[0] for r in inner.select("_inner").distinct().orderBy("_inner").collect()]
+
+        def score(config, inner=inner, names=names):
+            parts = [fitted(inner.where(F.col("_inner") != k), inner.where(F.col("_inner") == k), features, y, config, oversample) for k in names]
+            if any(p is None for p in parts):
+                return None
+            p = stored(reduce(DataFrame.unionByName, [x.select(y, "predicted_probability") for x in parts]), "search-scores")
+            best, r = metrics.threshold_sweep(p, [], thresholds, y).first(), metrics.ranking(p, [], y).first()
+            m = metrics.rates(metrics.confusion(p, [], y, threshold=best.threshold)).first()
+            return config | {"threshold": best.threshold, "pr_auc": r.pr_auc or 0.0, "f1": m.f1, "recall": m.recall}
+
+        with ThreadPoolExecutor(workers) as pool:
+            scored = [s for s in pool.map(score, configs) if s is not None]
+        best = choose(scored)
+        if best is None:
+            continue
+        chosen.append({"fold": held.fold} | best)
+        p = fitted(train, test, features, y, best, oversample).select(F.col(group).alias("fold"), F.lit(best["model_name"]).alias("model_name"), y, "predicted_probability", F.lit(float(best["threshold"])).alias("threshold"))
+        p = stored(p, "search-out")
+        out = p if out is None else out.unionByName(p)
+    return out, chosen
+
+
+def holdout_gate(df: DataFrame, region: str, home: list[str], away: list[str], unit: str = "lake_uid", y: str = "true_label", least: int = 5) -> DataFrame:
+    """(direction, train_units, test_units, eligible): units with a positive on either side; a transfer needs `least` on both."""
+    positive = F.col(y) == 1
+    n = df.agg(*[F.countDistinct(F.when(positive & F.col(region).isin(*side), F.col(unit))).alias(k) for k, side in (("home", home), ("away", away))])
+    ok = (F.col("home") >= least) & (F.col("away") >= least)
+    rows = F.array(F.struct(F.lit("forward").alias("direction"), F.col("home").alias("train_units"), F.col("away").alias("test_units"), ok.alias("eligible")), F.struct(F.lit("reverse").alias("direction"), F.col("away").alias("train_units"), F.col("home").alias("test_units"), ok.alias("eligible")))
+    return n.select(F.inline(rows))
+
+
+def transfer(df: DataFrame, features: list[str], region: str, home: list[str], away: list[str], unit: str = "lake_uid", y: str = "true_label", least: int = 5) -> DataFrame | None:
+    """(direction, fold counts and rankings) of a balanced linear model trained at home and tested away, and the reverse;
+    None where holdout_gate() closes."""
+    from tarnwatch.operators import metrics
+
+    if not holdout_gate(df, region, home, away, unit, y, least).first().eligible:
+        return None
+    out = None
+    for name, a, b in (("forward", home, away), ("reverse", away, home)):
+        scored = fitted(df.where(F.col(region).isin(*a)), df.where(F.col(region).isin(*b)), features, y, configurations()[1], False)
+        p = scored.select(F.lit(name).alias("direction"), y, "predicted_probability")
+        out = p if out is None else out.unionByName(p)
+    out = stored(out, "transfer")
+    return metrics.confusion(out, ["direction"], y, threshold=0.5).join(metrics.ranking(out, ["direction"], y), "direction")
+
+
 def permutation_importance(predict, df: DataFrame, features: list[str], y: str = "true_label", seed: int = 42) -> list[tuple[str, float]]:
     """Fall of the ROC-AUC when a feature's values change rows. Ranks join shuffled to sorted rows within hash groups."""
     base = ranking(predict(df), [], y).first().roc_auc

@@ -23,6 +23,13 @@ def scene_quality(valid_fraction="valid_pixel_fraction") -> Column:
     return F.when(col(valid_fraction) > 0.8, "good").otherwise("acceptable")
 
 
+def in_dates(ts, start: str, end: str) -> Column:
+    """From the start of the first day to the last second of the last."""
+    first = F.lit(start).cast("timestamp_ntz")
+    last = F.timestamp_add("SECOND", F.lit(-1), F.timestamp_add("DAY", F.lit(1), F.lit(end).cast("timestamp_ntz")))
+    return col(ts).between(first, last)
+
+
 def usable_scene(cloud="cloud_cover", valid_pixels="valid_pixels", most_cloud: float = 0.5) -> Column:
     return (col(cloud) <= most_cloud * 100) & (col(valid_pixels) >= 20)
 

@@ -57,6 +57,11 @@ def present_columns(df: DataFrame, features: list[str]) -> list[str]:
     return [f for f in features if n[f]]
 
 
+def columns_like(columns: list[str], prefixes: tuple = (), parts: tuple = ()) -> list[str]:
+    """The columns that begin with one of the prefixes or hold one of the parts, in their order."""
+    return [c for c in columns if c.startswith(tuple(prefixes)) or any(p in c for p in parts)]
+
+
 def domain_profile(df: DataFrame, domains: dict[str, list[str]], region: str, unit: str, y: str, features: list[str]) -> DataFrame:
     """Rows, units, positives, controls and mean missingness; a row counts in every domain that has its region."""
     member = F.explode(F.array_compact(F.array(*[F.when(F.col(region).isin(*m), F.lit(d)) for d, m in domains.items()])))

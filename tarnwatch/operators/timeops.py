@@ -19,14 +19,21 @@ def daily(start: Column, end: Column) -> Column:
 
 
 def reference_grid(entities: DataFrame, start: Column, end: Column, key: str = "lake_uid", ts: str = "reference_timestamp") -> DataFrame:
-    """A row an entity and day. start and end are literals or columns of `entities`."""
-    return entities.select(key, F.explode(daily(start, end)).alias(ts)).distinct()
+    """A row an entity and day. start and end are literals or columns of `entities`; spans of one entity are joined."""
+    return days_of(entities.select(key, start.alias("_from"), end.alias("_to")), key, ts)
+
+
+def days_of(spans: DataFrame, key: str, ts: str) -> DataFrame:
+    """(key, ts): the days of any of a key's spans (key, _from, _to), each once. Spans are shuffled, not days."""
+    own = spans.where("_from <= _to").groupBy(key).agg(F.collect_set(F.struct("_from", "_to")).alias("_spans"))
+    days = F.array_distinct(F.flatten(F.transform("_spans", lambda s: daily(s["_from"], s["_to"]))))
+    return own.select(key, F.explode(days).alias(ts))
 
 
 def event_grid(events: DataFrame, before: int = 45, after: int = 45, key: str = "lake_uid", at: str = "event_ts", ts: str = "reference_timestamp") -> DataFrame:
     """The union of all days from `before` days before to `after` days after each event of an entity."""
     d = F.to_date(at)
-    return events.where(F.col(at).isNotNull()).select(key, F.explode(daily(F.date_sub(d, before), F.date_add(d, after))).alias(ts)).distinct()
+    return days_of(events.where(F.col(at).isNotNull()).select(key, F.date_sub(d, before).alias("_from"), F.date_add(d, after).alias("_to")), key, ts)
 
 
 def asof(left: DataFrame, sources: dict[str, DataFrame], key: str = "lake_uid", left_ts: str = "reference_timestamp", ts: str = "observation_timestamp", tie: str = "observation_id") -> DataFrame:

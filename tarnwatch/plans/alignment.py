@@ -130,9 +130,14 @@ def b04_merge_idempotent(spark, d):
     return upsert.upsert(once, b, ["id"])
 
 
-@query()
+@query("select count(*) as rows, true as repeats, true as notices from orders")
 def k19_table_digest(spark, d):
-    return upsert.table_digest(S.table(spark, d, "orders"))
+    """The digest of a table is that of the same rows in another order, and not that of changed rows."""
+    o = S.table(spark, d, "orders")
+    a, b = upsert.table_digest(o), upsert.table_digest(o.repartition(7, "o_custkey"))
+    c = upsert.table_digest(o.withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") == 1, 1).otherwise(0)))
+    met = a.join(b.withColumnsRenamed({"rows": "r2", "digest": "d2"}), how="cross").join(c.withColumnsRenamed({"rows": "r3", "digest": "d3"}), how="cross")
+    return met.select("rows", (F.col("digest") == F.col("d2")).alias("repeats"), (F.col("digest") != F.col("d3")).alias("notices"))
 
 
 @query(S.ctes("weather", "f_satellite") + """, w as (select lake_uid, count(*) as n, avg(temperature_2m_c) as m, stddev_samp(temperature_2m_c) as s, avg(precipitation_mm) as p, min(observation_timestamp) as lo, max(observation_timestamp) as hi from weather where temperature_2m_c is not null group by 1),

@@ -132,7 +132,17 @@ def k02_chronological_split(spark, d):
     return splits.chronological(S.table(spark, d, "orders"), "o_orderdate", 1998).groupBy("is_test").agg(F.count("*").alias("rows"))
 
 
-@query()
+# Groups in falling spread of their class counts, each to the fold that keeps the classes' shares most even.
+FOLDS = """g as (select lake_uid, count(*) filter (coalesce(matched_event_id like 'e1%', false)) as pos, count(*) - pos as neg from scores group by 1),
+t as (select greatest(sum(neg), 1) as tn, greatest(sum(pos), 1) as tp from g),
+o as (select *, row_number() over (order by -abs(neg - pos) / 2.0::double, cast(lake_uid as varchar)) as r from g),
+walk as (with recursive w(r, lake_uid, f, ns, ps) as (select 0::bigint, null::bigint, null::int, [0::double, 0, 0], [0::double, 0, 0] union all
+select o.r, o.lake_uid, best.f, list_transform(w.ns, lambda x, i: x + case when i - 1 = best.f then o.neg else 0 end), list_transform(w.ps, lambda x, i: x + case when i - 1 = best.f then o.pos else 0 end)
+from w join o on o.r = w.r + 1, t, lateral (select f from (select cast(f as int) as f, list_transform(w.ns, lambda x, i: (x + case when i - 1 = f then o.neg else 0 end) / t.tn) as a, list_transform(w.ps, lambda x, i: (x + case when i - 1 = f then o.pos else 0 end) / t.tp) as b,
+w.ns[f + 1] + w.ps[f + 1] as size from range(3) v(f)) order by round((list_stddev_pop(a) + list_stddev_pop(b)) / 2, 12), size, f limit 1) best) select lake_uid, f from w where r > 0)"""
+
+
+@query(S.ctes("scores") + ", " + FOLDS + " select f as fold, sum(pos + neg)::bigint as rows, sum(pos)::bigint as positives, count(*) as groups from walk join g using (lake_uid) group by 1")
 def k03_stratified_groups(spark, d):
     s = S.scores(spark, d).drop("fold").withColumn("true_label", F.coalesce(F.col("matched_event_id").like("e1%"), F.lit(False)).cast("int"))
     out = splits.stratified_groups(s, y="true_label")
@@ -254,3 +264,92 @@ def g03_except_dates(spark, d):
 def g04_intersect_groups(spark, d):
     e = S.table(spark, d, "events").where("value > 97")
     return e.where("event_type = 'error'").select("user_id").intersect(e.where("event_type = 'view'").select("user_id"))
+
+
+@query("select s_suppkey::varchar as lake_uid, s_nationkey as country, s_acctbal as elevation_m, s_name as extra from supplier")
+def c01_canonical(spark, d):
+    """Canonical columns first, in their order; others after them."""
+    from tarnwatch.operators import inventory
+
+    s = S.table(spark, d, "supplier").select(F.col("s_name").alias("extra"), F.col("s_acctbal").alias("elevation_m"), F.col("s_nationkey").alias("country"), F.col("s_suppkey").cast("string").alias("lake_uid"))
+    out = inventory.canonical(s)
+    assert out.columns == ["lake_uid", "country", "elevation_m", "extra"]
+    return out
+
+
+@query("select event_type, count(*) as rows, count(*) filter (event_id % 2 = 0) as current, count(*) filter (event_id % 2 <> 0) as cached from events where ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-11 23:59:59' group by 1")
+def c22_date_range(spark, d):
+    from tarnwatch.operators import predicates
+
+    e = S.table(spark, d, "events").withColumn("run_id", (F.col("event_id") % 2).cast("string")).where(predicates.in_dates("ts", "2024-01-05", "2024-01-11"))
+    return e.groupBy("event_type").agg(F.count("*").alias("rows"), F.count_if(F.col("run_id") == "0").alias("current"), F.count_if(F.col("run_id") != "0").alias("cached"))
+
+
+@query("select count(l_quantity) as l_quantity, count(l_shipdate) as l_shipdate, count(l_extendedprice) as l_extendedprice from lineitem")
+def c25_columns_like(spark, d):
+    x = S.table(spark, d, "lineitem")
+    return x.agg(*[F.count(c).alias(c) for c in shift.columns_like(x.columns, ("l_quant", "l_shipd"), ("price",))])
+
+
+@query("select unnest(['l_comment_of_the_future', 'l_quantity']) as name, unnest([false, true]) as forbidden")
+def c27_forbidden_columns(spark, d):
+    x = S.table(spark, d, "lineitem")
+    names = ["l_quantity", "l_comment_of_the_future"]
+    bad = checks.forbidden(x, names)
+    return spark.createDataFrame([(n, n in bad) for n in names], "name string, forbidden boolean")
+
+
+@query("select case when event_id % 3 = 0 then 'temporal' when event_id % 3 = 1 then 'availability' else 'static' end as family, count(*) as rows from events group by 1")
+def c29_feature_families(spark, d):
+    from tarnwatch.operators import predicates
+
+    f = F.element_at(F.array(F.lit("precip_sum_7d"), F.lit("weather_coverage"), F.lit("elevation_m")), (F.col("event_id") % 3 + 1).cast("int"))
+    e = S.table(spark, d, "events").select(f.alias("feature"))
+    return e.groupBy(predicates.family().alias("family")).agg(F.count("*").alias("rows"))
+
+
+@query("select case event_id % 4 when 0 then 3 when 1 then 7 when 2 then 14 else 30 end as horizon_days, count(*) as rows from events where event_type in ('error', 'view') group by 1")
+def c32_validation_rows(spark, d):
+    from tarnwatch.operators import predicates
+
+    h = F.element_at(F.array(*map(F.lit, (3, 7, 14, 30))), (F.col("event_id") % 4 + 1).cast("int"))
+    status = F.when(F.col("event_type") == "error", "POSITIVE").when(F.col("event_type") == "view", "NEGATIVE_ELIGIBLE").otherwise("EVENT_WINDOW_EXCLUDED")
+    e = S.table(spark, d, "events").select(h.alias("horizon_days"), status.alias("label_status"))
+    out = None
+    for n in (3, 7, 14, 30):
+        own = e.where(predicates.cross_validation_rows(n)).groupBy("horizon_days").agg(F.count("*").alias("rows"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("select event_id % 7 as run, case when max(case when event_type = 'error' then event_id end) is null then 'UNKNOWN' else 'S' || (max(case when event_type = 'error' then event_id end) % 5) end as status from events group by 1")
+def i17_run_status(spark, d):
+    """The last status line of each stage's log."""
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("[STATUS] S"), (F.col("event_id") % 5).cast("string"))).otherwise("working")
+    log = S.table(spark, d, "events").select((F.col("event_id") % 7).alias("run"), F.col("event_id").alias("n"), line.alias("line"))
+    return checks.run_status(log, "run")
+
+
+@query("select k as run, k % 2 = 1 and k // 2 % 2 = 1 and k // 4 % 2 = 1 and k // 8 % 2 = 1 as complete from range(16) t(k)")
+def i17_completion(spark, d):
+    """Sixteen runs in which each of four kinds of stage came out well or failed."""
+    stages = ("dem", "modis", "quality_control", "leakage_test")
+    rows = [(k, s, ("PARTIAL" if i else "SUCCESS") if k >> i & 1 else "FAILED") for k in range(16) for i, s in enumerate(stages)]
+    return checks.completion(spark.createDataFrame(rows, "run long, stage string, status string"), ["run"])
+
+
+@query("select c_custkey as id, case when c_custkey % 7 = c_custkey % 5 then round(2.0 * least(3 + c_custkey % 4, 3 + c_custkey % 6) / (6 + c_custkey % 4 + c_custkey % 6), 6)::double else 0 end as ratio from customer")
+def h03_name_similarity(spark, d):
+    """Names of one letter each, of different lengths."""
+    from tarnwatch.operators import resolve
+
+    word = lambda k, n: F.repeat(F.char(97 + F.col("c_custkey") % k), (3 + F.col("c_custkey") % n).cast("int"))
+    c = S.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), word(7, 4).alias("a"), word(5, 6).alias("b"))
+    return c.select("id", F.round(resolve.name_ratio()("a", "b"), 6).alias("ratio"))
+
+
+@query("select o_custkey, count(*) as n, list_sum(list_transform(list_sort(list(o_totalprice)), lambda x: floor(x)))::bigint as floors, max_by(o_orderpriority, o_orderkey) as last from orders group by 1")
+def h11_arrays_and_maps(spark, d):
+    o = S.table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_totalprice")).alias("p"), F.map_from_entries(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("m"))
+    floors = F.aggregate(F.transform("p", lambda x: F.floor(x)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return o.select("o_custkey", F.size("p").cast("long").alias("n"), floors.alias("floors"), F.col("m")[F.array_max(F.map_keys("m"))].alias("last"))

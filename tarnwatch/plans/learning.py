@@ -35,34 +35,74 @@ def fitted(spark, d, kind, **settings):
     return ml.fit_predict(r.where("not test"), r.where("test"), X, kind=kind, **settings)
 
 
-@query()
+# At the optimum the weighted mean of (p - y) x plus the penalty's slope is 0 for every coefficient.
+@query("select unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'intercept']) as feature, true as stationary")
 def k08_logistic(spark, d):
-    return fitted(spark, d, "logistic", balanced=True)[0].select("unit", "true_label", F.round("predicted_probability", 6).alias("p"))
+    r = rows(spark, d)
+    train = r.where("not test")
+    values = ml.impute_values(train, X)
+    scales = ml.scale_values(ml.impute(train, values), X)
+    ready = ml.class_weights(ml.standardise(ml.impute(train, values), scales), "true_label")
+    scored, model = ml.fit_predict(train, train, X, balanced=True)
+    b = dict(zip(X, map(float, model.coefficients), strict=True))
+    z = sum((F.lit(c) * F.col(f) for f, c in b.items()), F.lit(float(model.intercept)))
+    miss = (1 / (1 + F.exp(-z)) - F.col("true_label")) * F.col("weight")
+    slopes = ready.agg(*[(F.sum(miss * F.col(f)) / F.sum("weight") + 1e-3 * b[f]).alias(f) for f in X], (F.sum(miss) / F.sum("weight")).alias("intercept"))
+    return slopes.unpivot([], [*X, "intercept"], "feature", "slope").select("feature", (F.abs("slope") < 1e-3).alias("stationary"))
+
+
+@query(S.ctes("shifted") + ", r as (select case when l_quantity + unit % 10 > 40 then 1 else 0 end as y, unit % 4 = 0 as test from shifted) select count(*) filter (y = 1) as positives, count(*) filter (y = 0) as negatives, true as better_than_chance from r where test")
+def k09_boosted_trees(spark, d):
+    from tarnwatch.operators.metrics import ranking
 
+    scored, _ = fitted(spark, d, "boosted", trees=5)
+    return ranking(scored, []).select("positives", "negatives", (F.col("roc_auc") > 0.6).alias("better_than_chance"))
 
-@query()
-def k09_boosted_trees(spark, d):
-    return fitted(spark, d, "boosted", trees=5)[0].select("unit", "true_label", F.round("predicted_probability", 6).alias("p"))
 
+@query("select 'XGB_d' || d || '_lr' || r || '_n' || n as model_name, 3 as complexity from unnest([2, 3, 4]) a(d), unnest(['0.03', '0.05', '0.1']) b(r), unnest([100, 200, 400]) c(n) union all select unnest(['LogisticRegression', 'LogisticRegression_Balanced', 'HistGB', 'HistGB_Balanced']), unnest([1, 1, 2, 2])")
+def k09_configurations(spark, d):
+    return spark.createDataFrame([(c["model_name"], c["complexity"]) for c in ml.configurations()], "model_name string, complexity int")
 
-@query()
+
+# As many positives as negatives, the new ones between positives.
+@query(S.ctes("shifted") + ", r as (select case when l_quantity + unit % 10 > 40 then 1 else 0 end as true_label from shifted), n as (select count(*) filter (true_label = 1) as p, count(*) filter (true_label = 0) as n from r) select unnest([0, 1]) as true_label, unnest([n, greatest(p, n)]) as rows, true as within from n")
 def k07_smote(spark, d):
-    return ml.smote(rows(spark, d).select(*X[:2], "true_label"), X[:2])
+    r = rows(spark, d).select(*X[:2], "true_label")
+    out = ml.smote(r, X[:2])
+    box = r.where("true_label = 1").agg(*[f(c).alias(f"{n}_{c}") for c in X[:2] for n, f in (("lo", F.min), ("hi", F.max))])
+    inside = [F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in X[:2]]
+    met = out.join(F.broadcast(box), how="cross")
+    return met.groupBy("true_label").agg(F.count("*").alias("rows"), F.bool_and((F.col("true_label") == 0) | (inside[0] & inside[1])).alias("within"))
 
 
-@query()
+# Shapley values of both kinds of models add up to the margin, row by row.
+@query(S.ctes("shifted") + " select unnest(['linear', 'trees']) as model, count(*) filter (unit % 4 = 0) as rows, true as additive from shifted")
 def k17_importance(spark, d):
-    _, model = fitted(spark, d, "logistic")
-    return spark.createDataFrame(ml.coefficient_importance(model, X), "feature string, importance double")
+    from pyspark.ml.functions import vector_to_array
 
-
-@query()
+    r = rows(spark, d)
+    test, out = r.where("test"), None
+    for name, kind in (("linear", "logistic"), ("trees", "boosted")):
+        train = r.where("not test")
+        values = ml.impute_values(train, X)
+        a, b = ml.impute(train, values), ml.impute(test, values)
+        scales = ml.scale_values(a, X)
+        a, b = (ml.standardise(t, scales) for t in (a, b)) if kind == "logistic" else (a, b)
+        model = ml.estimator(kind, False, trees=5).fit(ml.assemble(a.withColumn("label", F.col("true_label").cast("double")), X))
+        raw = model.transform(ml.assemble(b, X)).withColumn("raw", F.get(vector_to_array("rawPrediction"), F.lit(1))).select(*X, "raw")
+        s = ml.shap(raw, model, X).agg(F.count("*").alias("rows"), (F.max(F.abs(F.col("margin") - F.col("raw"))) < 1e-6).alias("additive"))
+        s = s.select(F.lit(name).alias("model"), "rows", "additive")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query(S.ctes("shifted") + ", u as (select unit, max(case when domain = 'R' then 1 else 0 end) as y from shifted group by 1) select count(*) filter (y = 1) as positives, count(*) filter (y = 0) as negatives, true as is_auc from u")
 def k16_domain_classifier(spark, d):
     s = S.shifted(spark, d).withColumn("returned", F.col("domain") == "R").drop("domain")
-    return ml.domain_classifier(s, X, "returned", "unit")
+    return ml.domain_classifier(s, X, "returned", "unit").select("positives", "negatives", F.col("roc_auc").between(0, 1).alias("is_auc"))
 
 
-@query()
+@query(S.ctes("shifted") + ", r as (select domain, case when l_quantity + unit % 10 > 40 then 1 else 0 end as y from shifted) select strategy, domain as fold, count(*) filter (y = 1) as positives, count(*) filter (y = 0) as negatives, true as is_auc from r, unnest(['common_core', 'with_indicators', 'all']) s(strategy) group by all")
 def k22_region_strategies(spark, d):
     core = lambda t, f: [r.feature for r in shift.common_core(t, f, "domain").where("included").orderBy("feature").collect()]
     flags = lambda t: shift.add_missing_flags(t, X)
@@ -70,7 +110,36 @@ def k22_region_strategies(spark, d):
     plans = {"common_core": (core, same), "with_indicators": (lambda t, f: [*core(t, f), "l_discount_missing"], flags), "all": (lambda t, f: shift.present_columns(t, f), same)}
     from tarnwatch.operators.metrics import ranking
 
-    return rounded(ranking(ml.region_strategies(rows(spark, d), X, "domain", "true_label", plans), ["strategy", "fold"]), "roc_auc", "pr_auc")
+    out = ranking(ml.region_strategies(rows(spark, d), X, "domain", "true_label", plans), ["strategy", "fold"])
+    return out.select("strategy", "fold", "positives", "negatives", F.col("roc_auc").between(0, 1).alias("is_auc"))
+
+
+@query(S.ctes("shifted") + ", r as (select domain, unit, case when l_quantity + unit % 10 > 40 then 1 else 0 end as y from shifted), n as (select count(distinct unit) filter (y = 1 and domain = 'A') as h, count(distinct unit) filter (y = 1 and domain in ('N', 'R')) as w from r) select unnest(['forward', 'reverse']) as direction, unnest([h, w]) as train_units, unnest([w, h]) as test_units, unnest([h >= 5 and w >= 5, h >= 5 and w >= 5]) as eligible from n")
+def k20_holdout_gate(spark, d):
+    return ml.holdout_gate(rows(spark, d), "domain", ["A"], ["N", "R"], "unit")
+
+
+@query(S.ctes("shifted") + ", r as (select domain, case when l_quantity + unit % 10 > 40 then 1 else 0 end as y from shifted) select unnest(['forward', 'reverse']) as direction, unnest([count(*) filter (y = 1 and domain <> 'A'), count(*) filter (y = 1 and domain = 'A')]) as positives, unnest([count(*) filter (y = 0 and domain <> 'A'), count(*) filter (y = 0 and domain = 'A')]) as negatives, true as adds_up from r")
+def k20_transfer(spark, d):
+    t = ml.transfer(rows(spark, d), X, "domain", ["A"], ["N", "R"], "unit")
+    return t.select("direction", "positives", "negatives", ((F.col("tp") + F.col("fn") == F.col("positives")) & (F.col("fp") + F.col("tn") == F.col("negatives"))).alias("adds_up"))
+
+
+# The scan over candidates in order: each is held against the best so far.
+CHOICE = """c as (select model_name, fold, count(*) filter (predicted_class = 1 and true_label = 1) as tp, count(*) filter (predicted_class = 1) as said, count(*) filter (true_label = 1) as pos from scores group by all),
+m as (select row_number() over (order by model_name, fold) as r, model_name || fold as name, round(tp / said, 9) as pr, round(2 * tp / (said + pos), 9) as f1, round(tp / pos, 9) as rec, fold as cx from c),
+w as (with recursive w(r, name, pr, f1, rec, cx) as (select r, name, pr, f1, rec, cx from m where r = 1 union all
+select m.r, case when take then m.name else w.name end, case when take then m.pr else w.pr end, case when take then m.f1 else w.f1 end, case when take then m.rec else w.rec end, case when take then m.cx else w.cx end from w join m on m.r = w.r + 1,
+lateral (select case when abs(m.pr - w.pr) > 0.005 then m.pr > w.pr when abs(m.f1 - w.f1) > 0.005 then m.f1 > w.f1 when abs(m.rec - w.rec) > 0.005 then m.rec > w.rec else m.cx < w.cx end as take)) select * from w)"""
+
+
+@query(S.ctes("scores") + ", " + CHOICE + " select name as model_name from w order by r desc limit 1")
+def k14_scanned_choice(spark, d):
+    from tarnwatch.operators.metrics import confusion, rates
+
+    m = rates(confusion(S.scores(spark, d), ["model_name", "fold"], threshold=0.5)).orderBy("model_name", "fold").collect()
+    best = ml.choose([{"name": f"{r.model_name}{r.fold}", "pr_auc": round(r.precision, 9), "f1": round(r.f1, 9), "recall": round(r.recall, 9), "complexity": r.fold} for r in m])
+    return spark.createDataFrame([(best["name"],)], "model_name string")
 
 
 @query()

@@ -167,6 +167,16 @@ def to_wkb():
     return wkb
 
 
+def write_geoparquet(df: DataFrame, path: str, polygon: str = "polygon") -> None:
+    """Parquet with the polygon as WKB in a `geometry` column."""
+    df.withColumn("geometry", to_wkb()(polygon)).drop(polygon).write.mode("overwrite").parquet(path)
+
+
+def geoparquet(spark: SparkSession, path: str, geometry: str = "geometry", polygon: str = "polygon") -> DataFrame:
+    """A GeoParquet table with its WKB column as rings; other columns pass as they are."""
+    return spark.read.parquet(path).withColumn(polygon, wkb_rings()(geometry)).drop(geometry)
+
+
 def write_geojson(df: DataFrame, path: str, geometry: str = "geometry_json", keep=None) -> None:
     """A FeatureCollection in one file; keep: the rows to write (unrepairable ones stay out)."""
     rows = df if keep is None else df.where(keep)
@@ -178,12 +188,11 @@ def write_geojson(df: DataFrame, path: str, geometry: str = "geometry_json", kee
         f.write("]}")
 
 
-def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
-    """A metrics table as Markdown."""
-    rows = df.limit(most).collect()
+def markdown(df: DataFrame, title: str) -> str:
+    """A metrics table as Markdown, all of its rows, fetched a partition at a time."""
     out = io.StringIO()
     out.write(f"# {title}\n\n|{'|'.join(df.columns)}|\n|{'|'.join('-' for _ in df.columns)}|\n")
-    for r in rows:
+    for r in df.toLocalIterator():
         out.write(f"|{'|'.join('' if v is None else str(v) for v in r)}|\n")
     return out.getvalue()
 
