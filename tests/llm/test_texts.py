@@ -350,6 +350,32 @@ def test_pack_fills_batches(spark):
 
 
 
+def test_join_equals_the_exact_script(spark):
+    import os
+
+    from tests.llm import exact_join
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        return
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    want, _ = exact_join.exact([r.doc_id for r in rows], [r.text for r in rows])
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect()) == sorted(want)
+
+
+def test_rows_without_id_fill_pages(spark):
+    """A third of the rows share one bucket: no id."""
+    rng = random.Random(3)
+    rows = [(None, "x" * rng.choice([10, 30, 250]), "s") for _ in range(300)] + [(i, "y" * 20, "s") for i in range(600)]
+    out = sharding.shard(table(spark, rows), 200).collect()
+    size, of = {}, {}
+    for r in out:
+        size[r.shard] = size.get(r.shard, 0) + r.n_bytes
+        of.setdefault(r.shard, []).append(r.n_bytes)
+    assert len(out) == len(rows) and all(n <= 200 or of[s] == [250] for s, n in size.items()) and all(size[r.shard] == r.shard_bytes for r in out)
+
+
 def test_shards_fit_and_split_only_when_needed(spark):
     rng = random.Random(9)
     rows = [(i, "x" * rng.randrange(0, 300), "s") for i in range(800)] + [(9000, "y" * 5000, "s"), (9001, None, "s")] + [(42_000, "z" * 400, "s")] * 10
