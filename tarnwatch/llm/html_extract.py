@@ -197,12 +197,12 @@ def subtree_keys(text) -> list[dict]:
     a hash of the article's text, and the sizes of its text, of links in it, and of the page's.
     """
     top = tree(text or "")
-    main = roots(top)
+    main, order = roots(top), list(walk(top))
     whole = main[0] is top
-    sums, every = contents(main), {id(n) for r in main for n in walk(r)}
+    sums = contents(main)
     total = sum(sums[id(r)] for r in main)
     blank = dict(place=0, size=0, links=0, total=0)
-    out = [blank | dict(kind=NAME, key=name_key(n), rest=0) for n in {n.named for n in walk(top) if n.named and not n.gone and n.size}]
+    out = [blank | dict(kind=NAME, key=name_key(n), rest=0) for n in sorted({n.named for n in order if n.named and not n.gone and n.size})]
     out += [] if whole else [blank | dict(kind=ROOTS, key=ROOT_KEY, rest=0)]
     found = [n for r in main for n in walk(r) if not n.named and countable(n, whole)]
     keys = hashes(main) if found else {}
@@ -211,9 +211,12 @@ def subtree_keys(text) -> list[dict]:
         placed = lambda n: (0, *at[id(n)]) if n.tag not in SINGLE and 2 * n.size <= size else (0,)
         out += [blank | dict(kind=AT_PLACE if p else ANYWHERE, key=k, rest=r, place=p) for k, r, p in sorted({(keys[id(n)], signed(total - sums[id(n)]), p) for n in found for p in placed(n)})]
     # chrome: what is outside of the article roots, or named
-    rest, holding = hashes([top], named=True), around(top, main)
-    out += [blank | dict(kind=ANYWHERE, key=k, rest=signed(total)) for k in sorted({rest[id(n)] for n in walk(top) if countable(n, True) and (n.named or id(n) not in every and id(n) not in holding)} - {keys.get(id(n)) for n in found})]
-    shape = shapes(top, main)
+    holding = around(order, main)
+    outside = [n for n in order if countable(n, True) and (n.named or not whole and id(n) not in sums and id(n) not in holding)]
+    if outside:
+        rest = hashes([top], named=True, order=order)
+        out += [blank | dict(kind=ANYWHERE, key=k, rest=signed(total)) for k in sorted({rest[id(n)] for n in outside} - {keys.get(id(n)) for n in found})]
+    shape = shapes(top, main, order, holding)
     sizes: dict = {}
     for n, key, kind in shape.values():
         s = sizes.setdefault((kind, key), [0, 0])
@@ -224,27 +227,27 @@ def subtree_keys(text) -> list[dict]:
 
 
 def name_key(name: str) -> int:
-    return digest(b"name " + name.encode("utf-8", "replace"))
+    return digest(b"name " + name.encode("utf-8", "replace")) | 1
 
 
-def around(top: Node, main: list) -> set:
-    """id() of the article roots and of all nodes that hold one."""
+def around(order: list, main: list) -> set:
+    """id() of the article roots and of all nodes that hold one; order: all nodes in page order."""
     out = {id(r) for r in main}
-    for n in reversed(list(walk(top))):
+    for n in reversed(order):
         if any(id(c) in out for c in n.parts if isinstance(c, Node)):
             out.add(id(n))
     return out
 
 
-def shapes(top: Node, main: list) -> dict:
+def shapes(top: Node, main: list, order: list, above: set) -> dict:
     """id(node) -> (node, key of its shape and the tags above it, PLAIN or PROSE), of containers outside of the article.
 
     The article is what its roots hold; on a page without, what lies in a container that has paragraphs or headings of
     its own and at least half of the page's text.
     """
     looks, prose = {}, {}
-    ids, above = {id(r) for r in main if r is not top}, around(top, main)
-    for n in reversed(list(walk(top))):
+    ids = {id(r) for r in main if r is not top}
+    for n in reversed(order):
         own, text, p = set(), any(isinstance(x, str) and not x.isspace() for x in n.parts), n.tag in PARAGRAPHS
         for c in seen(n, named=True):
             if c.tag in INLINE:
@@ -261,7 +264,7 @@ def shapes(top: Node, main: list) -> dict:
         n, path = todo.pop()
         path = digest(b"%s<%s" % (path, n.tag.encode("utf-8", "replace"))).to_bytes(8, "big", signed=True)
         if n is not top and countable(n, False) and id(n) not in above:
-            out[id(n)] = n, digest(path + b"%d" % looks[id(n)][0]), PROSE if prose[id(n)] else PLAIN
+            out[id(n)] = n, digest(path + b"%d" % looks[id(n)][0]) | 1, PROSE if prose[id(n)] else PLAIN
         article = id(n) in ids or not ids and n.size >= half and any(c.tag in PARAGRAPHS for c in seen(n))
         if not article:
             todo += [(c, path) for c in seen(n, named=True)]
@@ -292,20 +295,21 @@ def digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
 
 
-ROOT_KEY = digest(b"roots")
+#: Keys of text are even, all others odd: a page whose host has no key of text needs no hashes of its text.
+ROOT_KEY = digest(b"roots") | 1
 
 
 def signed(n: int) -> int:
     return (n + 2**63) % 2**64 - 2**63
 
 
-def hashes(main: list, named: bool = False) -> dict:
+def hashes(main: list, named: bool = False, order: list | None = None) -> dict:
     """id(node) -> hash of its subtree's tags and text, without what shows no text or, unless those count, is named."""
     out = {}
     for r in main:
-        for n in reversed(list(walk(r))):
+        for n in reversed(order or list(walk(r))):
             parts = [p.encode("utf-8", "replace") if isinstance(p, str) else b"\0%d" % out[id(p)] for p in n.parts if isinstance(p, str) or not p.gone and (named or not p.named)]
-            out[id(n)] = digest(b"\0<".join((n.tag.encode("utf-8", "replace"), *parts)))
+            out[id(n)] = digest(b"\0<".join((n.tag.encode("utf-8", "replace"), *parts))) & ~1
     return out
 
 
@@ -321,11 +325,13 @@ def contents(main: list) -> dict:
 
 def dropped(top: Node, main: list, keys: set) -> set:
     """id() of the nodes whose subtree is template by one of the keys."""
-    whole, names = main[0] is top, {}
-    inner, rest, shape = hashes(main), hashes([top], named=True), shapes(top, main)
-    within, holding = {id(n) for r in main for n in walk(r)}, around(top, main)
+    whole, names, order = main[0] is top, {}, list(walk(top))
+    holding = around(order, main)
+    texts = any(not k & 1 for k in keys)
+    inner, rest = (hashes(main), hashes([top], named=True, order=order)) if texts else ({}, {})
+    shape = shapes(top, main, order, holding)
     out = set()
-    for n in walk(top):
+    for n in order:
         k = id(n)
         if n.named:
             if n.named not in names:
@@ -335,7 +341,9 @@ def dropped(top: Node, main: list, keys: set) -> set:
             gone = False
         if gone or k in shape and shape[k][1] in keys:
             out.add(k)
-        elif k in within and not n.named and countable(n, whole):
+        elif not texts:
+            continue
+        elif k in inner and not n.named and countable(n, whole):
             if inner[k] in keys:
                 out.add(k)
         elif countable(n, True) and rest[k] in keys and (n.named or k not in holding):
