@@ -120,7 +120,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = after
         if same:
             break
-    return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
+        e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
+    )
 
 
 def digest(e: DataFrame) -> tuple:
@@ -158,7 +160,10 @@ def with_columns(df: DataFrame, column: str, fn, ddl: str, keep_column: bool = F
         for b in slices(batches):
             made = fn(b.column(b.schema.get_field_index(column)).to_pylist())
             own = [b.column(b.schema.get_field_index(f.name)) for f in rest]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, t) for x, t in zip(made, types, strict=True))], names=[f.name for f in rest] + [f.name for f in new.fields])
+            yield pa.RecordBatch.from_arrays(
+                [*own, *(pa.array(x, t) for x, t in zip(made, types, strict=True))],
+                names=[f.name for f in rest] + [f.name for f in new.fields],
+            )
 
     return df.mapInArrow(run, T.StructType([*rest, *new.fields]))
 

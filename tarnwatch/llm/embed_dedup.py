@@ -121,25 +121,51 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     and their own vec_id (which may be null) as component. Repeated rows are vectors of their own.
     """
     v = vectors.select("vec_id", "label", "embedding")
-    fit = F.coalesce(F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("embedding", lambda c: c != 0), F.lit(False))
+    fit = F.coalesce(
+        F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("embedding", lambda c: c != 0),
+        F.lit(False),
+    )
     good = v.where(fit & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     nodes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     nodes = with_columns(nodes, "embedding", encode, "code binary, factor double", keep_column=True)
     # written first, so that the ids that the rows get are kept
-    nodes = stored(stored(nodes, "embed-codes").withColumn("node", F.monotonically_increasing_id()).withColumn("d", F.size("embedding")), "embed-nodes")
-    blocks = small(stored(nodes.groupBy("label", "d").agg(F.ceil(F.count("*") / F.greatest(F.lit(BLOCK), F.floor(VALUES / F.col("d")))).cast("int").alias("blocks")), "embed-blocks"))
+    nodes = stored(
+        stored(nodes, "embed-codes").withColumn("node", F.monotonically_increasing_id()).withColumn("d", F.size("embedding")),
+        "embed-nodes",
+    )
+    blocks = small(
+        stored(
+            nodes.groupBy("label", "d").agg(
+                F.ceil(F.count("*") / F.greatest(F.lit(BLOCK), F.floor(VALUES / F.col("d")))).cast("int").alias("blocks")
+            ),
+            "embed-blocks",
+        )
+    )
     dealt = nodes.join(blocks, ["label", "d"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    met = stored(dealt.select("label", "d", "lo", "hi", "block", "node", "embedding", "code", "factor", "copies").groupBy("label", "d", "lo", "hi").applyInPandas(tile(threshold), "node long, weight long, tie long"), "embed-met")
+    met = stored(
+        dealt.select(
+            "label", "d", "lo", "hi", "block", "node", "embedding", "code", "factor", "copies",
+        ).groupBy("label", "d", "lo", "hi").applyInPandas(tile(threshold), "node long, weight long, tie long"),
+        "embed-met",
+    )
     comp = connected_components(met.select(F.col("node").alias("src"), F.col("tie").alias("dst")))
-    roots = nodes.select("node", "id").join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = nodes.select("node", "id").join(
+        comp.withColumnRenamed("id", "node"), "node", "left",
+    ).withColumn("root", F.coalesce("root", "node"))
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
     weights = met.groupBy("node").agg(F.sum("weight").alias("weight"))
     known = nodes.join(roots.select("node", "root"), "node").join(weights, "node", "left").join(least, "root")
-    known = stored(known.select("label", "embedding", (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "embed-known")
+    known = stored(
+        known.select("label", "embedding", (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"),
+        "embed-known",
+    )
     on = ["label", "embedding"]
     out = v.where("vec_id is not null").join(known, on, "left").unionByName(v.where("vec_id is null"), allowMissingColumns=True)
     # an unfit vector equals no node: nodes hold fit ones only
     own = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
+    return out.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"),
+        F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"),
+    )

@@ -23,22 +23,31 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split()
+    "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul "
+    "caption".split()
 )
 ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot caption option optgroup html body".split())
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
+CLOSES = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
+    "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead"),
+}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "p": ("table", "td", "th", "caption", "button", "object")}
 
 # Elements that show no text, and those that are named as no article by tag, role, or a word of class or id.
-UNSEEN = frozenset("script style noscript template svg math canvas object embed iframe audio video select textarea input dialog head title".split())
+UNSEEN = frozenset(
+    "script style noscript template svg math canvas object embed iframe audio video select textarea input dialog head title".split()
+)
 NAMED = frozenset("nav footer aside form button menu".split())
 #: Tags that only format: a shape does not show them.
 INLINE = frozenset("b i em strong span u s small big sup sub mark font code abbr time q cite kbd samp var tt ins del br wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar toolbar alert".split())
 WORDS = frozenset(
-    "nav navbar navigation menu header masthead footer sidebar aside ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion "
-    "banner cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal overlay comment comments disqus respond reply "
-    "replies share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar login search copyright legal disclaimer".split()
+    "nav navbar navigation menu header masthead footer sidebar aside ad ads adv advert adverts advertisement adsense sponsor "
+    "sponsored promo promotion "
+    "banner cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal overlay comment comments "
+    "disqus respond reply "
+    "replies share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar login search copyright "
+    "legal disclaimer".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = HEADINGS | frozenset("p pre blockquote dd td th figcaption".split())
@@ -74,7 +83,9 @@ def kind_of(tag: str, attributes: str, in_article: bool) -> tuple[bool, str, boo
         return True, "", False, look
     if attributes and not attributes.isspace() and tag not in ("html", "body"):
         a = {k.lower(): entities.unescape(x or y or z) for k, x, y, z in ATTRIBUTE.findall(attributes)}
-        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
+        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(
+            r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I,
+        ):
             return True, "", False, look
         if a.get("role", "").lower() in ROLES:
             named = named or a["role"].lower()
@@ -180,7 +191,9 @@ def roots(top: Node, without=lambda n: bool(n.named)) -> list:
         elif not without(n):
             todo += [p for p in reversed(n.parts) if isinstance(p, Node)]
     # an article within main is the narrower root
-    narrow = [a for r in out if r.tag != "article" for a in walk(r) if a is not r and a.tag == "article" and a.root and not a.gone and a.size and not without(a)]
+    narrow = [
+        a for r in out if r.tag != "article" for a in walk(r) if a is not r and a.tag == "article" and a.root and not a.gone and a.size and not without(a)
+    ]
     return narrow or out or [top]
 
 
@@ -209,20 +222,32 @@ def subtree_keys(text) -> list[dict]:
     if found:
         at, size = places(main), sum(length(r) for r in main)
         placed = lambda n: (0, *at[id(n)]) if n.tag not in SINGLE and 2 * n.size <= size else (0,)
-        out += [blank | dict(kind=AT_PLACE if p else ANYWHERE, key=k, rest=r, place=p) for k, r, p in sorted({(keys[id(n)], signed(total - sums[id(n)]), p) for n in found for p in placed(n)})]
+        out += [
+            blank | dict(kind=AT_PLACE if p else ANYWHERE, key=k, rest=r, place=p) for k, r, p in sorted(
+                {(keys[id(n)], signed(total - sums[id(n)]), p) for n in found for p in placed(n)}
+            )
+        ]
     # chrome: what is outside of the article roots, or named
     holding = around(order, main)
     outside = [n for n in order if countable(n, True) and (n.named or not whole and id(n) not in sums and id(n) not in holding)]
     if outside:
         rest = hashes([top], named=True, order=order)
-        out += [blank | dict(kind=ANYWHERE, key=k, rest=signed(total)) for k in sorted({rest[id(n)] for n in outside} - {keys.get(id(n)) for n in found})]
+        out += [
+            blank | dict(kind=ANYWHERE, key=k, rest=signed(total)) for k in sorted(
+                {rest[id(n)] for n in outside} - {keys.get(id(n)) for n in found}
+            )
+        ]
     shape = shapes(top, main, order, holding)
     sizes: dict = {}
     for n, key, kind in shape.values():
         s = sizes.setdefault((kind, key), [0, 0])
         s[0] += n.size
         s[1] += n.links
-    out += [dict(kind=kind, key=key, rest=signed(total), place=0, size=s, links=x, total=length(top)) for (kind, key), (s, x) in sorted(sizes.items())]
+    out += [
+        dict(
+            kind=kind, key=key, rest=signed(total), place=0, size=s, links=x, total=length(top),
+        ) for (kind, key), (s, x) in sorted(sizes.items())
+    ]
     return out
 
 
@@ -256,7 +281,9 @@ def shapes(top: Node, main: list, order: list, above: set) -> dict:
             elif c.size:
                 own.add(looks[id(c)][0])
             p |= prose[id(c)]
-        key = digest(b"%s(%s)%s%s" % (n.tag.encode("utf-8", "replace"), n.look, b"#" if text else b"", b"".join(b"<%d" % x for x in sorted(own))))
+        key = digest(
+            b"%s(%s)%s%s" % (n.tag.encode("utf-8", "replace"), n.look, b"#" if text else b"", b"".join(b"<%d" % x for x in sorted(own)))
+        )
         looks[id(n)], prose[id(n)] = (key, own, text), p
     out, half = {}, length(top) / 2
     todo = [(top, b"")]
@@ -308,7 +335,9 @@ def hashes(main: list, named: bool = False, order: list | None = None) -> dict:
     out = {}
     for r in main:
         for n in reversed(order or list(walk(r))):
-            parts = [p.encode("utf-8", "replace") if isinstance(p, str) else b"\0%d" % out[id(p)] for p in n.parts if isinstance(p, str) or not p.gone and (named or not p.named)]
+            parts = [
+                p.encode("utf-8", "replace") if isinstance(p, str) else b"\0%d" % out[id(p)] for p in n.parts if isinstance(p, str) or not p.gone and (named or not p.named)
+            ]
             out[id(n)] = digest(b"\0<".join((n.tag.encode("utf-8", "replace"), *parts))) & ~1
     return out
 
@@ -441,6 +470,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     known = small(templates(pages))
     p = pages.select("page_id", "url", "html", host().alias("host")).join(known, "host", "left")
-    p = p.select("page_id", "url", F.struct("html", F.coalesce("templates", F.array().cast("array<long>")).alias("templates")).alias("page"))
+    p = p.select(
+        "page_id", "url", F.struct("html", F.coalesce("templates", F.array().cast("array<long>")).alias("templates")).alias("page"),
+    )
     out = with_columns(p, "page", lambda rows: [[main_text(r["html"], r["templates"]) for r in rows]], "text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

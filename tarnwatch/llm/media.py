@@ -114,7 +114,10 @@ def store(docs: DataFrame, folder: str | None = None, shard_bytes: int = 64 << 2
                         seen.popitem(last=False)
                 rows.append((doc_id, digest, *seen[digest]))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=[x.split()[0] for x in ENTRY.split(", ")])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds],
+                names=[x.split()[0] for x in ENTRY.split(", ")],
+            )
         out.close()
 
     return stored(docs.select("doc_id", "text").mapInArrow(run, ENTRY), "media-rows")
@@ -143,7 +146,10 @@ def metadata(places: DataFrame) -> DataFrame:
         for b in batches:
             rows = b.to_pylist()
             heads = [header_of(source.read(r["file"], r["offset"], HEADER)) for r in rows]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([h[k] for h in heads], pa.int64()) for k in (0, 1))], names=[f.name for f in own] + ["width", "height"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, *(pa.array([h[k] for h in heads], pa.int64()) for k in (0, 1))],
+                names=[f.name for f in own] + ["width", "height"],
+            )
         source.close()
 
     # a read of a header costs about what 4 KiB of payload do
@@ -175,9 +181,17 @@ def features(places: DataFrame) -> DataFrame:
                 payload = from_png(media)
                 if len(payload) != r["width"] * r["height"] or hashlib.sha256(payload).hexdigest() != r["digest"]:
                     raise ValueError(f"damaged payload {r['digest']}")
-                out.append((len(payload.rstrip(b"\xff")), len(payload), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload)))
+                out.append(
+                    (
+                        len(payload.rstrip(b"\xff")), len(payload), zlib.crc32(payload[-32:]), len(media),
+                        hashlib.sha256(media).hexdigest(), feature_of(payload),
+                    )
+                )
             columns = list(zip(*out, strict=True)) if out else [[]] * len(made)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64() if t == "long" else pa.string()) for c, (_, t) in zip(columns, made, strict=True))], names=[f.name for f in own] + [n for n, _ in made])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, *(pa.array(c, pa.int64() if t == "long" else pa.string()) for c, (_, t) in zip(columns, made, strict=True))],
+                names=[f.name for f in own] + [n for n, _ in made],
+            )
         source.close()
 
     return placed(places, F.col("length")).mapInArrow(run, T.StructType([*own, *T.StructType.fromDDL(FEATURES).fields]))

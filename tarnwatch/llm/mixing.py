@@ -49,10 +49,20 @@ def targets(sizes: DataFrame) -> DataFrame:
     s = sizes.withColumn("w", ((F.row_number().over(by_name) - 1) % 3 + 1).cast("long")).withColumn("cap", REPEATS * F.col("source_size"))
     order = W.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), F.col("source"))
     before = order.rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumns({"total": F.sum("source_size").over(all_rows), "done": F.coalesce(F.sum("cap").over(before), F.lit(0)), "left": F.sum("w").over(order.rowsBetween(0, W.unboundedFollowing))})
+    s = s.withColumns(
+        {
+            "total": F.sum("source_size").over(all_rows), "done": F.coalesce(F.sum("cap").over(before), F.lit(0)),
+            "left": F.sum("w").over(order.rowsBetween(0, W.unboundedFollowing)),
+        }
+    )
     # capped: its cap is at most its share of what the sources before it leave
     s = s.withColumn("capped", F.col("cap") / F.col("w") <= (F.col("total") - F.col("done")) / F.col("left"))
-    s = s.withColumns({"spent": F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(all_rows), F.lit(0)), "open": F.sum(F.when(~F.col("capped"), F.col("w"))).over(all_rows)})
+    s = s.withColumns(
+        {
+            "spent": F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(all_rows), F.lit(0)),
+            "open": F.sum(F.when(~F.col("capped"), F.col("w"))).over(all_rows),
+        }
+    )
     share = ((F.col("total") - F.col("spent")) * F.col("w")).cast("double") / F.col("open").cast("double")
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
@@ -62,7 +72,10 @@ def keyed(docs: DataFrame, weight: Column | None, **more: Column) -> DataFrame:
     weight = quality_weight() if weight is None else weight
     key = -F.log(uniform()) / F.greatest(weight, F.lit(1e-6))
     cut = F.floor(F.log2("_key") * RANGES).cast("int")
-    d = docs.select(F.col("source").alias("_source"), F.col("doc_id").alias("_doc_id"), n_words().alias("_size"), key.alias("_key"), F.xxhash64("text").alias("_h"), *[c.alias(n) for n, c in more.items()])
+    d = docs.select(
+        F.col("source").alias("_source"), F.col("doc_id").alias("_doc_id"), n_words().alias("_size"), key.alias("_key"),
+        F.xxhash64("text").alias("_h"), *[c.alias(n) for n, c in more.items()],
+    )
     return d.withColumn("_cut", cut)
 
 
@@ -82,7 +95,9 @@ def edges(d: DataFrame) -> DataFrame:
     sums = d.where("_size > 0").groupBy("_source", "_cut").agg(F.sum("_size").alias("n"))
     upto = F.sum("n").over(W.partitionBy("_source").orderBy("_cut").rowsBetween(W.unboundedPreceding, 0))
     found = sums.withColumn("upto", upto).join(s, F.col("_source").eqNullSafe(F.col("source")))
-    found = found.withColumn("before", F.col("upto") - F.col("n")).where((F.col("before") < F.col("budget")) & (F.col("budget") <= F.col("upto")))
+    found = found.withColumn("before", F.col("upto") - F.col("n")).where(
+        (F.col("before") < F.col("budget")) & (F.col("budget") <= F.col("upto"))
+    )
     found = stored(found.select("_source", "_cut", "before", "budget"), "mix-edge-ranges")
     at = found.select(F.col("_source").alias("s2"), F.col("_cut").alias("c2"), "before", "budget")
     rows = d.where("_size > 0").join(small(at), F.col("_source").eqNullSafe(F.col("s2")) & (F.col("_cut") == F.col("c2")))
@@ -95,11 +110,19 @@ def edges(d: DataFrame) -> DataFrame:
     taken = F.least(F.col("n"), fit + F.when(left - fit * F.col("_size") > (fit + 1) * F.col("_size") - left, 1).otherwise(0)).cast("long")
     last = rows.withColumn("taken", F.when(left > 0, taken).otherwise(0)).where("taken > 0")
     last = last.groupBy("_source").agg(F.max(F.struct(F.struct(*PLACE).alias("place"), "taken")).alias("last"))
-    edge = found.select(F.col("_source").alias("s2"), F.col("_cut").alias("edge_cut")).join(last.select(F.col("_source").alias("s3"), "last"), F.col("s2").eqNullSafe(F.col("s3")), "left")
+    edge = found.select(F.col("_source").alias("s2"), F.col("_cut").alias("edge_cut")).join(
+        last.select(F.col("_source").alias("s3"), "last"), F.col("s2").eqNullSafe(F.col("s3")), "left",
+    )
     out = s.join(edge, F.col("source").eqNullSafe(F.col("s2")), "left")
     # a budget that no range reaches for the last bits of its sum takes all
     cut = F.coalesce("edge_cut", F.when(F.col("budget") > 0, F.lit(2**31 - 1)))
-    return stored(out.select(F.col("source").alias("_of"), "source_size", "target", "epochs", cut.alias("edge_cut"), F.col("last.place").alias("edge"), F.coalesce("last.taken", F.lit(0)).alias("edge_rows")), "mix-edges")
+    return stored(
+        out.select(
+            F.col("source").alias("_of"), "source_size", "target", "epochs", cut.alias("edge_cut"), F.col("last.place").alias("edge"),
+            F.coalesce("last.taken", F.lit(0)).alias("edge_rows"),
+        ),
+        "mix-edges",
+    )
 
 
 def placed(d: DataFrame, ends: DataFrame) -> DataFrame:
@@ -124,9 +147,14 @@ def mix(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     most = d.where("_taken is not null").select(*kept, "_taken")
     # of the rows equal to an edge the first edge_rows are taken; being equal, any are the first
     few = d.where("_taken is null").groupBy(*kept, "edge_rows").agg(F.count("*").alias("n"))
-    few = few.select(*kept, "edge_rows", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")).select(*kept, (F.col("i") <= F.col("edge_rows")).cast("int").alias("_taken"))
+    few = few.select(
+        *kept, "edge_rows", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"),
+    ).select(*kept, (F.col("i") <= F.col("edge_rows")).cast("int").alias("_taken"))
     out = most.unionByName(few).withColumn("copies", (F.col("epochs") + F.col("_taken")).cast("long"))
-    return out.select(F.col("_doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source").alias("source"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+    return out.select(
+        F.col("_doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source").alias("source"), "source_size", "target", "copies",
+        (F.col("copies") * F.col("_size")).alias("taken"),
+    )
 
 
 def mixed(docs: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -143,5 +171,7 @@ def mixed(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     one = at.groupBy("_source", "edge_rows", "_c").agg(F.first("_row").alias("_row"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy("_source").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     one = one.withColumn("_n", F.least(F.col("_n"), F.col("edge_rows") - before)).where("_n > 0")
-    out = most.where("_n > 0").select("_row", times(F.col("_n"))).unionByName(at.where("epochs > 0").select("_row", times(F.col("epochs")))).unionByName(one.select("_row", times(F.col("_n"))))
+    out = most.where("_n > 0").select("_row", times(F.col("_n"))).unionByName(
+        at.where("epochs > 0").select("_row", times(F.col("epochs")))
+    ).unionByName(one.select("_row", times(F.col("_n"))))
     return out.select("_row.*")

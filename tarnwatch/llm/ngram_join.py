@@ -88,7 +88,9 @@ def sketch(docs: DataFrame, k: int = K):
                 at = (tokens >> V.U(64 - SKETCH)).astype(np.int64)
                 np.add.at(total, at, 1)
         used = [i for i in range(PARTS) if total[i * width : (i + 1) * width].any()]
-        yield pd.DataFrame({"part": pd.array(used, "int32"), "counts": [zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in used]})
+        yield pd.DataFrame(
+            {"part": pd.array(used, "int32"), "counts": [zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in used]}
+        )
 
     def add(x):
         import pandas as pd
@@ -118,7 +120,9 @@ def signatures(docs: DataFrame, percent: int, k: int = K) -> DataFrame:
         for _, tokens in shingle_sets(texts, k):
             n.append(len(tokens))
             node.append(hashlib.md5(tokens.tobytes()).digest())
-            l, p, load = prefix(tokens, spread[(tokens >> V.U(64 - SKETCH)).astype(np.int64)], percent) if len(tokens) else (0, tokens, tokens)
+            l, p, load = prefix(
+                tokens, spread[(tokens >> V.U(64 - SKETCH)).astype(np.int64)], percent,
+            ) if len(tokens) else (0, tokens, tokens)
             ls.append(l)
             pre.append(p.astype(np.int64))
             hot.append(load > HOT)
@@ -131,7 +135,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int = K) -> DataFrame:
     """(id, tokens) of the documents whose doc_id is among ids (id); texts move only if small() does not broadcast the ids."""
     ids = small(stored(ids.withColumnRenamed("id", "doc_id"), "ngram-ids"))
     rows = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = with_columns(rows.select(F.col("doc_id").alias("id"), "text"), "text", lambda texts: [[t.astype(np.int64) for _, t in shingle_sets(texts, k)]], "tokens array<long>")
+    sets = with_columns(
+        rows.select(F.col("doc_id").alias("id"), "text"), "text", lambda texts: [[t.astype(np.int64) for _, t in shingle_sets(texts, k)]],
+        "tokens array<long>",
+    )
     return stored(sets, "ngram-sets")
 
 
@@ -184,16 +191,23 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = 80, k: int = K) -> D
     found = None
     for _ in range(2):
         near = posts.where((F.col("end.id") != F.col("x.id")) & meets("end", "x", percent))
-        more = verified(docs, shared_enough(near.select(F.col("end.id").alias("a"), F.col("x.id").alias("b"), F.least("end.l", "x.l").alias("least"))), percent, k)
+        more = verified(
+            docs, shared_enough(near.select(F.col("end.id").alias("a"), F.col("x.id").alias("b"), F.least("end.l", "x.l").alias("least"))),
+            percent, k,
+        )
         found = more if found is None else stored(found.unionByName(more), "ngram-links")
         comp = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         comp = small(stored(comp, "ngram-comp"))
-        in_comp = posts.select("token", "hot", "x", F.col("x.id").alias("id")).join(comp, "id", "left").select("token", "hot", "x", F.coalesce("root", "id").alias("comp"))
+        in_comp = posts.select("token", "hot", "x", F.col("x.id").alias("id")).join(comp, "id", "left").select(
+            "token", "hot", "x", F.coalesce("root", "id").alias("comp"),
+        )
         spans = beside(in_comp, {"lo": F.min("comp"), "hi": F.max("comp"), "end": F.max("x")}).where("lo <> hi")
         done, posts = posts, stored(spans.select("token", "hot", "x", "comp", "end"), "ngram-posts")
         drop(done)
     x, y = sides(posts, percent)
-    met = x.join(y, ["token", "class", "salt"]).where((F.col("ca") != F.col("cb")) & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & meets("x", "y", percent))
+    met = x.join(y, ["token", "class", "salt"]).where(
+        (F.col("ca") != F.col("cb")) & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & meets("x", "y", percent)
+    )
     pairs = shared_enough(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.least("x.l", "y.l").alias("least")))
     return stored(found.unionByName(verified(docs, pairs, percent, k)), "ngram-links")
 
@@ -209,14 +223,24 @@ def sides(posts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     place = F.log(F.col("x.n").cast("double")) / math.log(100 / percent) if percent < 100 else F.col("x.n").cast("double")
     own = posts.withColumn("class", F.floor(place).cast("int"))
-    large = stored(own.groupBy("token", "class").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select(F.col("token").alias("t2"), F.col("class").alias("c2"), F.ceil(F.col("rows") / HOT).cast("int").alias("salts")), "ngram-large")
+    large = stored(
+        own.groupBy("token", "class").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select(
+            F.col("token").alias("t2"), F.col("class").alias("c2"), F.ceil(F.col("rows") / HOT).cast("int").alias("salts"),
+        ),
+        "ngram-large",
+    )
     none = large.isEmpty()
     large = small(large)
     salts = lambda d: d.withColumn("salts", F.lit(1)) if none else d.join(large, (F.col("token") == F.col("t2")) & (F.col("class") == F.col("c2")), "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    y = salts(own).select("token", "class", F.pmod(F.xxhash64("x.id"), F.col("salts")).cast("int").alias("salt"), F.col("x").alias("y"), F.col("comp").alias("cb"))
+    y = salts(own).select(
+        "token", "class", F.pmod(F.xxhash64("x.id"), F.col("salts")).cast("int").alias("salt"), F.col("x").alias("y"),
+        F.col("comp").alias("cb"),
+    )
     # the margin covers a logarithm's last bits: a row too many looks in vain
     looks = posts.withColumn("class", F.explode(F.sequence(F.floor(place - 1e-9).cast("int"), F.floor(place + 1 + 1e-9).cast("int"))))
-    x = salts(looks).select("token", "class", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "x", F.col("comp").alias("ca"))
+    x = salts(looks).select(
+        "token", "class", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "x", F.col("comp").alias("ca"),
+    )
     return x, y
 
 
@@ -235,16 +259,25 @@ def ngram_join(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
     copies = held.select("node", "doc_id").join(nodes, "node").where("doc_id <> id").select("doc_id").distinct().join(repeated, "doc_id", "left_anti")
     copies = small(stored(copies, "ngram-copies"))
     once = held.join(repeated, "doc_id", "left_anti").join(copies, "doc_id", "left_anti")
-    again = held.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "node").agg(*[F.first(c).alias(c) for c in ("n", "l", "prefix", "hot")])
+    again = held.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "node").agg(
+        *[F.first(c).alias(c) for c in ("n", "l", "prefix", "hot")]
+    )
     shown = once.unionByName(again).select(F.col("doc_id").alias("id"), "n", "l", "prefix", "hot")
-    comp = connected_components(links(docs, shown, percent, k).select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(repeats(signed, nodes)))
+    comp = connected_components(
+        links(docs, shown, percent, k).select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(repeats(signed, nodes))
+    )
     roots = nodes.select("node", "id").join(comp, "id", "left").select("node", F.coalesce("root", "id").alias("root"))
     out = signed.select("doc_id", "n", "node").join(roots, "node", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    return out.select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
+    )
 
 
 def repeats(signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (src, dst) from a doc_id that holds several sets to those sets' least doc_ids."""
-    several = signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    several = signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(
+        F.min("node").alias("lo"), F.max("node").alias("hi"),
+    ).where("lo <> hi")
     held = signed.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", "node").distinct()
     return held.join(nodes.select("node", "id"), "node").select(F.col("doc_id").alias("src"), F.col("id").alias("dst"))

@@ -81,9 +81,19 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, token
     d = stored(d, "pack-rows")
     drop(every)
     sizes = d.groupBy("bucket", "chunk").agg(F.sum("rows").alias("rows"))
-    offsets = sizes.select("bucket", "chunk", F.coalesce(F.sum("rows").over(W.partitionBy("bucket").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    before = F.sum("rows").over(W.partitionBy("bucket", "chunk").orderBy("h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)) - F.col("rows")
+    offsets = sizes.select(
+        "bucket", "chunk",
+        F.coalesce(
+            F.sum("rows").over(W.partitionBy("bucket").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0),
+        ).alias("offset"),
+    )
+    before = F.sum("rows").over(
+        W.partitionBy("bucket", "chunk").orderBy("h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
+    ) - F.col("rows")
     d = d.withColumn("before", before).join(offsets, ["bucket", "chunk"]).withColumn("first", F.col("offset") + F.col("before"))
     d = d.select("doc_id", "n_tokens", "bucket", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("rows") - 1)).alias("rank"))
     per = F.greatest(F.lit(1), F.floor(token_budget / F.greatest(F.col("bucket"), F.lit(1)))).cast("long")
-    return d.select("doc_id", "n_tokens", "bucket", (F.col("bucket") - F.col("n_tokens")).alias("padded"), F.floor(F.col("rank") / per).alias("batch"), (F.col("rank") % per).alias("slot"))
+    return d.select(
+        "doc_id", "n_tokens", "bucket", (F.col("bucket") - F.col("n_tokens")).alias("padded"), F.floor(F.col("rank") / per).alias("batch"),
+        (F.col("rank") % per).alias("slot"),
+    )

@@ -35,7 +35,10 @@ def own_ids(docs: DataFrame) -> DataFrame:
     d = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.md5(F.col("text").cast("binary")).alias("_m"))
     texts = own.distinct()
     several = texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("of"))
-    some = stored(texts.join(small(stored(several, "pipeline-several")), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "m"), "pipeline-unlike")
+    some = stored(
+        texts.join(small(stored(several, "pipeline-several")), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "m"),
+        "pipeline-unlike",
+    )
     if some.isEmpty():
         return d.select("_row", F.col("_id").alias("_rid"))
     top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("top")).first().top
@@ -45,7 +48,10 @@ def own_ids(docs: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = some.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
     some = some.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("m", "doc_id"))).join(offsets, "part")
-    ids = stored(some.select(F.col("doc_id").alias("i2"), F.col("m").alias("m2"), (F.lit(top) + F.col("before") + F.col("k")).alias("rid")), "pipeline-ids")
+    ids = stored(
+        some.select(F.col("doc_id").alias("i2"), F.col("m").alias("m2"), (F.lit(top) + F.col("before") + F.col("k")).alias("rid")),
+        "pipeline-ids",
+    )
     met = d.join(small(ids), F.col("_id").eqNullSafe(F.col("i2")) & F.col("_m").eqNullSafe(F.col("m2")), "left")
     return met.select("_row", F.coalesce("rid", "_id").alias("_rid"))
 
@@ -58,9 +64,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     empty texts are like no other text.
     """
     d = own_ids(docs)
-    groups = stored(ngram_join(d.select(F.col("_rid").alias("doc_id"), F.col("_row.text").alias("text"))).select("doc_id", "component_id"), "pipeline-groups")
+    groups = stored(
+        ngram_join(d.select(F.col("_rid").alias("doc_id"), F.col("_row.text").alias("text"))).select("doc_id", "component_id"),
+        "pipeline-groups",
+    )
     others = small(stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_rid")).distinct(), "pipeline-others"))
-    again = small(stored(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_rid")), "pipeline-again"))
+    again = small(
+        stored(
+            groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_rid")),
+            "pipeline-again",
+        )
+    )
     kept = d.join(others, "_rid", "left_anti")
     once = kept.join(again, "_rid", "left_anti")
     first = kept.join(again, "_rid", "left_semi").groupBy("_rid").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))

@@ -121,7 +121,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: in
     one class only (or none) every score is the smoothed share of good ones.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows=rows))
-    out = with_columns(docs.select("doc_id", held_out().alias("held_out"), "text"), "text", lambda texts: [scores(texts, model.value)], "score double")
+    out = with_columns(
+        docs.select("doc_id", held_out().alias("held_out"), "text"), "text", lambda texts: [scores(texts, model.value)], "score double",
+    )
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

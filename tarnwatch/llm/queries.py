@@ -31,7 +31,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.media(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    return out.select(
+        "doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256",
+        "feature", "width", "height",
+    )
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +54,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_toxicity, op2_quality, op3_warc, op4_embedding_dedup, op5_sharding, op6_media, op7_mixing, op8_ngram_join, op9_html_extract, op10_packing)
+    own = (
+        op1_toxicity, op2_quality, op3_warc, op4_embedding_dedup, op5_sharding, op6_media, op7_mixing, op8_ngram_join, op9_html_extract,
+        op10_packing,
+    )
     return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 

@@ -30,9 +30,13 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     while True:
         low = 0 if at == 0 else at + 1
         top = min(at + WINDOW, DEPTH)
-        fine = rest.groupBy(F.shiftright("h", DEPTH - top).alias("fine")).agg(F.sum("bytes").alias("bytes"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+        fine = rest.groupBy(F.shiftright("h", DEPTH - top).alias("fine")).agg(
+            F.sum("bytes").alias("bytes"), F.min("h").alias("lo"), F.max("h").alias("hi"),
+        )
         levels = fine.select("*", F.explode(F.sequence(F.lit(low), F.lit(top))).alias("depth"))
-        sums = levels.groupBy("depth", F.expr(f"shiftright(fine, {top} - depth)").alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        sums = levels.groupBy("depth", F.expr(f"shiftright(fine, {top} - depth)").alias("prefix")).agg(
+            F.sum("bytes").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        )
         sums = stored(sums.withColumn("ends", (F.col("bytes") <= limit) | (F.col("lo") == F.col("hi"))), "shard-sums")
         # a prefix is a leaf if it fits (or no bit splits it) and its parent, where this window has it, does not
         parent = sums.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"), F.col("ends").alias("parent_ends"))
@@ -54,7 +58,10 @@ def shard(docs: DataFrame, limit: int = 1 << 20) -> DataFrame:
     is cut into overflow pages in order of n_bytes, each of at most `limit` bytes where rows of a page allow; a
     row alone over the limit is a page of its own. An empty table gives none.
     """
-    d = stored(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_bits().alias("h")), "shard-docs")
+    d = stored(
+        docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_bits().alias("h")),
+        "shard-docs",
+    )
     by_hash = d.groupBy("h").agg(F.sum("n_bytes").alias("bytes"))
     leaves = directory(by_hash, limit)
     leaves = leaves.withColumn("overflow", F.col("bytes") > limit)
@@ -66,7 +73,9 @@ def shard(docs: DataFrame, limit: int = 1 << 20) -> DataFrame:
     last = F.expr(f"if(depth <= {top}, shiftleft(prefix + 1, {top} - depth) - 1, shiftright(prefix, depth - {top}))")
     slots = stored(leaves.withColumn("slot", F.explode(F.sequence(first, last))), "shard-slots")
     own = F.expr(f"shiftright(h, {DEPTH} - depth) = prefix")
-    rows = d.withColumn("slot", F.shiftright("h", DEPTH - top)).join(small(slots).withColumnRenamed("slot", "at"), (F.col("slot") == F.col("at")) & own)
+    rows = d.withColumn("slot", F.shiftright("h", DEPTH - top)).join(
+        small(slots).withColumnRenamed("slot", "at"), (F.col("slot") == F.col("at")) & own,
+    )
     bits = F.when(F.col("depth") == 0, "").otherwise(F.expr("right(lpad(bin(prefix), 60, '0'), depth)"))
     rows = rows.select("doc_id", "n_bytes", "depth", bits.alias("shard"), F.col("bytes").alias("shard_bytes"), "overflow")
     return rows.where("not overflow").drop("overflow").unionByName(pages(rows.where("overflow").drop("overflow"), limit))
@@ -80,7 +89,10 @@ def pages(rows: DataFrame, limit: int) -> DataFrame:
     salted = rows.withColumn("salt", (F.monotonically_increasing_id() % 64).cast("int"))
     salted = stored(salted, "shard-over")
     counts = salted.groupBy("shard", "n_bytes", "salt").count()
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("count").over(W.partitionBy("shard", "n_bytes").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    offsets = counts.withColumn(
+        "offset",
+        F.coalesce(F.sum("count").over(W.partitionBy("shard", "n_bytes").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+    ).drop("count")
     rank = F.row_number().over(W.partitionBy("shard", "n_bytes", "salt").orderBy("doc_id")) - 1
     ranked = salted.withColumn("rank", rank).join(offsets, ["shard", "n_bytes", "salt"])
     per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1)))).cast("long")

@@ -36,12 +36,18 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int = FIT_RO
     # a label without a document must not use up the bound
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
-    picked = known.where("y = 1").orderBy(order, "doc_id").limit(rows).unionByName(known.where("y = 0").orderBy(order, "doc_id").limit(rows))
-    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    picked = known.where("y = 1").orderBy(order, "doc_id").limit(rows).unionByName(
+        known.where("y = 0").orderBy(order, "doc_id").limit(rows)
+    )
+    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.max("y").alias("y"),
+    )
     sample = stored(sample, "fit-sample")
     upto = W.partitionBy("y").orderBy(order, "doc_id").rowsBetween(W.unboundedPreceding, 0)
     size = sample.select("doc_id", "y", F.octet_length("text").cast("long").alias("bytes"))
-    size = size.withColumns({"upto": F.sum("bytes").over(upto), "nth": F.count("*").over(upto)}).where((F.col("upto") <= most // 2) | (F.col("nth") == 1))
+    size = size.withColumns(
+        {"upto": F.sum("bytes").over(upto), "nth": F.count("*").over(upto)}
+    ).where((F.col("upto") <= most // 2) | (F.col("nth") == 1))
     out = sample.join(F.broadcast(size.select("doc_id")), "doc_id", "left_semi")
     out._sample = sample
     return out
@@ -151,9 +157,13 @@ def fitted(sample: DataFrame, fit) -> tuple:
 
         rows = sorted((r["doc_id"], r["text"], r["y"]) for b in batches for r in b.to_pylist())
         weights, bias = fit([r[1] for r in rows], [r[2] for r in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"],
+        )
 
-    row = sample.select("doc_id", "text", F.col("y").cast("int").alias("y")).coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    row = sample.select(
+        "doc_id", "text", F.col("y").cast("int").alias("y"),
+    ).coalesce(1).mapInArrow(run, "weights binary, bias double").first()
     drop(sample._sample)
     return fit([], []) if row is None else (np.frombuffer(row.weights, np.float32), row.bias)
 
@@ -176,8 +186,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: i
         raw = [t.encode("utf-8", "surrogatepass") if at else b"" for t, at in zip(texts, spots, strict=True)]
         return s, n, [[{"text": b[i:j].decode("utf-8", "replace"), "p": p} for i, j, p in at] for b, at in zip(raw, spots, strict=True)]
 
-    out = with_columns(docs.select("doc_id", held_out().alias("held_out"), "text"), "text", score, "score double, n_sentences long, offending array<struct<text:string,p:double>>")
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_sentences", "offending")
+    out = with_columns(
+        docs.select("doc_id", held_out().alias("held_out"), "text"), "text", score,
+        "score double, n_sentences long, offending array<struct<text:string,p:double>>",
+    )
+    return out.select(
+        "doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_sentences", "offending",
+    )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = FIT_ROWS) -> DataFrame:

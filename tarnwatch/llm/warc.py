@@ -50,7 +50,10 @@ def record(page_id, url, payload: bytes, refers_to, revisit: bool, copy: int = 0
     digest = sha1_base32(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name_of(page_id, copy)}>", f"WARC-Date: {DATE}"]
+    head = [
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name_of(page_id, copy)}>",
+        f"WARC-Date: {DATE}",
+    ]
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~"))
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}"]
@@ -72,10 +75,15 @@ def parsed(member: bytes) -> dict:
     size = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     revisit = fields["WARC-Type"] == "revisit"
-    if sha1_base32(block) != fields["WARC-Block-Digest"].removeprefix("sha1:") or not revisit and (len(payload) != size or sha1_base32(payload) != digest):
+    if sha1_base32(block) != fields["WARC-Block-Digest"].removeprefix("sha1:") or not revisit and (
+        len(payload) != size or sha1_base32(payload) != digest
+    ):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
     refers = id_of(fields["WARC-Refers-To"].strip("<>")) if revisit else None
-    return {"page_id": id_of(fields["WARC-Record-ID"].strip("<>")), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": refers, "payload": None if revisit else payload}
+    return {
+        "page_id": id_of(fields["WARC-Record-ID"].strip("<>")), "url": fields.get("WARC-Target-URI"), "payload_bytes": size,
+        "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": refers, "payload": None if revisit else payload,
+    }
 
 
 def write(pages: DataFrame, folder: str | None = None, least: int = 0, file_bytes: int = 64 << 20) -> DataFrame:
@@ -91,11 +99,17 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0, file_byte
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
     rows = p.select("page_id", "row").groupBy("page_id").agg(F.min("row").alias("lead"), F.count("*").alias("rows"))
     rows = small(stored(rows.where("rows > 1").select(F.col("page_id").alias("of"), "lead"), "warc-repeated"))
-    p = p.join(rows, F.col("page_id").eqNullSafe(F.col("of")), "left").withColumn("copy", F.when(F.col("row") != F.col("lead"), F.col("row") + 1).otherwise(0))
+    p = p.join(rows, F.col("page_id").eqNullSafe(F.col("of")), "left").withColumn(
+        "copy", F.when(F.col("row") != F.col("lead"), F.col("row") + 1).otherwise(0),
+    )
     key = F.sha1(F.col("html").cast("binary"))
-    again = p.where(F.octet_length("html") >= least).select("page_id", key.alias("k")).groupBy("k").agg(F.max("page_id").alias("first"), F.count("*").alias("many"))
+    again = p.where(F.octet_length("html") >= least).select("page_id", key.alias("k")).groupBy("k").agg(
+        F.max("page_id").alias("first"), F.count("*").alias("many"),
+    )
     again = small(stored(again.where("many > 1").select("k", "first"), "warc-again"))
-    p = p.withColumn("k", key).join(again, "k", "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
+    p = p.withColumn("k", key).join(again, "k", "left").withColumn(
+        "revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)),
+    )
 
     def run(batches):
         import pyarrow as pa
@@ -104,11 +118,16 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0, file_byte
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                data, digest = record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["first"], r["revisit"], r["copy"])
+                data, digest = record(
+                    r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["first"], r["revisit"], r["copy"],
+                )
                 file, offset = out.write(data)
                 rows.append((file, offset, len(data), r["url"], digest, r["page_id"], "revisit" if r["revisit"] else "response"))
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=[x.split()[0] for x in INDEX.split(", ")])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds],
+                names=[x.split()[0] for x in INDEX.split(", ")],
+            )
         out.close()
 
     return stored(p.select("page_id", "url", "html", "first", "revisit", "copy").mapInArrow(run, INDEX), "warc-index")
@@ -124,7 +143,10 @@ def ranges(index: DataFrame, gap: int = 64 << 10, most: int = 1 << 20) -> DataFr
     i = index.select("file", "offset", "length", F.coalesce((F.col("offset") - prior > gap).cast("int"), F.lit(1)).alias("new"))
     i = i.withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("piece", F.floor(F.col("offset") / most))
     part = F.struct("offset", "length")
-    return i.groupBy("file", "run", "piece").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"), F.sort_array(F.collect_list(part)).alias("parts"))
+    return i.groupBy("file", "run", "piece").agg(
+        F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"),
+        F.sort_array(F.collect_list(part)).alias("parts"),
+    )
 
 
 def read(index: DataFrame, where: Column | None = None, payloads: bool = True) -> DataFrame:
@@ -132,7 +154,9 @@ def read(index: DataFrame, where: Column | None = None, payloads: bool = True) -
     their bytes ask for."""
     chosen = index if where is None else index.where(where)
     size = chosen.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    wanted = stored(ranges(chosen), "warc-ranges").repartitionByRange(tasks_for(index.sparkSession, size, 1 << 20), "file", "start").sortWithinPartitions("file", "start")
+    wanted = stored(ranges(chosen), "warc-ranges").repartitionByRange(
+        tasks_for(index.sparkSession, size, 1 << 20), "file", "start",
+    ).sortWithinPartitions("file", "start")
 
     def run(batches):
         import pyarrow as pa
@@ -142,8 +166,14 @@ def read(index: DataFrame, where: Column | None = None, payloads: bool = True) -
             for r in b.to_pylist():
                 data = from_file.read(r["file"], r["start"], r["stop"] - r["start"])
                 got = [parsed(data[x["offset"] - r["start"] :][: x["length"]]) for x in r["parts"]]
-                fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([None if n == "payload" and not payloads else x[n] for x in got], t) for n, t in fields], names=[n for n, _ in fields])
+                fields = [
+                    ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+                    ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([None if n == "payload" and not payloads else x[n] for x in got], t) for n, t in fields],
+                    names=[n for n, _ in fields],
+                )
         from_file.close()
 
     return wanted.mapInArrow(run, RECORD)

@@ -70,7 +70,9 @@ def main(folder):
     t = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"])
     began = time.time()
     want, verified = exact(t.column("doc_id").to_pylist(), t.column("text").to_pylist())
-    print(f"exact: {len(want)} documents, {len({c for _, _, c in want})} components, {verified} pairs verified, {time.time() - began:.0f} s")
+    print(
+        f"exact: {len(want)} documents, {len({c for _, _, c in want})} components, {verified} pairs verified, {time.time() - began:.0f} s"
+    )
     spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     began = time.time()

@@ -20,7 +20,10 @@ PAGES = "page_id long, url string, html string, digest string"
 
 
 def pages(spark):
-    rows = [(1, "http://a/1?q=\xe9", "<p>same</p>"), (2, "http://a/2", "<p>same</p>"), (3, None, "other \xe9"), (4, "http://a/\r\nX: y", None), (5, "http://b", ""), (6, "u", "solo"), (6, "u", "solo"), (None, "n", "<p>same</p>"), (7, "big", "x" * 300_000), (-8, "neg", "-")]
+    rows = [
+        (1, "http://a/1?q=\xe9", "<p>same</p>"), (2, "http://a/2", "<p>same</p>"), (3, None, "other \xe9"), (4, "http://a/\r\nX: y", None),
+        (5, "http://b", ""), (6, "u", "solo"), (6, "u", "solo"), (None, "n", "<p>same</p>"), (7, "big", "x" * 300_000), (-8, "neg", "-"),
+    ]
     return spark.createDataFrame([(*r, "clash") for r in rows], PAGES), rows
 
 
@@ -35,7 +38,10 @@ def test_warc_round_trip(spark):
         assert r.payload_bytes == len(b)
         assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == b
     kind = {(r.page_id, r.record_type, r.refers_to) for r in got.values()}
-    assert {(1, "revisit", 2), (2, "response", None), (None, "revisit", 2), (4, "revisit", 5), (5, "response", None), (6, "response", None), (-8, "response", None)} <= kind
+    assert {
+        (1, "revisit", 2), (2, "response", None), (None, "revisit", 2), (4, "revisit", 5), (5, "response", None), (6, "response", None),
+        (-8, "response", None),
+    } <= kind
 
 
 def test_warc_files_are_plain_gzip_members(spark):
@@ -92,7 +98,10 @@ def test_a_task_that_forgets_payloads_keeps_one_place(spark, monkeypatch):
 
 
 def test_repeated_page_ids_have_names_of_their_own(spark):
-    rows = [(1, "u", "<p>a</p>", None)] * 3 + [(2, "u", "<p>b</p>", None), (None, "u", "x", None), (None, "u", "y", None), (5, None, "<p>a</p>", None), (-7, "u", "<p>a</p>", None)]
+    rows = [(1, "u", "<p>a</p>", None)] * 3 + [
+        (2, "u", "<p>b</p>", None), (None, "u", "x", None), (None, "u", "y", None), (5, None, "<p>a</p>", None),
+        (-7, "u", "<p>a</p>", None),
+    ]
     index = warc.write(spark.createDataFrame(rows, PAGES))
     names = []
     for r in index.collect():
@@ -101,7 +110,9 @@ def test_repeated_page_ids_have_names_of_their_own(spark):
             names.append(re.search(rb"WARC-Record-ID: <(.*?)>", gzip.decompress(f.read(r.length)))[1])
     assert len(set(names)) == len(rows)
     got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read(index).collect()), key=str)
-    want = [(1, "revisit", 5)] * 3 + [(2, "response", None), (None, "response", None), (None, "response", None), (5, "response", None), (-7, "revisit", 5)]
+    want = [(1, "revisit", 5)] * 3 + [
+        (2, "response", None), (None, "response", None), (None, "response", None), (5, "response", None), (-7, "revisit", 5),
+    ]
     assert got == sorted(want, key=str)
 
 
@@ -133,7 +144,9 @@ def test_main_text():
 def test_templates_go_articles_stay(spark):
     body = lambda i: f"<div>Welcome to our site</div><div><p>story {i}</p><p>shared passage</p></div><div>links and more</div>"
     art = lambda i: f"<article><p>shared passage</p><p>story {i}</p><div>Rate this</div></article>"
-    rows = [(i, f"http://a.example/{i}", page(body(i))) for i in range(12)] + [(100 + i, f"https://u@B.example:8080/{i}", page(art(i))) for i in range(12)] + [(200, "http://c.example/", page(body(0))), (201, None, None)]
+    rows = [(i, f"http://a.example/{i}", page(body(i))) for i in range(12)] + [
+        (100 + i, f"https://u@B.example:8080/{i}", page(art(i))) for i in range(12)
+    ] + [(200, "http://c.example/", page(body(0))), (201, None, None)]
     rows += [(300 + i, "http://copies.example/", page("<p>only copies</p>")) for i in range(20)]
     p = spark.createDataFrame([(*r, "clash", "x") for r in rows], "page_id long, url string, html string, text string, host string")
     out = {r.page_id: r for r in html_extract.extract(p).collect()}
@@ -150,23 +163,37 @@ def test_templates_with_prose_in_articles_go(spark):
     art = lambda i: f"<article><header><h1>Title {i}</h1></header><div><p>story {i}</p>{promo}<p>shared passage</p><table><tr><td>shared cell</table></div>{links}</article>"
     rows = [(i, f"http://a.example/{i}", page(art(i))) for i in range(12)]
     # copies of one article whose pages differ elsewhere: its body is no template
-    rows += [(100 + i, f"http://b.example/{i}", page(f"<nav>{i}</nav><article><h1>One</h1><div><p>the body</p></div></article>")) for i in range(12)]
+    rows += [
+        (
+            100 + i, f"http://b.example/{i}", page(f"<nav>{i}</nav><article><h1>One</h1><div><p>the body</p></div></article>"),
+        ) for i in range(12)
+    ]
     out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[3] == "Title 3\nstory 3\nshared passage" and all(out[100 + i] == "One\nthe body" for i in range(12))
     # one host's table differs by page: it stays
-    rows = [(i, "http://c.example/", page(f"<article><p>story {i}</p><table><tr><td>cell</td><td>{i}</td></tr></table>{promo}</article>")) for i in range(12)]
+    rows = [
+        (
+            i, "http://c.example/", page(f"<article><p>story {i}</p><table><tr><td>cell</td><td>{i}</td></tr></table>{promo}</article>"),
+        ) for i in range(12)
+    ]
     out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[3] == "story 3\ncell\n3"
 
 
 def test_templates_on_a_small_share_of_pages_go(spark):
     story = lambda i, n: "".join(f"<p>story {i} {k} of many words</p>" for k in range(n))
-    promo, notice, passage = (lambda v: f"<div><p>variant {v}</p></div>"), "<section><p>closed</p></section>", "<div><p>as they said</p></div>"
+    promo, notice, passage = (
+        lambda v: f"<div><p>variant {v}</p></div>"
+    ), "<section><p>closed</p></section>", "<div><p>as they said</p></div>"
     quote = "<blockquote>well known</blockquote>"
     body = lambda i: f"{notice if i % 16 == 0 else quote if i % 16 == 1 else ''}{story(i, 4 + i % 3)}{promo(i % 4)}"
     rows = [(i, "http://a.example/", page(f"<article>{body(i)}</article>")) for i in range(96)]
     # a passage that six of the pages share, each at another place
-    rows += [(100 + i, "http://a.example/", page(f"<article>{story(100 + i, 2 + i)}{passage}{story(200 + i, 3 + 2 * i)}</article>")) for i in range(6)]
+    rows += [
+        (
+            100 + i, "http://a.example/", page(f"<article>{story(100 + i, 2 + i)}{passage}{story(200 + i, 3 + 2 * i)}</article>"),
+        ) for i in range(6)
+    ]
     # no article root; too few pages
     rows += [(200 + i, "http://b.example/", page(f"{story(i, 3)}{promo(i % 4)}")) for i in range(40)]
     rows += [(300 + i, "http://c.example/", page(f"<article>{story(i, 3)}{promo(0)}</article>")) for i in range(4)]
@@ -193,7 +220,9 @@ def counted(pages):
         elif kind == html_extract.AT_PLACE:
             keep = on >= 5 and on >= min(0.01 * pages_, 1000)
         else:
-            keep = on >= 5 and on >= 0.3 * pages_ and (2 * links >= size and size <= 0.9 * total or kind == html_extract.PLAIN and 4 * size <= total)
+            keep = on >= 5 and on >= 0.3 * pages_ and (
+                2 * links >= size and size <= 0.9 * total or kind == html_extract.PLAIN and 4 * size <= total
+            )
         if keep:
             out.setdefault(host, set()).add(key)
     return out
@@ -234,19 +263,34 @@ def test_counts_equal_brute_force_on_the_given_pages(spark):
     rows = p.withColumn("host", html_extract.host()).collect()
     keys = counted((r.host, r.html) for r in rows)
     assert {r.host: set(r.templates) for r in html_extract.templates(p).collect()} == keys
-    assert {r.page_id: r.text for r in html_extract.extract(p).collect()} == {r.page_id: html_extract.main_text(r.html, keys.get(r.host, ())) for r in rows}
+    assert {r.page_id: r.text for r in html_extract.extract(p).collect()} == {
+        r.page_id: html_extract.main_text(r.html, keys.get(r.host, ())) for r in rows
+    }
 
 
 def test_names_decide_where_too_rare_to_count(spark):
-    rows = [(i, "http://a.example/", page(f"<article><p>story {i} of words</p>{'<section class=comments><p>reader</p></section>' if i == 3 else ''}</article>")) for i in range(20)]
-    rows += [(100, "http://b.example/", page("<nav>menu</nav><div>lead</div><p>text</p>")), (101, None, page("<aside>x</aside><p>y" + "z" * 200_000))]
+    rows = [
+        (
+            i, "http://a.example/",
+            page(f"<article><p>story {i} of words</p>{'<section class=comments><p>reader</p></section>' if i == 3 else ''}</article>"),
+        ) for i in range(20)
+    ]
+    rows += [
+        (100, "http://b.example/", page("<nav>menu</nav><div>lead</div><p>text</p>")),
+        (101, None, page("<aside>x</aside><p>y" + "z" * 200_000)),
+    ]
     out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[3] == "story 3 of words" and out[100] == "lead\ntext" and out[101] == "y" + "z" * 200_000
 
 
 def test_shapes_leave_an_article_of_divs(spark):
     story = lambda i: "".join(f"<div>paragraph {i} {k} of quite a few words</div>" for k in range(3 + i % 4))
-    rows = [(i, "http://a.example/", page(f"<div><a href='/'>home</a> <a href='/{i}'>next {i}</a></div><div>{story(i)}</div><div>note {i}</div>")) for i in range(20)]
+    rows = [
+        (
+            i, "http://a.example/",
+            page(f"<div><a href='/'>home</a> <a href='/{i}'>next {i}</a></div><div>{story(i)}</div><div>note {i}</div>"),
+        ) for i in range(20)
+    ]
     out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(out[i] == "\n".join(f"paragraph {i} {k} of quite a few words" for k in range(3 + i % 4)) for i in range(20))
 
@@ -254,7 +298,11 @@ def test_shapes_leave_an_article_of_divs(spark):
 def brute(rows, threshold=0.98):
     up, n = {}, [0] * len(rows)
     find = lambda a: a if up.setdefault(a, a) == a else find(up[a])
-    fit = [i is not None and v is not None and lab is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for i, v, lab in rows]
+    fit = [
+        i is not None and v is not None and lab is not None and len(v) > 0 and all(
+            x is not None and np.isfinite(x) for x in v
+        ) and any(v) for i, v, lab in rows
+    ]
     for a in range(len(rows)):
         for b in range(a):
             if fit[a] and fit[b] and rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]):
@@ -272,14 +320,22 @@ def vectors(seed=0):
     rows = []
     for g in range(8):
         c = rng.normal(size=32)
-        rows += [(len(rows) + k, (c + rng.normal(scale=0.13 * rng.random(), size=32)).astype(np.float32).astype(float).tolist(), g % 3) for k in range(20)]
+        rows += [
+            (
+                len(rows) + k, (c + rng.normal(scale=0.13 * rng.random(), size=32)).astype(np.float32).astype(float).tolist(), g % 3,
+            ) for k in range(20)
+        ]
     return rows
 
 
 def test_embeddings_equal_brute_force(spark):
     rows = vectors()
     n = len(rows)
-    rows += [(n + 1, None, 1), (n + 2, [0.0] * 32, 1), (n + 3, [None] + [1.0] * 31, 1), (n + 4, [float("nan")] * 32, 1), (n + 5, [float("inf")] + [1.0] * 31, 1), (n + 6, rows[0][1], None), (n + 7, [], 1), (None, rows[0][1], 0), (n + 8, [1.0, 2.0], 1), (n + 9, [2.0, 4.0], 1)]
+    rows += [
+        (n + 1, None, 1), (n + 2, [0.0] * 32, 1), (n + 3, [None] + [1.0] * 31, 1), (n + 4, [float("nan")] * 32, 1),
+        (n + 5, [float("inf")] + [1.0] * 31, 1), (n + 6, rows[0][1], None), (n + 7, [], 1), (None, rows[0][1], 0), (n + 8, [1.0, 2.0], 1),
+        (n + 9, [2.0, 4.0], 1),
+    ]
     rows += [(n + 20 + k, rows[5][1], rows[5][2]) for k in range(6)]
     t = spark.createDataFrame([(*r, 9) for r in rows], "vec_id long, embedding array<float>, label int, n_links int")
     out = embed_dedup.embedding_dedup(t).collect()
@@ -306,7 +362,9 @@ def test_estimates_are_unbiased_and_bounds_hold():
     est, true = (rows * turned).sum(1) / f, (x * y).sum(1)
     assert abs((est - true).mean()) < 0.01
     assert (np.abs(est - true) <= np.sqrt(1 - f**2) / f * np.sqrt(1 - true**2) + 1e-5).all()
-    maybe = embed_dedup.could_link(rows, f, embed_dedup.units(rng.normal(size=(500, 64))).astype(np.float32) @ embed_dedup.rotation(64).T.astype(np.float32), 0.98)
+    maybe = embed_dedup.could_link(
+        rows, f, embed_dedup.units(rng.normal(size=(500, 64))).astype(np.float32) @ embed_dedup.rotation(64).T.astype(np.float32), 0.98,
+    )
     assert maybe.mean() < 0.01 and embed_dedup.could_link(rows, f, turned.astype(np.float32), 0.98).diagonal()[true >= 0.98].all()
 
 
@@ -335,9 +393,18 @@ def test_pipeline_stages(spark):
 def odd_rows(spark, n=0):
     """Nulls in every column, empty and very long texts, repeated rows, one doc_id with unlike texts, columns that clash."""
     long = " ".join(f"w{k % 7919}x{k}" for k in range(30_000))
-    rows = [(1, None, None, None, None), (None, None, None, None, None), (None, None, None, None, None), (2, "", "en", "a", 0), (3, long, "en", "a", 1), (4, long + " more", "en", None, 1)]
-    rows += [(5, "one two three four five six", "en", "a", 1), (5, "quite another text of more words", "en", "a", 1), (6, "One two three FOUR five six", "en", "a", 1)] + [(7, "the same row again and again", "en", "b", 1)] * 3
-    rows += [(None, "a text without an id here", "en", "b", 1), (8, "a text without an id here", "en", "b", 1), (None, "another one without an id too", "en", "b", 1)]
+    rows = [
+        (1, None, None, None, None), (None, None, None, None, None), (None, None, None, None, None), (2, "", "en", "a", 0),
+        (3, long, "en", "a", 1), (4, long + " more", "en", None, 1),
+    ]
+    rows += [
+        (5, "one two three four five six", "en", "a", 1), (5, "quite another text of more words", "en", "a", 1),
+        (6, "One two three FOUR five six", "en", "a", 1),
+    ] + [(7, "the same row again and again", "en", "b", 1)] * 3
+    rows += [
+        (None, "a text without an id here", "en", "b", 1), (8, "a text without an id here", "en", "b", 1),
+        (None, "another one without an id too", "en", "b", 1),
+    ]
     df = spark.createDataFrame(rows, DOC)
     clash = ("copies", "of", "copy", "_row", "_rid", "component_id", "n", "m", "part", "k", "bucket", "h", "rows", "score", "size", "key")
     return df.withColumns({c: F.lit(c) for c in clash}).withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id"))).where(f"{1 - n} = 1")
@@ -367,7 +434,10 @@ def test_stages_of_odd_rows(spark, tmp_path):
     assert out.columns == docs.columns
     kept = sorted(((r.doc_id, (r.text or "")[:12]) for r in out.collect()), key=str)
     # unlike texts of doc_id 5 are two documents, 6 copies one of them; 8 stays, not its copy without an id; equal rows once
-    want = [(1, ""), (None, ""), (2, ""), (3, "w0x0 w1x1 w2"), (5, "quite anothe"), (6, "One two thre"), (7, "the same row"), (8, "a text witho"), (None, "another one ")]
+    want = [
+        (1, ""), (None, ""), (2, ""), (3, "w0x0 w1x1 w2"), (5, "quite anothe"), (6, "One two thre"), (7, "the same row"),
+        (8, "a text witho"), (None, "another one "),
+    ]
     assert kept == sorted(want, key=str)
     out = pipeline.mixing(spark, docs, d)
     assert out.columns == docs.columns
@@ -378,8 +448,13 @@ def test_stages_of_odd_rows(spark, tmp_path):
 def test_operators_of_odd_rows(spark, tmp_path):
     """Every dealt operator over documents gives a row for each, or none of an empty table."""
     docs, none = odd_rows(spark), odd_rows(spark, 1)
-    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(9)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
-    for f in (lambda x: toxicity.toxicity(x, labels), lambda x: quality.quality(x, labels), sharding.shard, mixing.mix, ngram_join.ngram_join, packing.pack, media.media):
+    labels = spark.createDataFrame(
+        [(i, i % 2, i % 2) for i in range(9)], "doc_id long, quality int, toxic int",
+    ).withColumn("text", F.lit("clash"))
+    for f in (
+        lambda x: toxicity.toxicity(x, labels), lambda x: quality.quality(x, labels), sharding.shard, mixing.mix, ngram_join.ngram_join,
+        packing.pack, media.media,
+    ):
         assert f(docs).count() == docs.count() and f(none).count() == 0
 
 
@@ -387,7 +462,9 @@ def test_models_of_one_class(spark):
     docs = odd_rows(spark)
     for share, y in ((12 / 13, 1), (1 / 13, 0)):
         labels = spark.createDataFrame([(i, y, y) for i in range(100)], "doc_id long, quality int, toxic int")
-        ids = docs.select("doc_id").where("doc_id is not null and text is not null").distinct().join(labels.where(~held_out()), "doc_id").count()
+        ids = docs.select("doc_id").where(
+            "doc_id is not null and text is not null"
+        ).distinct().join(labels.where(~held_out()), "doc_id").count()
         share = (ids * y + 1) / (ids + 2)
         for f in (toxicity.toxicity, quality.quality):
             assert all(abs(r.score - share) < 1e-6 for r in f(docs, labels).collect())
@@ -405,7 +482,11 @@ def test_noisy_or_equals_a_plain_loop():
     """Scores of a fitted model, sentence by sentence and word by word."""
     rng = random.Random(3)
     words = "river stone cloud vile grub meadow lantern".split()
-    texts = [". ".join(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 5))) + "." for _ in range(120)] + ["", "...", "\xe9t\xe9 vile!\nnew line"]
+    texts = [
+        ". ".join(
+            " ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 5))
+        ) + "." for _ in range(120)
+    ] + ["", "...", "\xe9t\xe9 vile!\nnew line"]
     y = [int("vile" in t) for t in texts]
     w, bias = toxicity.fit(texts, y)
     got = toxicity.scores(texts, (w, bias))[0]

@@ -39,7 +39,10 @@ def labelled(spark):
             text = " ".join(w.upper() + "!!" for w in text.split())
         docs.append((i, text, "a"))
         labels.append((i, int(good), int(toxic)))
-    docs += [(1000, None, "a"), (1001, "", "a"), (1002, "...", "a"), (1003, "vilegruben " * 3, None), (1003, "vilegruben " * 3, None), (None, "x", "a")]
+    docs += [
+        (1000, None, "a"), (1001, "", "a"), (1002, "...", "a"), (1003, "vilegruben " * 3, None), (1003, "vilegruben " * 3, None),
+        (None, "x", "a"),
+    ]
     return table(spark, docs).withColumn("score", F.lit("clash")), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
@@ -132,7 +135,10 @@ def test_join_equals_brute_force(spark):
         rows += [(len(rows) + k * 7 % 5 + 100 * g, edited(rng, seed, rng.randrange(5)), "s") for k in range(25)]
     passage = prose(rng, 60)
     rows += [(2000 + i, passage + " " + prose(rng, rng.randrange(5, 30)), "s") for i in range(30)]
-    rows += [(3000, None, None), (3001, "", "s"), (3002, "A b", "s"), (3003, "a B", "s"), (3004, " \t\n", "s"), (None, passage, "s"), (3005, "A b", "s"), (3005, "A b", "s")]
+    rows += [
+        (3000, None, None), (3001, "", "s"), (3002, "A b", "s"), (3003, "a B", "s"), (3004, " \t\n", "s"), (None, passage, "s"),
+        (3005, "A b", "s"), (3005, "A b", "s"),
+    ]
     rows = [r for k, r in enumerate(rows) if r[0] is None or r[0] == 3005 or r[0] not in {x[0] for x in rows[:k]}]
     got = ngram_join.ngram_join(table(spark, rows)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == components(rows)
@@ -156,7 +162,9 @@ def test_classes_and_salts_meet_every_pair_once(spark, monkeypatch):
     for hot in (1000, 2):
         monkeypatch.setattr(ngram_join, "HOT", hot)
         x, y = ngram_join.sides(posts, 80)
-        met = x.join(y, ["token", "class", "salt"]).where(F.struct("x.n", "x.id") < F.struct("y.n", "y.id")).select("token", "x.id", F.col("y.id").alias("j"), "x.n", F.col("y.n").alias("m")).collect()
+        met = x.join(y, ["token", "class", "salt"]).where(F.struct("x.n", "x.id") < F.struct("y.n", "y.id")).select(
+            "token", "x.id", F.col("y.id").alias("j"), "x.n", F.col("y.n").alias("m"),
+        ).collect()
         got = [(r.token, r.id, r.j) for r in met if 100 * r.n >= 80 * r.m]
         size = dict(enumerate(sizes))
         want = {(t, i, j) for t in (1, 2) for i in size for j in size if (size[i], i) < (size[j], j) and 100 * size[i] >= 80 * size[j]}
@@ -185,7 +193,9 @@ def test_components_of_a_chain_and_a_hub(spark):
 
 def test_mix_meets_targets(spark):
     rng = random.Random(2)
-    rows = [(i, prose(rng, rng.randrange(1, 40)), rng.choice(["a", "b", "c", "d", None]) if i > 20 else "tiny") for i in range(900)] + [(5000, None, "a"), (5001, "", "z")]
+    rows = [
+        (i, prose(rng, rng.randrange(1, 40)), rng.choice(["a", "b", "c", "d", None]) if i > 20 else "tiny") for i in range(900)
+    ] + [(5000, None, "a"), (5001, "", "z")]
     docs = table(spark, rows).withColumn("key", F.lit(1)).withColumn("cut", F.lit(1))
     out = mixing.mix(docs).collect()
     assert len(out) == len(rows)
@@ -257,8 +267,12 @@ def test_mix_equals_a_whole_sort(spark):
 
 def test_mixed_rows_are_those_that_mix_counts(spark):
     rng = random.Random(22)
-    rows = [(i % 90 if i % 3 else None, prose(rng, rng.randrange(1, 6)), rng.choice(["a", "b", None])) for i in range(400)] + [(9, "one", "same")] * 50
-    docs = table(spark, rows).withColumns({c: F.lit(c) for c in ("copies", "of", "copy", "_row", "size", "taken")}).withColumn("epochs", F.map_from_arrays(F.array(F.lit("k")), F.array("doc_id")))
+    rows = [
+        (i % 90 if i % 3 else None, prose(rng, rng.randrange(1, 6)), rng.choice(["a", "b", None])) for i in range(400)
+    ] + [(9, "one", "same")] * 50
+    docs = table(spark, rows).withColumns(
+        {c: F.lit(c) for c in ("copies", "of", "copy", "_row", "size", "taken")}
+    ).withColumn("epochs", F.map_from_arrays(F.array(F.lit("k")), F.array("doc_id")))
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
     want, got = {}, {}
@@ -311,7 +325,9 @@ def test_long_lengths_pad_least(spark):
     docs = spark.createDataFrame([(i, n, "") for i, n in enumerate(lengths * 3)], "doc_id long, n long, text string")
     out = packing.pack(docs, F.col("n"), buckets=4).collect()
     want = sorted(set(lengths))
-    assert sum(r.padded for r in out) == brute_cost(want, [3 * lengths.count(n) for n in want], 4) and max(r.bucket for r in out) == max(lengths)
+    assert sum(r.padded for r in out) == brute_cost(
+        want, [3 * lengths.count(n) for n in want], 4,
+    ) and max(r.bucket for r in out) == max(lengths)
 
 
 def test_many_lengths_take_little(spark):
@@ -330,7 +346,9 @@ def test_rows_of_one_doc_id_get_slots_from_their_count(spark):
 
 def test_pack_fills_batches(spark):
     rng = random.Random(4)
-    rows = [(i, prose(rng, rng.choice([3, 9, 40, 700])), "s") for i in range(500)] + [(600, None, "s"), (601, "", "s"), (7, "again and again", "s"), (7, "again and again", "s")]
+    rows = [(i, prose(rng, rng.choice([3, 9, 40, 700])), "s") for i in range(500)] + [
+        (600, None, "s"), (601, "", "s"), (7, "again and again", "s"), (7, "again and again", "s"),
+    ]
     docs = table(spark, rows).withColumn("bucket", F.lit(0)).withColumn("h", F.lit(0))
     out = packing.pack(docs, buckets=3, token_budget=1000).collect()
     assert len(out) == len(rows)
@@ -373,12 +391,16 @@ def test_rows_without_id_fill_pages(spark):
     for r in out:
         size[r.shard] = size.get(r.shard, 0) + r.n_bytes
         of.setdefault(r.shard, []).append(r.n_bytes)
-    assert len(out) == len(rows) and all(n <= 200 or of[s] == [250] for s, n in size.items()) and all(size[r.shard] == r.shard_bytes for r in out)
+    assert len(out) == len(rows) and all(
+        n <= 200 or of[s] == [250] for s, n in size.items()
+    ) and all(size[r.shard] == r.shard_bytes for r in out)
 
 
 def test_shards_fit_and_split_only_when_needed(spark):
     rng = random.Random(9)
-    rows = [(i, "x" * rng.randrange(0, 300), "s") for i in range(800)] + [(9000, "y" * 5000, "s"), (9001, None, "s")] + [(42_000, "z" * 400, "s")] * 10
+    rows = [
+        (i, "x" * rng.randrange(0, 300), "s") for i in range(800)
+    ] + [(9000, "y" * 5000, "s"), (9001, None, "s")] + [(42_000, "z" * 400, "s")] * 10
     docs = table(spark, rows).withColumn("depth", F.lit(1))
     out = sharding.shard(docs, 2000).collect()
     assert len(out) == len(rows)
