@@ -29,12 +29,23 @@ def running(df: DataFrame, by: list[str], order: list, sums: dict[str, str | Col
     parts = parts.groupBy(*by, "_part").agg(*[F.sum(f"_s_{n}").alias(f"_b_{n}") for n in sums], *firsts)
     up = W.partitionBy(*by).orderBy("_part")
     before = up.rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_of"), *[F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums], *([F.lead("_first").over(up).alias("_after")] if following else []))
+    offsets = parts.select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_of"),
+        *[F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
+        *([F.lead("_first").over(up).alias("_after")] if following else []),
+    )
     own = W.partitionBy(*by, "_part").orderBy(*order)
-    r = r.withColumns({f"_s_{n}": F.sum(f"_s_{n}").over(own.rowsBetween(W.unboundedPreceding, 0)) for n in sums} | ({"_next": F.lead(following).over(own)} if following else {}))
+    r = r.withColumns(
+        {
+            f"_s_{n}": F.sum(f"_s_{n}").over(own.rowsBetween(W.unboundedPreceding, 0)) for n in sums
+        } | ({"_next": F.lead(following).over(own)} if following else {})
+    )
     on = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"_by_{c}")), by, F.col("_part") == F.col("_of"))
     out = r.join(offsets, on)
-    return out.select(*[c for c in df.columns if c not in sums], *[(F.col(f"_s_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums], *([F.coalesce("_next", "_after").alias("_next")] if following else []))
+    return out.select(
+        *[c for c in df.columns if c not in sums], *[(F.col(f"_s_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums],
+        *([F.coalesce("_next", "_after").alias("_next")] if following else []),
+    )
 
 
 def plain(order: list[Column]) -> list[Column]:

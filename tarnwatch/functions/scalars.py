@@ -92,7 +92,15 @@ def days_apart(later, earlier) -> Column:
 def event_time(c) -> Column:
     """ISO date or date and time -> TIMESTAMP_NTZ, NULL for anything else."""
     t = text_or_null(c)
-    return F.coalesce(F.when(F.length(t) == 10, F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).cast("timestamp_ntz")), F.when(F.length(t) > 10, F.try_to_timestamp(F.replace(F.substring(t, 1, 19), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")))
+    return F.coalesce(
+        F.when(F.length(t) == 10, F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).cast("timestamp_ntz")),
+        F.when(
+            F.length(t) > 10,
+            F.try_to_timestamp(
+                F.replace(F.substring(t, 1, 19), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss"),
+            ).cast("timestamp_ntz"),
+        ),
+    )
 
 
 def time_precision(c) -> Column:
@@ -101,7 +109,13 @@ def time_precision(c) -> Column:
 
 def parts_date(year, month, day_) -> Column:
     """A date of its parts; a missing month or day is the first."""
-    return F.when(col(year).isNotNull(), F.make_date(col(year).cast("int"), F.coalesce(col(month), F.lit(1)).cast("int"), F.when(col(month).isNotNull(), F.coalesce(col(day_), F.lit(1))).otherwise(1).cast("int")))
+    return F.when(
+        col(year).isNotNull(),
+        F.make_date(
+            col(year).cast("int"), F.coalesce(col(month), F.lit(1)).cast("int"),
+            F.when(col(month).isNotNull(), F.coalesce(col(day_), F.lit(1))).otherwise(1).cast("int"),
+        ),
+    )
 
 
 def parts_precision(year, month, day_) -> Column:

@@ -35,13 +35,19 @@ def value_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, lo, hi, infinite, negative, nulls)"""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
     v = F.col("value")
-    return long.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(F.abs(v) == float("inf")).alias("infinite"), F.count_if(v < 0).alias("negative"), F.count_if(v.isNull()).alias("nulls"))
+    return long.groupBy("column").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(F.abs(v) == float("inf")).alias("infinite"),
+        F.count_if(v < 0).alias("negative"), F.count_if(v.isNull()).alias("nulls"),
+    )
 
 
 def flag_sets(df: DataFrame, by: str, flags: list[str]) -> DataFrame:
     """(by, flag, values, trues, falses, nulls)"""
     long = df.select(by, *flags).unpivot([by], flags, "flag", "value")
-    return long.groupBy(by, "flag").agg(F.array_sort(F.collect_set("value")).alias("values"), F.count_if(F.col("value")).alias("trues"), F.count_if(~F.col("value")).alias("falses"), F.count_if(F.col("value").isNull()).alias("nulls"))
+    return long.groupBy(by, "flag").agg(
+        F.array_sort(F.collect_set("value")).alias("values"), F.count_if(F.col("value")).alias("trues"),
+        F.count_if(~F.col("value")).alias("falses"), F.count_if(F.col("value").isNull()).alias("nulls"),
+    )
 
 
 def coverage(entities: DataFrame, sources: dict[str, DataFrame], key: str = "lake_uid") -> DataFrame:
@@ -55,7 +61,9 @@ def coverage(entities: DataFrame, sources: dict[str, DataFrame], key: str = "lak
 
 def accounting(df: DataFrame, status: str, key: str) -> DataFrame:
     """Rows, distinct keys, and whether ids are unique and statuses add up."""
-    return df.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("ids"), F.count(status).alias("with_status")).withColumns({"ids_unique": F.col("rows") == F.col("ids"), "adds_up": F.col("rows") == F.col("with_status")})
+    return df.agg(
+        F.count("*").alias("rows"), F.countDistinct(key).alias("ids"), F.count(status).alias("with_status"),
+    ).withColumns({"ids_unique": F.col("rows") == F.col("ids"), "adds_up": F.col("rows") == F.col("with_status")})
 
 
 def singletons(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,7 +81,9 @@ def completion(statuses: DataFrame, by: list[str], stage: str = "stage", status:
     """(by, complete): whether DEM, any time source, quality control and the leakage test came out well."""
     well = F.col(status).isin("SUCCESS", "PARTIAL")
     has = lambda *names: F.coalesce(F.bool_or(well & F.col(stage).isin(*names)), F.lit(False))
-    return statuses.groupBy(*by).agg((has("dem") & has("era5", "sentinel2", "modis", "gpm") & has("quality_control") & has("leakage_test")).alias("complete"))
+    return statuses.groupBy(*by).agg(
+        (has("dem") & has("era5", "sentinel2", "modis", "gpm") & has("quality_control") & has("leakage_test")).alias("complete")
+    )
 
 
 def stage_result(statuses: list[str]) -> str:

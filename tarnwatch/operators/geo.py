@@ -25,7 +25,9 @@ def ring_area(ring: Column) -> Column:
 def area(polygon) -> Column:
     """Shell minus holes."""
     p = col(polygon)
-    return F.abs(ring_area(F.get(p, F.lit(0)))) - F.aggregate(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.lit(0.0), lambda s, r: s + F.abs(ring_area(r)))
+    return F.abs(ring_area(F.get(p, F.lit(0)))) - F.aggregate(
+        F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.lit(0.0), lambda s, r: s + F.abs(ring_area(r)),
+    )
 
 
 def centroid(polygon) -> tuple[Column, Column]:
@@ -40,7 +42,9 @@ def centroid(polygon) -> tuple[Column, Column]:
             return (a[axis] + b[axis]) * (a["x"] * b["y"] - b["x"] * a["y"])
 
         mean = F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[axis]) / n
-        return F.when(F.abs(ring_area(ring)) > 1e-15, F.aggregate(at, F.lit(0.0), lambda s, i: s + term(i)) / (6 * ring_area(ring))).otherwise(mean)
+        return F.when(
+            F.abs(ring_area(ring)) > 1e-15, F.aggregate(at, F.lit(0.0), lambda s, i: s + term(i)) / (6 * ring_area(ring)),
+        ).otherwise(mean)
 
     return part("x"), part("y")
 
@@ -87,7 +91,9 @@ def cells(x, y, size: float, reach: int = 0) -> Column:
     return F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in offsets for j in offsets])
 
 
-def within_distance(a: DataFrame, b: DataFrame, metres: float, metric: str = "mercator", a_id: str = "a_id", b_id: str = "b_id") -> DataFrame:
+def within_distance(
+    a: DataFrame, b: DataFrame, metres: float, metric: str = "mercator", a_id: str = "a_id", b_id: str = "b_id",
+) -> DataFrame:
     """(a columns, b columns, distance_m) of points (lat, lon) at most `metres` apart, inclusive.
 
     a holds a_id, a_lat, a_lon; b holds b_id, b_lat, b_lon. Each b stands in its own cell, each a looks in nine.
@@ -98,7 +104,9 @@ def within_distance(a: DataFrame, b: DataFrame, metres: float, metric: str = "me
     # a true distance spans at most metres / cos(lat); both ends' stretch is bounded by the point's own cell size
     size = metres if metric == "mercator" else metres * 12
     left = a.withColumns(xy("a")).withColumn("_cell", F.explode(cells("_x", "_y", size, 1)))
-    right = b.withColumns(xy("b")).withColumnsRenamed({"_x": "_bx", "_y": "_by"}).withColumn("_cell", F.get(cells("_bx", "_by", size), F.lit(0)))
+    right = b.withColumns(xy("b")).withColumnsRenamed({"_x": "_bx", "_y": "_by"}).withColumn(
+        "_cell", F.get(cells("_bx", "_by", size), F.lit(0)),
+    )
     met = left.join(right, "_cell")
     flat = F.sqrt(F.pow(F.col("_x") - F.col("_bx"), 2) + F.pow(F.col("_y") - F.col("_by"), 2))
     d = flat if metric == "mercator" else 1000 * haversine_km("a_lat", "a_lon", "b_lat", "b_lon")
@@ -152,20 +160,31 @@ def link_epochs(old: DataFrame, new: DataFrame, metres: float = 200.0, prefix: s
     m = nearest(a, b, metres)
     top = new.agg(F.coalesce(F.max(F.regexp_extract("uid", r"(\d+)$", 1).cast("long")), F.lit(0)).alias("_top"))
     rest = numbered(m.where("b_id is null").select("a_id"), ["a_id"], "_n")
-    fresh = rest.join(F.broadcast(top), how="cross").select("a_id", F.concat(F.lit(prefix), zfill(F.col("_n") + F.col("_top"), 6)).alias("uid"), F.lit(None).cast("double").alias("distance_m"))
-    return m.where("b_id is not null").select("a_id", F.col("b_id").alias("uid"), "distance_m").unionByName(fresh).withColumnRenamed("a_id", "id")
+    fresh = rest.join(F.broadcast(top), how="cross").select(
+        "a_id", F.concat(F.lit(prefix), zfill(F.col("_n") + F.col("_top"), 6)).alias("uid"), F.lit(None).cast("double").alias("distance_m"),
+    )
+    return m.where("b_id is not null").select(
+        "a_id", F.col("b_id").alias("uid"), "distance_m",
+    ).unionByName(fresh).withColumnRenamed("a_id", "id")
 
 
 def dem_tiles(boxes: DataFrame, margin: float = 0.0) -> DataFrame:
     """The 1-degree tiles that boxes (min_x, max_x, min_y, max_y) touch, each once, with its name."""
     span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) - margin), F.greatest(F.ceil(F.col(hi) + margin) - 1, F.floor(F.col(lo) - margin))))
     t = boxes.select(span("min_y", "max_y").alias("lat"), "min_x", "max_x").select("lat", span("min_x", "max_x").alias("lon")).distinct()
-    name = F.format_string("SRTMGL1_%s%02d%s%03d", F.when(F.col("lat") >= 0, "N").otherwise("S"), F.abs("lat"), F.when(F.col("lon") >= 0, "E").otherwise("W"), F.abs("lon"))
+    name = F.format_string(
+        "SRTMGL1_%s%02d%s%03d", F.when(F.col("lat") >= 0, "N").otherwise("S"), F.abs("lat"), F.when(F.col("lon") >= 0, "E").otherwise("W"),
+        F.abs("lon"),
+    )
     return t.withColumn("tile", name)
 
 
 def nearest_cell(points: DataFrame, axis: list[float], value: str, out: str) -> DataFrame:
     """The grid coordinate nearest to a value, the first of equals, over a small axis."""
     a = F.array(*[F.lit(float(x)) for x in axis])
-    best = F.aggregate(a, F.lit(None).cast("double"), lambda s, x: F.when(s.isNull() | (F.abs(x - F.col(value)) < F.abs(s - F.col(value))), x).otherwise(s))
+    best = F.aggregate(
+        a, F.lit(None).cast("double"), lambda s, x: F.when(
+            s.isNull() | (F.abs(x - F.col(value)) < F.abs(s - F.col(value))), x,
+        ).otherwise(s),
+    )
     return points.withColumn(out, best)

@@ -9,8 +9,10 @@ from tarnwatch.functions.scalars import number, resolve, utm_xy, zfill
 from tarnwatch.operators.geo import area, near_duplicates
 
 CANONICAL = [
-    "lake_uid", "source_lake_id", "source_dataset", "source_version", "observation_epoch", "country", "state_or_region", "latitude", "longitude", "geometry",
-    "elevation_m", "lake_area_km2", "lake_type", "glacier_id", "river_basin", "geometry_repair_status", "duplicate_status", "boundary_status", "india_overlap_ratio",
+    "lake_uid", "source_lake_id", "source_dataset", "source_version", "observation_epoch", "country", "state_or_region", "latitude",
+    "longitude", "geometry",
+    "elevation_m", "lake_area_km2", "lake_type", "glacier_id", "river_basin", "geometry_repair_status", "duplicate_status",
+    "boundary_status", "india_overlap_ratio",
     "coordinate_flag", "source_url", "license", "access_date",
 ]
 # The names that sources use, first match wins, case does not count.
@@ -56,7 +58,10 @@ def standardised(df: DataFrame, order: list, polygon: str | None = "polygon", zo
     if have["lake_area_km2"]:
         d = to_km2(d.withColumn("lake_area_km2", number(have["lake_area_km2"])))
     elif polygon:
-        flat = F.transform(polygon, lambda r: F.transform(r, lambda p: F.struct(*[c.alias(n) for c, n in zip(utm_xy(p["y"], p["x"], zone), "xy", strict=True)])))
+        flat = F.transform(
+            polygon,
+            lambda r: F.transform(r, lambda p: F.struct(*[c.alias(n) for c, n in zip(utm_xy(p["y"], p["x"], zone), "xy", strict=True)])),
+        )
         d = d.withColumn("_flat", flat).withColumn("lake_area_km2", area("_flat") / 1e6).drop("_flat")
     return d.withColumn("lake_area_km2", F.round("lake_area_km2", 6))
 
@@ -78,7 +83,10 @@ def registry(tables: dict[str, tuple[DataFrame, str]], constants: dict[str, dict
     """Countries' inventories in one schema: uid = prefix and zero-padded source id."""
     out = None
     for country, (df, prefix) in tables.items():
-        t = df.select(F.concat(F.lit(prefix), zfill("source_lake_id", 6)).alias("lake_uid"), F.lit(country).alias("country"), F.col("source_lake_id").cast("string"), *[F.lit(v).alias(k) for k, v in constants[country].items()])
+        t = df.select(
+            F.concat(F.lit(prefix), zfill("source_lake_id", 6)).alias("lake_uid"), F.lit(country).alias("country"),
+            F.col("source_lake_id").cast("string"), *[F.lit(v).alias(k) for k, v in constants[country].items()],
+        )
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     return out
 
@@ -90,16 +98,24 @@ def duplicate_flags(df: DataFrame, metres: float = 50.0) -> DataFrame:
     d = df.withColumn("_exact", F.row_number().over(w) > 1)
     near = near_duplicates(d.where("not _exact"), metres).select("id", "duplicate_of")
     d = d.join(near, "id", "left")
-    return d.withColumn("duplicate_status", F.when(F.col("_exact"), "exact_duplicate").when(F.col("duplicate_of").isNotNull(), "near_duplicate_candidate").otherwise("unique")).drop("_exact")
+    return d.withColumn(
+        "duplicate_status",
+        F.when(F.col("_exact"), "exact_duplicate").when(F.col("duplicate_of").isNotNull(), "near_duplicate_candidate").otherwise("unique"),
+    ).drop("_exact")
 
 
 def id_quality(df: DataFrame, candidates=("id", "lake_id", "objectid", "fid")) -> DataFrame:
     """Null ids, and rows beyond the first of an id, in the first id column there is."""
     c = resolve(df, list(candidates))
     g = df.groupBy(c).count()
-    return g.agg(F.lit(c).alias("id_column"), F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col("count"))), F.lit(0)).alias("null_ids"), F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("count") - 1)), F.lit(0)).alias("duplicate_ids"))
+    return g.agg(
+        F.lit(c).alias("id_column"), F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col("count"))), F.lit(0)).alias("null_ids"),
+        F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("count") - 1)), F.lit(0)).alias("duplicate_ids"),
+    )
 
 
 def stage_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, rows): histograms of several columns in one pass."""
-    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NULL")).alias(c) for c in columns]).unpivot([], columns, "column", "value").groupBy("column", "value").agg(F.count("*").alias("rows"))
+    return df.select(
+        *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")).alias(c) for c in columns]
+    ).unpivot([], columns, "column", "value").groupBy("column", "value").agg(F.count("*").alias("rows"))

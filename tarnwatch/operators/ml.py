@@ -40,7 +40,9 @@ def class_weights(df: DataFrame, y: str) -> DataFrame:
     """balanced weights: rows / (classes * rows of the class)."""
     g = df.groupBy(y).agg(F.count("*").alias("_n"))
     t = g.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
-    return df.join(F.broadcast(g), y).join(F.broadcast(t), how="cross").withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
+    return df.join(F.broadcast(g), y).join(F.broadcast(t), how="cross").withColumn(
+        "weight", F.col("_all") / (F.col("_k") * F.col("_n")),
+    ).drop("_n", "_all", "_k")
 
 
 def positive_weight(df: DataFrame, y: str) -> float:
@@ -61,10 +63,15 @@ def estimator(kind: str, weighted: bool, **settings):
     w = {"weightCol": "weight"} if weighted else {}
     if kind == "logistic":
         return LogisticRegression(standardization=False, maxIter=settings.get("iterations", 100), regParam=settings.get("reg", 1e-3), **w)
-    return GBTClassifier(maxDepth=settings.get("depth", 3), stepSize=settings.get("rate", 0.1), maxIter=settings.get("trees", 20), seed=42, **w)
+    return GBTClassifier(
+        maxDepth=settings.get("depth", 3), stepSize=settings.get("rate", 0.1), maxIter=settings.get("trees", 20), seed=42, **w
+    )
 
 
-def fit_predict(train: DataFrame, test: DataFrame, features: list[str], y: str = "true_label", kind: str = "logistic", balanced: bool = False, **settings) -> tuple[DataFrame, object]:
+def fit_predict(
+    train: DataFrame, test: DataFrame, features: list[str], y: str = "true_label", kind: str = "logistic", balanced: bool = False,
+    **settings
+) -> tuple[DataFrame, object]:
     """Imputation and scaling fitted on train only -> (test with predicted_probability, model)."""
     values = impute_values(train, features)
     a, b = impute(train, values), impute(test, values)
@@ -76,7 +83,9 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], y: str =
     out = model.transform(assemble(b, features))
     from pyspark.ml.functions import vector_to_array
 
-    return out.withColumn("predicted_probability", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "probability", "prediction"), model
+    return out.withColumn(
+        "predicted_probability", F.get(vector_to_array("probability"), F.lit(1)),
+    ).drop("features", "rawPrediction", "probability", "prediction"), model
 
 
 def coefficient_importance(model, features: list[str]) -> list[tuple[str, float]]:
@@ -158,15 +167,29 @@ def shap(df: DataFrame, model, features: list[str]) -> DataFrame:
 def mean_abs_shap(df: DataFrame, model, features: list[str]) -> DataFrame:
     """(feature, mean_abs_shap)"""
     s = shap(df.select(*features), model, features)
-    return s.agg(*[F.avg(F.abs(F.col("shap")[i])).alias(f) for i, f in enumerate(features)]).unpivot([], features, "feature", "mean_abs_shap")
+    return s.agg(
+        *[F.avg(F.abs(F.col("shap")[i])).alias(f) for i, f in enumerate(features)]
+    ).unpivot([], features, "feature", "mean_abs_shap")
 
 
 def configurations(depths=(2, 3, 4), rates=(0.03, 0.05, 0.1), trees=(100, 200, 400)) -> list[dict]:
     """The models of a search, in the order in which ties are settled: two linear ones, two boosted with defaults, and a
     boosted one for each depth, rate and number of trees."""
-    out = [dict(model_name=f"LogisticRegression{b}", kind="logistic", balanced=bool(b), complexity=1, settings={"reg": 1e-3}) for b in ("", "_Balanced")]
-    out += [dict(model_name=f"HistGB{b}", kind="boosted", balanced=bool(b), complexity=2, settings={"trees": 100, "depth": 5, "rate": 0.1}) for b in ("", "_Balanced")]
-    return out + [dict(model_name=f"XGB_d{d}_lr{r}_n{n}", kind="boosted", balanced=False, complexity=3, settings={"depth": d, "rate": r, "trees": n}) for d in depths for r in rates for n in trees]
+    out = [
+        dict(
+            model_name=f"LogisticRegression{b}", kind="logistic", balanced=bool(b), complexity=1, settings={"reg": 1e-3},
+        ) for b in ("", "_Balanced")
+    ]
+    out += [
+        dict(
+            model_name=f"HistGB{b}", kind="boosted", balanced=bool(b), complexity=2, settings={"trees": 100, "depth": 5, "rate": 0.1},
+        ) for b in ("", "_Balanced")
+    ]
+    return out + [
+        dict(
+            model_name=f"XGB_d{d}_lr{r}_n{n}", kind="boosted", balanced=False, complexity=3, settings={"depth": d, "rate": r, "trees": n},
+        ) for d in depths for r in rates for n in trees
+    ]
 
 
 def fitted(train: DataFrame, test: DataFrame, features: list[str], y: str, config: dict, oversample: bool) -> DataFrame | None:
@@ -184,7 +207,10 @@ def fitted(train: DataFrame, test: DataFrame, features: list[str], y: str, confi
     return fit_predict(a, b, own, y, config["kind"], config["balanced"], **config["settings"])[0]
 
 
-def search(df: DataFrame, features: list[str], configs: list[dict], group: str = "cv_group_id", y: str = "true_label", oversample: bool = False, folds: int = 3, thresholds=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), workers: int = 4) -> tuple[DataFrame, list[dict]]:
+def search(
+    df: DataFrame, features: list[str], configs: list[dict], group: str = "cv_group_id", y: str = "true_label", oversample: bool = False,
+    folds: int = 3, thresholds=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), workers: int = 4,
+) -> tuple[DataFrame, list[dict]]:
     """(out-of-fold predictions, the choice of each fold): nested cross-validation over groups.
 
     Each group with a positive is held out once. On the others, inner folds of whole groups score every configuration; the
@@ -206,7 +232,9 @@ def search(df: DataFrame, features: list[str], configs: list[dict], group: str =
         names = [r[0] for r in inner.select("_inner").distinct().orderBy("_inner").collect()]
 
         def score(config, inner=inner, names=names):
-            parts = [fitted(inner.where(F.col("_inner") != k), inner.where(F.col("_inner") == k), features, y, config, oversample) for k in names]
+            parts = [
+                fitted(inner.where(F.col("_inner") != k), inner.where(F.col("_inner") == k), features, y, config, oversample) for k in names
+            ]
             if any(p is None for p in parts):
                 return None
             p = stored(reduce(DataFrame.unionByName, [x.select(y, "predicted_probability") for x in parts]), "search-scores")
@@ -220,22 +248,45 @@ def search(df: DataFrame, features: list[str], configs: list[dict], group: str =
         if best is None:
             continue
         chosen.append({"fold": held.fold} | best)
-        p = fitted(train, test, features, y, best, oversample).select(F.col(group).alias("fold"), F.lit(best["model_name"]).alias("model_name"), y, "predicted_probability", F.lit(float(best["threshold"])).alias("threshold"))
+        p = fitted(train, test, features, y, best, oversample).select(
+            F.col(group).alias("fold"), F.lit(best["model_name"]).alias("model_name"), y, "predicted_probability",
+            F.lit(float(best["threshold"])).alias("threshold"),
+        )
         p = stored(p, "search-out")
         out = p if out is None else out.unionByName(p)
     return out, chosen
 
 
-def holdout_gate(df: DataFrame, region: str, home: list[str], away: list[str], unit: str = "lake_uid", y: str = "true_label", least: int = 5) -> DataFrame:
+def holdout_gate(
+    df: DataFrame, region: str, home: list[str], away: list[str], unit: str = "lake_uid", y: str = "true_label", least: int = 5,
+) -> DataFrame:
     """(direction, train_units, test_units, eligible): units with a positive on either side; a transfer needs `least` on both."""
     positive = F.col(y) == 1
-    n = df.agg(*[F.countDistinct(F.when(positive & F.col(region).isin(*side), F.col(unit))).alias(k) for k, side in (("home", home), ("away", away))])
+    n = df.agg(
+        *[
+            F.countDistinct(
+                F.when(positive & F.col(region).isin(*side), F.col(unit))
+            ).alias(k) for k, side in (("home", home), ("away", away))
+        ]
+    )
     ok = (F.col("home") >= least) & (F.col("away") >= least)
-    rows = F.array(F.struct(F.lit("forward").alias("direction"), F.col("home").alias("train_units"), F.col("away").alias("test_units"), ok.alias("eligible")), F.struct(F.lit("reverse").alias("direction"), F.col("away").alias("train_units"), F.col("home").alias("test_units"), ok.alias("eligible")))
+    rows = F.array(
+        F.struct(
+            F.lit("forward").alias("direction"), F.col("home").alias("train_units"), F.col("away").alias("test_units"),
+            ok.alias("eligible"),
+        ),
+        F.struct(
+            F.lit("reverse").alias("direction"), F.col("away").alias("train_units"), F.col("home").alias("test_units"),
+            ok.alias("eligible"),
+        ),
+    )
     return n.select(F.inline(rows))
 
 
-def transfer(df: DataFrame, features: list[str], region: str, home: list[str], away: list[str], unit: str = "lake_uid", y: str = "true_label", least: int = 5) -> DataFrame | None:
+def transfer(
+    df: DataFrame, features: list[str], region: str, home: list[str], away: list[str], unit: str = "lake_uid", y: str = "true_label",
+    least: int = 5,
+) -> DataFrame | None:
     """(direction, fold counts and rankings) of a balanced linear model trained at home and tested away, and the reverse;
     None where holdout_gate() closes."""
     from tarnwatch.operators import metrics
@@ -260,7 +311,9 @@ def permutation_importance(predict, df: DataFrame, features: list[str], y: str =
 
     for f in features:
         a = numbered.withColumn("_r", F.row_number().over(W.partitionBy("_g").orderBy(F.xxhash64(*df.columns))))
-        b = a.select("_g", F.col(f).alias("_v"), F.row_number().over(W.partitionBy("_g").orderBy(F.xxhash64(F.lit(seed), *df.columns))).alias("_r"))
+        b = a.select(
+            "_g", F.col(f).alias("_v"), F.row_number().over(W.partitionBy("_g").orderBy(F.xxhash64(F.lit(seed), *df.columns))).alias("_r"),
+        )
         moved = a.join(b, ["_g", "_r"]).withColumn(f, F.col("_v")).drop("_g", "_r", "_v")
         out.append((f, float(base - ranking(predict(moved), [], y).first().roc_auc)))
     return sorted(out, key=lambda x: -x[1])
@@ -362,7 +415,9 @@ def neighbours(points: DataFrame, features: list[str], k: int = 5, block: int =
     distinct = stored(points.groupBy(*features).agg(F.count("*").alias("_m")), "smote-points")
     n = distinct.count()
     parts = min(1024, max(1, -(-n // block)))
-    sample = distinct.where(F.pmod(F.xxhash64(*features), F.lit(max(1, n // (100 * parts)))) == 0).select(*features).toPandas().to_numpy(float)
+    sample = distinct.where(
+        F.pmod(F.xxhash64(*features), F.lit(max(1, n // (100 * parts)))) == 0
+    ).select(*features).toPandas().to_numpy(float)
     tree = tree_of(sample[np.lexsort(sample.T[::-1])], parts)
 
     def deal(batches):
@@ -370,7 +425,9 @@ def neighbours(points: DataFrame, features: list[str], k: int = 5, block: int =
             yield t.assign(_home=leaves(tree, t[features].to_numpy(float)))
 
     dealt = stored(distinct.mapInPandas(deal, f"{made}, _m long, _home int"), "smote-leaves")
-    boxes = dealt.groupBy("_home").agg(F.sum("_m").alias("rows"), *[F.min(f).alias(f"low_{f}") for f in features], *[F.max(f).alias(f"high_{f}") for f in features]).orderBy("_home").collect()
+    boxes = dealt.groupBy("_home").agg(
+        F.sum("_m").alias("rows"), *[F.min(f).alias(f"low_{f}") for f in features], *[F.max(f).alias(f"high_{f}") for f in features],
+    ).orderBy("_home").collect()
     names = np.array([b._home for b in boxes], np.int32)
     low, high = (np.array([[b[f"{s}_{f}"] for f in features] for b in boxes], float).reshape(len(boxes), -1) for s in ("low", "high"))
 
@@ -378,7 +435,9 @@ def neighbours(points: DataFrame, features: list[str], k: int = 5, block: int =
         """A row for each of the neighbours near[i] of q[i]."""
         i, j = np.nonzero(near >= 0)
         to = near[i, j]
-        return dict(zip(features, q[i].T, strict=True)) | {"_home": t[i], "_d": far[i, j], "_n": others[to]} | dict(zip(named, x[to].T, strict=True))
+        return dict(zip(features, q[i].T, strict=True)) | {
+            "_home": t[i], "_d": far[i, j], "_n": others[to],
+        } | dict(zip(named, x[to].T, strict=True))
 
     def own(t):
         import pandas as pd
@@ -388,8 +447,16 @@ def neighbours(points: DataFrame, features: list[str], k: int = 5, block: int =
         far, near = nearest(x, x, k)
         # copies count too: with k of them nothing else is near
         reach = np.where(m > k, -1.0, far[:, -1] * (1 + 1e-9))
-        asks = [[int(names[b]) for b in np.flatnonzero(gaps(p, p, low, high) <= r) if names[b] != t._home.iloc[0]] for p, r in zip(x, reach, strict=True)]
-        selves = pd.DataFrame(dict(zip(features, x.T, strict=True)) | {"_home": t._home, "_d": 0.0, "_n": m - 1} | dict(zip(named, x.T, strict=True)) | {"_asks": asks})
+        asks = [
+            [
+                int(names[b]) for b in np.flatnonzero(gaps(p, p, low, high) <= r) if names[b] != t._home.iloc[0]
+            ] for p, r in zip(x, reach, strict=True)
+        ]
+        selves = pd.DataFrame(
+            dict(zip(features, x.T, strict=True)) | {
+                "_home": t._home, "_d": 0.0, "_n": m - 1,
+            } | dict(zip(named, x.T, strict=True)) | {"_asks": asks}
+        )
         return pd.concat([selves, pd.DataFrame(found(x, x, t._home.to_numpy(), m, far, near)).assign(_asks=None)], ignore_index=True)
 
     schema = f"{made}, _home int, _d double, _n long, {nears}"
@@ -400,7 +467,9 @@ def neighbours(points: DataFrame, features: list[str], k: int = 5, block: int =
 
         held = held.sort_values(features, ignore_index=True)
         q, x = asked[features].to_numpy(float), held[features].to_numpy(float)
-        return pd.DataFrame(found(q, x, asked._home.to_numpy(), held._m.to_numpy(), *nearest(q, x, k)), columns=[*features, "_home", "_d", "_n", *named])
+        return pd.DataFrame(
+            found(q, x, asked._home.to_numpy(), held._m.to_numpy(), *nearest(q, x, k)), columns=[*features, "_home", "_d", "_n", *named],
+        )
 
     asked = first.select(*features, "_home", F.explode("_asks").alias("_leaf"))
     more = asked.groupBy("_leaf").cogroup(dealt.withColumnRenamed("_home", "_leaf").groupBy("_leaf")).applyInPandas(other, schema)

@@ -54,12 +54,16 @@ def mentions(columns: list, words=INDIA_REGIONS) -> Column:
 
 
 def in_country(country, region, name: str = "india", words=INDIA_REGIONS) -> Column:
-    return F.coalesce(F.lower(col(country)).contains(name), F.lit(False)) | F.coalesce(F.lower(col(region)).rlike("|".join(words)), F.lit(False))
+    return F.coalesce(F.lower(col(country)).contains(name), F.lit(False)) | F.coalesce(
+        F.lower(col(region)).rlike("|".join(words)), F.lit(False),
+    )
 
 
 def reliability(reference) -> Column:
     r = F.lower(F.trim(col(reference)))
-    return F.when(r.isNull() | (r == "") | (r == "nan"), "UNVERIFIED").when(r.rlike(RELIABLE), "HIGH").when(r.rlike(POPULAR), "LOW").otherwise("MEDIUM")
+    return F.when(
+        r.isNull() | (r == "") | (r == "nan"), "UNVERIFIED",
+    ).when(r.rlike(RELIABLE), "HIGH").when(r.rlike(POPULAR), "LOW").otherwise("MEDIUM")
 
 
 def scientific(reference) -> Column:
@@ -103,7 +107,11 @@ def family(feature="feature") -> Column:
 def model_settings(name="model_name") -> dict[str, Column]:
     """Hyper-parameters from names such as xgb_d3_lr0.05_n200_balanced."""
     n = F.lower(col(name))
-    return {"depth": F.expr(f"try_cast(regexp_extract(lower({name}), '_d([0-9]+)', 1) as int)"), "rate": F.expr(f"try_cast(regexp_extract(lower({name}), '_lr([0-9.]+)', 1) as double)"), "trees": F.expr(f"try_cast(regexp_extract(lower({name}), '_n([0-9]+)', 1) as int)"), "balanced": n.contains("balanced")}
+    return {
+        "depth": F.expr(f"try_cast(regexp_extract(lower({name}), '_d([0-9]+)', 1) as int)"),
+        "rate": F.expr(f"try_cast(regexp_extract(lower({name}), '_lr([0-9.]+)', 1) as double)"),
+        "trees": F.expr(f"try_cast(regexp_extract(lower({name}), '_n([0-9]+)', 1) as int)"), "balanced": n.contains("balanced"),
+    }
 
 
 def heuristic(precipitation="precip_sum_7d", most: float = 50.0) -> Column:

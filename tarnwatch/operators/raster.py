@@ -15,16 +15,28 @@ def mndwi(green, swir) -> Column:
     return F.zip_with(col(green), col(swir), lambda g, s: F.try_divide((g - s).cast("double"), (g + s).cast("double")))
 
 
-def water_stats(tiles: DataFrame, keys: list[str], green: str = "green", swir: str = "swir", scl: str = "scl", pixel_m2: float = 100.0) -> DataFrame:
+def water_stats(
+    tiles: DataFrame, keys: list[str], green: str = "green", swir: str = "swir", scl: str = "scl", pixel_m2: float = 100.0,
+) -> DataFrame:
     """Counts, fractions, index statistics (population deviation) and water area of each tile's clear pixels."""
-    p = tiles.select(*keys, F.explode(F.arrays_zip(mndwi(green, swir).alias("index"), F.col(scl).alias("scl"))).alias("p")).select(*keys, F.col("p.index").alias("index"), F.col("p.scl").alias("scl"))
+    p = tiles.select(
+        *keys, F.explode(F.arrays_zip(mndwi(green, swir).alias("index"), F.col(scl).alias("scl"))).alias("p"),
+    ).select(*keys, F.col("p.index").alias("index"), F.col("p.scl").alias("scl"))
     clear = ~F.col("scl").isin(*MASKED)
     x = F.when(clear, F.col("index"))
     g = p.groupBy(*keys).agg(
-        F.count("*").alias("pixels"), F.count_if(clear).alias("valid_pixels"), F.count_if(F.col("scl").isin(8, 9, 10)).alias("cloud_pixels"), F.count_if(clear & (F.col("index") > 0)).alias("water_pixels"),
+        F.count("*").alias("pixels"), F.count_if(clear).alias("valid_pixels"),
+        F.count_if(F.col("scl").isin(8, 9, 10)).alias("cloud_pixels"), F.count_if(clear & (F.col("index") > 0)).alias("water_pixels"),
         F.avg(x).alias("ndwi_mean"), F.percentile(x, F.lit(0.5)).alias("ndwi_median"), F.stddev_pop(x).alias("ndwi_std"),
     )
-    return g.withColumns({"cloud_fraction": fraction(F.col("cloud_pixels"), F.col("pixels")), "valid_pixel_fraction": fraction(F.col("valid_pixels"), F.col("pixels")), "water_pixel_fraction": fraction(F.col("water_pixels"), F.col("valid_pixels")), "lake_area_km2": F.col("water_pixels") * pixel_m2 / 1e6})
+    return g.withColumns(
+        {
+            "cloud_fraction": fraction(F.col("cloud_pixels"), F.col("pixels")),
+            "valid_pixel_fraction": fraction(F.col("valid_pixels"), F.col("pixels")),
+            "water_pixel_fraction": fraction(F.col("water_pixels"), F.col("valid_pixels")),
+            "lake_area_km2": F.col("water_pixels") * pixel_m2 / 1e6,
+        }
+    )
 
 
 def snow_fraction(raw="raw") -> Column:
@@ -57,11 +69,20 @@ def terrain(tiles: DataFrame, keys: list[str], cell_m: float = 30.0, downslope:
         for h, w, v in zip(height, width, values, strict=True):
             z = np.array([np.nan if x is None else x for x in v], float).reshape(h, w)
             s, a = slope_aspect(z, cell_m, cell_m, downslope) if min(h, w) > 1 else (np.full_like(z, np.nan),) * 2
-            out.append([{"z": x, "slope": y, "aspect": t} for x, y, t in zip(*(np.where(np.isnan(k), None, k).ravel().tolist() for k in (z, s, a)), strict=True)])
+            out.append(
+                [
+                    {"z": x, "slope": y, "aspect": t} for x, y, t in zip(
+                        *(np.where(np.isnan(k), None, k).ravel().tolist() for k in (z, s, a)), strict=True,
+                    )
+                ]
+            )
         return pd.Series(out)
 
     p = tiles.select(*keys, F.explode(pixels("height", "width", "elevation")).alias("p")).select(*keys, "p.*")
-    return p.groupBy(*keys).agg(F.avg("z").alias("elevation_m"), F.avg("slope").alias("mean_slope_deg"), F.max("slope").alias("max_slope_deg"), circular_mean("aspect").alias("mean_aspect_deg"))
+    return p.groupBy(*keys).agg(
+        F.avg("z").alias("elevation_m"), F.avg("slope").alias("mean_slope_deg"), F.max("slope").alias("max_slope_deg"),
+        circular_mean("aspect").alias("mean_aspect_deg"),
+    )
 
 
 def sinusoidal_index(lat, lon, tile_h: int, tile_v: int, size: int = 2400) -> tuple[Column, Column]:

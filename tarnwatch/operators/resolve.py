@@ -25,7 +25,9 @@ def pair_scores(events: DataFrame, cell: float = 0.2, only_absorbing: bool = Fal
     side = lambda p: e.select(*[F.col(c).alias(f"{p}_{c}") for c in ("idx", "event_date", "latitude", "longitude", "_name")])
     a, b = side("a"), side("b")
     on = {"event_date": F.col("a_event_date") == F.col("b_event_date"), "_name": F.col("a__name") == F.col("b__name")}
-    near, far = a.withColumn("_cell", F.explode(geo.cells("a_longitude", "a_latitude", cell, 1))), b.withColumn("_of", F.get(geo.cells("b_longitude", "b_latitude", cell), F.lit(0)))
+    near, far = a.withColumn("_cell", F.explode(geo.cells("a_longitude", "a_latitude", cell, 1))), b.withColumn(
+        "_of", F.get(geo.cells("b_longitude", "b_latitude", cell), F.lit(0)),
+    )
     here = F.col("_cell") == F.col("_of")
     if only_absorbing:
         joins = [near.join(far, here & on["event_date"]), near.join(far, here & on["_name"]), a.join(b, on["event_date"] & on["_name"])]
@@ -55,9 +57,13 @@ def leaders(events: DataFrame, pairs: DataFrame) -> DataFrame:
     while True:
         by = absorbing.join(state.select(F.col("idx").alias("i"), F.col("leader").alias("_of")), "i")
         leads = F.col("_of") == F.col("i")
-        seen = by.groupBy(F.col("j").alias("idx")).agg(F.min(F.when(leads, F.col("i"))).alias("_first"), F.min(F.when(F.col("_of").isNull(), F.col("i"))).alias("_unsettled"))
+        seen = by.groupBy(F.col("j").alias("idx")).agg(
+            F.min(F.when(leads, F.col("i"))).alias("_first"), F.min(F.when(F.col("_of").isNull(), F.col("i"))).alias("_unsettled"),
+        )
         s = state.join(seen, "idx", "left")
-        settled = F.when(F.col("leader").isNotNull(), F.col("leader")).when(F.col("_first").isNotNull() & (F.col("_unsettled").isNull() | (F.col("_unsettled") > F.col("_first"))), F.col("_first")).when(F.col("_unsettled").isNull(), F.col("idx"))
+        settled = F.when(F.col("leader").isNotNull(), F.col("leader")).when(
+            F.col("_first").isNotNull() & (F.col("_unsettled").isNull() | (F.col("_unsettled") > F.col("_first"))), F.col("_first"),
+        ).when(F.col("_unsettled").isNull(), F.col("idx"))
         state = stored(s.select("idx", settled.alias("leader")), "leaders")
         if state.where("leader is null").isEmpty():
             return state
@@ -68,18 +74,30 @@ def merge_events(events: DataFrame, assigned: DataFrame) -> DataFrame:
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[F.col("event_confidence")], F.lit(-1))
     m = events.join(assigned, "idx")
     joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.col(c).alias("v")))), lambda s: s["v"]), "|")
-    g = m.groupBy("leader").agg(F.count("*").cast("long").alias("source_count"), joined("source_record_id").alias("source_ids"), joined("source_url").alias("source_urls"), F.max_by("event_confidence", F.struct(rank, -F.col("idx"))).alias("best_confidence"))
+    g = m.groupBy("leader").agg(
+        F.count("*").cast("long").alias("source_count"), joined("source_record_id").alias("source_ids"),
+        joined("source_url").alias("source_urls"), F.max_by("event_confidence", F.struct(rank, -F.col("idx"))).alias("best_confidence"),
+    )
     own = events.drop("event_confidence").withColumnRenamed("idx", "leader")
-    return own.join(g, "leader").withColumn("event_id", sha_id("source_record_id", "event_date", size=12)).withColumnRenamed("best_confidence", "event_confidence")
+    return own.join(g, "leader").withColumn(
+        "event_id", sha_id("source_record_id", "event_date", size=12),
+    ).withColumnRenamed("best_confidence", "event_confidence")
 
 
 def reconciliation(assigned: DataFrame, pairs: DataFrame) -> DataFrame:
     """NEW_EVENT and DUPLICATE_EXISTING_EVENT a record, and CROSS_SOURCE_REVIEW a pair of leader and unmerged record."""
-    own = assigned.select(F.col("leader").alias("canonical"), "idx", F.when(F.col("idx") == F.col("leader"), "NEW_EVENT").otherwise("DUPLICATE_EXISTING_EVENT").alias("dedup_status"))
+    own = assigned.select(
+        F.col("leader").alias("canonical"), "idx",
+        F.when(F.col("idx") == F.col("leader"), "NEW_EVENT").otherwise("DUPLICATE_EXISTING_EVENT").alias("dedup_status"),
+    )
     lead = assigned.where("idx = leader").select(F.col("idx").alias("i"))
     # j is weighed against i only while no leader before i has taken it
-    review = pairs.where("not absorbs and score >= 3").join(lead, "i").join(assigned.select(F.col("idx").alias("j"), "leader"), "j").where("leader > i or leader = j")
-    return own.unionByName(review.select(F.col("i").alias("canonical"), F.col("j").alias("idx"), F.lit("CROSS_SOURCE_REVIEW").alias("dedup_status")))
+    review = pairs.where("not absorbs and score >= 3").join(lead, "i").join(
+        assigned.select(F.col("idx").alias("j"), "leader"), "j",
+    ).where("leader > i or leader = j")
+    return own.unionByName(
+        review.select(F.col("i").alias("canonical"), F.col("j").alias("idx"), F.lit("CROSS_SOURCE_REVIEW").alias("dedup_status"))
+    )
 
 
 def projected(polygon, x, y):
@@ -107,19 +125,32 @@ def match_sites(events: DataFrame, sites: DataFrame, near: float = 5000.0, far:
 
     One candidate table of up to 10 km decides all tiers. Only the first and third tier name a site.
     """
-    c = near_sites(events.select("a_id", "a_lat", "a_lon"), sites.select("b_id", "polygon"), far).select("a_id", "b_id", "inside", F.col("distance_m").alias("edge_m"))
+    c = near_sites(
+        events.select("a_id", "a_lat", "a_lon"), sites.select("b_id", "polygon"), far,
+    ).select("a_id", "b_id", "inside", F.col("distance_m").alias("edge_m"))
     w = W.partitionBy("a_id").orderBy(F.col("inside").desc(), "edge_m", "b_id")
     whole = W.partitionBy("a_id")
-    c = c.withColumns({"rank": F.row_number().over(w), "next_m": F.lead("edge_m").over(w), "holds": F.count_if("inside").over(whole), "within": F.count_if(F.col("edge_m") <= near).over(whole), "candidates": F.count("*").over(whole)})
+    c = c.withColumns(
+        {
+            "rank": F.row_number().over(w), "next_m": F.lead("edge_m").over(w), "holds": F.count_if("inside").over(whole),
+            "within": F.count_if(F.col("edge_m") <= near).over(whole), "candidates": F.count("*").over(whole),
+        }
+    )
     best = c.where("rank = 1").select("a_id", "b_id", "edge_m", "next_m", "holds", "within", "candidates")
     m = events.select("a_id", "a_lat", "a_lon").join(best, "a_id", "left")
     status, method, confidence = tiers(gap, near)
     named = (F.col("holds") == 1) | ((F.col("holds") == 0) & (F.col("within") > 0))
     diagnosed = (F.col("holds") == 0) & (F.col("within") == 0)
     return m.select(
-        "a_id", F.when(named, F.col("b_id")).alias("lake_uid"), status.alias("match_status"), method.alias("match_method"), confidence.alias("lake_match_confidence"),
-        F.when(named, F.round("edge_m", 1)).alias("match_distance_m"), F.coalesce(F.when(F.col("holds") > 0, F.col("holds")).when(F.col("within") > 0, F.col("within")), F.lit(0)).alias("candidate_count"),
-        F.when(diagnosed, F.col("candidates")).alias("diagnostic_candidate_count"), F.when(diagnosed, F.col("b_id")).alias("nearest_candidate_lake_uid"), F.when(diagnosed, F.round("edge_m", 1)).alias("nearest_candidate_distance_m"),
+        "a_id", F.when(named, F.col("b_id")).alias("lake_uid"), status.alias("match_status"), method.alias("match_method"),
+        confidence.alias("lake_match_confidence"),
+        F.when(named, F.round("edge_m", 1)).alias("match_distance_m"),
+        F.coalesce(
+            F.when(F.col("holds") > 0, F.col("holds")).when(F.col("within") > 0, F.col("within")), F.lit(0),
+        ).alias("candidate_count"),
+        F.when(diagnosed, F.col("candidates")).alias("diagnostic_candidate_count"),
+        F.when(diagnosed, F.col("b_id")).alias("nearest_candidate_lake_uid"),
+        F.when(diagnosed, F.round("edge_m", 1)).alias("nearest_candidate_distance_m"),
     )
 
 
@@ -128,7 +159,9 @@ def tiers(gap: float, near: float) -> tuple[Column, Column, Column]:
     dominant = F.col("next_m").isNull() | (F.col("next_m") > near) | (F.col("next_m") - F.col("edge_m") > gap)
     status = F.when(holds == 1, HIGH).when((holds > 1) | (within > 0), MANUAL).otherwise(UNMATCHED)
     placed = F.col("a_lat").isNotNull() & F.col("a_lon").isNotNull()
-    method = F.when(holds == 1, "polygon_intersection").when(holds > 1, "polygon_intersection_ambiguous").when(within > 0, "distance_buffer_5km").when(F.col("b_id").isNotNull(), "diagnostic_missed_match_10km").when(placed, "no_candidate_10km")
+    method = F.when(holds == 1, "polygon_intersection").when(holds > 1, "polygon_intersection_ambiguous").when(within > 0, "distance_buffer_5km").when(
+        F.col("b_id").isNotNull(), "diagnostic_missed_match_10km",
+    ).when(placed, "no_candidate_10km")
     confidence = F.when(holds == 1, "HIGH").when((holds == 0) & (within > 0), F.when(dominant, "MEDIUM").otherwise("LOW"))
     return status, method, confidence
 
@@ -150,7 +183,9 @@ def name_ratio():
 
         import pandas as pd
 
-        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series(
+            [None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64",
+        )
 
     return ratio
 
@@ -163,13 +198,22 @@ def nearest_site(events: DataFrame, sites: DataFrame, first: float = 10000.0, gr
     times wider, the last of which spans all sites and events.
     """
     box = geo.bounds("_flat")
-    e, s = (df.agg(*[F.min(F.least(*c)).alias(f"lo{k}") for k, c in enumerate(cs)], *[F.max(F.greatest(*c)).alias(f"hi{k}") for k, c in enumerate(cs)]).first() for df, cs in ((events, [(F.col("_x"), F.col("_x")), (F.col("_y"), F.col("_y"))]), (sites, [(box["min_x"], box["max_x"]), (box["min_y"], box["max_y"])])))
+    e, s = (
+        df.agg(*[F.min(F.least(*c)).alias(f"lo{k}") for k, c in enumerate(cs)], *[F.max(F.greatest(*c)).alias(f"hi{k}") for k, c in enumerate(cs)]).first() for df, cs in (
+            (events, [(F.col("_x"), F.col("_x")), (F.col("_y"), F.col("_y"))]),
+            (sites, [(box["min_x"], box["max_x"]), (box["min_y"], box["max_y"])]),
+        )
+    )
     if e.lo0 is None or s.lo0 is None:
-        return events.select("a_id", F.lit(None).cast(dict(sites.dtypes)["b_id"]).alias("b_id"), F.lit(None).cast("double").alias("distance_m")).limit(0)
+        return events.select(
+            "a_id", F.lit(None).cast(dict(sites.dtypes)["b_id"]).alias("b_id"), F.lit(None).cast("double").alias("distance_m"),
+        ).limit(0)
     span = sum(max(e[f"hi{k}"], s[f"hi{k}"]) - min(e[f"lo{k}"], s[f"lo{k}"]) for k in (0, 1))
     todo, found, reach = events.select("a_id", "country", "_x", "_y"), None, first
     while True:
-        met = todo.withColumn("_cell", F.get(geo.cells("_x", "_y", reach), F.lit(0))).join(geo.listed(sites, "_flat", reach, reach), ["country", "_cell"])
+        met = todo.withColumn("_cell", F.get(geo.cells("_x", "_y", reach), F.lit(0))).join(
+            geo.listed(sites, "_flat", reach, reach), ["country", "_cell"],
+        )
         met = met.withColumn("distance_m", geo.distance("_flat", "_x", "_y"))
         best = met.groupBy("a_id").agg(F.min(F.struct("distance_m", "b_id")).alias("m")).select("a_id", "m.b_id", "m.distance_m")
         best = stored(best.where(F.col("distance_m") <= reach) if reach < span else best, "nearest")
@@ -180,7 +224,9 @@ def nearest_site(events: DataFrame, sites: DataFrame, first: float = 10000.0, gr
         reach *= growth
 
 
-def match_in_country(events: DataFrame, sites: DataFrame, near: float = 5000.0, far: float = 10000.0, least_ratio: float = 0.8, zone: int = 45) -> DataFrame:
+def match_in_country(
+    events: DataFrame, sites: DataFrame, near: float = 5000.0, far: float = 10000.0, least_ratio: float = 0.8, zone: int = 45,
+) -> DataFrame:
     """Events against the nearest site of their own country, in UTM metres, with name or id evidence.
 
     events (a_id, country, a_lat, a_lon, a_name, a_reported), sites (b_id, country, polygon, b_source_id, b_epoch). Inside a
@@ -190,7 +236,9 @@ def match_in_country(events: DataFrame, sites: DataFrame, near: float = 5000.0,
     from tarnwatch.functions.scalars import utm_xy
 
     x, y = (lambda lat, lon: utm_xy(lat, lon, zone)[0]), (lambda lat, lon: utm_xy(lat, lon, zone)[1])
-    e = events.where("a_lat is not null and a_lon is not null").select("a_id", "country", x(F.col("a_lat"), F.col("a_lon")).alias("_x"), y(F.col("a_lat"), F.col("a_lon")).alias("_y"))
+    e = events.where("a_lat is not null and a_lon is not null").select(
+        "a_id", "country", x(F.col("a_lat"), F.col("a_lon")).alias("_x"), y(F.col("a_lat"), F.col("a_lon")).alias("_y"),
+    )
     s = sites.select("b_id", "country", projected(F.col("polygon"), x, y).alias("_flat"))
     best = nearest_site(e, s).join(sites.select("b_id", "b_source_id", "b_epoch"), "b_id")
     m = events.select("a_id", "a_name", "a_reported").join(best, "a_id", "left")
@@ -201,8 +249,10 @@ def match_in_country(events: DataFrame, sites: DataFrame, near: float = 5000.0,
     status = F.when(d == 0, HIGH).when((d <= near) & F.col("lake_name_evidence"), MANUAL).otherwise(UNMATCHED)
     known = d <= far
     return m.select(
-        "a_id", F.when(known, F.col("b_id")).alias("lake_uid"), status.alias("match_status"), F.when(known, d).alias("nearest_lake_distance"), "lake_name_evidence",
-        F.col("a_reported").alias("historical_source_lake_identifier"), F.when(known, F.col("b_epoch")).alias("inventory_epoch"), F.coalesce((d > 0) & (d <= near), F.lit(False)).alias("spatially_plausible_no_intersection"),
+        "a_id", F.when(known, F.col("b_id")).alias("lake_uid"), status.alias("match_status"),
+        F.when(known, d).alias("nearest_lake_distance"), "lake_name_evidence",
+        F.col("a_reported").alias("historical_source_lake_identifier"), F.when(known, F.col("b_epoch")).alias("inventory_epoch"),
+        F.coalesce((d > 0) & (d <= near), F.lit(False)).alias("spatially_plausible_no_intersection"),
     )
 
 
@@ -221,7 +271,11 @@ def review_audit(matches: DataFrame, near: float = 1000.0) -> DataFrame:
 
 def unmatched_audit(events: DataFrame, sites: DataFrame, metres: float = 10000.0) -> DataFrame:
     """(audit_class, rows) of unmatched events (a_id, a_lat, a_lon): no coordinates, whole degrees, sites near, none."""
-    near = geo.within_distance(events.where("a_lat is not null and a_lon is not null"), sites, metres).select("a_id").distinct().withColumn("_near", F.lit(True))
+    near = geo.within_distance(
+        events.where("a_lat is not null and a_lon is not null"), sites, metres,
+    ).select("a_id").distinct().withColumn("_near", F.lit(True))
     e = events.join(near, "a_id", "left")
-    kind = F.when(F.col("a_lat").isNull() | F.col("a_lon").isNull(), "NO_USABLE_GEOGRAPHY").when(coarse("a_lat", "a_lon"), "COARSE_GEOGRAPHY").when(F.col("_near"), "CANDIDATE_LAKES_EXIST").otherwise("MATCHING_PIPELINE_GAP")
+    kind = F.when(
+        F.col("a_lat").isNull() | F.col("a_lon").isNull(), "NO_USABLE_GEOGRAPHY",
+    ).when(coarse("a_lat", "a_lon"), "COARSE_GEOGRAPHY").when(F.col("_near"), "CANDIDATE_LAKES_EXIST").otherwise("MATCHING_PIPELINE_GAP")
     return e.groupBy(kind.alias("audit_class")).agg(F.count("*").alias("rows"))

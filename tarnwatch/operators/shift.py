@@ -15,7 +15,9 @@ def long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
 def smd(df: DataFrame, features: list[str], domain: str, a: str, b: str) -> DataFrame:
     """|mean a - mean b| / sqrt of the mean population variance; 0 if that is 0, NULL if a side has no value."""
     x = lambda d: F.when(F.col(domain) == d, F.col("value"))
-    g = long(df, [domain], features).groupBy("feature").agg(F.avg(x(a)).alias("ma"), F.avg(x(b)).alias("mb"), F.var_pop(x(a)).alias("va"), F.var_pop(x(b)).alias("vb"))
+    g = long(df, [domain], features).groupBy("feature").agg(
+        F.avg(x(a)).alias("ma"), F.avg(x(b)).alias("mb"), F.var_pop(x(a)).alias("va"), F.var_pop(x(b)).alias("vb"),
+    )
     pooled = F.sqrt((F.col("va") + F.col("vb")) / 2)
     return g.select("feature", F.when(pooled == 0, 0.0).when(pooled > 0, F.abs(F.col("ma") - F.col("mb")) / pooled).alias("smd"))
 
@@ -66,12 +68,17 @@ def domain_profile(df: DataFrame, domains: dict[str, list[str]], region: str, un
     """Rows, units, positives, controls and mean missingness; a row counts in every domain that has its region."""
     member = F.explode(F.array_compact(F.array(*[F.when(F.col(region).isin(*m), F.lit(d)) for d, m in domains.items()])))
     missing = sum((F.col(f).isNull().cast("int") for f in features), F.lit(0)) / len(features)
-    return df.withColumn("domain", member).groupBy("domain").agg(F.count("*").alias("rows"), F.countDistinct(unit).alias("units"), F.count_if(F.col(y) == 1).alias("positives"), F.count_if(F.col(y) == 0).alias("controls"), F.avg(missing).alias("missingness"))
+    return df.withColumn("domain", member).groupBy("domain").agg(
+        F.count("*").alias("rows"), F.countDistinct(unit).alias("units"), F.count_if(F.col(y) == 1).alias("positives"),
+        F.count_if(F.col(y) == 0).alias("controls"), F.avg(missing).alias("missingness"),
+    )
 
 
 def score_profile(df: DataFrame, by: list[str], p: str = "predicted_probability", threshold: float = 0.5) -> DataFrame:
     q = percentiles(df, by, p)
-    return df.groupBy(*by).agg(F.min(p).alias("lo"), F.avg(p).alias("mean"), F.max(p).alias("hi"), F.avg((F.col(p) >= threshold).cast("int")).alias("above")).join(q, by)
+    return df.groupBy(*by).agg(
+        F.min(p).alias("lo"), F.avg(p).alias("mean"), F.max(p).alias("hi"), F.avg((F.col(p) >= threshold).cast("int")).alias("above"),
+    ).join(q, by)
 
 
 def importance_shift(importance: DataFrame, shift: DataFrame, missing: DataFrame) -> DataFrame:

@@ -57,7 +57,9 @@ def assign_groups(groups: list[tuple], folds: int) -> dict:
     return out
 
 
-def stratified_groups(df: DataFrame, group: str = "lake_uid", y: str = "event_within_horizon", folds: int = 3, most_groups: int = 1_000_000) -> DataFrame | None:
+def stratified_groups(
+    df: DataFrame, group: str = "lake_uid", y: str = "event_within_horizon", folds: int = 3, most_groups: int = 1_000_000,
+) -> DataFrame | None:
     """fold for each row; 2 folds for two positive groups, None for fewer. Only a count a group reaches the driver."""
     counts = df.groupBy(group).agg(F.count_if(F.col(y) != 1).alias("neg"), F.count_if(F.col(y) == 1).alias("pos"))
     rows = counts.limit(most_groups + 1).collect()
@@ -67,7 +69,9 @@ def stratified_groups(df: DataFrame, group: str = "lake_uid", y: str = "event_wi
     if positive < 2:
         return None
     of = assign_groups([(r[group], (r.neg, r.pos)) for r in rows], min(folds, positive) if positive < folds else folds)
-    table = df.sparkSession.createDataFrame([(g, f) for g, f in of.items()], T.StructType([*df.select(group).schema.fields, T.StructField("fold", T.IntegerType())]))
+    table = df.sparkSession.createDataFrame(
+        [(g, f) for g, f in of.items()], T.StructType([*df.select(group).schema.fields, T.StructField("fold", T.IntegerType())]),
+    )
     return df.join(table, group)
 
 
@@ -75,7 +79,11 @@ def group_integrity(df: DataFrame, group: str = "lake_uid", y: str = "event_with
     """Groups, those with a positive, those without, and rows without a group."""
     g = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("pos"))
     known = F.col(group).isNotNull()
-    return g.agg(F.count_if(known).alias("groups"), F.count_if(known & (F.col("pos") > 0)).alias("positive_groups"), F.count_if(known & (F.col("pos") == 0)).alias("negative_only_groups"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("null_group_rows"))
+    return g.agg(
+        F.count_if(known).alias("groups"), F.count_if(known & (F.col("pos") > 0)).alias("positive_groups"),
+        F.count_if(known & (F.col("pos") == 0)).alias("negative_only_groups"),
+        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("null_group_rows"),
+    )
 
 
 def disjoint(a: DataFrame, b: DataFrame, group: str) -> bool:
@@ -88,4 +96,6 @@ def sample_weights(df: DataFrame, group: str = "lake_uid", y: str = "true_label"
     d = df.withColumn("_w", w)
     sums = d.groupBy(y).agg(F.sum("_w").alias("_of_class"))
     totals = d.agg(F.count("*").alias("_n"), F.countDistinct(y).alias("_k"))
-    return d.join(F.broadcast(sums), y).join(F.broadcast(totals), how="cross").withColumn("weight", F.col("_w") * F.col("_n") / (F.col("_k") * F.col("_of_class"))).drop("_w", "_of_class", "_n", "_k")
+    return d.join(F.broadcast(sums), y).join(F.broadcast(totals), how="cross").withColumn(
+        "weight", F.col("_w") * F.col("_n") / (F.col("_k") * F.col("_of_class")),
+    ).drop("_w", "_of_class", "_n", "_k")

@@ -30,13 +30,20 @@ def days_of(spans: DataFrame, key: str, ts: str) -> DataFrame:
     return own.select(key, F.explode(days).alias(ts))
 
 
-def event_grid(events: DataFrame, before: int = 45, after: int = 45, key: str = "lake_uid", at: str = "event_ts", ts: str = "reference_timestamp") -> DataFrame:
+def event_grid(
+    events: DataFrame, before: int = 45, after: int = 45, key: str = "lake_uid", at: str = "event_ts", ts: str = "reference_timestamp",
+) -> DataFrame:
     """The union of all days from `before` days before to `after` days after each event of an entity."""
     d = F.to_date(at)
-    return days_of(events.where(F.col(at).isNotNull()).select(key, F.date_sub(d, before).alias("_from"), F.date_add(d, after).alias("_to")), key, ts)
+    return days_of(
+        events.where(F.col(at).isNotNull()).select(key, F.date_sub(d, before).alias("_from"), F.date_add(d, after).alias("_to")), key, ts,
+    )
 
 
-def asof(left: DataFrame, sources: dict[str, DataFrame], key: str = "lake_uid", left_ts: str = "reference_timestamp", ts: str = "observation_timestamp", tie: str = "observation_id") -> DataFrame:
+def asof(
+    left: DataFrame, sources: dict[str, DataFrame], key: str = "lake_uid", left_ts: str = "reference_timestamp",
+    ts: str = "observation_timestamp", tie: str = "observation_id",
+) -> DataFrame:
     """left plus, for each source, a struct `name` of its latest row at or before the row's time (NULL if none).
 
     The row is picked, not its values: a NULL value of the latest row stays NULL. Equal times go by `tie` in its own
@@ -46,16 +53,27 @@ def asof(left: DataFrame, sources: dict[str, DataFrame], key: str = "lake_uid",
     # only rows of one source are compared, so sources whose ties have one type share a column
     types = {n: dict(df.dtypes)[tie] for n, df in sources.items()}
     ties = {t: f"_tie{k}" for k, t in enumerate(sorted(set(types.values())))}
-    both = left.select(F.col(key).alias("_k"), us(left_ts).alias("_t"), F.lit(1).alias("_side"), *[F.lit(None).cast(t).alias(n) for t, n in ties.items()], F.struct(*left_columns).alias("_left"))
+    both = left.select(
+        F.col(key).alias("_k"), us(left_ts).alias("_t"), F.lit(1).alias("_side"), *[F.lit(None).cast(t).alias(n) for t, n in ties.items()],
+        F.struct(*left_columns).alias("_left"),
+    )
     for name, df in sources.items():
         row = F.struct(*[c for c in df.columns if c != key])
-        both = both.unionByName(df.select(F.col(key).alias("_k"), us(ts).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias(ties[types[name]]), row.alias(name)), allowMissingColumns=True)
+        both = both.unionByName(
+            df.select(
+                F.col(key).alias("_k"), us(ts).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias(ties[types[name]]), row.alias(name),
+            ),
+            allowMissingColumns=True,
+        )
     w = W.partitionBy("_k").orderBy("_t", "_side", *ties.values()).rowsBetween(W.unboundedPreceding, 0)
     seen = both.withColumns({n: F.last(n, ignorenulls=True).over(w) for n in sources})
     return seen.where("_side = 1").select("_left.*", *sources)
 
 
-def align(grid: DataFrame, sources: dict[str, DataFrame], max_age_h: dict | None = None, key: str = "lake_uid", ref: str = "reference_timestamp", ts: str = "observation_timestamp", tie: str = "observation_id") -> DataFrame:
+def align(
+    grid: DataFrame, sources: dict[str, DataFrame], max_age_h: dict | None = None, key: str = "lake_uid", ref: str = "reference_timestamp",
+    ts: str = "observation_timestamp", tie: str = "observation_id",
+) -> DataFrame:
     """Backward alignment with staleness: per source its time, age, flags and payload (NULL when stale).
 
     actual: age <= 24 h; stale: age beyond the source's limit; both false where the source has no row.
@@ -68,7 +86,11 @@ def align(grid: DataFrame, sources: dict[str, DataFrame], max_age_h: dict | None
         at = F.col(name)[ts]
         age = (us(ref) - us(at)) / float(HOUR_US)
         stale = F.coalesce(age > ages.get(name, 48.0), F.lit(False))
-        picked += [at.alias(f"{name}_timestamp"), age.alias(f"{name}_observation_age_hours"), F.coalesce(age <= 24, F.lit(False)).alias(f"actual_{name}_observation"), stale.alias(f"{name}_stale"), F.col(name)[tie].alias(f"{name}_observation_id")]
+        picked += [
+            at.alias(f"{name}_timestamp"), age.alias(f"{name}_observation_age_hours"),
+            F.coalesce(age <= 24, F.lit(False)).alias(f"actual_{name}_observation"), stale.alias(f"{name}_stale"),
+            F.col(name)[tie].alias(f"{name}_observation_id"),
+        ]
         picked += [F.when(~stale, F.col(name)[c]).alias(f"{name}_{c}") for c in df.columns if c not in (key, ts, tie)]
     return out.select(*picked)
 
@@ -85,7 +107,10 @@ def rolling(df: DataFrame, specs: dict[str, tuple[str, str, float]], key: str =
     return df.withColumns({n: f[kind](c).over(window(key, ts, days)) for n, (kind, c, days) in specs.items()})
 
 
-def change(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "lake_uid", ts: str = "observation_timestamp", tie: str = "observation_id") -> DataFrame:
+def change(
+    df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "lake_uid", ts: str = "observation_timestamp",
+    tie: str = "observation_id",
+) -> DataFrame:
     """Adds name = value - value of the latest row at or before t - days, as a RANGE frame (no self-join)."""
     def before(c, days):
         # of rows of one time the largest tie is the latest
@@ -95,7 +120,9 @@ def change(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "lake_
     return df.withColumns({n: F.col(c) - before(c, days) for n, (c, days) in specs.items()})
 
 
-def trend(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "lake_uid", ts: str = "observation_timestamp", least: int = 3) -> DataFrame:
+def trend(
+    df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "lake_uid", ts: str = "observation_timestamp", least: int = 3,
+) -> DataFrame:
     """Adds name = least-squares slope a day over [t - days, t], NULL for fewer than `least` values."""
     x = us(ts) / float(DAY_US)
     out = {}

@@ -40,7 +40,10 @@ SQUARES = POINTS + " select id, round(0.4 * 0.4, 6)::double as area, round(lon -
 
 
 def measured(t, key="id"):
-    return t.select(F.col(key).cast("long").alias("id"), F.round(geo.area("polygon"), 6).alias("area"), F.round(geo.bounds("polygon")["min_x"], 6).alias("min_x"))
+    return t.select(
+        F.col(key).cast("long").alias("id"), F.round(geo.area("polygon"), 6).alias("area"),
+        F.round(geo.bounds("polygon")["min_x"], 6).alias("min_x"),
+    )
 
 
 @query("select s_suppkey, s_name, s_acctbal from supplier union all select null, null, null where false")
@@ -65,7 +68,9 @@ def a03_geojson(spark, d):
     s = squares(spark, d)
     ring = F.transform(F.concat(F.get("polygon", F.lit(0)), F.slice(F.get("polygon", F.lit(0)), 1, 1)), lambda p: F.array(p["x"], p["y"]))
     geometry = F.concat(F.lit('{"type":"Polygon","coordinates":['), F.to_json(ring), F.lit("]}"))
-    f = s.select("id", F.lit("ok").alias("repair"), geometry.alias("geometry_json")).unionByName(s.select("id", F.lit("unrepairable").alias("repair"), F.lit(None).cast("string").alias("geometry_json")))
+    f = s.select("id", F.lit("ok").alias("repair"), geometry.alias("geometry_json")).unionByName(
+        s.select("id", F.lit("unrepairable").alias("repair"), F.lit(None).cast("string").alias("geometry_json"))
+    )
     at = place(spark, "a03")
     tables.write_geojson(f, f"{at}/lakes.geojson", keep=F.col("repair") != "unrepairable")
     t = tables.geojson(spark, f"file://{at}/lakes.geojson").withColumn("polygon", tables.polygon_of("coordinates"))
@@ -76,7 +81,10 @@ def a03_geojson(spark, d):
 def layer(spark, d):
     at = place(spark, "layer")
     rows = squares(spark, d).orderBy("id").collect()
-    shapefile.write(f"{at}/lakes.shp", [[[(p.x, p.y) for p in r] for r in x.polygon] for x in rows], ["GL_ID", "NAME"], [[str(x.id), "India" if x.id % 2 else "Nepal"] for x in rows])
+    shapefile.write(
+        f"{at}/lakes.shp", [[[(p.x, p.y) for p in r] for r in x.polygon] for x in rows], ["GL_ID", "NAME"],
+        [[str(x.id), "India" if x.id % 2 else "Nepal"] for x in rows],
+    )
     with zipfile.ZipFile(f"{at}/lakes.zip", "w") as z:
         for s in ("shp", "dbf"):
             z.write(f"{at}/lakes.{s}", f"in/lakes.{s}")
@@ -88,10 +96,16 @@ def a04_shapefile(spark, d):
     return measured(shapefile.read(spark, f"{layer(spark, d)}/lakes.shp"), "GL_ID")
 
 
-@query(POINTS + " select count(*) as rows, 'Polygon' as geometry_types, round(min(lon) - 0.2, 6) as min_x, round(max(lat) + 0.2, 6) as max_y from suppliers")
+@query(
+    POINTS + " select count(*) as rows, 'Polygon' as geometry_types, round(min(lon) - 0.2, 6) as min_x, round(max(lat) + 0.2, 6) as max_y "
+    "from suppliers"
+)
 def a04_diagnostics(spark, d):
     r = shapefile.diagnostics(shapefile.read(spark, f"{layer(spark, d)}/lakes.shp"))
-    return r.select("rows", F.array_join("geometry_types", ",").alias("geometry_types"), F.round("min_x", 6).alias("min_x"), F.round("max_y", 6).alias("max_y"))
+    return r.select(
+        "rows", F.array_join("geometry_types", ",").alias("geometry_types"), F.round("min_x", 6).alias("min_x"),
+        F.round("max_y", 6).alias("max_y"),
+    )
 
 
 @query(SQUARES + " where id % 2 = 1")
@@ -102,7 +116,9 @@ def a05_boundary_in_zip(spark, d):
 @query("select s_suppkey::varchar as id, 'Caf\xe9 ' || s_name as name from supplier")
 def a06_csv_latin1(spark, d):
     at = folder(spark, "a06-" + uuid.uuid4().hex)
-    s = S.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("Caf\xe9 "), "s_name").alias("name"))
+    s = S.table(spark, d, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("Caf\xe9 "), "s_name").alias("name"),
+    )
     s.write.option("encoding", "ISO-8859-1").option("header", True).csv(at)
     return tables.csv_latin1(spark, at)
 
@@ -150,7 +166,10 @@ def a09_zip(spark, d):
     return spark.read.option("header", True).csv([f"file://{p}" for p in out])
 
 
-@query("select r_regionkey as key, case when r_regionkey % 2 = 0 then r_name else 'kept' end as content, r_regionkey % 2 = 0 as fetched from region")
+@query(
+    "select r_regionkey as key, case when r_regionkey % 2 = 0 then r_name else 'kept' end as content, r_regionkey % 2 = 0 as fetched "
+    "from region"
+)
 def a10_download(spark, d):
     """What is there already is not fetched again."""
     at, rows = place(spark, "a10"), []
@@ -166,11 +185,18 @@ def a10_download(spark, d):
 @query("select s_suppkey::varchar as scene_id, 'l2' as collection, s_acctbal as cloud_cover from supplier")
 def a12_catalogue(spark, d):
     """All pages of a search of 30 items each."""
-    rows = [(str(r.s_suppkey), r.s_acctbal) for r in S.table(spark, d, "supplier").select("s_suppkey", "s_acctbal").orderBy("s_suppkey").collect()]
+    rows = [
+        (str(r.s_suppkey), r.s_acctbal) for r in S.table(spark, d, "supplier").select("s_suppkey", "s_acctbal").orderBy("s_suppkey").collect()
+    ]
 
     def search(body):
         n = body.get("page", 0)
-        items = [{"id": i, "collection": body["collections"][0], "bbox": [0, 0, 1, 1], "properties": {"datetime": "2024-01-01", "eo:cloud_cover": c}} for i, c in rows[30 * n : 30 * n + 30]]
+        items = [
+            {
+                "id": i, "collection": body["collections"][0], "bbox": [0, 0, 1, 1],
+                "properties": {"datetime": "2024-01-01", "eo:cloud_cover": c},
+            } for i, c in rows[30 * n : 30 * n + 30]
+        ]
         return {"features": items, "links": [{"rel": "next", "body": {"page": n + 1}}] if 30 * n + 30 < len(rows) else []}
 
     return remote.scenes(spark, search, (0, 0, 1, 1), "2024-01-01", "2024-02-01", "l2").select("scene_id", "collection", "cloud_cover")
@@ -208,7 +234,9 @@ def a19_features(spark, d):
         return {"features": [{"properties": {"id": i, "name": names[i]}, "geometry": None} for i in q["objectIds"]]}
 
     t = remote.features_by_id(spark, answer)
-    return t.select(F.get_json_object("properties", "$.id").cast("long").alias("id"), F.get_json_object("properties", "$.name").alias("name"))
+    return t.select(
+        F.get_json_object("properties", "$.id").cast("long").alias("id"), F.get_json_object("properties", "$.name").alias("name"),
+    )
 
 
 @query("select 'run' as key, 'r1' as value union all select 'rows', (select count(*) from orders)::varchar union all select 'start', null")
@@ -248,7 +276,9 @@ def b07_markdown(spark, d):
 @query("select 'n_nationkey' as name, 'int' as type union all select 'n_regionkey', 'int'")
 def b09_predictor_schema(spark, d):
     at = place(spark, "b09")
-    n = S.table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey"), "n_name").withColumns({c: F.col(c).cast("int") for c in ("n_nationkey", "n_regionkey")})
+    n = S.table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey"), "n_name").withColumns(
+        {c: F.col(c).cast("int") for c in ("n_nationkey", "n_regionkey")}
+    )
     tables.predictor_schema(n, f"{at}/s.yaml", ("n_name",))
     lines = Path(f"{at}/s.yaml").read_text().splitlines()[1:]
     pairs = [(a.removeprefix("  - name: "), b.removeprefix("    type: ")) for a, b in zip(lines[::2], lines[1::2], strict=True)]
@@ -288,7 +318,13 @@ def rasters(spark, d, suffix, encode):
     """An entity's events as a raster of one row in two bands, a file each, written by tasks."""
     import numpy as np
 
-    e = S.table(spark, d, "events").groupBy(F.col("user_id").alias("tile")).agg(F.sort_array(F.collect_list(F.struct("event_id", F.floor("value").cast("double").alias("a"), (F.col("event_id") % 60).cast("double").alias("b")))).alias("p"))
+    e = S.table(spark, d, "events").groupBy(F.col("user_id").alias("tile")).agg(
+        F.sort_array(
+            F.collect_list(
+                F.struct("event_id", F.floor("value").cast("double").alias("a"), (F.col("event_id") % 60).cast("double").alias("b"))
+            )
+        ).alias("p")
+    )
     at = folder(spark, "raster-" + uuid.uuid4().hex)
 
     def write(batches):
@@ -309,7 +345,10 @@ def rasters(spark, d, suffix, encode):
 
 
 def sums(t):
-    return t.select(F.regexp_extract("path", r"/(\d+)\.[^/]*$", 1).cast("long").alias("tile"), "variable", F.size("values").cast("long").alias("pixels"), F.round(F.aggregate("values", F.lit(0.0), lambda s, v: s + v), 3).alias("total"))
+    return t.select(
+        F.regexp_extract("path", r"/(\d+)\.[^/]*$", 1).cast("long").alias("tile"), "variable",
+        F.size("values").cast("long").alias("pixels"), F.round(F.aggregate("values", F.lit(0.0), lambda s, v: s + v), 3).alias("total"),
+    )
 
 
 @query(BANDS)

@@ -17,14 +17,22 @@ def rows(spark, d):
     return s.withColumns({"true_label": label, "test": F.col("unit") % 4 == 0})
 
 
-@query(S.ctes("shifted") + ", m as (select quantile_cont(l_discount, 0.5) as m from shifted), f as (select unit, l_quantity, coalesce(l_discount, m) as x from shifted, m), z as (select avg(x) as a, stddev_pop(x) as s from f) select unit, l_quantity, round((x - a) / s, 6) as z from f, z")
+@query(
+    S.ctes("shifted") + ", m as (select quantile_cont(l_discount, 0.5) as m from shifted), f as (select unit, l_quantity, coalesce(l_discount, m) as x "
+    "from shifted, m), z as (select avg(x) as a, stddev_pop(x) as s from f) select unit, l_quantity, round((x - a) / s, 6) as z from "
+    "f, z"
+)
 def k05_impute_and_scale(spark, d):
     s = S.shifted(spark, d).select("unit", "l_quantity", F.col("l_discount").alias("z"))
     s = ml.impute(s, ml.impute_values(s, ["z"]))
     return rounded(ml.standardise(s, ml.scale_values(s, ["z"])), "z")
 
 
-@query(S.ctes("shifted") + ", r as (select case when l_quantity + unit % 10 > 40 then 1 else 0 end as true_label from shifted), g as (select true_label, count(*) as n from r group by 1), t as (select sum(n) as a, count(*) as k from g) select true_label, count(*) as rows, round(any_value(a / (k * n)), 6) as weight from r join g using (true_label), t group by 1")
+@query(
+    S.ctes("shifted") + ", r as (select case when l_quantity + unit % 10 > 40 then 1 else 0 end as true_label from shifted), g as (select true_label, "
+    "count(*) as n from r group by 1), t as (select sum(n) as a, count(*) as k from g) select true_label, count(*) as rows, "
+    "round(any_value(a / (k * n)), 6) as weight from r join g using (true_label), t group by 1"
+)
 def k11_class_weights(spark, d):
     w = ml.class_weights(rows(spark, d), "true_label")
     return w.groupBy("true_label").agg(F.count("*").alias("rows"), F.round(F.max("weight"), 6).alias("weight"))
@@ -47,11 +55,16 @@ def k08_logistic(spark, d):
     b = dict(zip(X, map(float, model.coefficients), strict=True))
     z = sum((F.lit(c) * F.col(f) for f, c in b.items()), F.lit(float(model.intercept)))
     miss = (1 / (1 + F.exp(-z)) - F.col("true_label")) * F.col("weight")
-    slopes = ready.agg(*[(F.sum(miss * F.col(f)) / F.sum("weight") + 1e-3 * b[f]).alias(f) for f in X], (F.sum(miss) / F.sum("weight")).alias("intercept"))
+    slopes = ready.agg(
+        *[(F.sum(miss * F.col(f)) / F.sum("weight") + 1e-3 * b[f]).alias(f) for f in X], (F.sum(miss) / F.sum("weight")).alias("intercept"),
+    )
     return slopes.unpivot([], [*X, "intercept"], "feature", "slope").select("feature", (F.abs("slope") < 1e-3).alias("stationary"))
 
 
-@query(S.ctes("shifted") + ", r as (select case when l_quantity + unit % 10 > 40 then 1 else 0 end as y, unit % 4 = 0 as test from shifted) select count(*) filter (y = 1) as positives, count(*) filter (y = 0) as negatives, true as better_than_chance from r where test")
+@query(
+    S.ctes("shifted") + ", r as (select case when l_quantity + unit % 10 > 40 then 1 else 0 end as y, unit % 4 = 0 as test from shifted) select count(*) "
+    "filter (y = 1) as positives, count(*) filter (y = 0) as negatives, true as better_than_chance from r where test"
+)
 def k09_boosted_trees(spark, d):
     from tarnwatch.operators.metrics import ranking
 
@@ -59,24 +72,36 @@ def k09_boosted_trees(spark, d):
     return ranking(scored, []).select("positives", "negatives", (F.col("roc_auc") > 0.6).alias("better_than_chance"))
 
 
-@query("select 'XGB_d' || d || '_lr' || r || '_n' || n as model_name, 3 as complexity from unnest([2, 3, 4]) a(d), unnest(['0.03', '0.05', '0.1']) b(r), unnest([100, 200, 400]) c(n) union all select unnest(['LogisticRegression', 'LogisticRegression_Balanced', 'HistGB', 'HistGB_Balanced']), unnest([1, 1, 2, 2])")
+@query(
+    "select 'XGB_d' || d || '_lr' || r || '_n' || n as model_name, 3 as complexity from unnest([2, 3, 4]) a(d), unnest(['0.03', "
+    "'0.05', '0.1']) b(r), unnest([100, 200, 400]) c(n) union all select unnest(['LogisticRegression', "
+    "'LogisticRegression_Balanced', 'HistGB', 'HistGB_Balanced']), unnest([1, 1, 2, 2])"
+)
 def k09_configurations(spark, d):
     return spark.createDataFrame([(c["model_name"], c["complexity"]) for c in ml.configurations()], "model_name string, complexity int")
 
 
 # As many positives as negatives, the new ones between positives.
-@query(S.ctes("shifted") + ", r as (select case when l_quantity + unit % 10 > 40 then 1 else 0 end as true_label from shifted), n as (select count(*) filter (true_label = 1) as p, count(*) filter (true_label = 0) as n from r) select unnest([0, 1]) as true_label, unnest([n, greatest(p, n)]) as rows, true as within from n")
+@query(
+    S.ctes("shifted") + ", r as (select case when l_quantity + unit % 10 > 40 then 1 else 0 end as true_label from shifted), n as (select count(*) "
+    "filter (true_label = 1) as p, count(*) filter (true_label = 0) as n from r) select unnest([0, 1]) as true_label, unnest([n, "
+    "greatest(p, n)]) as rows, true as within from n"
+)
 def k07_smote(spark, d):
     r = rows(spark, d).select(*X[:2], "true_label")
     out = ml.smote(r, X[:2])
     box = r.where("true_label = 1").agg(*[f(c).alias(f"{n}_{c}") for c in X[:2] for n, f in (("lo", F.min), ("hi", F.max))])
     inside = [F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in X[:2]]
     met = out.join(F.broadcast(box), how="cross")
-    return met.groupBy("true_label").agg(F.count("*").alias("rows"), F.bool_and((F.col("true_label") == 0) | (inside[0] & inside[1])).alias("within"))
+    return met.groupBy("true_label").agg(
+        F.count("*").alias("rows"), F.bool_and((F.col("true_label") == 0) | (inside[0] & inside[1])).alias("within"),
+    )
 
 
 # Shapley values of both kinds of models add up to the margin, row by row.
-@query(S.ctes("shifted") + " select unnest(['linear', 'trees']) as model, count(*) filter (unit % 4 = 0) as rows, true as additive from shifted")
+@query(
+    S.ctes("shifted") + " select unnest(['linear', 'trees']) as model, count(*) filter (unit % 4 = 0) as rows, true as additive from shifted"
+)
 def k17_importance(spark, d):
     from pyspark.ml.functions import vector_to_array
 
@@ -96,33 +121,56 @@ def k17_importance(spark, d):
     return out
 
 
-@query(S.ctes("shifted") + ", u as (select unit, max(case when domain = 'R' then 1 else 0 end) as y from shifted group by 1) select count(*) filter (y = 1) as positives, count(*) filter (y = 0) as negatives, true as is_auc from u")
+@query(
+    S.ctes("shifted") + ", u as (select unit, max(case when domain = 'R' then 1 else 0 end) as y from shifted group by 1) select count(*) filter (y = 1) "
+    "as positives, count(*) filter (y = 0) as negatives, true as is_auc from u"
+)
 def k16_domain_classifier(spark, d):
     s = S.shifted(spark, d).withColumn("returned", F.col("domain") == "R").drop("domain")
     return ml.domain_classifier(s, X, "returned", "unit").select("positives", "negatives", F.col("roc_auc").between(0, 1).alias("is_auc"))
 
 
-@query(S.ctes("shifted") + ", r as (select domain, case when l_quantity + unit % 10 > 40 then 1 else 0 end as y from shifted) select strategy, domain as fold, count(*) filter (y = 1) as positives, count(*) filter (y = 0) as negatives, true as is_auc from r, unnest(['common_core', 'with_indicators', 'all']) s(strategy) group by all")
+@query(
+    S.ctes("shifted") + ", r as (select domain, case when l_quantity + unit % 10 > 40 then 1 else 0 end as y from shifted) select strategy, domain as "
+    "fold, count(*) filter (y = 1) as positives, count(*) filter (y = 0) as negatives, true as is_auc from r, unnest(['common_core', "
+    "'with_indicators', 'all']) s(strategy) group by all"
+)
 def k22_region_strategies(spark, d):
     core = lambda t, f: [r.feature for r in shift.common_core(t, f, "domain").where("included").orderBy("feature").collect()]
     flags = lambda t: shift.add_missing_flags(t, X)
     same = lambda t: t
-    plans = {"common_core": (core, same), "with_indicators": (lambda t, f: [*core(t, f), "l_discount_missing"], flags), "all": (lambda t, f: shift.present_columns(t, f), same)}
+    plans = {
+        "common_core": (core, same), "with_indicators": (lambda t, f: [*core(t, f), "l_discount_missing"], flags),
+        "all": (lambda t, f: shift.present_columns(t, f), same),
+    }
     from tarnwatch.operators.metrics import ranking
 
     out = ranking(ml.region_strategies(rows(spark, d), X, "domain", "true_label", plans), ["strategy", "fold"])
     return out.select("strategy", "fold", "positives", "negatives", F.col("roc_auc").between(0, 1).alias("is_auc"))
 
 
-@query(S.ctes("shifted") + ", r as (select domain, unit, case when l_quantity + unit % 10 > 40 then 1 else 0 end as y from shifted), n as (select count(distinct unit) filter (y = 1 and domain = 'A') as h, count(distinct unit) filter (y = 1 and domain in ('N', 'R')) as w from r) select unnest(['forward', 'reverse']) as direction, unnest([h, w]) as train_units, unnest([w, h]) as test_units, unnest([h >= 5 and w >= 5, h >= 5 and w >= 5]) as eligible from n")
+@query(
+    S.ctes("shifted") + ", r as (select domain, unit, case when l_quantity + unit % 10 > 40 then 1 else 0 end as y from shifted), n as (select "
+    "count(distinct unit) filter (y = 1 and domain = 'A') as h, count(distinct unit) filter (y = 1 and domain in ('N', 'R')) as w "
+    "from r) select unnest(['forward', 'reverse']) as direction, unnest([h, w]) as train_units, unnest([w, h]) as test_units, "
+    "unnest([h >= 5 and w >= 5, h >= 5 and w >= 5]) as eligible from n"
+)
 def k20_holdout_gate(spark, d):
     return ml.holdout_gate(rows(spark, d), "domain", ["A"], ["N", "R"], "unit")
 
 
-@query(S.ctes("shifted") + ", r as (select domain, case when l_quantity + unit % 10 > 40 then 1 else 0 end as y from shifted) select unnest(['forward', 'reverse']) as direction, unnest([count(*) filter (y = 1 and domain <> 'A'), count(*) filter (y = 1 and domain = 'A')]) as positives, unnest([count(*) filter (y = 0 and domain <> 'A'), count(*) filter (y = 0 and domain = 'A')]) as negatives, true as adds_up from r")
+@query(
+    S.ctes("shifted") + ", r as (select domain, case when l_quantity + unit % 10 > 40 then 1 else 0 end as y from shifted) select unnest(['forward', "
+    "'reverse']) as direction, unnest([count(*) filter (y = 1 and domain <> 'A'), count(*) filter (y = 1 and domain = 'A')]) as "
+    "positives, unnest([count(*) filter (y = 0 and domain <> 'A'), count(*) filter (y = 0 and domain = 'A')]) as negatives, true as "
+    "adds_up from r"
+)
 def k20_transfer(spark, d):
     t = ml.transfer(rows(spark, d), X, "domain", ["A"], ["N", "R"], "unit")
-    return t.select("direction", "positives", "negatives", ((F.col("tp") + F.col("fn") == F.col("positives")) & (F.col("fp") + F.col("tn") == F.col("negatives"))).alias("adds_up"))
+    return t.select(
+        "direction", "positives", "negatives",
+        ((F.col("tp") + F.col("fn") == F.col("positives")) & (F.col("fp") + F.col("tn") == F.col("negatives"))).alias("adds_up"),
+    )
 
 
 # The scan over candidates in order: each is held against the best so far.
@@ -138,7 +186,14 @@ def k14_scanned_choice(spark, d):
     from tarnwatch.operators.metrics import confusion, rates
 
     m = rates(confusion(S.scores(spark, d), ["model_name", "fold"], threshold=0.5)).orderBy("model_name", "fold").collect()
-    best = ml.choose([{"name": f"{r.model_name}{r.fold}", "pr_auc": round(r.precision, 9), "f1": round(r.f1, 9), "recall": round(r.recall, 9), "complexity": r.fold} for r in m])
+    best = ml.choose(
+        [
+            {
+                "name": f"{r.model_name}{r.fold}", "pr_auc": round(r.precision, 9), "f1": round(r.f1, 9), "recall": round(r.recall, 9),
+                "complexity": r.fold,
+            } for r in m
+        ]
+    )
     return spark.createDataFrame([(best["name"],)], "model_name string")
 
 
@@ -146,7 +201,9 @@ def k14_scanned_choice(spark, d):
 def k15_rounded_choice(spark, d):
     from tarnwatch.operators.metrics import confusion, rates
 
-    m = rates(confusion(S.scores(spark, d), ["model_name"], threshold=0.5)).withColumns({"pr_auc": F.col("precision"), "complexity": F.length("model_name")})
+    m = rates(confusion(S.scores(spark, d), ["model_name"], threshold=0.5)).withColumns(
+        {"pr_auc": F.col("precision"), "complexity": F.length("model_name")}
+    )
     return ml.choose_rounded(m.select("model_name", "pr_auc", "f1", "recall", "complexity"))
 
 

@@ -15,7 +15,10 @@ CHANGED = 10_000_000
 
 
 def renamed(e):
-    return e.select(F.col("user_id").alias("lake_uid"), F.col("event_id").alias("observation_id"), F.col("ts").cast("timestamp").alias("observation_timestamp"), "value", "event_type")
+    return e.select(
+        F.col("user_id").alias("lake_uid"), F.col("event_id").alias("observation_id"),
+        F.col("ts").cast("timestamp").alias("observation_timestamp"), "value", "event_type",
+    )
 
 
 def source(spark, d):
@@ -54,7 +57,11 @@ def whole(df, spark):
 
 def rounded(df):
     """Times without a zone, as in the tables; sums and means to what both engines agree on."""
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")} | {c: F.round(c, k) for c, k in (("total", 4), ("mean", 6)) if c in df.columns})
+    return df.withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")} | {
+            c: F.round(c, k) for c, k in (("total", 4), ("mean", 6)) if c in df.columns
+        }
+    )
 
 
 # Arrivals: the events up to the 15th, then those from the 14th on (a day of repeats), then late rows with ids of their own.
@@ -72,9 +79,12 @@ def l_dedup_within_watermark(spark, d):
 
 # The same horizon as a watermark: only sources' rows that are not stale by then count.
 @query(
-    "with late as (select event_type, event_id + 10000000 as id, ts from events where event_id % 4 = 0), w as (select event_type, max(ts) as top from events group by 1) "
-    "select event_type as source, count(*) as rows from (select event_type from events union all select event_type from late join w using (event_type) "
-    "where late.ts > date_trunc('millisecond', top) - case event_type when 'view' then interval 48 hour when 'click' then interval 720 hour when 'signup' then interval 240 hour else interval 48 hour end) group by 1"
+    "with late as (select event_type, event_id + 10000000 as id, ts from events where event_id % 4 = 0), w as (select event_type, "
+    "max(ts) as top from events group by 1) "
+    "select event_type as source, count(*) as rows from (select event_type from events union all select event_type from late join w "
+    "using (event_type) "
+    "where late.ts > date_trunc('millisecond', top) - case event_type when 'view' then interval 48 hour when 'click' then interval "
+    "720 hour when 'signup' then interval 240 hour else interval 48 hour end) group by 1"
 )
 def l_staleness_horizons(spark, d):
     e = renamed(spark.read.parquet(f"{d}/events.parquet"))
@@ -88,21 +98,26 @@ def l_staleness_horizons(spark, d):
     return out.groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("rows"))
 
 
-@query("select user_id as lake_uid, date_trunc('day', ts) as start, date_trunc('day', ts) + interval 1 day as end, count(*) as rows, round(sum(value), 4) as total, round(avg(value), 6) as mean from events group by all")
+@query(
+    "select user_id as lake_uid, date_trunc('day', ts) as start, date_trunc('day', ts) + interval 1 day as end, count(*) as rows, "
+    "round(sum(value), 4) as total, round(avg(value), 6) as mean from events group by all"
+)
 def l_daily_windows(spark, d):
     return rounded(whole(L.daily(source(spark, d), "value"), spark))
 
 
 @query(
     "with w as (select *, date_trunc('day', ts) - to_days(cast(k as int)) as start from events, range(3) r(k)) "
-    "select user_id as lake_uid, start, start + interval 3 day as end, count(*) as rows, round(sum(value), 4) as total, round(avg(value), 6) as mean from w group by all"
+    "select user_id as lake_uid, start, start + interval 3 day as end, count(*) as rows, round(sum(value), 4) as total, "
+    "round(avg(value), 6) as mean from w group by all"
 )
 def l_sliding_windows(spark, d):
     return rounded(whole(L.windows(source(spark, d), "value", "3 days", "1 day"), spark))
 
 
 @query(
-    "with g as (select *, case when ts - lag(ts) over w <= interval 6 hour then 0 else 1 end as new from events window w as (partition by user_id order by ts)), "
+    "with g as (select *, case when ts - lag(ts) over w <= interval 6 hour then 0 else 1 end as new from events window w as "
+    "(partition by user_id order by ts)), "
     "s as (select *, sum(new) over (partition by user_id order by ts) as n from g) "
     "select user_id as lake_uid, min(ts) as start, max(ts) + interval 6 hour as end, count(*) as rows from s group by user_id, n"
 )
@@ -111,16 +126,23 @@ def l_sessions(spark, d):
 
 
 @query(
-    "select lake_uid, observation_timestamp from (with recursive k(lake_uid, t) as (select user_id, min(ts) from events group by 1 union all "
-    "select k.lake_uid, (select min(e.ts) from events e where e.user_id = k.lake_uid and e.ts >= k.t + interval 24 hour) from k where k.t is not null) "
+    "select lake_uid, observation_timestamp from (with recursive k(lake_uid, t) as (select user_id, min(ts) from events group by 1 "
+    "union all "
+    "select k.lake_uid, (select min(e.ts) from events e where e.user_id = k.lake_uid and e.ts >= k.t + interval 24 hour) from k "
+    "where k.t is not null) "
     "select lake_uid, t as observation_timestamp from k where t is not null)"
 )
 def l_spaced(spark, d):
-    return finished(L.spaced(source(spark, d)), spark).withColumn("observation_timestamp", F.col("observation_timestamp").cast("timestamp_ntz"))
+    return finished(L.spaced(source(spark, d)), spark).withColumn(
+        "observation_timestamp", F.col("observation_timestamp").cast("timestamp_ntz"),
+    )
 
 
 # All events, then a fifth of them again with another value: the table holds the last.
-@query("select event_id as observation_id, user_id as lake_uid, case when event_id % 5 = 0 then value + 1000 else value end as value from events")
+@query(
+    "select event_id as observation_id, user_id as lake_uid, case when event_id % 5 = 0 then value + 1000 else value end as value "
+    "from events"
+)
 def l_upsert_sink(spark, d):
     at = folder(spark, "upsert-" + uuid.uuid4().hex)
     e = renamed(spark.read.parquet(f"{d}/events.parquet")).select("observation_id", "lake_uid", "value")

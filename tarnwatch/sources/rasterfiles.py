@@ -118,8 +118,10 @@ def write_tiff(bands: np.ndarray, x: float = 0.0, y: float = 0.0, dx: float = 1.
     body = zlib.compress(np.ascontiguousarray(bands.transpose(1, 2, 0), "<f4").tobytes())
     extra, at, entries = b"", 8 + len(body), []
     for tag, kind, values in sorted([
-        (TIFF_WIDTH, 4, [width]), (TIFF_HEIGHT, 4, [height]), (TIFF_BITS, 3, [32] * depth), (TIFF_PACKED, 3, [8]), (262, 3, [1]), (TIFF_OFFSETS, 4, [8]), (TIFF_BANDS, 3, [depth]), (TIFF_ROWS, 4, [height]),
-        (TIFF_COUNTS, 4, [len(body)]), (TIFF_PLANES, 3, [1]), (TIFF_KIND, 3, [3] * depth), (PIXEL_SCALE, 12, [dx, dy, 0.0]), (TIE_POINT, 12, [0.0, 0.0, 0.0, x, y, 0.0]),
+        (TIFF_WIDTH, 4, [width]), (TIFF_HEIGHT, 4, [height]), (TIFF_BITS, 3, [32] * depth), (TIFF_PACKED, 3, [8]), (262, 3, [1]),
+        (TIFF_OFFSETS, 4, [8]), (TIFF_BANDS, 3, [depth]), (TIFF_ROWS, 4, [height]),
+        (TIFF_COUNTS, 4, [len(body)]), (TIFF_PLANES, 3, [1]), (TIFF_KIND, 3, [3] * depth), (PIXEL_SCALE, 12, [dx, dy, 0.0]),
+        (TIE_POINT, 12, [0.0, 0.0, 0.0, x, y, 0.0]),
     ]):
         raw = struct.pack(f"<{len(values)}{TIFF_TYPES[kind]}", *values)
         if len(raw) > 4:
@@ -209,7 +211,9 @@ class Hdf5:
             raise ValueError("not an HDF5 file")
         self.data, version = data, data[at + 8]
         if version < 2:
-            self.base, root = struct.unpack_from("<Q", data, at + 24 + 4 * (version == 1))[0], struct.unpack_from("<Q", data, at + 64 + 4 * (version == 1))[0]
+            self.base, root = struct.unpack_from(
+                "<Q", data, at + 24 + 4 * (version == 1),
+            )[0], struct.unpack_from("<Q", data, at + 64 + 4 * (version == 1))[0]
         else:
             self.base, root = struct.unpack_from("<Q", data, at + 12)[0], struct.unpack_from("<Q", data, at + 36)[0]
         self.datasets = {}
@@ -391,7 +395,9 @@ def grids(spark: SparkSession, path: str, wanted: dict[str, list[str]] | None =
             for at, data in zip(t["path"], t["content"], strict=True):
                 have = variables(bytes(data))
                 short = {n.rpartition("/")[2]: n for n in have} | {n: n for n in have}
-                picked = {n: n for n in have} if wanted is None else {n: short[c] for n, cs in wanted.items() if (c := first_existing(short, cs))}
+                picked = {n: n for n in have} if wanted is None else {
+                    n: short[c] for n, cs in wanted.items() if (c := first_existing(short, cs))
+                }
                 for name, of in picked.items():
                     v = have[of]
                     rows.append((at, name, list(v.shape), [None if x != x else x for x in v.ravel().tolist()]))

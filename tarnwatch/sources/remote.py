@@ -24,10 +24,15 @@ def outward(n: float, w: float, s: float, e: float, step: float = 0.1) -> tuple:
 def month_requests(boxes: DataFrame) -> DataFrame:
     """boxes (north, west, south, east, start, stop) -> a row a month and outward box; a window's first month counts
     from its first day on."""
-    months = F.explode(F.sequence(F.date_trunc("month", F.col("start")).cast("date"), F.col("stop").cast("date"), F.expr("interval 1 month")))
+    months = F.explode(
+        F.sequence(F.date_trunc("month", F.col("start")).cast("date"), F.col("stop").cast("date"), F.expr("interval 1 month"))
+    )
     b = boxes.withColumn("month", months)
     up, down = (lambda c: F.ceil(F.round(F.col(c) * 10, 9)) / 10), (lambda c: F.floor(F.round(F.col(c) * 10, 9)) / 10)
-    return b.select(F.year("month").alias("year"), F.month("month").alias("month"), up("north").alias("north"), down("west").alias("west"), down("south").alias("south"), up("east").alias("east")).distinct()
+    return b.select(
+        F.year("month").alias("year"), F.month("month").alias("month"), up("north").alias("north"), down("west").alias("west"),
+        down("south").alias("south"), up("east").alias("east"),
+    ).distinct()
 
 
 def download(url: str, path: str, fetch: Callable[[str], Iterable[bytes]], force: bool = False) -> bool:
@@ -107,8 +112,12 @@ def with_time(granules: DataFrame) -> DataFrame:
 class Token:
     """OAuth client credentials: a token that is asked for once and again before it ends."""
 
-    def __init__(self, ask: Callable[[dict], dict], client_id: str, client_secret: str, clock: Callable[[], float] = time.time, early: float = 60):
-        self.ask, self.form, self.clock, self.early = ask, {"grant_type": "client_credentials", "client_id": client_id, "client_secret": client_secret}, clock, early
+    def __init__(
+        self, ask: Callable[[dict], dict], client_id: str, client_secret: str, clock: Callable[[], float] = time.time, early: float = 60,
+    ):
+        self.ask, self.form, self.clock, self.early = ask, {
+            "grant_type": "client_credentials", "client_id": client_id, "client_secret": client_secret,
+        }, clock, early
         self.value, self.until = None, 0.0
 
     def get(self) -> str:
@@ -121,14 +130,23 @@ class Token:
 SCENE = "scene_id string, collection string, datetime string, cloud_cover double, west double, south double, east double, north double"
 
 
-def scenes(spark: SparkSession, search: Callable[[dict], dict], box: tuple, start: str, stop: str, collection: str, limit: int = 100, most_pages: int = 1000) -> DataFrame:
+def scenes(
+    spark: SparkSession, search: Callable[[dict], dict], box: tuple, start: str, stop: str, collection: str, limit: int = 100,
+    most_pages: int = 1000,
+) -> DataFrame:
     """A STAC catalogue's items in a box and time span, all pages (search: a request's body -> a FeatureCollection)."""
     body, rows = {"collections": [collection], "bbox": list(box), "datetime": f"{start}/{stop}", "limit": limit}, []
     for _ in range(most_pages):
         page = retried(lambda body=body: search(body))
         for f in page.get("features", []):
             p, b = f.get("properties", {}), f.get("bbox") or [None] * 4
-            rows.append((f.get("id"), f.get("collection"), p.get("datetime"), None if p.get("eo:cloud_cover") is None else float(p["eo:cloud_cover"]), *[None if v is None else float(v) for v in (b[:2] + b[-2:])[:4]]))
+            rows.append(
+                (
+                    f.get("id"), f.get("collection"), p.get("datetime"),
+                    None if p.get("eo:cloud_cover") is None else float(p["eo:cloud_cover"]),
+                    *[None if v is None else float(v) for v in (b[:2] + b[-2:])[:4]],
+                )
+            )
         after = next((x for x in page.get("links", []) if x.get("rel") == "next"), None)
         if after is None:
             return spark.createDataFrame(rows, SCENE)
@@ -136,11 +154,16 @@ def scenes(spark: SparkSession, search: Callable[[dict], dict], box: tuple, star
     raise RuntimeError(f"the catalogue has more than {most_pages} pages: narrow the box or the span")
 
 
-def process_request(box: tuple, start: str, stop: str, width: int, height: int, bands: tuple = ("B03", "B11", "SCL"), collection: str = "sentinel-2-l2a") -> dict:
+def process_request(
+    box: tuple, start: str, stop: str, width: int, height: int, bands: tuple = ("B03", "B11", "SCL"), collection: str = "sentinel-2-l2a",
+) -> dict:
     """A raster service's request for bands of a box as one GeoTIFF of floats."""
     script = f"//VERSION=3\nfunction setup() {{ return {{ input: {list(bands)!r}, output: {{ bands: {len(bands)}, sampleType: 'FLOAT32' }} }}; }}\nfunction evaluatePixel(s) {{ return [{', '.join('s.' + b for b in bands)}]; }}"
     return {
-        "input": {"bounds": {"bbox": list(box), "properties": {"crs": "http://www.opengis.net/def/crs/EPSG/0/4326"}}, "data": [{"type": collection, "dataFilter": {"timeRange": {"from": start, "to": stop}}}]},
+        "input": {
+            "bounds": {"bbox": list(box), "properties": {"crs": "http://www.opengis.net/def/crs/EPSG/0/4326"}},
+            "data": [{"type": collection, "dataFilter": {"timeRange": {"from": start, "to": stop}}}],
+        },
         "output": {"width": width, "height": height, "responses": [{"identifier": "default", "format": {"type": "image/tiff"}}]},
         "evalscript": script,
     }
@@ -155,7 +178,9 @@ def tile_rows(lake_uid: str, scene_id: str, ts: str, bands: list) -> tuple:
     return (lake_uid, scene_id, ts, height, width, *([float(v) for row in b for v in row] for b in bands))
 
 
-def granules(spark: SparkSession, search: Callable[[dict], list], product: str, version: str, box: tuple, start: str, stop: str) -> DataFrame:
+def granules(
+    spark: SparkSession, search: Callable[[dict], list], product: str, version: str, box: tuple, start: str, stop: str,
+) -> DataFrame:
     """A granule search's answers as GRANULE rows; those without a time are rejected."""
     found = retried(lambda: search({"short_name": product, "version": version, "bounding_box": box, "temporal": (start, stop)}))
     rows = [(g.get("id"), product, g.get("start"), g.get("stop"), g.get("url")) for g in found]

@@ -26,14 +26,24 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     """FeatureCollection -> the properties, geometry_type and coordinates (JSON text)."""
     raw = spark.read.text(path, wholetext=True)
     features = raw.select(F.explode(F.from_json("value", "struct<features:array<string>>")["features"]).alias("f"))
-    keys = [r[0] for r in features.select(F.explode(F.json_object_keys(F.get_json_object("f", "$.properties")))).distinct().orderBy("col").collect()]
-    return features.select(*[F.get_json_object("f", f"$.properties['{k}']").alias(k) for k in keys], F.get_json_object("f", "$.geometry.type").alias("geometry_type"), F.get_json_object("f", "$.geometry.coordinates").alias("coordinates"))
+    keys = [
+        r[0] for r in features.select(
+            F.explode(F.json_object_keys(F.get_json_object("f", "$.properties")))
+        ).distinct().orderBy("col").collect()
+    ]
+    return features.select(
+        *[F.get_json_object("f", f"$.properties['{k}']").alias(k) for k in keys],
+        F.get_json_object("f", "$.geometry.type").alias("geometry_type"),
+        F.get_json_object("f", "$.geometry.coordinates").alias("coordinates"),
+    )
 
 
 def polygon_of(coordinates) -> F:
     """GeoJSON Polygon coordinates -> rings of points."""
     c = F.col(coordinates) if isinstance(coordinates, str) else coordinates
-    return F.transform(F.from_json(c, "array<array<array<double>>>"), lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    return F.transform(
+        F.from_json(c, "array<array<array<double>>>"), lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))),
+    )
 
 
 def csv_latin1(spark: SparkSession, path: str) -> DataFrame:
@@ -180,7 +190,10 @@ def geoparquet(spark: SparkSession, path: str, geometry: str = "geometry", polyg
 def write_geojson(df: DataFrame, path: str, geometry: str = "geometry_json", keep=None) -> None:
     """A FeatureCollection in one file; keep: the rows to write (unrepairable ones stay out)."""
     rows = df if keep is None else df.where(keep)
-    feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*[c for c in df.columns if c != geometry])), F.lit(',"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit("}"))
+    feature = F.concat(
+        F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*[c for c in df.columns if c != geometry])), F.lit(',"geometry":'),
+        F.coalesce(geometry, F.lit("null")), F.lit("}"),
+    )
     with open(path, "w", encoding="utf-8") as f:
         f.write('{"type":"FeatureCollection","features":[')
         for i, r in enumerate(rows.select(feature.alias("f")).toLocalIterator()):

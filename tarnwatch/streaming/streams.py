@@ -19,14 +19,21 @@ def daily(stream: DataFrame, value: str, key: str = "lake_uid", ts: str = "obser
     return windows(stream, value, "1 day", None, key, ts, late)
 
 
-def windows(stream: DataFrame, value: str, width: str, slide: str | None, key: str = "lake_uid", ts: str = "observation_timestamp", late: str = "2 days") -> DataFrame:
+def windows(
+    stream: DataFrame, value: str, width: str, slide: str | None, key: str = "lake_uid", ts: str = "observation_timestamp",
+    late: str = "2 days",
+) -> DataFrame:
     """Sums and means in tumbling or sliding windows; late rows within the watermark count."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    return stream.withWatermark(ts, late).groupBy(key, w.alias("w")).agg(F.count("*").alias("rows"), F.sum(value).alias("total"), F.avg(value).alias("mean")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rows", "total", "mean")
+    return stream.withWatermark(ts, late).groupBy(key, w.alias("w")).agg(F.count("*").alias("rows"), F.sum(value).alias("total"), F.avg(value).alias("mean")).select(
+        key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rows", "total", "mean",
+    )
 
 
 def sessions(stream: DataFrame, gap: str, key: str = "lake_uid", ts: str = "observation_timestamp", late: str = "2 days") -> DataFrame:
-    return stream.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("rows")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rows")
+    return stream.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("rows")).select(
+        key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rows",
+    )
 
 
 def spaced(stream: DataFrame, hours: float = 24, key: str = "lake_uid", ts: str = "observation_timestamp") -> DataFrame:

@@ -19,7 +19,10 @@ def day(n, **k):
 
 
 def obs(spark, rows, value="value"):
-    return spark.createDataFrame([(1, i, t, v) for i, (t, v) in enumerate(rows)], f"lake_uid long, observation_id long, observation_timestamp timestamp_ntz, {value} double")
+    return spark.createDataFrame(
+        [(1, i, t, v) for i, (t, v) in enumerate(rows)],
+        f"lake_uid long, observation_id long, observation_timestamp timestamp_ntz, {value} double",
+    )
 
 
 def grid(spark, times):
@@ -28,13 +31,18 @@ def grid(spark, times):
 
 def test_asof_takes_rows_not_values(spark):
     o = obs(spark, [(day(1), 1.0), (day(3), 3.0), (day(4), None)])
-    got = timeops.asof(grid(spark, [day(n) for n in (0, 1, 2, 3, 5)]), {"w": o}).select("reference_timestamp", "w.value", "w.observation_id").orderBy("reference_timestamp").collect()
+    got = timeops.asof(
+        grid(spark, [day(n) for n in (0, 1, 2, 3, 5)]), {"w": o},
+    ).select("reference_timestamp", "w.value", "w.observation_id").orderBy("reference_timestamp").collect()
     assert [r.value for r in got] == [None, 1.0, 1.0, 3.0, None]
     assert [r.observation_id for r in got] == [None, 0, 0, 1, 2]
 
 
 def test_asof_ties_go_by_id(spark):
-    o = spark.createDataFrame([(1, 9, day(1), 9.0), (1, 10, day(1), 10.0)], "lake_uid long, observation_id long, observation_timestamp timestamp_ntz, value double")
+    o = spark.createDataFrame(
+        [(1, 9, day(1), 9.0), (1, 10, day(1), 10.0)],
+        "lake_uid long, observation_id long, observation_timestamp timestamp_ntz, value double",
+    )
     assert timeops.asof(grid(spark, [day(2)]), {"w": o}).select("w.value").first()[0] == 10.0
 
 
@@ -92,17 +100,26 @@ def test_greedy_spacing_equals_a_loop(spark):
 
 
 def labelled(spark, events, refs, ages=None, horizons=(3,)):
-    g = spark.createDataFrame([(1, t, 0.0 if ages is None else a) for t, a in zip(refs, ages or [0.0] * len(refs), strict=True)], "lake_uid long, reference_timestamp timestamp_ntz, weather_age_hours double")
+    g = spark.createDataFrame(
+        [(1, t, 0.0 if ages is None else a) for t, a in zip(refs, ages or [0.0] * len(refs), strict=True)],
+        "lake_uid long, reference_timestamp timestamp_ntz, weather_age_hours double",
+    )
     e = spark.createDataFrame([(1, i, t) for i, t in enumerate(events)], "lake_uid long, event_id long, event_ts timestamp_ntz")
     return {r.reference_timestamp: r for r in labels.label(g, e, horizons=horizons).collect()}
 
 
 def test_label_boundaries(spark):
     e = day(100)
-    refs = {"edge": e - dt.timedelta(days=3), "past edge": e - dt.timedelta(days=3, seconds=1), "at": e, "after": e + dt.timedelta(days=30), "far": e + dt.timedelta(days=31), "before": e - dt.timedelta(days=30), "far before": e - dt.timedelta(days=31)}
+    refs = {
+        "edge": e - dt.timedelta(days=3), "past edge": e - dt.timedelta(days=3, seconds=1), "at": e, "after": e + dt.timedelta(days=30),
+        "far": e + dt.timedelta(days=31), "before": e - dt.timedelta(days=30), "far before": e - dt.timedelta(days=31),
+    }
     got = labelled(spark, [e], list(refs.values()))
     status = {n: got[t].label_status for n, t in refs.items()}
-    assert status == {"edge": "POSITIVE", "past edge": "EVENT_WINDOW_EXCLUDED", "at": "EVENT_WINDOW_EXCLUDED", "after": "EVENT_WINDOW_EXCLUDED", "far": "NEGATIVE_ELIGIBLE", "before": "EVENT_WINDOW_EXCLUDED", "far before": "NEGATIVE_ELIGIBLE"}
+    assert status == {
+        "edge": "POSITIVE", "past edge": "EVENT_WINDOW_EXCLUDED", "at": "EVENT_WINDOW_EXCLUDED", "after": "EVENT_WINDOW_EXCLUDED",
+        "far": "NEGATIVE_ELIGIBLE", "before": "EVENT_WINDOW_EXCLUDED", "far before": "NEGATIVE_ELIGIBLE",
+    }
 
 
 def test_label_takes_the_nearest_event_and_checks_age(spark):
@@ -113,13 +130,18 @@ def test_label_takes_the_nearest_event_and_checks_age(spark):
 
 
 def test_month_and_day_distances(spark):
-    t = spark.createDataFrame([(dt.datetime(2024, a, 1), dt.datetime(2024, b, 1)) for a, b in ((1, 12), (6, 8), (1, 7))] + [(D0, D0 - dt.timedelta(hours=12))], "a timestamp_ntz, b timestamp_ntz")
+    t = spark.createDataFrame(
+        [(dt.datetime(2024, a, 1), dt.datetime(2024, b, 1)) for a, b in ((1, 12), (6, 8), (1, 7))] + [(D0, D0 - dt.timedelta(hours=12))],
+        "a timestamp_ntz, b timestamp_ntz",
+    )
     got = t.select(X.month_distance("a", "b"), X.days_apart("b", "a")).collect()
     assert [r[0] for r in got[:3]] == [1, 2, 6] and got[3][1] == 1
 
 
 def test_upsert_keeps_the_last(spark):
-    old, new = spark.createDataFrame([("A", 1, 0)], "k string, v int, n int"), spark.createDataFrame([("A", 2, 0), ("A", 3, 1)], "k string, v int, n int")
+    old, new = spark.createDataFrame([("A", 1, 0)], "k string, v int, n int"), spark.createDataFrame(
+        [("A", 2, 0), ("A", 3, 1)], "k string, v int, n int",
+    )
     assert [r.v for r in upsert.upsert(old, new, ["k"], [F.col("n").desc()]).collect()] == [3]
     assert upsert.upsert(old, old, ["k"]).count() == 1
 
@@ -139,7 +161,10 @@ def test_digest_ignores_order_not_repeats(spark):
 
 def test_baseline_least_samples(spark):
     def wx(n):
-        return spark.createDataFrame([(1, i, day(i), 1.0, 2.0) for i in range(n)], "lake_uid long, observation_id long, observation_timestamp timestamp_ntz, temperature_2m_c double, precipitation_mm double")
+        return spark.createDataFrame(
+            [(1, i, day(i), 1.0, 2.0) for i in range(n)],
+            "lake_uid long, observation_id long, observation_timestamp timestamp_ntz, temperature_2m_c double, precipitation_mm double",
+        )
 
     def sat(n):
         return obs(spark, [(day(i), 1.0) for i in range(n)], "lake_area_km2")
@@ -157,7 +182,12 @@ def test_missing_intervals(spark):
 
 
 def test_geography(spark):
-    r = spark.range(1).select(X.haversine_km(F.lit(27.9), F.lit(86.9), F.lit(27.91), F.lit(86.9)), X.haversine_km(F.lit(27.9), F.lit(86.9), F.lit(27.95), F.lit(86.9)), *[X.utm_epsg(F.lit(30.0), F.lit(x)) for x in (78.0, 86.9, 90.0)], X.mercator_x(F.lit(80.0)), X.mercator_y(F.lit(30.0)), *X.utm_xy(F.lit(27.9881), F.lit(86.925), 45)).first()
+    r = spark.range(1).select(
+        X.haversine_km(F.lit(27.9), F.lit(86.9), F.lit(27.91), F.lit(86.9)),
+        X.haversine_km(F.lit(27.9), F.lit(86.9), F.lit(27.95), F.lit(86.9)),
+        *[X.utm_epsg(F.lit(30.0), F.lit(x)) for x in (78.0, 86.9, 90.0)], X.mercator_x(F.lit(80.0)), X.mercator_y(F.lit(30.0)),
+        *X.utm_xy(F.lit(27.9881), F.lit(86.925), 45),
+    ).first()
     assert round(r[0], 4) == 1.1119 and round(r[1], 4) == 5.5597 and list(r[2:5]) == [32644, 32645, 32646]
     assert round(r[5], 3) == 8905559.263 and round(r[6], 3) == 3503549.844
     assert abs(r[7] - 492625.3) < 5 and abs(r[8] - 3095886.6) < 50
@@ -171,9 +201,14 @@ def test_circular_mean(spark):
 def test_polygons(spark):
     ring = lambda *p: [{"x": x, "y": y} for x, y in p]
     shell, hole = ring((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)), ring((1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0))
-    t = spark.createDataFrame([([shell, hole], 3.0, 3.0), ([shell, hole], 1.5, 1.5), ([shell, hole], 7.0, 4.0), ([ring((0.0, 0.0), (1.0, 1.0))], 0.0, 0.0)], "polygon array<array<struct<x:double,y:double>>>, x double, y double")
+    t = spark.createDataFrame(
+        [([shell, hole], 3.0, 3.0), ([shell, hole], 1.5, 1.5), ([shell, hole], 7.0, 4.0), ([ring((0.0, 0.0), (1.0, 1.0))], 0.0, 0.0)],
+        "polygon array<array<struct<x:double,y:double>>>, x double, y double",
+    )
     cx, cy = geo.centroid("polygon")
-    r = t.select(geo.contains("polygon", "x", "y"), geo.distance("polygon", "x", "y"), geo.area("polygon"), geo.valid("polygon"), cx, cy).collect()
+    r = t.select(
+        geo.contains("polygon", "x", "y"), geo.distance("polygon", "x", "y"), geo.area("polygon"), geo.valid("polygon"), cx, cy,
+    ).collect()
     assert [x[0] for x in r] == [True, False, False, False]
     assert r[0][1] == 0 and abs(r[1][1] - 0.5) < 1e-12 and r[2][1] == 3.0
     assert r[0][2] == 15.0 and [x[3] for x in r] == [True, True, True, False] and (r[0][4], r[0][5]) == (2.0, 2.0)
@@ -206,7 +241,9 @@ def test_terrain_takes_whole_tiles(spark, tmp_path):
         if len(z) > 5:
             z = np.concatenate([z, np.full(-len(z) % 5, np.nan)]).reshape(-1, 5)
             slope, _ = raster.slope_aspect(z, 30, 30)
-            assert np.isclose(out[u].mean_slope_deg, np.nanmean(slope), atol=1e-5) and np.isclose(out[u].max_slope_deg, np.nanmax(slope), atol=1e-5)
+            assert np.isclose(
+                out[u].mean_slope_deg, np.nanmean(slope), atol=1e-5,
+            ) and np.isclose(out[u].max_slope_deg, np.nanmax(slope), atol=1e-5)
 
 
 def dedup_loop(rows):
@@ -240,7 +277,12 @@ def dedup_loop(rows):
 
 def test_leaders_equal_the_loop(spark):
     rng = random.Random(3)
-    rows = [(i, dt.date(2000 + rng.randrange(2), 1 + rng.randrange(2), 1 + rng.randrange(2)) if rng.random() > 0.1 else None, 27 + rng.randrange(12) * 0.008, 86 + rng.randrange(3) * 0.01, rng.choice(["Lake A", "lake a°", "B", "unknown", None])) for i in range(80)]
+    rows = [
+        (
+            i, dt.date(2000 + rng.randrange(2), 1 + rng.randrange(2), 1 + rng.randrange(2)) if rng.random() > 0.1 else None,
+            27 + rng.randrange(12) * 0.008, 86 + rng.randrange(3) * 0.01, rng.choice(["Lake A", "lake a°", "B", "unknown", None]),
+        ) for i in range(80)
+    ]
     e = spark.createDataFrame(rows, "idx long, event_date date, latitude double, longitude double, lake_name string")
     got = {r.idx: r.leader for r in resolve.leaders(e, resolve.pair_scores(e)).collect()}
     assert got == dedup_loop(rows)
@@ -305,7 +347,11 @@ def test_smote_query_keeps_every_row(spark, tmp_path):
     from tarnwatch.plans import learning
 
     rows = [("R", i, i % 50, float(i), 0.1, 1, "F") for i in range(300)]
-    spark.createDataFrame(rows, "l_returnflag string, l_orderkey long, l_quantity long, l_extendedprice double, l_discount double, l_suppkey long, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(
+        rows,
+        "l_returnflag string, l_orderkey long, l_quantity long, l_extendedprice double, l_discount double, l_suppkey long, "
+        "l_linestatus string",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
     have = {r.l_extendedprice for r in learning.k07_smote(spark, str(tmp_path)).where("l_extendedprice = floor(l_extendedprice)").collect()}
     assert have >= {r[3] for r in rows}
 
@@ -316,9 +362,14 @@ def test_streams_give_their_last_windows(spark, tmp_path):
     from tarnwatch.plans import streams
 
     rows = [(i, i % 3, datetime(2024, 1, 1) + timedelta(hours=5 * i + i % 7), float(i), "view") for i in range(140)]
-    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame(
+        rows, "event_id long, user_id long, ts timestamp, value double, event_type string",
+    ).write.parquet(f"{tmp_path}/events.parquet")
     e = spark.read.parquet(f"{tmp_path}/events.parquet")
-    for name, w in (("l_daily_windows", F.window("ts", "1 day")), ("l_sliding_windows", F.window("ts", "3 days", "1 day")), ("l_sessions", F.session_window("ts", "6 hours"))):
+    for name, w in (
+        ("l_daily_windows", F.window("ts", "1 day")), ("l_sliding_windows", F.window("ts", "3 days", "1 day")),
+        ("l_sessions", F.session_window("ts", "6 hours")),
+    ):
         want = e.groupBy("user_id", w.alias("w")).agg(F.count("*")).select("user_id", "w.start", "w.end", "count(1)").collect()
         got = streams.QUERIES[name](spark, str(tmp_path)).select("lake_uid", "start", "end", "rows").collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want)), name
@@ -336,7 +387,9 @@ def test_null_flags_and_columns(spark):
     assert X.resolve(t, ["x", "a"]) == "A" and X.resolve(t, ["x"]) is None
     assert X.clean(t).where("b is null").count() == 1
     assert checks.forbidden(t, ["b", "q"]) == ["b"]
-    assert checks.run_complete({"dem": "SUCCESS", "gpm": "PARTIAL", "quality_control": "SUCCESS", "leakage_test": "SUCCESS"}) and not checks.run_complete({"dem": "SUCCESS"})
+    assert checks.run_complete(
+        {"dem": "SUCCESS", "gpm": "PARTIAL", "quality_control": "SUCCESS", "leakage_test": "SUCCESS"}
+    ) and not checks.run_complete({"dem": "SUCCESS"})
     assert inventory.canonical(t.withColumn("lake_uid", F.lit("x"))).columns == ["lake_uid", "A", "b"]
 
 

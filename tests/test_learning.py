@@ -24,7 +24,12 @@ def tree_value(leaves, x, known):
 
 def test_shapley_values_are_what_they_are_defined_as():
     # two trees over three features; a path may split a feature twice
-    trees = [[(1.0, {0: (-np.inf, 0.5, 0.4)}), (2.0, {0: (0.5, np.inf, 0.6), 1: (-np.inf, 0.2, 0.3)}), (-3.0, {0: (0.5, np.inf, 0.6), 1: (0.2, np.inf, 0.7)})]]
+    trees = [
+        [
+            (1.0, {0: (-np.inf, 0.5, 0.4)}), (2.0, {0: (0.5, np.inf, 0.6), 1: (-np.inf, 0.2, 0.3)}),
+            (-3.0, {0: (0.5, np.inf, 0.6), 1: (0.2, np.inf, 0.7)}),
+        ]
+    ]
     trees.append([(0.5, {2: (-np.inf, 0.1, 0.2)}), (4.0, {2: (0.1, 0.9, 0.8 * 0.5)}), (-1.0, {2: (0.9, np.inf, 0.8 * 0.5)})])
     weights, rng = [1.0, 0.1], np.random.default_rng(1)
     x = rng.random((20, 3))
@@ -34,7 +39,9 @@ def test_shapley_values_are_what_they_are_defined_as():
         assert abs(game(set()) - base) < 1e-12 and abs(base + values.sum() - game({0, 1, 2})) < 1e-12
         for f in range(3):
             rest = [g for g in range(3) if g != f]
-            want = sum(math.factorial(n) * math.factorial(2 - n) / 6 * (game({*s, f}) - game(set(s))) for n in range(3) for s in itertools.combinations(rest, n))
+            want = sum(
+                math.factorial(n) * math.factorial(2 - n) / 6 * (game({*s, f}) - game(set(s))) for n in range(3) for s in itertools.combinations(rest, n)
+            )
             assert abs(values[f] - want) < 1e-12
 
 
@@ -50,9 +57,14 @@ def groups(spark):
 
 
 def test_search_scores_every_group_once(groups):
-    configs = [ml.configurations()[0], dict(model_name="small_trees", kind="boosted", balanced=False, complexity=3, settings={"depth": 2, "rate": 0.3, "trees": 3})]
+    configs = [
+        ml.configurations()[0],
+        dict(model_name="small_trees", kind="boosted", balanced=False, complexity=3, settings={"depth": 2, "rate": 0.3, "trees": 3}),
+    ]
     out, chosen = ml.search(groups, ["a", "b", "c"], configs, folds=2)
-    assert [c["fold"] for c in chosen] == [0, 1, 2, 3, 4] and all(c["threshold"] in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8) for c in chosen)
+    assert [c["fold"] for c in chosen] == [0, 1, 2, 3, 4] and all(
+        c["threshold"] in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8) for c in chosen
+    )
     n = {r.fold: r["count"] for r in out.groupBy("fold").count().collect()}
     assert n == {k: 40 for k in range(5)}
     p = out.groupBy("true_label").agg(F.avg("predicted_probability").alias("p")).orderBy("true_label").collect()
@@ -65,10 +77,15 @@ def test_transfer_needs_five_units(groups):
     gate = {r.direction: r for r in ml.holdout_gate(groups, "region", ["home"], ["away"], "cv_group_id").collect()}
     assert (gate["forward"].train_units, gate["forward"].test_units, gate["reverse"].eligible) == (5, 0, False)
     assert ml.transfer(groups, ["a"], "region", ["home"], ["away"], "cv_group_id") is None
-    t = ml.transfer(groups.withColumn("region", F.when(F.col("cv_group_id") % 2 == 0, "home").otherwise("away")), ["a", "c"], "region", ["home"], ["away"], "cv_group_id", least=2)
+    t = ml.transfer(
+        groups.withColumn("region", F.when(F.col("cv_group_id") % 2 == 0, "home").otherwise("away")), ["a", "c"], "region", ["home"],
+        ["away"], "cv_group_id", least=2,
+    )
     assert {r.direction for r in t.collect()} == {"forward", "reverse"} and all(r.roc_auc > 0.7 for r in t.collect())
 
 
 def test_configurations_are_in_the_order_of_the_scan():
     names = [c["model_name"] for c in ml.configurations()]
-    assert len(names) == 31 and names[:4] == ["LogisticRegression", "LogisticRegression_Balanced", "HistGB", "HistGB_Balanced"] and names[4] == "XGB_d2_lr0.03_n100" and names[-1] == "XGB_d4_lr0.1_n400"
+    assert len(names) == 31 and names[:4] == [
+        "LogisticRegression", "LogisticRegression_Balanced", "HistGB", "HistGB_Balanced",
+    ] and names[4] == "XGB_d2_lr0.03_n100" and names[-1] == "XGB_d4_lr0.1_n400"

@@ -57,7 +57,9 @@ def test_numbers_beyond_six_places(spark):
     old = spark.createDataFrame([(i, 10.0 * i, 0.0) for i in range(1, 4)], "id long, lat double, lon double")
     new = spark.createDataFrame([("TARN_999999", 80.0, 0.0)], "uid string, lat double, lon double")
     assert sorted(r.uid for r in geo.link_epochs(old, new).collect()) == ["TARN_1000000", "TARN_1000001", "TARN_1000002"]
-    many = spark.range(1_000_001).select("id", (F.col("id") % 170 - 85).cast("double").alias("lat"), (F.col("id") % 300 / 2 - 75).alias("lon"))
+    many = spark.range(1_000_001).select(
+        "id", (F.col("id") % 170 - 85).cast("double").alias("lat"), (F.col("id") % 300 / 2 - 75).alias("lon"),
+    )
     uids = geo.link_epochs(many, new, 0.001).agg(F.count("*").alias("n"), F.countDistinct("uid").alias("u")).first()
     assert uids.n == uids.u == 1_000_001
 
@@ -115,7 +117,9 @@ def test_union_of_neighbours_and_rings():
     ring = overlay.union([square(x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)])
     assert len(ring) == 1 and len(ring[0]) == 2 and abs(sum(map(overlay.signed_area, ring[0])) - 8) < 1e-9
     assert len(overlay.union([square(0, 0), square(5, 5)])) == 2 and overlay.union([]) == []
-    assert overlay.gap(overlay.sides(square(0, 0)), overlay.sides(square(3, 0))) == 2.0 and overlay.gap(overlay.sides(square(0, 0, 9)), overlay.sides(square(3, 3))) == 0.0
+    assert overlay.gap(overlay.sides(square(0, 0)), overlay.sides(square(3, 0))) == 2.0 and overlay.gap(
+        overlay.sides(square(0, 0, 9)), overlay.sides(square(3, 3)),
+    ) == 0.0
 
 
 def test_nearest_site_however_far(spark):
@@ -124,7 +128,12 @@ def test_nearest_site_however_far(spark):
     e = [(i, i % 2, *place()) for i in range(40)] + [(99, 7, 0.0, 0.0)]
     s = [(i, i % 2, *place()) for i in range(15)]
     flat = [(i, c, [[{"x": x + a, "y": y + b} for a, b in ((0, 0), (9, 0), (9, 9), (0, 9))]]) for i, c, x, y in s]
-    got = {r.a_id: (r.b_id, r.distance_m) for r in resolve.nearest_site(spark.createDataFrame(e, "a_id long, country int, _x double, _y double"), spark.createDataFrame(flat, "b_id long, country int, _flat array<array<struct<x:double,y:double>>>")).collect()}
+    got = {
+        r.a_id: (r.b_id, r.distance_m) for r in resolve.nearest_site(
+            spark.createDataFrame(e, "a_id long, country int, _x double, _y double"),
+            spark.createDataFrame(flat, "b_id long, country int, _flat array<array<struct<x:double,y:double>>>"),
+        ).collect()
+    }
     for i, c, x, y in e[:-1]:
         d = {j: np.hypot(max(sx - x, x - sx - 9, 0), max(sy - y, y - sy - 9, 0)) for j, k, sx, sy in s if k == c}
         best = min(d, key=d.get)

@@ -33,8 +33,13 @@ def tiff_of(a, order="<", packed=1, predictor=1, tile=None, separate=False):
                 blocks.append(zlib.compress(raw) if packed == 8 else raw)
     starts = np.cumsum([8] + [len(b) for b in blocks]).tolist()
     body = b"".join(blocks)
-    tags = [(256, 4, [width]), (257, 4, [height]), (258, 3, [a.dtype.itemsize * 8] * depth), (259, 3, [packed]), (277, 3, [depth]), (284, 3, [2 if separate else 1]), (317, 3, [predictor]), (339, 3, [kind] * depth)]
-    tags += [(322, 4, [tw]), (323, 4, [th]), (324, 4, starts[:-1]), (325, 4, [len(b) for b in blocks])] if tile else [(273, 4, starts[:-1]), (278, 4, [th]), (279, 4, [len(b) for b in blocks])]
+    tags = [
+        (256, 4, [width]), (257, 4, [height]), (258, 3, [a.dtype.itemsize * 8] * depth), (259, 3, [packed]), (277, 3, [depth]),
+        (284, 3, [2 if separate else 1]), (317, 3, [predictor]), (339, 3, [kind] * depth),
+    ]
+    tags += [
+        (322, 4, [tw]), (323, 4, [th]), (324, 4, starts[:-1]), (325, 4, [len(b) for b in blocks]),
+    ] if tile else [(273, 4, starts[:-1]), (278, 4, [th]), (279, 4, [len(b) for b in blocks])]
     extra, entries, at = b"", [], 8 + len(body)
     for tag, code, values in sorted(tags):
         raw = struct.pack(f"{order}{len(values)}{'H' if code == 3 else 'I'}", *values)
@@ -46,7 +51,13 @@ def tiff_of(a, order="<", packed=1, predictor=1, tile=None, separate=False):
     return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at + len(extra)) + body + extra + struct.pack(order + "H", len(entries)) + b"".join(entries) + b"\0" * 4
 
 
-@pytest.mark.parametrize("storage", [{}, {"order": ">"}, {"packed": 8}, {"packed": 8, "predictor": 2}, {"tile": (16, 16)}, {"separate": True, "tile": (16, 16), "packed": 8}])
+@pytest.mark.parametrize(
+    "storage",
+    [
+        {}, {"order": ">"}, {"packed": 8}, {"packed": 8, "predictor": 2}, {"tile": (16, 16)},
+        {"separate": True, "tile": (16, 16), "packed": 8},
+    ],
+)
 @pytest.mark.parametrize("dtype", ["u1", "i2", "f4"])
 def test_tiff(storage, dtype):
     if dtype == "f4" and storage.get("predictor") == 2:
@@ -98,7 +109,9 @@ def netcdf_of(records=2):
     fixed = np.arange(6, dtype=">i2").reshape(2, 3)
     fixed[0, 0] = -9999
     moving = (np.arange(records * 3).reshape(records, 3) + 0.5).astype(">f4")
-    attrs = struct.pack(">ii", 12, 3) + att("scale_factor", 6, struct.pack(">d", 0.5), 1) + att("add_offset", 6, struct.pack(">d", 10.0), 1) + att("_FillValue", 3, struct.pack(">h", -9999), 1)
+    attrs = struct.pack(">ii", 12, 3) + att(
+        "scale_factor", 6, struct.pack(">d", 0.5), 1,
+    ) + att("add_offset", 6, struct.pack(">d", 10.0), 1) + att("_FillValue", 3, struct.pack(">h", -9999), 1)
     def build(a, b):
         head = b"CDF\1" + struct.pack(">i", records) + struct.pack(">ii", 10, 3) + name("time") + struct.pack(">i", 0) + name("y") + struct.pack(">i", 2) + name("x") + struct.pack(">i", 3) + struct.pack(">ii", 0, 0) + struct.pack(">ii", 11, 2)
         head += name("t2m") + struct.pack(">iii", 2, 1, 2) + attrs + struct.pack(">iii", 3, 12, a)
@@ -130,7 +143,9 @@ def hdf5_of(tables, chunk=None):
     headers = {}
     for name, a in tables.items():
         space = struct.pack("<BBB5x", 1, a.ndim, 0) + struct.pack(f"<{a.ndim}Q", *a.shape)
-        kind = struct.pack("<B3BI", 0x10 | (a.dtype.kind == "f"), 0x20 if a.dtype.kind == "f" else 8 * (a.dtype.kind == "i"), 0, 0, a.dtype.itemsize) + struct.pack("<HH8x", 0, a.dtype.itemsize * 8)
+        kind = struct.pack(
+            "<B3BI", 0x10 | (a.dtype.kind == "f"), 0x20 if a.dtype.kind == "f" else 8 * (a.dtype.kind == "i"), 0, 0, a.dtype.itemsize,
+        ) + struct.pack("<HH8x", 0, a.dtype.itemsize * 8)
         fill = struct.pack("<BxHHH", 1, 11, len(kind), 8) + b"_FillValue\0".ljust(16, b"\0") + kind.ljust(-(-len(kind) // 8) * 8, b"\0") + struct.pack("<BBB5x", 1, 0, 0) + np.array(-1, a.dtype).tobytes()
         found = [(0x01, space), (0x03, kind), (0x0C, fill)]
         if chunk:
@@ -142,9 +157,21 @@ def hdf5_of(tables, chunk=None):
                 raw = zlib.compress(np.frombuffer(part.tobytes(), np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
                 keys.append((len(raw), corner, put(raw)))
             node = b"TREE" + struct.pack("<BBHQQ", 1, 0, len(keys), 2**64 - 1, 2**64 - 1)
-            node += b"".join(struct.pack("<II", n, 0) + struct.pack(f"<{a.ndim + 1}Q", *corner, 0) + struct.pack("<Q", at) for n, corner, at in keys) + b"\0" * (8 + 8 * (a.ndim + 1))
-            filters = struct.pack("<BB6x", 1, 2) + struct.pack("<HHHHI4x", 2, 0, 1, 1, a.dtype.itemsize) + struct.pack("<HHHHI4x", 1, 0, 1, 1, 6)
-            found += [(0x0B, filters), (0x08, struct.pack("<BBB", 3, 2, a.ndim + 1) + struct.pack("<Q", put(node)) + struct.pack(f"<{a.ndim + 1}I", *chunk, a.dtype.itemsize))]
+            node += b"".join(
+                struct.pack("<II", n, 0) + struct.pack(f"<{a.ndim + 1}Q", *corner, 0) + struct.pack("<Q", at) for n, corner, at in keys
+            ) + b"\0" * (8 + 8 * (a.ndim + 1))
+            filters = struct.pack("<BB6x", 1, 2) + struct.pack(
+                "<HHHHI4x", 2, 0, 1, 1, a.dtype.itemsize,
+            ) + struct.pack("<HHHHI4x", 1, 0, 1, 1, 6)
+            found += [
+                (0x0B, filters),
+                (
+                    0x08,
+                    struct.pack("<BBB", 3, 2, a.ndim + 1) + struct.pack("<Q", put(node)) + struct.pack(
+                        f"<{a.ndim + 1}I", *chunk, a.dtype.itemsize,
+                    ),
+                ),
+            ]
         else:
             found.append((0x08, struct.pack("<BBQQ", 3, 1, put(a.tobytes()), a.nbytes)))
         headers[name] = header(found)
@@ -152,10 +179,16 @@ def hdf5_of(tables, chunk=None):
     for n in sorted(headers):
         spots[n], names = len(names), names + n.encode().ljust(-(-(len(n) + 1) // 8) * 8, b"\0")
     heap = put(b"HEAP" + struct.pack("<B3xQQQ", 0, len(names), 0, put(names)))
-    nodes = put(b"SNOD" + struct.pack("<BxH", 1, len(headers)) + b"".join(struct.pack("<QQII16x", spots[n], headers[n], 0, 0) for n in sorted(headers)))
+    nodes = put(
+        b"SNOD" + struct.pack("<BxH", 1, len(headers)) + b"".join(
+            struct.pack("<QQII16x", spots[n], headers[n], 0, 0) for n in sorted(headers)
+        )
+    )
     tree = put(b"TREE" + struct.pack("<BBHQQ", 0, 0, 1, 2**64 - 1, 2**64 - 1) + struct.pack("<QQQ", 0, nodes, 0))
     root = header([(0x11, struct.pack("<QQ", tree, heap))])
-    top = b"\x89HDF\r\n\x1a\n" + struct.pack("<8BHHI", 0, 0, 0, 0, 0, 8, 8, 0, 4, 16, 0) + struct.pack("<QQQQ", 0, 2**64 - 1, len(out), 2**64 - 1) + struct.pack("<QQII16x", 0, root, 1, 0)
+    top = b"\x89HDF\r\n\x1a\n" + struct.pack(
+        "<8BHHI", 0, 0, 0, 0, 0, 8, 8, 0, 4, 16, 0,
+    ) + struct.pack("<QQQQ", 0, 2**64 - 1, len(out), 2**64 - 1) + struct.pack("<QQII16x", 0, root, 1, 0)
     out[: len(top)] = top
     return bytes(out)
 

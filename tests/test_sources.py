@@ -17,7 +17,9 @@ def test_shapefile_round_trip(spark, tmp_path):
             z.write(tmp_path / f"lakes.{s}", f"in/lakes.{s}")
     for path in (at, str(tmp_path / "lakes.zip")):
         t = shapefile.read(spark, path)
-        assert [(r.GL_ID, r.NAME, r.geometry_type) for r in t.orderBy("GL_ID").collect()] == [("1", "\xe9t\xe9", "Polygon"), ("2", None, "Polygon")]
+        assert [
+            (r.GL_ID, r.NAME, r.geometry_type) for r in t.orderBy("GL_ID").collect()
+        ] == [("1", "\xe9t\xe9", "Polygon"), ("2", None, "Polygon")]
         assert [r[0] for r in t.orderBy("GL_ID").select(geo.area("polygon")).collect()] == [15.0, 1.0]
         d = shapefile.diagnostics(t).first()
         assert (d.rows, d.max_x, d.has_NAME, d.geometry_types) == (2, 4.0, 1, ["Polygon"])
@@ -36,7 +38,12 @@ def test_scene_search_reads_all_pages(spark):
     def search(body):
         n = body.get("page", 0)
         link = [{"rel": "next", "body": {"page": n + 1}}] if n < 2 else []
-        return {"features": [{"id": f"s{n}", "collection": "c", "bbox": [1, 2, 3, 4], "properties": {"datetime": "2024-01-01", "eo:cloud_cover": 10}}], "links": link}
+        return {
+            "features": [
+                {"id": f"s{n}", "collection": "c", "bbox": [1, 2, 3, 4], "properties": {"datetime": "2024-01-01", "eo:cloud_cover": 10}}
+            ],
+            "links": link,
+        }
 
     got = remote.scenes(spark, search, (0, 0, 1, 1), "2024-01-01", "2024-02-01", "c").orderBy("scene_id").collect()
     assert [r.scene_id for r in got] == ["s0", "s1", "s2"] and (got[0].west, got[0].north) == (1.0, 4.0)
@@ -51,7 +58,9 @@ def test_granules_and_features(spark):
 
     def query(q):
         asked.append(q)
-        return {"objectIds": [3, 1, 2]} if "returnIdsOnly" in q else {"features": [{"properties": {"i": i}, "geometry": None} for i in q["objectIds"]]}
+        return {"objectIds": [3, 1, 2]} if "returnIdsOnly" in q else {
+            "features": [{"properties": {"i": i}, "geometry": None} for i in q["objectIds"]]
+        }
 
     assert remote.features_by_id(spark, query, 2).count() == 3 and len(asked) == 3
     row = remote.tile_rows("l", "s", "t", [[[1, 2], [3, 4]]] * 3)
@@ -82,7 +91,11 @@ def test_ods_and_zip(tmp_path):
     ns = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"'
     row = lambda *v: "<table:table-row>" + "".join(f"<table:table-cell><text:p>{x}</text:p></table:table-cell>" for x in v) + "</table:table-row>"
     with zipfile.ZipFile(tmp_path / "w.ods", "w") as z:
-        z.writestr("content.xml", f"<office:document-content {ns}><table:table table:name='S'>{row('a', 'b')}{row('unit', '')}{row('1', '2')}</table:table></office:document-content>")
+        z.writestr(
+            "content.xml",
+            f"<office:document-content {ns}><table:table "
+            f"table:name='S'>{row('a', 'b')}{row('unit', '')}{row('1', '2')}</table:table></office:document-content>",
+        )
     assert tables.ods_sheets(str(tmp_path / "w.ods")) == {"S": [["a", "b"], ["unit"], ["1", "2"]]}
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("x/a.nc", "1")
@@ -94,6 +107,11 @@ def test_workbook(spark, tmp_path):
     ns = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"'
     row = lambda *v: "<table:table-row>" + "".join(f"<table:table-cell><text:p>{x}</text:p></table:table-cell>" for x in v) + "</table:table-row>"
     with zipfile.ZipFile(tmp_path / "w.ods", "w") as z:
-        z.writestr("content.xml", f"<office:document-content {ns}><table:table table:name='S'>{row('a', 'b')}{row('unit', 'u')}{row('1', '2')}</table:table><table:table table:name='T'>{row('a')}{row('u')}{row('3')}</table:table></office:document-content>")
+        z.writestr(
+            "content.xml",
+            f"<office:document-content {ns}><table:table "
+            f"table:name='S'>{row('a', 'b')}{row('unit', 'u')}{row('1', '2')}</table:table><table:table "
+            f"table:name='T'>{row('a')}{row('u')}{row('3')}</table:table></office:document-content>",
+        )
     got = tables.workbook(spark, str(tmp_path / "w.ods")).orderBy("a").collect()
     assert [(r.a, r.b, r.sheet) for r in got] == [("1", "2", "S"), ("3", None, "T")]
