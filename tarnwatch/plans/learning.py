@@ -81,6 +81,10 @@ def k09_configurations(spark, d):
     return spark.createDataFrame([(c["model_name"], c["complexity"]) for c in ml.configurations()], "model_name string, complexity int")
 
 
+def oversampled(spark, d):
+    return ml.smote(rows(spark, d).select(*X[:2], "true_label"), X[:2])
+
+
 # As many positives as negatives, the new ones between positives.
 @query(
     S.ctes("shifted") + ", r as (select case when l_quantity + unit % 10 > 40 then 1 else 0 end as true_label from shifted), n as (select count(*) "
@@ -88,11 +92,9 @@ def k09_configurations(spark, d):
     "greatest(p, n)]) as rows, true as within from n"
 )
 def k07_smote(spark, d):
-    r = rows(spark, d).select(*X[:2], "true_label")
-    out = ml.smote(r, X[:2])
-    box = r.where("true_label = 1").agg(*[f(c).alias(f"{n}_{c}") for c in X[:2] for n, f in (("lo", F.min), ("hi", F.max))])
+    box = rows(spark, d).where("true_label = 1").agg(*[f(c).alias(f"{n}_{c}") for c in X[:2] for n, f in (("lo", F.min), ("hi", F.max))])
     inside = [F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in X[:2]]
-    met = out.join(F.broadcast(box), how="cross")
+    met = oversampled(spark, d).join(F.broadcast(box), how="cross")
     return met.groupBy("true_label").agg(
         F.count("*").alias("rows"), F.bool_and((F.col("true_label") == 0) | (inside[0] & inside[1])).alias("within"),
     )

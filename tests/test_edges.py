@@ -352,7 +352,7 @@ def test_smote_query_keeps_every_row(spark, tmp_path):
         "l_returnflag string, l_orderkey long, l_quantity long, l_extendedprice double, l_discount double, l_suppkey long, "
         "l_linestatus string",
     ).write.parquet(f"{tmp_path}/lineitem.parquet")
-    have = {r.l_extendedprice for r in learning.k07_smote(spark, str(tmp_path)).where("l_extendedprice = floor(l_extendedprice)").collect()}
+    have = {r.l_extendedprice for r in learning.oversampled(spark, str(tmp_path)).where("l_extendedprice = floor(l_extendedprice)").collect()}
     assert have >= {r[3] for r in rows}
 
 

@@ -51,7 +51,7 @@ def groups(spark):
     rows = []
     for g in range(8):
         for _ in range(40):
-            y = int(rng.random() < (0.4 if g < 5 else 0.0))
+            y = int(rng.random() < (0.4 if g < 3 else 0.0))
             rows.append((g, "home" if g < 6 else "away", y, y + rng.gauss(0, 0.5), rng.random(), None))
     return spark.createDataFrame(rows, "cv_group_id int, region string, true_label int, a double, b double, c double")
 
@@ -62,11 +62,11 @@ def test_search_scores_every_group_once(groups):
         dict(model_name="small_trees", kind="boosted", balanced=False, complexity=3, settings={"depth": 2, "rate": 0.3, "trees": 3}),
     ]
     out, chosen = ml.search(groups, ["a", "b", "c"], configs, folds=2)
-    assert [c["fold"] for c in chosen] == [0, 1, 2, 3, 4] and all(
+    assert [c["fold"] for c in chosen] == [0, 1, 2] and all(
         c["threshold"] in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8) for c in chosen
     )
     n = {r.fold: r["count"] for r in out.groupBy("fold").count().collect()}
-    assert n == {k: 40 for k in range(5)}
+    assert n == {k: 40 for k in range(3)}
     p = out.groupBy("true_label").agg(F.avg("predicted_probability").alias("p")).orderBy("true_label").collect()
     assert p[1].p > p[0].p + 0.2
     # no balanced model on oversampled rows
@@ -75,7 +75,7 @@ def test_search_scores_every_group_once(groups):
 
 def test_transfer_needs_five_units(groups):
     gate = {r.direction: r for r in ml.holdout_gate(groups, "region", ["home"], ["away"], "cv_group_id").collect()}
-    assert (gate["forward"].train_units, gate["forward"].test_units, gate["reverse"].eligible) == (5, 0, False)
+    assert (gate["forward"].train_units, gate["forward"].test_units, gate["reverse"].eligible) == (3, 0, False)
     assert ml.transfer(groups, ["a"], "region", ["home"], ["away"], "cv_group_id") is None
     t = ml.transfer(
         groups.withColumn("region", F.when(F.col("cv_group_id") % 2 == 0, "home").otherwise("away")), ["a", "c"], "region", ["home"],

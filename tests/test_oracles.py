@@ -29,16 +29,19 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+#: Nine fits each; the driver compares them at sf0.01.
+SLOW = {"k22_region_strategies"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.ORACLES) - SLOW))
 def test_equals_sql(spark, duck, name):
     got, want = catalogue.QUERIES[name](spark, DATA).toPandas(), duck.execute(catalogue.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - {"k22_region_strategies"}))
-def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, DATA).count() > 0
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
 
 def test_entry(spark):
