@@ -79,7 +79,7 @@ def test_transfer_needs_five_units(groups):
     assert ml.transfer(groups, ["a"], "region", ["home"], ["away"], "cv_group_id") is None
     t = ml.transfer(
         groups.withColumn("region", F.when(F.col("cv_group_id") % 2 == 0, "home").otherwise("away")), ["a", "c"], "region", ["home"],
-        ["away"], "cv_group_id", least=2,
+        ["away"], "cv_group_id", least=1,
     )
     assert {r.direction for r in t.collect()} == {"forward", "reverse"} and all(r.roc_auc > 0.7 for r in t.collect())
 
