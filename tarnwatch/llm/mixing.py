@@ -84,7 +84,7 @@ PLACE = ("_key", "_doc_id", "_size", "_h")
 
 def edges(d: DataFrame) -> DataFrame:
     """keyed rows -> a row a source: source_size, target, epochs, and the sample's edge: the range (edge_cut) in which the
-    budget ends, and the last row of it that is taken (edge, NULL if none is; of its equal rows edge_rows).
+    budget ends, and the last row of it that is taken (edge, NULL if none is; of its equal rows edge_rows, and edge_split says whether that leaves some out).
 
     What comes before the range is taken, what comes after is not. The row at which the running size passes the budget is
     taken if that ends nearer the budget. Equal rows are summed before they are sorted.
@@ -109,7 +109,7 @@ def edges(d: DataFrame) -> DataFrame:
     fit = F.floor(left / F.col("_size"))
     taken = F.least(F.col("n"), fit + F.when(left - fit * F.col("_size") > (fit + 1) * F.col("_size") - left, 1).otherwise(0)).cast("long")
     last = rows.withColumn("taken", F.when(left > 0, taken).otherwise(0)).where("taken > 0")
-    last = last.groupBy("_source").agg(F.max(F.struct(F.struct(*PLACE).alias("place"), "taken")).alias("last"))
+    last = last.groupBy("_source").agg(F.max(F.struct(F.struct(*PLACE).alias("place"), "taken", (F.col("taken") < F.col("n")).alias("split"))).alias("last"))
     edge = found.select(F.col("_source").alias("s2"), F.col("_cut").alias("edge_cut")).join(
         last.select(F.col("_source").alias("s3"), "last"), F.col("s2").eqNullSafe(F.col("s3")), "left",
     )
@@ -119,18 +119,19 @@ def edges(d: DataFrame) -> DataFrame:
     return stored(
         out.select(
             F.col("source").alias("_of"), "source_size", "target", "epochs", cut.alias("edge_cut"), F.col("last.place").alias("edge"),
-            F.coalesce("last.taken", F.lit(0)).alias("edge_rows"),
+            F.coalesce("last.taken", F.lit(0)).alias("edge_rows"), F.coalesce("last.split", F.lit(False)).alias("edge_split"),
         ),
         "mix-edges",
     )
 
 
 def placed(d: DataFrame, ends: DataFrame) -> DataFrame:
-    """keyed rows with their source's edges(), taken (0 or 1 of the sample; NULL for rows equal to the edge)."""
+    """keyed rows with their source's edges(), taken (0 or 1 of the sample; NULL for rows equal to an edge of which only some
+    are taken)."""
     d = d.join(small(ends), F.col("_source").eqNullSafe(F.col("_of")))
     place = F.struct(*PLACE)
-    inside = (F.col("_cut") < F.col("edge_cut")) | ((F.col("_cut") == F.col("edge_cut")) & F.coalesce(place < F.col("edge"), F.lit(False)))
-    at = (F.col("_size") > 0) & F.coalesce(place.eqNullSafe(F.col("edge")) & F.col("edge").isNotNull(), F.lit(False))
+    inside = (F.col("_cut") < F.col("edge_cut")) | ((F.col("_cut") == F.col("edge_cut")) & F.coalesce(place <= F.col("edge"), F.lit(False)))
+    at = (F.col("_size") > 0) & F.col("edge_split") & place.eqNullSafe(F.col("edge"))
     return d.withColumn("_taken", F.when(~at, F.when((F.col("_size") > 0) & F.coalesce(inside, F.lit(False)), 1).otherwise(0)))
 
 
@@ -165,13 +166,12 @@ def mixed(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     ends = edges(stored(keyed(docs, weight), "mix-docs"))
     d = placed(keyed(docs, weight, _row=F.struct("*")), ends)
     times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("_i")
-    most = d.where(F.col("_taken").isNotNull()).withColumn("_n", F.col("epochs") + F.col("_taken"))
-    # rows that equal an edge: all of them come `epochs` times, and edge_rows of them once more, in order of all they hold
-    at = d.where("_taken is null").withColumn("_c", F.xxhash64(F.to_json("_row")))
-    one = at.groupBy("_source", "edge_rows", "_c").agg(F.first("_row").alias("_row"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("_source").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    one = one.withColumn("_n", F.least(F.col("_n"), F.col("edge_rows") - before)).where("_n > 0")
-    out = most.where("_n > 0").select("_row", times(F.col("_n"))).unionByName(
-        at.where("epochs > 0").select("_row", times(F.col("epochs")))
-    ).unionByName(one.select("_row", times(F.col("_n"))))
+    out = d.withColumn("_n", F.col("epochs") + F.coalesce("_taken", F.lit(0))).where("_n > 0").select("_row", times(F.col("_n")))
+    if not ends.where("edge_split").isEmpty():
+        # of rows that equal a split edge edge_rows come once more, in order of all they hold
+        at = d.where("_taken is null").withColumn("_c", F.xxhash64(F.to_json("_row")))
+        one = at.groupBy("_source", "edge_rows", "_c").agg(F.first("_row").alias("_row"), F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(W.partitionBy("_source").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        one = one.withColumn("_n", F.least(F.col("_n"), F.col("edge_rows") - before)).where("_n > 0")
+        out = out.unionByName(one.select("_row", times(F.col("_n"))))
     return out.select("_row.*")
