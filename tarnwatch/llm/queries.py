@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import changes, embed_dedup, html_extract, media, mixing, ngram_join, packing, pipeline, quality, sharding, toxicity, warc
+from tarnwatch.llm import bpe, changes, embed_dedup, html_extract, media, mixing, ngram_join, packing, pipeline, quality, sharding, spelling, toxicity, warc
 from tarnwatch.llm.common import table
 
 
@@ -53,6 +53,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.applied(table(spark, sf_dir, "client_changes"))
 
@@ -60,7 +71,7 @@ def op13_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     own = (
         op1_toxicity, op2_quality, op3_warc, op4_embedding_dedup, op5_sharding, op6_media, op7_mixing, op8_ngram_join, op9_html_extract,
-        op10_packing, op13_changes,
+        op10_packing, op11_bpe, op12_spelling, op13_changes,
     )
     return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
