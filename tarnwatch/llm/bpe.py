@@ -13,10 +13,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwatch.llm.common import give_back, slices
 
 END = "</w>"
+IDS = T.ArrayType(T.IntegerType())
 KEPT = 1 << 18  # words that a task remembers
 LONG = 64  # bytes beyond which a word is not remembered, and a fragment merged by heap
 NONE, LOW = 1 << 64, (1 << 32) - 1  # no merge, after every rank; the part of a merge that is its id
@@ -178,7 +180,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["doc_id", "ids"])
         give_back()
 
-    return documents.select("doc_id", "text").mapInArrow(run, documents.select("doc_id").schema.add("ids", "array<int>"))
+    return documents.select("doc_id", "text").mapInArrow(run, T.StructType([documents.schema["doc_id"], T.StructField("ids", IDS)]))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -193,7 +195,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             made = [" ".join([of[i] for i in x if i in of]) if x else "" for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, encoded.select("doc_id", "ids").schema.add("decoded", "string"))
+    return encoded.select("doc_id", "ids").mapInArrow(run, T.StructType([encoded.schema["doc_id"], T.StructField("ids", IDS), T.StructField("decoded", T.StringType())]))
 
 
 def digests(decoded: DataFrame) -> DataFrame:

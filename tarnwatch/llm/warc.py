@@ -58,7 +58,7 @@ def record(page_id, url, payload: bytes, refers_to, revisit: bool, copy: int = 0
         head.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~"))
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}"]
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{name_of(refers_to)}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{name_of(*refers_to)}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     gz = zlib.compressobj(4, zlib.DEFLATED, 31)
     return gz.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + gz.flush(), digest
@@ -86,27 +86,41 @@ def parsed(member: bytes) -> dict:
     }
 
 
+def named(pages: DataFrame) -> DataFrame:
+    """pages plus copy: 0 for one row of each page_id, another number for each further row of it.
+
+    Rows of repeated page_ids are written with their numbers before these are used: numbers made anew in each pass over the
+    input would differ where rows arrive in another order.
+    """
+    many = pages.groupBy("page_id").count().where("count > 1").select(F.col("page_id").alias("of"), F.lit(True).alias("repeated"))
+    many = small(stored(many, "warc-repeated"))
+    p = pages.join(many, F.col("page_id").eqNullSafe(F.col("of")), "left")
+    again = stored(p.where("repeated").select(*pages.columns, F.monotonically_increasing_id().alias("row")), "warc-rows")
+    lead = small(stored(again.groupBy(F.col("page_id").alias("of")).agg(F.min("row").alias("lead")), "warc-leads"))
+    again = again.join(lead, F.col("page_id").eqNullSafe(F.col("of")))
+    copy = F.when(F.col("row") != F.col("lead"), F.col("row") + 1).otherwise(F.lit(0)).cast("long")
+    once = p.where("repeated is null").select(*pages.columns, F.lit(0).cast("long").alias("copy"))
+    return once.unionByName(again.select(*pages.columns, copy.alias("copy")))
+
+
 def write(pages: DataFrame, folder: str | None = None, least: int = 0, file_bytes: int = 64 << 20) -> DataFrame:
     """pages (page_id, url, html, ...) -> the stored index, a row a record.
 
     Of pages with equal payloads of at least `least` bytes those with the largest page_id are responses (repeated
     rows of it all are), the others revisit it; a null page_id counts as the smallest, and if all are null all are
-    responses. Rows that repeat a page_id have record names of their own. Only digests and ids are shuffled to find that
+    responses. Rows that repeat a page_id have record names of their own, and a revisit names the row that has its payload. Only digests and ids are shuffled to find that
     out, never pages, unless those that repeat are more than small() takes. A retried task leaves a file that no index row
     names.
     """
     folder = folder or fresh(pages.sparkSession, "warc")
-    p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
-    rows = p.select("page_id", "row").groupBy("page_id").agg(F.min("row").alias("lead"), F.count("*").alias("rows"))
-    rows = small(stored(rows.where("rows > 1").select(F.col("page_id").alias("of"), "lead"), "warc-repeated"))
-    p = p.join(rows, F.col("page_id").eqNullSafe(F.col("of")), "left").withColumn(
-        "copy", F.when(F.col("row") != F.col("lead"), F.col("row") + 1).otherwise(0),
-    )
+    p = named(pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")))
     key = F.sha1(F.col("html").cast("binary"))
-    again = p.where(F.octet_length("html") >= least).select("page_id", key.alias("k")).groupBy("k").agg(
-        F.max("page_id").alias("first"), F.count("*").alias("many"),
+    row = F.struct("page_id", (-F.col("copy")).alias("less"))
+    again = p.where(F.octet_length("html") >= least).select(row.alias("row"), key.alias("k")).groupBy("k").agg(
+        F.max("row").alias("top"), F.count("*").alias("many"),
     )
-    again = small(stored(again.where("many > 1").select("k", "first"), "warc-again"))
+    again = again.where("many > 1").select("k", F.col("top.page_id").alias("first"), (-F.col("top.less")).alias("first_copy"))
+    again = small(stored(again, "warc-again"))
     p = p.withColumn("k", key).join(again, "k", "left").withColumn(
         "revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)),
     )
@@ -119,7 +133,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0, file_byte
             rows = []
             for r in b.to_pylist():
                 data, digest = record(
-                    r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["first"], r["revisit"], r["copy"],
+                    r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), (r["first"], r["first_copy"]), r["revisit"], r["copy"],
                 )
                 file, offset = out.write(data)
                 rows.append((file, offset, len(data), r["url"], digest, r["page_id"], "revisit" if r["revisit"] else "response"))
@@ -130,7 +144,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0, file_byte
             )
         out.close()
 
-    return stored(p.select("page_id", "url", "html", "first", "revisit", "copy").mapInArrow(run, INDEX), "warc-index")
+    return stored(p.select("page_id", "url", "html", "first", "first_copy", "revisit", "copy").mapInArrow(run, INDEX), "warc-index")
 
 
 def ranges(index: DataFrame, gap: int = 64 << 10, most: int = 1 << 20) -> DataFrame:
