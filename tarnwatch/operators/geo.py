@@ -140,10 +140,19 @@ def listed(df: DataFrame, polygon: str, size: float, reach: float = 0.0) -> Data
 def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 0.25) -> DataFrame:
     """(point_id, polygon_id) of points (point_id, x, y) in polygons (polygon_id, polygon).
 
-    A polygon is listed in every cell of its bounding box; a point in its one.
+    Points and bounding boxes meet in adaptive cells (quadtree); sides are rows, of which an odd number is crossed inside.
     """
-    p = points.withColumn("_cell", F.get(cells("x", "y", size), F.lit(0)))
-    return p.join(listed(polygons, "polygon", size), "_cell").where(contains("polygon", "x", "y")).select("point_id", "polygon_id")
+    from tarnwatch.operators import quadtree
+
+    p = points.select("point_id", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"), F.monotonically_increasing_id().alias("_row"))
+    box = bounds("polygon")
+    b = polygons.select(
+        "polygon_id", quadtree.sides(F.col("polygon")).alias("_sides"), box["min_x"].alias("_x0"), box["max_x"].alias("_x1"), box["min_y"].alias("_y0"),
+        box["max_y"].alias("_y1"), F.monotonically_increasing_id().alias("_of"),
+    )
+    met = quadtree.meet(p.where("_x is not null and _y is not null"), b, size).withColumn("_side", F.explode("_sides"))
+    odd = F.count_if(quadtree.crosses(F.col("_side"), F.col("_x"), F.col("_y"))) % 2 == 1
+    return met.groupBy("point_id", "polygon_id", "_row", "_of").agg(odd.alias("inside")).where("inside").select("point_id", "polygon_id")
 
 
 def first_region(points: DataFrame, polygons: DataFrame) -> DataFrame:

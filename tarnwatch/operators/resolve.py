@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch.functions.scalars import haversine_km, mercator_x, mercator_y, named, sha_id
 from tarnwatch.functions.storage import stored
-from tarnwatch.operators import geo
+from tarnwatch.operators import geo, quadtree
 
 HIGH, MANUAL, UNMATCHED = "HIGH_CONFIDENCE_MATCH", "MANUAL_REVIEW", "UNMATCHED"
 RANK = {"HIGH": 3, "MEDIUM": 2, "LOW": 1, "UNVERIFIED": 0}
@@ -106,17 +106,31 @@ def projected(polygon, x, y):
 
 
 def near_sites(events: DataFrame, sites: DataFrame, metres: float) -> DataFrame:
-    """(events' columns, sites' columns, inside, distance_m) of events (a_id, a_lat, a_lon) and site polygons (b_id,
-    polygon in degrees) at most `metres` from their sides in Web Mercator, 0 inside.
+    """(a_id, b_id, inside, distance_m) of events (a_id, a_lat, a_lon) and site polygons (b_id, polygon in degrees) at most
+    `metres` from their sides in Web Mercator, 0 inside.
 
-    A site is listed in the grid cells that its bounding box, widened by the distance, touches; an event stands in one.
+    Events and the sites' bounding boxes, widened by the distance, meet in adaptive cells (quadtree); each pair's sides are rows
+    that are summed up where they are made.
     """
-    e = events.where("a_lat is not null and a_lon is not null").withColumns({"_x": mercator_x("a_lon"), "_y": mercator_y("a_lat")})
-    s = sites.withColumn("_flat", projected(F.col("polygon"), lambda lat, lon: mercator_x(lon), lambda lat, lon: mercator_y(lat)))
-    met = e.withColumn("_cell", F.get(geo.cells("_x", "_y", metres), F.lit(0))).join(geo.listed(s, "_flat", metres, metres), "_cell")
-    met = met.withColumns({"inside": geo.contains("polygon", "a_lon", "a_lat"), "_d": geo.distance("_flat", "_x", "_y")})
-    met = met.withColumn("distance_m", F.when(F.col("inside"), 0.0).otherwise(F.col("_d"))).where(F.col("distance_m") <= metres)
-    return met.drop("_cell", "_x", "_y", "_flat", "_d")
+    e = events.where("a_lat is not null and a_lon is not null").select(
+        "a_id", "a_lat", "a_lon", mercator_x("a_lon").alias("_x"), mercator_y("a_lat").alias("_y"), F.monotonically_increasing_id().alias("_row"),
+    )
+    s = sites.select("b_id", "polygon", projected(F.col("polygon"), lambda lat, lon: mercator_x(lon), lambda lat, lon: mercator_y(lat)).alias("_flat"))
+    box = geo.bounds("_flat")
+    both = F.arrays_zip(quadtree.sides(F.col("polygon")).alias("s"), quadtree.sides(F.col("_flat")).alias("f"))
+    s = s.select(
+        "b_id", both.alias("_sides"), (box["min_x"] - metres).alias("_x0"), (box["max_x"] + metres).alias("_x1"),
+        (box["min_y"] - metres).alias("_y0"), (box["max_y"] + metres).alias("_y1"),
+    )
+    met = quadtree.meet(e, s, 2 * metres).select("a_id", "b_id", "_row", "a_lat", "a_lon", "_x", "_y", F.explode("_sides").alias("_side"))
+    side, flat = F.col("_side.s"), F.col("_side.f")
+    g = met.groupBy("a_id", "b_id", "_row").agg(
+        F.count_if(quadtree.crosses(side, F.col("a_lon"), F.col("a_lat"))).alias("_in"),
+        F.count_if(quadtree.crosses(flat, F.col("_x"), F.col("_y"))).alias("_flat_in"), F.min(quadtree.squared(flat, F.col("_x"), F.col("_y"))).alias("_d"),
+    )
+    holds = F.col("_in") % 2 == 1
+    out = g.select("a_id", "b_id", holds.alias("inside"), F.when(holds | (F.col("_flat_in") % 2 == 1), 0.0).otherwise(F.sqrt("_d")).alias("distance_m"))
+    return out.where(F.col("distance_m") <= metres)
 
 
 def match_sites(events: DataFrame, sites: DataFrame, near: float = 5000.0, far: float = 10000.0, gap: float = 300.0) -> DataFrame:
