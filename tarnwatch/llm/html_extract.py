@@ -3,10 +3,12 @@
 A page becomes a light element tree. Every container of the whole page, chrome included, has two hashes: one of its tags
 and text, and one of its shape alone (tags above it, tags, attributes, distinct child shapes; no text). Spark counts both
 per host. A subtree that recurs on many pages of its host goes, by its text wherever it stands, by its shape where it
-holds no prose of its own: mostly links, or a small share of those pages' text without paragraphs or headings. What the
-markup itself names as no article (nav, an advert's class, ...) is counted by name: where a name recurs its subtrees are
-template, and where it is too rare on its host to be counted (fewer than LEAST pages) the name alone decides. What
-remains of the article gives blocks of text.
+holds no prose of its own: mostly links, or a small share of those pages' text without paragraphs or headings.
+
+Beside the counts the markup's own word is taken: article roots say where the article is, and what a tag, a role, or a class
+or id made of nothing but known words (nav, comments, ad-box) names as no article goes at any count. A class or id that only
+holds such a word (legal-analysis, related-work) is counted by its full name and place in or out of the article: it goes where
+that recurs on its host, and its text stays where it does not. What remains of the article gives blocks of text.
 """
 
 import hashlib
@@ -49,6 +51,11 @@ WORDS = frozenset(
     "replies share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar login search copyright "
     "legal disclaimer".split()
 )
+#: Words beside which a known word still says all of a class or id.
+NEUTRAL = frozenset(
+    "box wrap wrapper container list item items area section block bar panel inner outer site page top bottom left right link links btn sub group "
+    "row col column slot unit".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = HEADINGS | frozenset("p pre blockquote dd td th figcaption".split())
 #: Single blocks of text and parts of lists and tables: within an article their recurrence removes nothing.
@@ -62,44 +69,55 @@ LEAST, SHARE = 5, 0.3
 LINKED, EVERYTHING, MASS = 0.5, 0.9, 0.25
 #: ... or at one place on LEAST and on the share PLACED, or on ENOUGH, of them; not so single blocks and most of a page's text.
 PLACED, ENOUGH = 0.01, 1000
-#: What a counted key is: a subtree's text anywhere or at one place, a shape without or with prose, a name, article roots.
-ANYWHERE, AT_PLACE, PLAIN, PROSE, NAME, ROOTS = range(6)
+#: What a key is: a subtree's text anywhere or at one place, a shape without or with prose, a name that says it all, article roots,
+#: a name that only holds a known word.
+ANYWHERE, AT_PLACE, PLAIN, PROSE, NAME, ROOTS, HINT = range(7)
 
 
 class Node:
     """A tag, its pieces of text and child nodes, its text's size and that of the links' text in it."""
 
-    __slots__ = ("tag", "gone", "named", "root", "parts", "size", "links", "inside", "look")
+    __slots__ = ("tag", "gone", "named", "root", "parts", "size", "links", "inside", "look", "hint")
 
-    def __init__(self, tag, gone=False, named="", root=False, inside=False, look=b""):
-        self.tag, self.gone, self.named, self.root, self.inside, self.look = tag, gone, named, root, inside, look
+    def __init__(self, tag, gone=False, named="", root=False, inside=False, look=b"", hint=""):
+        self.tag, self.gone, self.named, self.root, self.inside, self.look, self.hint = tag, gone, named, root, inside, look, hint
         self.parts, self.size, self.links = [], 0, 0
 
 
-def kind_of(tag: str, attributes: str, in_article: bool) -> tuple[bool, str, bool, bytes]:
-    """-> (shows no text, the name that says it is no article, article root, what its shape shows of the attributes)"""
+def words_of(token: str) -> list[str]:
+    return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+
+
+def kind_of(tag: str, attributes: str, in_article: bool) -> tuple[bool, str, bool, bytes, str]:
+    """-> (shows no text, the name that says it is no article, article root, what its shape shows of the attributes, the name
+    that holds a word of no article among others)"""
+    hint = ""
     root, named, look = tag in ("article", "main"), tag if tag in NAMED or tag == "header" and not in_article else "", b""
     if tag in UNSEEN:
-        return True, "", False, look
+        return True, "", False, look, ""
     if attributes and not attributes.isspace() and tag not in ("html", "body"):
         a = {k.lower(): entities.unescape(x or y or z) for k, x, y, z in ATTRIBUTE.findall(attributes)}
         if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(
             r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I,
         ):
-            return True, "", False, look
+            return True, "", False, look, ""
         if a.get("role", "").lower() in ROLES:
             named = named or a["role"].lower()
         look = " ".join([*sorted(a), *sorted(x for x in a.get("class", "").split() if not re.search(r"\d", x))]).encode("utf-8", "replace")
         words = f"{a.get('class', '')} {a.get('id', '')}"
-        bad = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", words).lower())) & WORDS
+        bad = set(words_of(words)) & WORDS
         if root:
             bad &= {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "related", "sponsored", "promo"}
             # "article no-comments": only names that begin a class or id count on a root
             bad = {w for w in bad if re.search(rf"(?:^|\s){w}", words.lower())}
         if bad and not (in_article and tag in HEADINGS):
-            named = named or min(bad)
+            tokens = [t for t in words.split() if set(words_of(t)) & WORDS]
+            if root or any(set(words_of(t)) <= WORDS | NEUTRAL for t in tokens):
+                named = named or min(bad)
+            else:
+                hint = " ".join([tag, "in" if in_article else "out", *sorted({" ".join(words_of(t)) for t in tokens})])
         root = root or a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody"
-    return False, named, root and not named, look
+    return False, named, root and not named, look, hint
 
 
 def tree(text: str) -> Node:
@@ -157,9 +175,9 @@ def tree(text: str) -> Node:
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
             shut()
         inside = stack[-1].inside or stack[-1].root
-        gone, named, root, look = kind_of(tag, m[3], inside)
+        gone, named, root, look, hint = kind_of(tag, m[3], inside)
         gone, named = gone or stack[-1].gone, named or stack[-1].named
-        node = Node(tag, gone, named, root and not gone and not named, inside, look)
+        node = Node(tag, gone, named, root and not gone and not named, inside, look, hint)
         stack[-1].parts.append(node)
         stack.append(node)
     while len(stack) > 1:
@@ -216,6 +234,7 @@ def subtree_keys(text) -> list[dict]:
     total = sum(sums[id(r)] for r in main)
     blank = dict(place=0, size=0, links=0, total=0)
     out = [blank | dict(kind=NAME, key=name_key(n), rest=0) for n in sorted({n.named for n in order if n.named and not n.gone and n.size})]
+    out += [blank | dict(kind=HINT, key=name_key("~" + h), rest=signed(total)) for h in sorted({n.hint for n in order if n.hint and not n.gone and n.size})]
     out += [] if whole else [blank | dict(kind=ROOTS, key=ROOT_KEY, rest=0)]
     found = [n for r in main for n in walk(r) if not n.named and countable(n, whole)]
     keys = hashes(main) if found else {}
@@ -368,7 +387,7 @@ def dropped(top: Node, main: list, keys: set) -> set:
             gone = names[n.named]
         else:
             gone = False
-        if gone or k in shape and shape[k][1] in keys:
+        if gone or n.hint and name_key("~" + n.hint) in keys or k in shape and shape[k][1] in keys:
             out.add(k)
         elif not texts:
             continue
@@ -434,7 +453,7 @@ COUNTED = "array<struct<kind:int,key:long,rest:long,place:long,size:long,links:l
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, templates): keys of what recurs on many different pages of a host, and of its names.
+    """(host, templates): keys of what recurs on many different pages of a host, and of the names that decide by themselves.
 
     Pages count by their article's text (for a subtree of the article, by that outside of it), so that copies of a page, also
     near ones, count once and an article's body is no template of its copies. What recurs on a small share of a host's
@@ -451,7 +470,7 @@ def templates(pages: DataFrame) -> DataFrame:
     without_prose = (kind == PLAIN) & (F.col("size") <= MASS * F.col("total"))
     recurs = (
         F.when(kind == ANYWHERE, F.col("on") >= share)
-        .when(kind == AT_PLACE, F.col("on") >= F.least(PLACED * F.col("pages"), F.lit(float(ENOUGH))))
+        .when(kind.isin(AT_PLACE, HINT), F.col("on") >= F.least(PLACED * F.col("pages"), F.lit(float(ENOUGH))))
         .when(kind.isin(PLAIN, PROSE), (F.col("on") >= share) & (mostly_links | without_prose))
         .otherwise(F.lit(True))
     )

@@ -217,7 +217,7 @@ def counted(pages):
             keep = True
         elif kind == html_extract.ANYWHERE:
             keep = on >= 5 and on >= 0.3 * pages_
-        elif kind == html_extract.AT_PLACE:
+        elif kind in (html_extract.AT_PLACE, html_extract.HINT):
             keep = on >= 5 and on >= min(0.01 * pages_, 1000)
         else:
             keep = on >= 5 and on >= 0.3 * pages_ and (
@@ -283,6 +283,22 @@ def test_names_decide_where_too_rare_to_count(spark):
     assert out[3] == "story 3 of words" and out[100] == "lead\ntext" and out[101] == "y" + "z" * 200_000
 
 
+def test_names_that_hold_a_known_word_must_recur(spark):
+    """Prose under a name like legal-analysis stays where that is one article's own, whatever other names its host uses."""
+    own = {
+        3: "<div id='legal-analysis'><p>The court held that</p></div>", 4: "<div class='related-work'><h2>Before</h2><p>Others wrote</p></div>",
+        5: "<section class='comment-on-the-law'><p>As it stands</p></section>",
+    }
+    end = "<div class='legal'>terms</div><div class='cookie-banner'>we use</div>"
+    rest = lambda i: ("<section class='comments'><p>reader</p></section>" if i % 10 == 0 else "") + (f"<div class='share-this-story'><p>to {i}</p></div>" if i % 2 else "")
+    rows = [(i, f"http://a.example/{i}", page(f"<article><p>story {i} of words</p>{own.get(i, '')}{rest(i)}</article>{end}")) for i in range(40)]
+    rows += [(100, "http://b.example/", page(f"<article><p>story</p>{own[3]}</article>{end}"))]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3].endswith("The court held that") and out[4].endswith("Before\nOthers wrote") and out[5].endswith("As it stands")
+    assert out[100] == "story\nThe court held that"
+    assert all(out[i] == f"story {i} of words" for i in range(40) if i not in own)
+
+
 def test_shapes_leave_an_article_of_divs(spark):
     story = lambda i: "".join(f"<div>paragraph {i} {k} of quite a few words</div>" for k in range(3 + i % 4))
     rows = [
