@@ -1,6 +1,6 @@
 """Keyed ingestion: upserts that can run twice, and digests that show it."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,13 +29,43 @@ def first_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 
 def overwrite(df: DataFrame, path: str) -> None:
-    """Written beside the target, then renamed, so a reader never sees half a table and `df` may read the target."""
+    """Replace the table at `path`; `df` may read it. There is always a whole table: the new one is written beside the old, the old
+    one steps aside and is deleted only when the new one has its place. recover() settles what a crash between these steps leaves.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.tmp")
-    at, tmp = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.tmp"))
-    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.delete(at, True)
-    fs.rename(tmp, at)
+    fs, (at, tmp, old) = places(spark, path)
+    recover(spark, path)
+    if fs.exists(at):
+        moved(fs, at, old)
+    try:
+        moved(fs, tmp, at)
+    except OSError:
+        if fs.exists(old):
+            moved(fs, old, at)
+        raise
+    fs.delete(old, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a crash of overwrite(): the old table comes back where none is in its place, else it goes."""
+    fs, (at, _, old) = places(spark, path)
+    if fs.exists(old):
+        if fs.exists(at):
+            fs.delete(old, True)
+        else:
+            moved(fs, old, at)
+
+
+def places(spark: SparkSession, path: str) -> tuple:
+    """The file system, and the paths of the table, of the new one while it is written, and of the old one while it is replaced."""
+    own = [spark._jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in ("", ".tmp", ".old")]
+    return own[0].getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), own
+
+
+def moved(fs, a, b) -> None:
+    if not fs.rename(a, b):
+        raise OSError(f"{a} could not be renamed to {b}")
 
 
 def table_digest(df: DataFrame) -> DataFrame:

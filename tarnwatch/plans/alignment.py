@@ -1,8 +1,11 @@
 """Queries: grids, as-of alignment, windows, upserts, features, labels, matrix."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tarnwatch.operators import checks, features, labels, timeops, upsert
+from tarnwatch.functions.storage import folder
+from tarnwatch.operators import buckets, checks, features, labels, timeops, upsert
 from tarnwatch.plans import standins as S
 from tarnwatch.plans.register import registry
 
@@ -165,6 +168,23 @@ def b01_upsert_keep_last(spark, d):
     return upsert.upsert(x.where(~new), x.where(new), ["l_orderkey", "l_linenumber"], order).drop("l_shipdate")
 
 
+# The old lines make the table, the new ones come in two more versions, the last of them a second time.
+@query(
+    "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate from (select *, row_number() over (partition by l_orderkey, "
+    "l_linenumber order by case when l_shipdate >= timestamp '1998-06-01' then 2 when l_shipdate >= timestamp '1998-01-01' then 1 else 0 end desc, "
+    "l_shipdate desc, l_partkey desc, l_suppkey desc, l_quantity desc) as r from lineitem) where r = 1"
+)
+def b01_bucketed(spark, d):
+    x = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    at, part = lambda t: F.lit(t).cast("timestamp_ntz"), F.col("l_shipdate")
+    order = [F.col(c).desc() for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity")]
+    path = folder(spark, "bucketed-" + uuid.uuid4().hex)
+    late = (part >= at("1998-01-01")) & (part < at("1998-06-01"))
+    for k, rows in enumerate((F.coalesce(part < at("1998-01-01"), F.lit(True)), late, part >= at("1998-06-01"), part >= at("1998-06-01"))):
+        buckets.upsert(x.where(rows), path, ["l_orderkey", "l_linenumber"], order, label=f"load:{min(k, 2)}")
+    return buckets.read(spark, path)
+
+
 # A third of the orders replaces the rest's customers where its own is even; the odd ones are new customers.
 @query(
     "with old as (select * from orders where o_orderkey % 3 <> 0), new as (select o_orderkey, o_custkey + case when o_custkey % 2 = "

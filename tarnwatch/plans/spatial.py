@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tarnwatch.functions import scalars as X
-from tarnwatch.operators import geo, inventory, overlay, raster, resolve
+from tarnwatch.operators import edges, geo, inventory, overlay, raster, resolve
 from tarnwatch.plans import standins as S
 from tarnwatch.plans.alignment import rounded
 from tarnwatch.plans.register import registry
@@ -352,6 +352,32 @@ def h07_projections(spark, d):
     )
 
 
+def faulty(spark, d):
+    """Six kinds of shapes of several sizes: a square, a bow-tie, a spike, a ring twice over, holes that overlap, a hole across the shell."""
+    r, x = 1.0 + F.col("id") % 7, F.col("id") * 0.5
+    ring = lambda *points: F.array(*[F.struct((x + a * r).alias("x"), (b * r).alias("y")) for a, b in points])
+    box = lambda a, s: [(a, a), (a + s, a), (a + s, a + s), (a, a + s)]
+    shapes = [
+        [box(0, 4)], [[(0, 0), (4, 4), (4, 0), (0, 4)]], [[*box(0, 4)[:3], (4, 9), (4, 4), (0, 4)]], [box(0, 4) * 2], [box(0, 10), box(1, 4), box(3, 4)],
+        [box(0, 10), box(8, 4)],
+    ]
+    which = F.lit(None)
+    for k, rings in enumerate(shapes):
+        which = F.when(F.col("id") % 6 == k, F.array(*[ring(*p) for p in rings])).otherwise(which)
+    return customers(spark, d).select("id", which.alias("polygon"))
+
+
+@query(
+    POINTS + " select id, ['valid_original', 'repaired', 'repaired', 'unrepairable', 'repaired', 'repaired'][id % 6 + 1] as status, "
+    "[0.0, 0.0, 0.0, 0.0, 0.117647, 0.285714][id % 6 + 1]::double as area_change, case when id % 6 not in (0, 3) then pow(1 + id % 7, 2) * [0, 8, 16, 0, 76, 108][id % 6 + 1] end as area, "
+    "case when id % 6 not in (0, 3) then [0, 2, 1, 0, 3, 2][id % 6 + 1] end as rings from customers"
+)
+def h07_repair(spark, d):
+    r = edges.repair(faulty(spark, d))
+    area = F.aggregate("repaired", F.lit(0.0), lambda s, ring: s + geo.ring_area(ring))
+    return r.select("id", "status", "area_change", F.round(area, 6).alias("area"), F.size("repaired").alias("rings"))
+
+
 def records(spark, d):
     """Suppliers as event records, some near copies of one another."""
     k = F.col("s_suppkey")

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tarnwatch.functions.storage import folder
+from tarnwatch.operators import buckets
 from tarnwatch.plans.register import registry
 from tarnwatch.streaming import streams as L
 
@@ -149,7 +150,7 @@ def l_upsert_sink(spark, d):
     again = e.where("observation_id % 5 = 0").withColumn("value", F.col("value") + 1000)
     s = in_order(spark, [e, again])
     run(s.writeStream.foreachBatch(L.upsert_sink(f"{at}/table", ["observation_id"], "value")), at)
-    return spark.read.parquet(f"{at}/table")
+    return buckets.read(spark, f"{at}/table")
 
 
 # Late rows of one entity in five: the days whose trailing features they change.

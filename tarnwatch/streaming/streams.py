@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwatch.operators.upsert import overwrite, upsert
+from tarnwatch.operators import buckets as store
 
 
 def deduplicated(stream: DataFrame, key: str = "observation_id", ts: str = "observation_timestamp", late: str = "2 days") -> DataFrame:
@@ -56,14 +56,12 @@ def spaced(stream: DataFrame, hours: float = 24, key: str = "lake_uid", ts: str
     return stream.groupBy(key).applyInPandasWithState(keep, f"{key} {kind}, {ts} timestamp", "last timestamp", "append", "NoTimeout")
 
 
-def upsert_sink(path: str, keys: list[str], order: str):
-    """A foreachBatch function that keeps a keyed table current; a repeated batch changes nothing."""
+def upsert_sink(path: str, keys: list[str], order: str, buckets: int = 16):
+    """A foreachBatch function that keeps a keyed table (operators.buckets) current; a repeated batch changes nothing, and a batch
+    rewrites only the buckets that its keys fall in."""
 
-    def run(batch: DataFrame, _: int) -> None:
-        from tarnwatch.sources.tables import parquet
-
-        table = parquet(batch.sparkSession, path, batch.schema)
-        overwrite(upsert(table, batch, keys, [F.col(order).desc()]), path)
+    def run(batch: DataFrame, number: int) -> None:
+        store.upsert(batch, path, keys, [F.col(order).desc()], buckets, label=f"sink:{number}")
 
     return run
 
