@@ -6,6 +6,7 @@ that lie on one another in even numbers cancel; what is left bounds the polygon'
 """
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwatch.functions.scalars import col
@@ -85,52 +86,77 @@ def crossings(edges: DataFrame, digits: int = DIGITS) -> DataFrame:
     return m.select("id", F.explode("cuts").alias("c"), bad.alias("bad")).select("id", "c.edge", "c.t", "c.x", "c.y", "bad")
 
 
-def pieces(edges: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(id, ax, ay, bx, by, times): edges between their cuts, the smaller end first, and how many lie there."""
+def pieces(edges: DataFrame, cuts: DataFrame, also: tuple = ()) -> DataFrame:
+    """(id, also, ax, ay, bx, by, times): edges between their cuts, the smaller end first, and how many lie there."""
     cut = cuts.groupBy("id", "edge").agg(F.array_sort(F.collect_set(F.struct("t", "x", "y"))).alias("_cuts"))
     ends = lambda t, x, y: F.array(F.struct(F.lit(t).alias("t"), F.col(x).alias("x"), F.col(y).alias("y")))
     e = edges.join(cut, ["id", "edge"], "left")
     way = F.when(F.col("_cuts").isNull(), F.concat(ends(0.0, "x0", "y0"), ends(1.0, "x1", "y1"))).otherwise(
         F.concat(ends(0.0, "x0", "y0"), F.col("_cuts"), ends(1.0, "x1", "y1")),
     )
-    e = e.select("id", way.alias("_w"))
+    e = e.select("id", *also, way.alias("_w"))
     step = F.transform(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.struct(F.get("_w", i).alias("a"), F.get("_w", i + 1).alias("b")))
-    p = e.select("id", F.explode(step).alias("s")).select("id", *[F.col(f"s.{e}.{c}").alias(f"{e}{c}") for e in "ab" for c in "xy"])
+    p = e.select("id", *also, F.explode(step).alias("s")).select("id", *also, *[F.col(f"s.{e}.{c}").alias(f"{e}{c}") for e in "ab" for c in "xy"])
     p = p.where((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by")))
     a, b = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
-    p = p.select("id", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    return p.groupBy("id", "a", "b").agg(F.count("*").alias("times")).select("id", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), "times")
+    p = p.select("id", *also, F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return p.groupBy("id", *also, "a", "b").agg(F.count("*").alias("times")).select("id", *also, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), "times")
 
 
-def directed(border: DataFrame) -> DataFrame:
-    """(id, ax, ay, bx, by) with the inside on the left, of the pieces that bound it in any direction.
-
-    From a piece's middle the pieces farther along a slanted line are counted, through strips of the polygon; on their
-    side the inside begins where their number is odd.
-    """
+def beyond(middles: DataFrame, others: DataFrame) -> DataFrame:
+    """Pieces (id, ax, ay, bx, by, ...) and the middle of each, with the pieces o_ of the same id that share its strip: columns of
+    both, `same` (it is that piece) and `beyond` (it lies farther along the slanted line through the middle)."""
     up = lambda e: F.col(f"{e}y") + SLANT * F.col(f"{e}x")
-    p = border.select("id", "ax", "ay", "bx", "by", up("a").alias("ua"), up("b").alias("ub"), F.xxhash64("ax", "ay", "bx", "by").alias("piece"))
-    span = p.groupBy("id").agg(
+    o = others.withColumns({"ua": up("a"), "ub": up("b")})
+    span = o.groupBy("id").agg(
         F.min(F.least("ua", "ub")).alias("_lo"), (F.max(F.greatest("ua", "ub")) - F.min(F.least("ua", "ub"))).alias("_of"),
         F.least(F.lit(GRID * GRID), F.ceil(F.sqrt(F.count("*")))).cast("int").alias("_n"),
     )
-    p = p.join(span, "id")
     strip = lambda u: F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.floor((u - F.col("_lo")) / F.greatest(F.col("_of"), F.lit(1e-300)) * F.col("_n")).cast("int")))
-    m = p.withColumns({"mx": (F.col("ax") + F.col("bx")) / 2, "mu": (F.col("ua") + F.col("ub")) / 2})
-    m = m.select("id", "piece", "ax", "ay", "bx", "by", "ua", "ub", "mx", "mu", strip(F.col("mu")).alias("_s"))
-    o = p.select("id", F.explode(F.sequence(strip(F.least("ua", "ub")), strip(F.greatest("ua", "ub")))).alias("_s"), *[F.col(c).alias(f"o_{c}") for c in ("piece", "ax", "bx", "ua", "ub")])
-    met = m.join(o, ["id", "_s"], "left")
+    m = middles.withColumns({"ua": up("a"), "ub": up("b"), "mx": (F.col("ax") + F.col("bx")) / 2}).withColumn("mu", (F.col("ua") + F.col("ub")) / 2)
+    m = m.join(span, "id").withColumn("_s", strip(F.col("mu"))).drop("_lo", "_of", "_n")
+    o = o.join(span, "id").withColumn("_s", F.explode(F.sequence(strip(F.least("ua", "ub")), strip(F.greatest("ua", "ub"))))).drop("_lo", "_of", "_n")
+    met = m.join(o.withColumnsRenamed({c: f"o_{c}" for c in o.columns if c not in ("id", "_s")}), ["id", "_s"])
+    same = (F.col("o_ax") == F.col("ax")) & (F.col("o_ay") == F.col("ay")) & (F.col("o_bx") == F.col("bx")) & (F.col("o_by") == F.col("by"))
     x = F.col("o_ax") + F.try_divide(F.col("mu") - F.col("o_ua"), F.col("o_ub") - F.col("o_ua")) * (F.col("o_bx") - F.col("o_ax"))
-    beyond = (F.col("o_piece") != F.col("piece")) & ((F.col("o_ua") > F.col("mu")) != (F.col("o_ub") > F.col("mu"))) & (x > F.col("mx"))
-    g = met.groupBy("id", "piece", "ax", "ay", "bx", "by", "ua", "ub").agg((F.count_if(beyond) % 2 == 1).alias("right"))
-    # the inside lies to the right of the middle: it is on the left of a piece that goes down
+    crossed = ((F.col("o_ua") > F.col("mu")) != (F.col("o_ub") > F.col("mu"))) & (x > F.col("mx"))
+    return met.withColumns({"same": same, "beyond": ~same & F.coalesce(crossed, F.lit(False))})
+
+
+PIECE = ("id", "ax", "ay", "bx", "by", "ua", "ub")
+
+
+def turned(sides: DataFrame) -> DataFrame:
+    """(id, ax, ay, bx, by) with the inside on the left, of PIECE and `right`: whether the inside lies beyond the middle, which is
+    on the left of a piece that goes down."""
     keep = F.col("right") == (F.col("ua") > F.col("ub"))
     turn = lambda c, d: F.when(keep, F.col(c)).otherwise(F.col(d))
-    return g.select("id", turn("ax", "bx").alias("ax"), turn("ay", "by").alias("ay"), turn("bx", "ax").alias("bx"), turn("by", "ay").alias("by"))
+    return sides.select("id", turn("ax", "bx").alias("ax"), turn("ay", "by").alias("ay"), turn("bx", "ax").alias("bx"), turn("by", "ay").alias("by"))
+
+
+def directed(border: DataFrame) -> DataFrame:
+    """(id, ax, ay, bx, by) with the inside on the left, of the pieces that bound it in any direction: beyond a piece the inside
+    begins where an odd number of pieces lies farther."""
+    p = border.select("id", "ax", "ay", "bx", "by")
+    return turned(beyond(p, p).groupBy(*PIECE).agg((F.count_if("beyond") % 2 == 1).alias("right")))
+
+
+def united(parts: DataFrame) -> DataFrame:
+    """(id, ax, ay, bx, by) with the inside on the left, of the pieces that bound what any owner covers.
+
+    parts: (id, owner, ax, ay, bx, by), each owner's own border. A piece stays if just one of its flanks is inside any owner; so a
+    border that two owners share goes, and so does what lies within another.
+    """
+    p = parts.select("id", "ax", "ay", "bx", "by").distinct()
+    own = beyond(p, parts.select("id", "owner", "ax", "ay", "bx", "by")).groupBy(*PIECE, "o_owner").agg(
+        (F.count_if("beyond") % 2 == 1).alias("right"), F.max("same").alias("on"),
+    )
+    flanks = own.groupBy(*PIECE).agg(F.max("right").alias("right"), F.max(F.col("right") != F.col("on")).alias("left"))
+    return turned(flanks.where("left <> right"))
 
 
 def traced(border: DataFrame, name: str = "rings") -> DataFrame:
-    """(id, ring, at, x, y, area): directed pieces chained to rings, by pointers that double each round.
+    """(id, ring, at, x, y, x1, y1, area): directed pieces chained to rings, by pointers that double each round.
 
     Where several pieces leave a point the first one clockwise from the way back is next, so that parts that touch in a
     point are rings of their own. A ring's area is positive round an inside, negative round a hole.
@@ -155,7 +181,7 @@ def traced(border: DataFrame, name: str = "rings") -> DataFrame:
         step = stored(step.join(ahead, "next", "left").select("piece", "ring", F.col("_next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")), name)
     out = p.join(step.select("piece", "ring", "steps"), "piece")
     area = out.groupBy("ring").agg((F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2).alias("area"))
-    return out.join(area, "ring").select("id", "ring", (-F.col("steps")).alias("at"), F.col("ax").alias("x"), F.col("ay").alias("y"), "area")
+    return out.join(area, "ring").select("id", "ring", (-F.col("steps")).alias("at"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("bx").alias("x1"), F.col("by").alias("y1"), "area")
 
 
 def repair(polygons: DataFrame, key: str = "id", polygon: str = "polygon", geometry: bool = True, digits: int = DIGITS) -> DataFrame:
@@ -190,3 +216,45 @@ def repair(polygons: DataFrame, key: str = "id", polygon: str = "polygon", geome
     ring = traced(wanted).groupBy("id", "ring", "area").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"))
     made = ring.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.abs("area")).alias("a"), "ring", "points"))), lambda q: q["points"]).alias("repaired"))
     return r.join(made, "id", "left").select("id", "status", "area_change", "repaired")
+
+
+def outlines(rings: DataFrame) -> DataFrame:
+    """traced() rings as rows (id, ring, area, points), without corners on a straight line."""
+    r = rings.groupBy("id", "ring", "area").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("_p"))
+    n = F.size("_p")
+    at = lambda i: F.get("_p", F.pmod(i, n).cast("int"))
+
+    def bends(p, i):
+        a, c = at(i - 1), at(i + 1)
+        cross = (p["x"] - a["x"]) * (c["y"] - p["y"]) - (p["y"] - a["y"]) * (c["x"] - p["x"])
+        way = F.abs(p["x"] - a["x"]) + F.abs(p["y"] - a["y"]) + F.abs(c["x"] - p["x"]) + F.abs(c["y"] - p["y"])
+        return F.abs(cross) > way * way * 1e-9
+
+    return r.select("id", "ring", "area", F.filter("_p", bends).alias("points"))
+
+
+def dissolve(df: DataFrame, by: list[str], polygon: str = "polygon", digits: int = DIGITS) -> DataFrame:
+    """(by, part, polygon): the union of each group's polygons, a row a shell with its holes, the largest shell first.
+
+    Edges, not polygons, meet: within cells where they cross, within strips where their flanks are looked at. One group is as many
+    tasks as it has cells and strips; only the points of one outline come together in a row. A polygon's own inside is what an
+    odd number of its rings covers. Corners are rounded to `digits`. NULL polygons count for nothing; groups with no area have
+    no row.
+    """
+    p = df.select(F.struct(F.struct(*by).alias("g"), F.monotonically_increasing_id().alias("owner")).alias("id"), F.col(polygon).alias("polygon"))
+    e = edge_rows(p, "id", "polygon", digits).select(F.col("id.g").alias("id"), F.col("id.owner").alias("owner"), "ring", "x0", "y0", "x1", "y1")
+    e = stored(e.withColumn("edge", F.monotonically_increasing_id()), "edges")
+    parts = stored(pieces(e, crossings(e, digits), ("owner",)).where("times % 2 = 1"), "pieces")
+    rings = stored(traced(united(parts)), "outlines")
+    outline = outlines(rings)
+    shells = outline.where("area > 0").select("id", "ring", "area", "points")
+    # a hole lies in the smallest shell that has an odd number of sides beyond a point of it
+    sides = lambda sign: rings.where(f"area {sign} 0").select("id", "ring", "at", "area", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"))
+    one = sides("<").groupBy("id", "ring").agg(F.min_by(F.struct("ax", "ay", "bx", "by"), "at").alias("s")).select("id", "ring", "s.*")
+    held = beyond(one, sides(">").drop("at")).groupBy("id", "ring", "o_ring", "o_area").agg((F.count_if("beyond") % 2 == 1).alias("within")).where("within")
+    held = held.groupBy("id", "ring").agg(F.min_by("o_ring", "o_area").alias("shell"))
+    holes = outline.where("area < 0").join(held, ["id", "ring"]).groupBy("id", "shell").agg(F.sort_array(F.collect_list(F.struct("area", "ring", "points"))).alias("holes"))
+    out = shells.join(holes.withColumnRenamed("shell", "ring"), ["id", "ring"], "left")
+    whole = F.concat(F.array("points"), F.coalesce(F.transform("holes", lambda h: h["points"]), F.array().cast("array<array<struct<x:double,y:double>>>")))
+    number = F.row_number().over(W.partitionBy("id").orderBy(F.col("area").desc(), "ring")) - 1
+    return out.select(*[F.col(f"id.{c}").alias(c) for c in by], number.cast("int").alias("part"), whole.alias("polygon"))

@@ -8,6 +8,7 @@ from tarnwatch.functions.ranges import numbered, percentiles
 from tarnwatch.functions.scalars import number, resolve, utm_xy, zfill
 from tarnwatch.operators.geo import area, near_duplicates
 
+# The columns of a canonical inventory, in order.
 CANONICAL = [
     "lake_uid", "source_lake_id", "source_dataset", "source_version", "observation_epoch", "country", "state_or_region", "latitude",
     "longitude", "geometry",

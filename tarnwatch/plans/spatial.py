@@ -307,7 +307,7 @@ def d14_boundary_filter(spark, d):
 )
 def e28_dissolve(spark, d):
     s = suppliers(spark, d).select((F.col("id") % 5).alias("g"), F.array(square(F.lit(0.2))).alias("polygon"))
-    return overlay.dissolve(s, ["g"]).groupBy("g").agg(F.round(F.sum(geo.area("polygon")), 6).alias("area"))
+    return edges.dissolve(s, ["g"]).groupBy("g").agg(F.round(F.sum(geo.area("polygon")), 6).alias("area"))
 
 
 @query(

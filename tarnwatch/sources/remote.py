@@ -135,6 +135,7 @@ def scenes(
     most_pages: int = 1000,
 ) -> DataFrame:
     """A STAC catalogue's items in a box and time span, all pages (search: a request's body -> a FeatureCollection)."""
+    # Fixed values of the service: the fields of a search.
     body, rows = {"collections": [collection], "bbox": list(box), "datetime": f"{start}/{stop}", "limit": limit}, []
     for _ in range(most_pages):
         page = retried(lambda body=body: search(body))
@@ -158,6 +159,7 @@ def process_request(
     box: tuple, start: str, stop: str, width: int, height: int, bands: tuple = ("B03", "B11", "SCL"), collection: str = "sentinel-2-l2a",
 ) -> dict:
     """A raster service's request for bands of a box as one GeoTIFF of floats."""
+    # Fixed values of the service: the script's functions and the request's fields.
     script = f"//VERSION=3\nfunction setup() {{ return {{ input: {list(bands)!r}, output: {{ bands: {len(bands)}, sampleType: 'FLOAT32' }} }}; }}\nfunction evaluatePixel(s) {{ return [{', '.join('s.' + b for b in bands)}]; }}"
     return {
         "input": {

@@ -71,5 +71,40 @@ def overlay_crossings(rings):
     return [(a, b) for a, b, p, q in zip(i, j, x, y) if a < b and not ends(a) & ends(b) and abs(corners - (p, q)).max(1).min() > 1e-6]
 
 
+GROUPED = "g string, polygon array<array<struct<x:double,y:double>>>"
+
+
+def test_dissolved_groups(spark):
+    """Shared borders, overlaps, an island in a lake, parts that touch in a corner, equal polygons; and a group that is one task's no more."""
+    groups = {
+        "grid": [[square(x, y, 1)] for x in range(6) for y in range(6) if (x, y) not in ((1, 1), (3, 3))],
+        "island": [[square(0, 0, 10), square(1, 1, 8)], [square(3, 3, 2)]],
+        "corner": [[square(0, 0, 1)], [square(1, 1, 1)], [square(0, 0, 1)]],
+        "cross": [[[(0, 4), (9, 4), (9, 5), (0, 5)]], [[(4, 0), (5, 0), (5, 9), (4, 9)]]],
+        "within": [[square(0, 0, 9)], [square(2, 2, 3)]],
+        None: [[square(0.1, 0.1, 0.2)], None],
+    }
+    data = [(g, p) for g, ps in groups.items() for _, p in rows(enumerate(ps))]
+    got = {}
+    for r in edges.dissolve(spark.createDataFrame(data, GROUPED), ["g"]).collect():
+        got.setdefault(r.g, []).append((r.part, [[(q.x, q.y) for q in ring] for ring in r.polygon]))
+    shape = {g: [(k, [(len(r), round(overlay.signed_area(r), 6)) for r in p]) for k, p in sorted(v)] for g, v in got.items()}
+    assert shape["grid"] == [(0, [(4, 36.0), (4, -1.0), (4, -1.0)])]
+    assert shape["island"] == [(0, [(4, 100.0), (4, -64.0)]), (1, [(4, 4.0)])]
+    assert shape["corner"] == [(0, [(4, 1.0)]), (1, [(4, 1.0)])]
+    assert shape["cross"] == [(0, [(12, 17.0)])] and shape["within"] == [(0, [(4, 81.0)])] and shape[None] == [(0, [(4, 0.04)])]
+
+
+def test_random_unions(spark):
+    rnd = random.Random(9)
+    polygons = [[[(x + rnd.random() * 3, y + rnd.random() * 3) for _ in range(rnd.randint(3, 6))]] for x, y in ((rnd.random() * 6, rnd.random() * 6) for _ in range(25))]
+    data = [("a", p) for _, p in rows(enumerate(polygons))]
+    made = [[[(q.x, q.y) for q in ring] for ring in r.polygon] for r in edges.dissolve(spark.createDataFrame(data, GROUPED), ["g"]).collect()]
+    everything = [[(-1, -1), (12, -1), (12, 12), (-1, 12)]]
+    want = overlay.overlap_area(everything, [overlay.sides(p) for p in polygons])
+    assert sum(overlay.signed_area(r) for p in made for r in p) == pytest.approx(want, rel=1e-6)
+
+
 def test_nothing(spark):
+    assert edges.dissolve(spark.createDataFrame([], GROUPED), ["g"]).count() == 0
     assert edges.repair(spark.createDataFrame([], POLYGONS)).count() == 0
