@@ -82,7 +82,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, 0 to 4 times. Rows without words come as often as their source's epochs; null
+    """Each row as often as the mix takes it, 0 to 3 times. Rows without words come as often as their source's epochs; null
     sources and doc_ids are values like others; repeated rows are rows of their own."""
     return mixed(docs)
 
