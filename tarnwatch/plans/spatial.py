@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tarnwatch.functions import scalars as X
-from tarnwatch.operators import edges, geo, inventory, overlay, raster, resolve
+from tarnwatch.operators import edges, geo, inventory, overlay, raster, resolve, zones
 from tarnwatch.plans import standins as S
 from tarnwatch.plans.alignment import rounded
 from tarnwatch.plans.register import registry
@@ -367,6 +367,27 @@ def faulty(spark, d):
     return customers(spark, d).select("id", which.alias("polygon"))
 
 
+# Customers' balances as a raster of 50 columns in tiles of 8 x 8, under suppliers' holed squares.
+@query(
+    "with p as (select c_custkey // 50 as r, c_custkey % 50 as c, c_acctbal as v from customer), "
+    "z as (select s_suppkey as id, s_suppkey * 7919 % 50 + 0.25 as x, s_suppkey * 104729 % 30 + 0.25 as y, 2 + s_suppkey % 5 as s from supplier) "
+    "select id, count(v) as valid, round(avg(v), 6) as mean, min(v) as low, max(v) as high, round(median(v), 6) as median from z join p on "
+    "greatest(abs(c + 0.5 - x), abs(r + 0.5 - y)) < s and greatest(abs(c + 0.5 - x), abs(r + 0.5 - y)) > s / 2.0 group by id"
+)
+def h08_zones(spark, d):
+    k = F.col("c_custkey")
+    p = S.table(spark, d, "customer").select(F.floor(k / 50).alias("r"), (k % 50).alias("c"), F.col("c_acctbal").alias("v"))
+    at = ((F.col("r") % 8) * 8 + F.col("c") % 8).cast("int").alias("at")
+    t = p.groupBy(F.floor(F.col("r") / 8).alias("tile_row"), F.floor(F.col("c") / 8).alias("tile_col")).agg(F.map_from_entries(F.collect_list(F.struct(at, "v"))).alias("m"))
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.try_element_at("m", i))
+    t = t.select("tile_row", "tile_col", F.lit(8).alias("height"), F.lit(8).alias("width"), pixels.alias("value"))
+    n = F.col("s_suppkey")
+    x, y, s = n * 7919 % 50 + 0.25, n * 104729 % 30 + 0.25, (2 + n % 5).cast("double")
+    ring = lambda q: F.array(*[F.struct((x + i * q).alias("x"), (-y + j * q).alias("y")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    out = zones.zone_stats(t, S.table(spark, d, "supplier").select(n.alias("id"), F.array(ring(s), ring(s / 2)).alias("polygon")), 0.0, 0.0, 1.0)
+    return out.where("valid > 0").drop("pixels").withColumns({"mean": F.round("mean", 6), "median": F.round("median", 6)})
+
+
 @query(
     POINTS + " select id, ['valid_original', 'repaired', 'repaired', 'unrepairable', 'repaired', 'repaired'][id % 6 + 1] as status, "
     "[0.0, 0.0, 0.0, 0.0, 0.117647, 0.285714][id % 6 + 1]::double as area_change, case when id % 6 not in (0, 3) then pow(1 + id % 7, 2) * [0, 8, 16, 0, 76, 108][id % 6 + 1] end as area, "
