@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tarnwatch.functions import scalars as X
-from tarnwatch.operators import edges, geo, inventory, overlay, raster, resolve, zones
+from tarnwatch.operators import edges, geo, inventory, mosaic, overlay, raster, resolve, zones
 from tarnwatch.plans import standins as S
 from tarnwatch.plans.alignment import rounded
 from tarnwatch.plans.register import registry
@@ -367,6 +367,30 @@ def faulty(spark, d):
     return customers(spark, d).select("id", which.alias("polygon"))
 
 
+def balance_tiles(spark, d):
+    """Customers' balances as a raster of 50 columns, in tiles of 8 x 8."""
+    k = F.col("c_custkey")
+    p = S.table(spark, d, "customer").select(F.floor(k / 50).alias("r"), (k % 50).alias("c"), F.col("c_acctbal").alias("v"))
+    at = ((F.col("r") % 8) * 8 + F.col("c") % 8).cast("int").alias("at")
+    t = p.groupBy(F.floor(F.col("r") / 8).alias("tile_row"), F.floor(F.col("c") / 8).alias("tile_col")).agg(F.map_from_entries(F.collect_list(F.struct(at, "v"))).alias("m"))
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.try_element_at("m", i))
+    return t.select("tile_row", "tile_col", F.lit(8).alias("height"), F.lit(8).alias("width"), pixels.alias("value"))
+
+
+# The same raster in degrees, seen on a Web Mercator grid of 700 m.
+@query(
+    "with p as (select c_custkey // 50 as r, c_custkey % 50 as c, c_acctbal as v from customer), "
+    "g as (select cast(i as bigint) as row, cast(j as bigint) as col, (28.0 - degrees(2 * atan(exp((3249000.0 - (i + 0.5) * 700) / 6378137.0)) - pi() / 2)) / 0.01 - 0.5 as y, "
+    "(degrees((9573000.0 + (j + 0.5) * 700) / 6378137.0) - 86.0) / 0.01 - 0.5 as x from range(600) a(i), range(90) b(j)), "
+    "n as (select row, col, v, (case when p.r = floor(y) then 1 - (y - floor(y)) else y - floor(y) end) * (case when p.c = floor(x) then 1 - (x - floor(x)) else x - floor(x) end) as w "
+    "from g join p on p.r between floor(y) and floor(y) + 1 and p.c between floor(x) and floor(x) + 1 where v is not null) "
+    "select row, col, round(sum(v * w) / sum(w), 4) as value from n group by row, col having sum(w) > 0"
+)
+def h08_reproject(spark, d):
+    out = mosaic.reproject(balance_tiles(spark, d), (86.0, 28.0, 0.01), (9573000.0, 3249000.0, 700.0), 600, 90)
+    return out.withColumn("value", F.round("value", 4))
+
+
 # Customers' balances as a raster of 50 columns in tiles of 8 x 8, under suppliers' holed squares.
 @query(
     "with p as (select c_custkey // 50 as r, c_custkey % 50 as c, c_acctbal as v from customer), "
@@ -375,12 +399,7 @@ def faulty(spark, d):
     "greatest(abs(c + 0.5 - x), abs(r + 0.5 - y)) < s and greatest(abs(c + 0.5 - x), abs(r + 0.5 - y)) > s / 2.0 group by id"
 )
 def h08_zones(spark, d):
-    k = F.col("c_custkey")
-    p = S.table(spark, d, "customer").select(F.floor(k / 50).alias("r"), (k % 50).alias("c"), F.col("c_acctbal").alias("v"))
-    at = ((F.col("r") % 8) * 8 + F.col("c") % 8).cast("int").alias("at")
-    t = p.groupBy(F.floor(F.col("r") / 8).alias("tile_row"), F.floor(F.col("c") / 8).alias("tile_col")).agg(F.map_from_entries(F.collect_list(F.struct(at, "v"))).alias("m"))
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.try_element_at("m", i))
-    t = t.select("tile_row", "tile_col", F.lit(8).alias("height"), F.lit(8).alias("width"), pixels.alias("value"))
+    t = balance_tiles(spark, d)
     n = F.col("s_suppkey")
     x, y, s = n * 7919 % 50 + 0.25, n * 104729 % 30 + 0.25, (2 + n % 5).cast("double")
     ring = lambda q: F.array(*[F.struct((x + i * q).alias("x"), (-y + j * q).alias("y")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
