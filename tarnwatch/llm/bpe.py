@@ -5,9 +5,11 @@ is certain. A word is cut at all such places, the fragments are encoded independ
 are put together again.
 """
 
+import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from tarnwatch.llm.common import give_back, slices
 
 END = "</w>"
 IDS = T.ArrayType(T.IntegerType())
-KEPT = 1 << 18  # words that a task remembers
+KEPT = 1 << 19  # words that a worker remembers
 LONG = 64  # bytes beyond which a word is not remembered, and a fragment merged by heap
 NONE, LOW = 1 << 64, (1 << 32) - 1  # no merge, after every rank; the part of a merge that is its id
 # Letters, numbers and white space up to U+017F, where the tokenizer's classes are known; other texts are split by its own rules.
@@ -74,7 +76,7 @@ class Vocabulary:
     def fragment(self, symbols: list[int]) -> bytes:
         """Ids of one fragment: the pair of least rank is merged, leftmost first, until none can be."""
         ids = [self.first[s] for s in symbols]
-        return np.array(self.merged_short(ids) if len(ids) <= LONG else self.merged_long(ids), np.int32).tobytes()
+        return array("i", self.merged_short(ids) if len(ids) <= LONG else self.merged_long(ids)).tobytes()
 
     def merged_short(self, ids: list[int]) -> list[int]:
         """By looking at all pairs again after each merge."""
@@ -109,20 +111,17 @@ class Vocabulary:
                     heapq.heappush(heap, (m, a, ids[b]))
         return [i for i in ids if i >= 0]
 
-    def fragments(self, symbols: list[int]) -> Iterator[list[int]]:
+    def fragments(self, symbols: list[int]) -> list[list[int]]:
         """The word's symbols, cut where no token could join them."""
-        side, begin = self.side, 0
-        for k in range(1, len(symbols)):
-            if not side[symbols[k - 1] << 9 | symbols[k]]:
-                yield symbols[begin:k]
-                begin = k
-        yield symbols[begin:]
+        side = self.side
+        cuts = [k for k, (a, b) in enumerate(zip(symbols, symbols[1:]), 1) if not side[a << 9 | b]]
+        return [symbols[a:b] for a, b in zip([0, *cuts], [*cuts, len(symbols)])] if cuts else [symbols]
 
     def word(self, word: str) -> bytes:
         """Ids of one word, as the bytes of 4-byte numbers: its fragments' ids in a row."""
         symbols = list(word.encode())
         symbols[-1] += 256
-        ids = b"".join([self.fragment(f) for f in self.fragments(symbols)])
+        ids = b"".join(map(self.fragment, self.fragments(symbols)))
         if len(symbols) <= LONG:
             if len(self.words) >= KEPT:
                 self.words.clear()
@@ -157,8 +156,19 @@ class Vocabulary:
 def shipped(df: DataFrame, path: str) -> Callable[[], Vocabulary]:
     """The vocabulary file, read by the driver and sent to each executor once; it is as large as it is, whatever the table."""
     with open(path, encoding="utf-8") as f:
-        sent = df.sparkSession.sparkContext.broadcast(f.read())
-    return lambda: Vocabulary(sent.value)
+        text = f.read()
+    sent, name = df.sparkSession.sparkContext.broadcast(text), hashlib.sha256(text.encode()).hexdigest()
+
+    def vocabulary() -> Vocabulary:
+        import sys
+
+        kept = sys.__dict__.setdefault("_tarnwatch_vocabularies", {})  # a Python worker outlives its task
+        if name not in kept:
+            kept.clear()
+            kept[name] = Vocabulary(sent.value)
+        return kept[name]
+
+    return vocabulary
 
 
 def encode(documents: DataFrame, path: str) -> DataFrame:
