@@ -63,17 +63,25 @@ def crossings(edges: DataFrame, digits: int = DIGITS) -> DataFrame:
     near = "least(x0, x1) <= greatest(b_x0, b_x1) and least(b_x0, b_x1) <= greatest(x0, x1) and least(y0, y1) <= greatest(b_y0, b_y1) and least(b_y0, b_y1) <= greatest(y0, y1)"
     m = c.join(b, ["id", "_cell"]).where(f"edge < b_edge and {near}").drop("_cell").distinct()
     m = m.selectExpr("*", "x1 - x0 as rx", "y1 - y0 as ry", "b_x1 - b_x0 as sx", "b_y1 - b_y0 as sy", "b_x0 - x0 as dx", "b_y0 - y0 as dy")
-    m = m.selectExpr("*", "rx * sy - ry * sx as k", "sqrt((rx * rx + ry * ry) * (sx * sx + sy * sy)) as kk", "rx * rx + ry * ry as rr", "sx * sx + sy * sy as ss")
+    m = m.selectExpr(
+        "*", "rx * sy - ry * sx as k", "sqrt((rx * rx + ry * ry) * (sx * sx + sy * sy)) as kk", "rx * rx + ry * ry as rr",
+        "sx * sx + sy * sy as ss",
+    )
     m = m.selectExpr("*", "abs(k) <= 1e-12 * kk as flat", "(dx * sy - dy * sx) / nullif(k, 0) as t", "(dx * ry - dy * rx) / nullif(k, 0) as u")
     px, py = f"round(x0 + t * rx, {digits})", f"round(y0 + t * ry, {digits})"
     meets = "not flat and t between -1e-12 and 1 + 1e-12 and u between -1e-12 and 1 + 1e-12"
     one = f"struct(edge as edge, t as t, {px} as x, {py} as y), struct(b_edge as edge, u as t, {px} as x, {py} as y)"
     on = lambda e, qx, qy, ax, ay, vx, vy, vv: f"struct({e} as edge, (({qx} - {ax}) * {vx} + ({qy} - {ay}) * {vy}) / {vv} as t, {qx} as x, {qy} as y)"
     ends = ", ".join(
-        [on("edge", f"b_x{i}", f"b_y{i}", "x0", "y0", "rx", "ry", "rr") for i in (0, 1)] + [on("b_edge", f"x{i}", f"y{i}", "b_x0", "b_y0", "sx", "sy", "ss") for i in (0, 1)]
+        [on("edge", f"b_x{i}", f"b_y{i}", "x0", "y0", "rx", "ry", "rr") for i in (0, 1)] + [on(
+            "b_edge", f"x{i}", f"y{i}", "b_x0", "b_y0", "sx", "sy", "ss",
+        ) for i in (0, 1)]
     )
     line_up = "flat and abs(dx * ry - dy * rx) <= 1e-12 * greatest(sqrt(rr), 1D) * greatest(sqrt(rr), sqrt(ss), 1D)"
-    m = m.selectExpr("id", "ring = b_ring as same", "flat", "t", "u", "x0", "y0", "x1", "y1", "b_x0", "b_y0", "b_x1", "b_y1", f"case when {meets} then array({one}) when {line_up} then array({ends}) end as cuts")
+    m = m.selectExpr(
+        "id", "ring = b_ring as same", "flat", "t", "u", "x0", "y0", "x1", "y1", "b_x0", "b_y0", "b_x1", "b_y1",
+        f"case when {meets} then array({one}) when {line_up} then array({ends}) end as cuts",
+    )
     # strictly inside an edge: not one of its ends after rounding
     inside = lambda c, a: F.expr(f"({c}.x <> {a}x0 or {c}.y <> {a}y0) and ({c}.x <> {a}x1 or {c}.y <> {a}y1) and {c}.t > 0 and {c}.t < 1")
     m = m.where("cuts is not null").withColumns({"i": inside("cuts[0]", ""), "j": F.expr("cuts[1]").isNotNull() & inside("cuts[1]", "b_")})
@@ -100,7 +108,9 @@ def pieces(edges: DataFrame, cuts: DataFrame, also: tuple = ()) -> DataFrame:
     p = p.where((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by")))
     a, b = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
     p = p.select("id", *also, F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    return p.groupBy("id", *also, "a", "b").agg(F.count("*").alias("times")).select("id", *also, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), "times")
+    return p.groupBy("id", *also, "a", "b").agg(F.count("*").alias("times")).select(
+        "id", *also, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), "times",
+    )
 
 
 def beyond(middles: DataFrame, others: DataFrame) -> DataFrame:
@@ -112,7 +122,9 @@ def beyond(middles: DataFrame, others: DataFrame) -> DataFrame:
         F.min(F.least("ua", "ub")).alias("_lo"), (F.max(F.greatest("ua", "ub")) - F.min(F.least("ua", "ub"))).alias("_of"),
         F.least(F.lit(GRID * GRID), F.ceil(F.sqrt(F.count("*")))).cast("int").alias("_n"),
     )
-    strip = lambda u: F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.floor((u - F.col("_lo")) / F.greatest(F.col("_of"), F.lit(1e-300)) * F.col("_n")).cast("int")))
+    strip = lambda u: F.greatest(
+        F.lit(0), F.least(F.col("_n") - 1, F.floor((u - F.col("_lo")) / F.greatest(F.col("_of"), F.lit(1e-300)) * F.col("_n")).cast("int")),
+    )
     m = middles.withColumns({"ua": up("a"), "ub": up("b"), "mx": (F.col("ax") + F.col("bx")) / 2}).withColumn("mu", (F.col("ua") + F.col("ub")) / 2)
     m = m.join(span, "id").withColumn("_s", strip(F.col("mu"))).drop("_lo", "_of", "_n")
     o = o.join(span, "id").withColumn("_s", F.explode(F.sequence(strip(F.least("ua", "ub")), strip(F.greatest("ua", "ub"))))).drop("_lo", "_of", "_n")
@@ -162,26 +174,44 @@ def traced(border: DataFrame, name: str = "rings") -> DataFrame:
     point are rings of their own. A ring's area is positive round an inside, negative round a hole.
     """
     p = stored(border.select("id", "ax", "ay", "bx", "by", F.monotonically_increasing_id().alias("piece")), name)
-    n = p.select("id", F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("bx").alias("cx"), F.col("by").alias("cy"), F.col("piece").alias("next"))
+    n = p.select(
+        "id", F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("bx").alias("cx"), F.col("by").alias("cy"),
+        F.col("piece").alias("next"),
+    )
     came, goes = F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx")), F.atan2(F.col("cy") - F.col("by"), F.col("cx") - F.col("bx"))
     clockwise = F.pmod(came - goes + 4 * F.pi() - 1e-12, 2 * F.pi())
     way = p.join(n, ["id", "bx", "by"]).groupBy("id", "piece").agg(F.min_by("next", F.struct(clockwise, "next")).alias("next"))
     state = stored(way.select("piece", "next", F.least("piece", "next").alias("low"), F.lit(True).alias("moved")), name)
     while True:
         ahead = state.select(F.col("piece").alias("next"), F.col("next").alias("_next"), F.col("low").alias("_low"))
-        state = stored(state.join(ahead, "next").select("piece", F.col("_next").alias("next"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("moved")), name)
+        state = stored(
+            state.join(ahead, "next").select(
+                "piece", F.col("_next").alias("next"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("moved"),
+            ),
+            name,
+        )
         if state.where("moved").isEmpty():
             break
     rings = state.select("piece", F.col("low").alias("ring"))
     # places: steps to the piece before the ring's first, by doubling again
-    step = way.join(rings, "piece").select("piece", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.lit(1).cast("long").alias("steps"))
+    step = way.join(rings, "piece").select(
+        "piece", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.lit(1).cast("long").alias("steps"),
+    )
     step = stored(step, name)
     while not step.where("next is not null").isEmpty():
         ahead = step.select(F.col("piece").alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"))
-        step = stored(step.join(ahead, "next", "left").select("piece", "ring", F.col("_next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")), name)
+        step = stored(
+            step.join(ahead, "next", "left").select(
+                "piece", "ring", F.col("_next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+            ),
+            name,
+        )
     out = p.join(step.select("piece", "ring", "steps"), "piece")
     area = out.groupBy("ring").agg((F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2).alias("area"))
-    return out.join(area, "ring").select("id", "ring", (-F.col("steps")).alias("at"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("bx").alias("x1"), F.col("by").alias("y1"), "area")
+    return out.join(area, "ring").select(
+        "id", "ring", (-F.col("steps")).alias("at"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("bx").alias("x1"),
+        F.col("by").alias("y1"), "area",
+    )
 
 
 def repair(polygons: DataFrame, key: str = "id", polygon: str = "polygon", geometry: bool = True, digits: int = DIGITS) -> DataFrame:
@@ -201,7 +231,9 @@ def repair(polygons: DataFrame, key: str = "id", polygon: str = "polygon", geome
     faults = c.where("bad").select("id").unionByName(p.where("times > 1").select("id")).unionByName(touched).distinct().withColumn("_bad", F.lit(True))
     shell = F.get(col(polygon), F.lit(0))
     known = polygons.select(
-        F.col(key).alias("id"), col(polygon).isNotNull().alias("_there"), geo.area(polygon).alias("_old"), F.coalesce(F.size(F.array_distinct(shell)) >= 3, F.lit(False)).alias("_points"),
+        F.col(key).alias("id"), col(polygon).isNotNull().alias("_there"), geo.area(polygon).alias("_old"), F.coalesce(
+            F.size(F.array_distinct(shell)) >= 3, F.lit(False),
+        ).alias("_points"),
     )
     r = known.join(areas, "id", "left").join(faults, "id", "left")
     new, old = F.coalesce("_area", F.lit(0.0)), F.coalesce("_old", F.lit(0.0))
@@ -213,14 +245,20 @@ def repair(polygons: DataFrame, key: str = "id", polygon: str = "polygon", geome
     if not geometry:
         return r
     wanted = border.join(r.where("status = 'repaired'").select("id"), "id", "left_semi")
-    ring = traced(wanted).groupBy("id", "ring", "area").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"))
-    made = ring.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.abs("area")).alias("a"), "ring", "points"))), lambda q: q["points"]).alias("repaired"))
+    ring = traced(wanted).groupBy("id", "ring", "area").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("at", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")),
+    ).alias("points"))
+    made = ring.groupBy("id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.abs("area")).alias("a"), "ring", "points"))), lambda q: q["points"],
+    ).alias("repaired"))
     return r.join(made, "id", "left").select("id", "status", "area_change", "repaired")
 
 
 def outlines(rings: DataFrame) -> DataFrame:
     """traced() rings as rows (id, ring, area, points), without corners on a straight line."""
-    r = rings.groupBy("id", "ring", "area").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("_p"))
+    r = rings.groupBy("id", "ring", "area").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("at", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")),
+    ).alias("_p"))
     n = F.size("_p")
     at = lambda i: F.get("_p", F.pmod(i, n).cast("int"))
 
@@ -249,12 +287,17 @@ def dissolve(df: DataFrame, by: list[str], polygon: str = "polygon", digits: int
     outline = outlines(rings)
     shells = outline.where("area > 0").select("id", "ring", "area", "points")
     # a hole lies in the smallest shell that has an odd number of sides beyond a point of it
-    sides = lambda sign: rings.where(f"area {sign} 0").select("id", "ring", "at", "area", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"))
+    sides = lambda sign: rings.where(f"area {sign} 0").select(
+        "id", "ring", "at", "area", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"),
+    )
     one = sides("<").groupBy("id", "ring").agg(F.min_by(F.struct("ax", "ay", "bx", "by"), "at").alias("s")).select("id", "ring", "s.*")
     held = beyond(one, sides(">").drop("at")).groupBy("id", "ring", "o_ring", "o_area").agg((F.count_if("beyond") % 2 == 1).alias("within")).where("within")
     held = held.groupBy("id", "ring").agg(F.min_by("o_ring", "o_area").alias("shell"))
     holes = outline.where("area < 0").join(held, ["id", "ring"]).groupBy("id", "shell").agg(F.sort_array(F.collect_list(F.struct("area", "ring", "points"))).alias("holes"))
     out = shells.join(holes.withColumnRenamed("shell", "ring"), ["id", "ring"], "left")
-    whole = F.concat(F.array("points"), F.coalesce(F.transform("holes", lambda h: h["points"]), F.array().cast("array<array<struct<x:double,y:double>>>")))
+    whole = F.concat(
+        F.array("points"),
+        F.coalesce(F.transform("holes", lambda h: h["points"]), F.array().cast("array<array<struct<x:double,y:double>>>")),
+    )
     number = F.row_number().over(W.partitionBy("id").orderBy(F.col("area").desc(), "ring")) - 1
     return out.select(*[F.col(f"id.{c}").alias(c) for c in by], number.cast("int").alias("part"), whole.alias("polygon"))

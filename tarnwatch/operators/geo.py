@@ -115,7 +115,9 @@ def within_distance(
 
 def near_duplicates(points: DataFrame, metres: float = 50.0, order: str = "idx", metric: str = "mercator") -> DataFrame:
     """points (id, idx, lat, lon) plus duplicate_of: the earliest row at most `metres` away, for later rows."""
-    side = lambda p: points.select(F.col("id").alias(f"{p}_id"), F.col(order).alias(f"{p}_idx"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"))
+    side = lambda p: points.select(
+        F.col("id").alias(f"{p}_id"), F.col(order).alias(f"{p}_idx"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"),
+    )
     met = within_distance(side("a"), side("b"), metres, metric).where("b_idx < a_idx")
     first = met.groupBy("a_id").agg(F.min_by("b_id", "b_idx").alias("duplicate_of"))
     return points.join(first, points.id == first.a_id, "left").drop("a_id")
@@ -144,7 +146,10 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 0.25)
     """
     from tarnwatch.operators import quadtree
 
-    p = points.select("point_id", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"), F.monotonically_increasing_id().alias("_row"))
+    p = points.select(
+        "point_id", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
     box = bounds("polygon")
     b = polygons.select(
         "polygon_id", quadtree.sides(F.col("polygon")).alias("_sides"), box["min_x"].alias("_x0"), box["max_x"].alias("_x1"), box["min_y"].alias("_y0"),
@@ -179,7 +184,9 @@ def link_epochs(old: DataFrame, new: DataFrame, metres: float = 200.0, prefix: s
 
 def dem_tiles(boxes: DataFrame, margin: float = 0.0) -> DataFrame:
     """The 1-degree tiles that boxes (min_x, max_x, min_y, max_y) touch, each once, with its name."""
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) - margin), F.greatest(F.ceil(F.col(hi) + margin) - 1, F.floor(F.col(lo) - margin))))
+    span = lambda lo, hi: F.explode(F.sequence(
+        F.floor(F.col(lo) - margin), F.greatest(F.ceil(F.col(hi) + margin) - 1, F.floor(F.col(lo) - margin)),
+    ))
     t = boxes.select(span("min_y", "max_y").alias("lat"), "min_x", "max_x").select("lat", span("min_x", "max_x").alias("lon")).distinct()
     name = F.format_string(
         "SRTMGL1_%s%02d%s%03d", F.when(F.col("lat") >= 0, "N").otherwise("S"), F.abs("lat"), F.when(F.col("lon") >= 0, "E").otherwise("W"),

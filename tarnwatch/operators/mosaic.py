@@ -28,7 +28,9 @@ def with_halo(tiles: DataFrame, height: int, width: int, value: str = "value") -
     )
     p = tiles.select(F.explode(parts).alias("p")).select("p.*")
     of = lambda k: F.max(F.when(F.col("kind") == k, F.col("x")))
-    return p.groupBy(F.col("i").alias("tile_row"), F.col("j").alias("tile_col")).agg(of(0).alias("own"), of(1).alias("east"), of(2).alias("south"), of(3).alias("corner"))
+    return p.groupBy(F.col("i").alias("tile_row"), F.col("j").alias("tile_col")).agg(
+        of(0).alias("own"), of(1).alias("east"), of(2).alias("south"), of(3).alias("corner"),
+    )
 
 
 def reproject(
@@ -67,14 +69,18 @@ def reproject(
         (F.col("row") < rows) & (F.col("col") < columns),
     )
     v, u = at(F.col("row"), F.col("col"))
-    p = p.withColumns({"_v": v, "_u": u}).withColumns({"_r": F.floor("_v") - F.col("tile_row") * height, "_c": F.floor("_u") - F.col("tile_col") * width})
+    p = p.withColumns({"_v": v, "_u": u}).withColumns({
+        "_r": F.floor("_v") - F.col("tile_row") * height, "_c": F.floor("_u") - F.col("tile_col") * width,
+    })
     p = p.where(F.col("_r").between(0, height - 1) & F.col("_c").between(0, width - 1))
     r, c = F.col("_r").cast("int"), F.col("_c").cast("int")
     last_r, last_c = r == height - 1, c == width - 1
     own = lambda i, j: F.get("own", (r + i) * width + c + j)
     near = [
         own(0, 0), F.when(last_c, F.get("east", r)).otherwise(own(0, 1)), F.when(last_r, F.get("south", c)).otherwise(own(1, 0)),
-        F.when(last_r & last_c, F.get("corner", F.lit(0))).when(last_r, F.get("south", c + 1)).when(last_c, F.get("east", r + 1)).otherwise(own(1, 1)),
+        F.when(
+            last_r & last_c, F.get("corner", F.lit(0)),
+        ).when(last_r, F.get("south", c + 1)).when(last_c, F.get("east", r + 1)).otherwise(own(1, 1)),
     ]
     fv, fu = F.col("_v") - F.floor("_v"), F.col("_u") - F.floor("_u")
     p = p.select("row", "col", *[n.alias(f"n{k}") for k, n in enumerate(near)], fv.alias("fv"), fu.alias("fu"))

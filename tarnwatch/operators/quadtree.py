@@ -53,7 +53,9 @@ def meet(
     at = lambda k: F.broadcast(split.where(F.col("level") == k).select(F.col("cx").alias("_sx"), F.col("cy").alias("_sy"), "parts"))
     p = points.withColumns({"_level": F.lit(0), "_salt": F.lit(0).cast("long")})
     span = lambda lo, hi: F.explode(F.sequence(place(F.col(lo), size, 0), place(F.col(hi), size, 0)))
-    b = boxes.withColumn("_cx", span("_x0", "_x1")).withColumn("_cy", span("_y0", "_y1")).withColumns({"_level": F.lit(0), "_salt": F.lit(0).cast("long")})
+    b = boxes.withColumn("_cx", span("_x0", "_x1")).withColumn("_cy", span("_y0", "_y1")).withColumns({
+        "_level": F.lit(0), "_salt": F.lit(0).cast("long"),
+    })
     for k in sorted(levels):
         p = p.join(at(k), (place(F.col("_x"), size, k) == F.col("_sx")) & (place(F.col("_y"), size, k) == F.col("_sy")), "left")
         b = b.join(at(k), (F.col("_level") == k) & (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")), "left")

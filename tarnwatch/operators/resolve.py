@@ -73,7 +73,9 @@ def merge_events(events: DataFrame, assigned: DataFrame) -> DataFrame:
     """A row a leader: its own fields, count, ids and URLs of its members in order, the strongest confidence."""
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[F.col("event_confidence")], F.lit(-1))
     m = events.join(assigned, "idx")
-    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.col(c).alias("v")))), lambda s: s["v"]), "|")
+    joined = lambda c: F.array_join(
+        F.transform(F.sort_array(F.collect_list(F.struct("idx", F.col(c).alias("v")))), lambda s: s["v"]), "|",
+    )
     g = m.groupBy("leader").agg(
         F.count("*").cast("long").alias("source_count"), joined("source_record_id").alias("source_ids"),
         joined("source_url").alias("source_urls"), F.max_by("event_confidence", F.struct(rank, -F.col("idx"))).alias("best_confidence"),
@@ -115,7 +117,9 @@ def near_sites(events: DataFrame, sites: DataFrame, metres: float) -> DataFrame:
     e = events.where("a_lat is not null and a_lon is not null").select(
         "a_id", "a_lat", "a_lon", mercator_x("a_lon").alias("_x"), mercator_y("a_lat").alias("_y"), F.monotonically_increasing_id().alias("_row"),
     )
-    s = sites.select("b_id", "polygon", projected(F.col("polygon"), lambda lat, lon: mercator_x(lon), lambda lat, lon: mercator_y(lat)).alias("_flat"))
+    s = sites.select(
+        "b_id", "polygon", projected(F.col("polygon"), lambda lat, lon: mercator_x(lon), lambda lat, lon: mercator_y(lat)).alias("_flat"),
+    )
     box = geo.bounds("_flat")
     both = F.arrays_zip(quadtree.sides(F.col("polygon")).alias("s"), quadtree.sides(F.col("_flat")).alias("f"))
     s = s.select(
@@ -129,7 +133,9 @@ def near_sites(events: DataFrame, sites: DataFrame, metres: float) -> DataFrame:
         F.count_if(quadtree.crosses(flat, F.col("_x"), F.col("_y"))).alias("_flat_in"), F.min(quadtree.squared(flat, F.col("_x"), F.col("_y"))).alias("_d"),
     )
     holds = F.col("_in") % 2 == 1
-    out = g.select("a_id", "b_id", holds.alias("inside"), F.when(holds | (F.col("_flat_in") % 2 == 1), 0.0).otherwise(F.sqrt("_d")).alias("distance_m"))
+    out = g.select(
+        "a_id", "b_id", holds.alias("inside"), F.when(holds | (F.col("_flat_in") % 2 == 1), 0.0).otherwise(F.sqrt("_d")).alias("distance_m"),
+    )
     return out.where(F.col("distance_m") <= metres)
 
 
@@ -173,7 +179,9 @@ def tiers(gap: float, near: float) -> tuple[Column, Column, Column]:
     dominant = F.col("next_m").isNull() | (F.col("next_m") > near) | (F.col("next_m") - F.col("edge_m") > gap)
     status = F.when(holds == 1, HIGH).when((holds > 1) | (within > 0), MANUAL).otherwise(UNMATCHED)
     placed = F.col("a_lat").isNotNull() & F.col("a_lon").isNotNull()
-    method = F.when(holds == 1, "polygon_intersection").when(holds > 1, "polygon_intersection_ambiguous").when(within > 0, "distance_buffer_5km").when(
+    method = F.when(holds == 1, "polygon_intersection").when(
+        holds > 1, "polygon_intersection_ambiguous",
+    ).when(within > 0, "distance_buffer_5km").when(
         F.col("b_id").isNotNull(), "diagnostic_missed_match_10km",
     ).when(placed, "no_candidate_10km")
     confidence = F.when(holds == 1, "HIGH").when((holds == 0) & (within > 0), F.when(dominant, "MEDIUM").otherwise("LOW"))
@@ -213,7 +221,10 @@ def nearest_site(events: DataFrame, sites: DataFrame, first: float = 10000.0, gr
     """
     box = geo.bounds("_flat")
     e, s = (
-        df.agg(*[F.min(F.least(*c)).alias(f"lo{k}") for k, c in enumerate(cs)], *[F.max(F.greatest(*c)).alias(f"hi{k}") for k, c in enumerate(cs)]).first() for df, cs in (
+        df.agg(
+            *[F.min(F.least(*c)).alias(f"lo{k}") for k, c in enumerate(cs)],
+            *[F.max(F.greatest(*c)).alias(f"hi{k}") for k, c in enumerate(cs)],
+        ).first() for df, cs in (
             (events, [(F.col("_x"), F.col("_x")), (F.col("_y"), F.col("_y"))]),
             (sites, [(box["min_x"], box["max_x"]), (box["min_y"], box["max_y"])]),
         )

@@ -22,11 +22,17 @@ def runs(polygons: DataFrame, west: float, north: float, cell: float, key: str =
     y = F.lit(float(north)) - (F.col("row") + 0.5) * cell
     x = F.col("x0") + (y - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
     g = c.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.ceil((x - west) / cell - 0.5))).alias("_c"))
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("_c") / 2).cast("int") - 1), lambda k: F.struct(F.get("_c", 2 * k).alias("first"), (F.get("_c", 2 * k + 1) - 1).alias("last")))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size("_c") / 2).cast("int") - 1),
+        lambda k: F.struct(F.get("_c", 2 * k).alias("first"), (F.get("_c", 2 * k + 1) - 1).alias("last")),
+    )
     return g.select("id", "row", F.inline(pairs)).where("first <= last")
 
 
-def zone_stats(tiles: DataFrame, polygons: DataFrame, west: float, north: float, cell: float, value: str = "value", key: str = "id", polygon: str = "polygon") -> DataFrame:
+def zone_stats(
+    tiles: DataFrame, polygons: DataFrame, west: float, north: float, cell: float, value: str = "value", key: str = "id",
+    polygon: str = "polygon",
+) -> DataFrame:
     """(id, pixels, valid, mean, low, high, median) of the pixels in each polygon, NULL for polygons without one that has a value.
 
     tiles (tile_row, tile_col, height, width, value array in row order), all tiles of one size, numbered from the corner.
@@ -35,7 +41,9 @@ def zone_stats(tiles: DataFrame, polygons: DataFrame, west: float, north: float,
     size = tiles.select("height", "width").first()
     height, width = (size.height, size.width) if size else (1, 1)
     r = runs(polygons, west, north, cell, key, polygon)
-    r = r.withColumn("tile_row", F.floor(F.col("row") / height)).withColumn("tile_col", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
+    r = r.withColumn("tile_row", F.floor(F.col("row") / height)).withColumn(
+        "tile_col", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))),
+    )
     start = F.greatest("first", F.col("tile_col") * width)
     r = r.select(
         "id", "tile_row", "tile_col", ((F.col("row") - F.col("tile_row") * height) * width + start - F.col("tile_col") * width).alias("_at"),

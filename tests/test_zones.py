@@ -22,7 +22,10 @@ def test_equals_every_pixel(spark):
         star = [(x + rnd.uniform(-s, s), y + rnd.uniform(-s, s)) for _ in range(rnd.randint(3, 8))]
         hole = [(x - s / 5, y - s / 5), (x + s / 5, y - s / 5), (x + s / 5, y + s / 5), (x - s / 5, y + s / 5)]
         polygons.append((k, [star, hole] if k % 2 else [star]))
-    polygons += [(100, [[(0, 0), (1, 0), (1, 1)]]), (101, None), (102, [[(10.1, 49.9), (10.2, 49.9), (10.2, 49.8)]]), (103, [[(10, 50), (11, 50), (11, 49), (10, 49)]])]
+    polygons += [
+        (100, [[(0, 0), (1, 0), (1, 1)]]), (101, None), (102, [[(10.1, 49.9), (10.2, 49.9), (10.2, 49.8)]]),
+        (103, [[(10, 50), (11, 50), (11, 49), (10, 49)]]),
+    ]
     rows = [(k, None if p is None else [[{"x": float(x), "y": float(y)} for x, y in r] for r in p]) for k, p in polygons]
     got = {r.id: r for r in zones.zone_stats(spark.createDataFrame(tiles, TILES), spark.createDataFrame(rows, POLYGONS), west, north, cell).collect()}
     for k, p in polygons:
@@ -34,7 +37,9 @@ def test_equals_every_pixel(spark):
             r = got[k]
             assert (r.pixels, r.valid) == (len(held), len(known))
             if known:
-                assert (r.low, r.high, r.median) == (min(known), max(known), statistics.median(known)) and r.mean == pytest.approx(sum(known) / len(known))
+                assert (r.low, r.high, r.median) == (
+                    min(known), max(known), statistics.median(known),
+                ) and r.mean == pytest.approx(sum(known) / len(known))
     assert got[103].pixels == 4
 
 
