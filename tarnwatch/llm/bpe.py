@@ -205,12 +205,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             made = [" ".join([of[i] for i in x if i in of]) if x else "" for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, T.StructType([encoded.schema["doc_id"], T.StructField("ids", IDS), T.StructField("decoded", T.StringType())]))
+    return encoded.select("doc_id", "ids").mapInArrow(
+        run, T.StructType([encoded.schema["doc_id"], T.StructField("ids", IDS), T.StructField("decoded", T.StringType())]),
+    )
 
 
 def digests(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids' decimals joined by spaces and of the decoded text."""
     return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(
+            F.array_join(F.col("ids").cast("array<string>"), " "), 256,
+        ).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )

@@ -55,7 +55,9 @@ def nodes(words: DataFrame) -> DataFrame:
                     part = made[i : i + 1024]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([word] * len(part)), pa.array([b.column(1)[k].as_py()] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int32()),
+                            pa.array([word] * len(part)), pa.array(
+                                [b.column(1)[k].as_py()] * len(part), pa.int64(),
+                            ), pa.array(range(i, i + len(part)), pa.int32()),
                             pa.array(part, pa.binary()), pa.array([*word[i : i + 1024], None][: len(part)], pa.string()),
                         ],
                         names=["word", "n", "at", "node", "next"],
@@ -120,7 +122,9 @@ def near(words: DataFrame) -> DataFrame:
     skipped = light.where(~ends & (x != y)).select("word", "n", F.concat(before(at), after(at + 1)).alias("end"))
     extra = light.select("word", "n", F.concat(before(at), F.col("heavy"), after(at)).alias("end"))
     pairs = skipped.unionByName(extra).join(terminals, "end")
-    pairs = pairs.select(F.explode(F.array(F.struct("word", best("end", "end_n").alias("best")), F.struct(F.col("end").alias("word"), best("word", "n").alias("best")))).alias("p"))
+    pairs = pairs.select(F.explode(F.array(
+        F.struct("word", best("end", "end_n").alias("best")), F.struct(F.col("end").alias("word"), best("word", "n").alias("best")),
+    )).alias("p"))
     found = replaced.unionByName(pairs.select("p.word", F.lit(1).cast("long").alias("k"), "p.best"))
     found = found.groupBy("word").agg(F.sum("k").alias("n_near"), F.min("best").alias("best"))
     return found.select("word", "n_near", (-F.col("best.less")).alias("near_n"), F.col("best.near").alias("near"))
@@ -131,7 +135,10 @@ def roots(forms: DataFrame) -> DataFrame:
     step = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = step.select(F.col("word").alias("root"), F.col("root").alias("_on"))
-        further = stored(step.join(on, "root", "left").select("word", F.coalesce("_on", "root").alias("root"), F.col("_on").isNotNull().alias("moved")), "roots")
+        further = stored(
+            step.join(on, "root", "left").select("word", F.coalesce("_on", "root").alias("root"), F.col("_on").isNotNull().alias("moved")),
+            "roots",
+        )
         drop(step)
         moved = not further.where("moved").isEmpty()
         step = further.drop("moved")
@@ -150,7 +157,10 @@ def variants(documents: DataFrame, least_length: int = LEAST_LENGTH, least_count
     w = stored(words(documents, least_length, least_count), "words")
     n = stored(w.join(near(w), "word", "left"), "near")
     is_form = F.col("near_n") >= ratio * F.col("n")
-    out = n.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, F.col("near")).alias("form"), F.when(is_form, F.col("near_n")).alias("form_n"))
+    out = n.select(
+        "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, F.col("near")).alias("form"),
+        F.when(is_form, F.col("near_n")).alias("form_n"),
+    )
     ends = roots(out.where("form is not null"))
     out = out.join(ends, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
