@@ -22,6 +22,15 @@ def from_us(n) -> Column:
     return F.timestamp_add("MICROSECOND", col(n), F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))
 
 
+def instant(ts) -> Column:
+    """A TIMESTAMP_NTZ as the instant that it would be in UTC, for watermarks; `wall` is the way back."""
+    return F.timestamp_micros(us(ts))
+
+
+def wall(ts) -> Column:
+    return from_us(F.unix_micros(col(ts)))
+
+
 def day(ts) -> Column:
     """Midnight of a time's day, as TIMESTAMP_NTZ."""
     return F.to_date(col(ts)).cast("timestamp_ntz")

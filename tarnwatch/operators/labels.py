@@ -51,17 +51,21 @@ def label(
         out = out.join(ambiguous.select(key).distinct().withColumn("_vague", F.lit(True)), key, "left")
         vague = F.coalesce("_vague", F.lit(False))
     n = F.coalesce("_n", F.lit(0))
-    status = F.when(n > 0, POSITIVE).when(F.coalesce("_zone", F.lit(False)), EXCLUDED).when(vague, UNRESOLVED).when(
-        F.col("weather_age_hours").isNull() | (F.col("weather_age_hours") > most_age_h), INSUFFICIENT,
-    ).otherwise(NEGATIVE)
     return out.select(
         key, ts, "horizon_days", F.col(ts).alias("horizon_start"),
         (F.timestamp_add("DAY", F.col("horizon_days"), F.col(ts))).alias("horizon_end"),
-        status.alias("label_status"), (n > 0).cast("int").alias("event_within_horizon"), F.col("_hit.event_id").alias("matched_event_id"),
+        status(n, F.coalesce("_zone", F.lit(False)), vague, most_age_h).alias("label_status"), (n > 0).cast("int").alias("event_within_horizon"), F.col("_hit.event_id").alias("matched_event_id"),
         n.cast("long").alias("event_count_within_horizon"),
     )
 
 
+def status(n: Column, zone: Column, vague: Column, most_age_h: float) -> Column:
+    """The first label that holds, for n events within the horizon."""
+    return F.when(n > 0, POSITIVE).when(zone, EXCLUDED).when(vague, UNRESOLVED).when(
+        F.col("weather_age_hours").isNull() | (F.col("weather_age_hours") > most_age_h), INSUFFICIENT,
+    ).otherwise(NEGATIVE)
+
+
 def controls(labels: DataFrame, k: int = 3, key: str = "lake_uid", ts: str = "reference_timestamp") -> DataFrame:
     """The k negatives of each positive's entity and horizon that match it best: by cyclic month distance, then by
     days apart, then the earlier. A positive meets the negatives of its own entity and horizon, which an entity's days

@@ -4,10 +4,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tarnwatch.functions.storage import folder
-from tarnwatch.operators import buckets
+from tarnwatch.functions.scalars import instant, wall
+from tarnwatch.functions.storage import folder, stored
+from tarnwatch.operators import buckets, features, timeops
+from tarnwatch.plans import alignment
+from tarnwatch.plans import standins as S
 from tarnwatch.plans.register import registry
 from tarnwatch.streaming import streams as L
+from tarnwatch.streaming import trailing as T
 
 QUERIES, ORACLES, query = registry()
 
@@ -168,3 +172,44 @@ def l_late_backfill(spark, d):
 
     run(arrivals.writeStream.foreachBatch(note), at)
     return spark.read.parquet(f"{at}/spans").select("lake_uid", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("from", "to")])
+
+
+LAST = "2024-12-31"  # of a row that only moves the watermark past all others
+
+
+def arrivals(df, ts, id=None):
+    """df's rows out of order in three arrivals, up to four days late each; then a row far ahead; then rows that are too late."""
+    days = F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)) - F.unix_date(F.lit(S.START).cast("date"))
+    delay = F.pmod(F.xxhash64(*df.columns), F.lit(3)) * 2
+    when = F.least(F.lit(2), F.floor((days + delay) / 10))
+    rows = stored(df.withColumn("_when", when), "arriving")
+    parts = [rows.where(F.col("_when") == k).drop("_when") for k in range(3)]
+    # of an entity of its own: a row without a key never reaches the watermark of a join
+    own = {ts: F.lit(LAST).cast("timestamp"), "lake_uid": F.lit(-1)}
+    ahead = df.sparkSession.range(1).select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+    again = [] if id is None else [parts[0].where(F.col(id) % 10 == 0).withColumn(id, F.col(id) + CHANGED)]
+    return [*parts, ahead, *again]
+
+
+# The batch features of each weather row, given out as the watermark passes it.
+@query(alignment.ORACLES["i05_weather_features"])
+def l_trailing(spark, d):
+    w = S.weather(spark, d).withColumn("observation_timestamp", instant("observation_timestamp"))
+    changes = {f"temperature_change_{k}d": ("temperature_2m_c", k) for k in (1, 7)}
+    rows = T.trailing(in_order(spark, arrivals(w, "observation_timestamp", "observation_id")), features.WEATHER, changes, "5 days")
+    with T.rocks(spark):
+        out = finished(rows, spark)
+    return alignment.rounded(out.drop("observation_timestamp"), *features.WEATHER, *changes)
+
+
+# Grid days and hazards each arrive out of order; events that come once the watermark has passed them change nothing.
+@query(alignment.ORACLES["i08_labels"])
+def l_labels(spark, d):
+    grid = timeops.align(S.grid(spark, d), {"weather": S.feed(spark, d, "weather")}).select(
+        "lake_uid", instant("reference_timestamp").alias("reference_timestamp"), F.col("weather_observation_age_hours").alias("weather_age_hours"),
+    )
+    hazards = S.hazards(spark, d).withColumn("event_ts", instant("event_ts"))
+    vague = S.table(spark, d, "events").where("user_id % 11 = 0").select(F.col("user_id").alias("lake_uid"))
+    streams = in_order(spark, arrivals(grid, "reference_timestamp")), in_order(spark, arrivals(hazards, "event_ts", "event_id"))
+    out = finished(L.labelled(*streams, vague, (3, 7, 14), 5, 5, late="5 days"), spark)
+    return out.withColumns({c: wall(c) for c in ("reference_timestamp", "horizon_start", "horizon_end")})

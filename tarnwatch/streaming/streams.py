@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwatch.functions.scalars import DAY_US
 from tarnwatch.operators import buckets as store
+from tarnwatch.operators import labels as L
 
 
 def deduplicated(stream: DataFrame, key: str = "observation_id", ts: str = "observation_timestamp", late: str = "2 days") -> DataFrame:
@@ -36,6 +38,42 @@ def sessions(stream: DataFrame, gap: str, key: str = "lake_uid", ts: str = "obse
     )
 
 
+def labelled(
+    grid: DataFrame, events: DataFrame, ambiguous: DataFrame | None = None, horizons=L.HORIZONS, pre: int = 30, post: int = 30,
+    most_age_h: float = 72.0, late: str = "2 days", key: str = "lake_uid", ts: str = "reference_timestamp", at: str = "event_ts",
+) -> DataFrame:
+    """`labels.label` of two streams: a grid row's labels come out once no event can come any more that they look at.
+
+    Both streams have a watermark; an interval join holds a grid row for its longest horizon and an event for `post` days, rows
+    without events come out of the outer join with nulls. Events later than `late` change no label. Grid rows (key, ts,
+    weather_age_hours) and events are unique (`deduplicated` first); rows without a time vanish. ambiguous is a plain table.
+    """
+    g = grid.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), "weather_age_hours").withWatermark("_ts", late)
+    e = events.select(F.col(key).alias("_ek"), F.col(at).alias("_at"), "event_id").withWatermark("_at", late)
+    ahead = max(pre, *horizons)
+    near = (F.col("_at") >= F.col("_ts") - F.expr(f"interval {post} days")) & (F.col("_at") <= F.col("_ts") + F.expr(f"interval {ahead} days"))
+    met = g.join(e, (F.col("_k") == F.col("_ek")) & near, "left").withColumns({"_t": F.unix_micros("_ts"), "_e": F.unix_micros("_at")})
+    zone = (F.col("_e") <= F.col("_t") + pre * DAY_US) & (F.col("_e") >= F.col("_t") - post * DAY_US)
+    facts = [F.coalesce(F.bool_or(zone), F.lit(False)).alias("_zone")]
+    for h in horizons:
+        within = (F.col("_e") > F.col("_t")) & (F.col("_e") <= F.col("_t") + h * DAY_US)
+        facts += [F.count_if(within).alias(f"_n{h}"), F.min(F.when(within, F.struct("_e", "event_id"))).alias(f"_hit{h}")]
+    seen = met.groupBy("_k", "_ts", "weather_age_hours").agg(*facts)
+    vague = F.lit(False)
+    if ambiguous is not None:
+        seen = seen.join(ambiguous.select(F.col(key).alias("_vk")).distinct(), F.col("_k") == F.col("_vk"), "left")
+        vague = F.col("_vk").isNotNull()
+    each = [F.struct(F.lit(h).alias("h"), F.col(f"_n{h}").alias("n"), F.col(f"_hit{h}.event_id").alias("id")) for h in horizons]
+    rows = seen.withColumn("_vague", vague).withColumn("_x", F.explode(F.array(*each)))
+    n = F.col("_x.n")
+    return rows.select(
+        F.col("_k").alias(key), F.col("_ts").alias(ts), F.col("_x.h").alias("horizon_days"), F.col("_ts").alias("horizon_start"),
+        F.timestamp_micros(F.unix_micros("_ts") + F.col("_x.h") * F.lit(DAY_US)).alias("horizon_end"),
+        L.status(n, F.col("_zone"), F.col("_vague"), most_age_h).alias("label_status"), (n > 0).cast("int").alias("event_within_horizon"),
+        F.col("_x.id").alias("matched_event_id"), n.cast("long").alias("event_count_within_horizon"),
+    )
+
+
 def spaced(stream: DataFrame, hours: float = 24, key: str = "lake_uid", ts: str = "observation_timestamp") -> DataFrame:
     """Rows at least `hours` after the entity's last kept row, in order of time within a batch; older rows than that
     last one are dropped, as they would change what was already given out."""
