@@ -87,7 +87,7 @@ class Trailing(StatefulProcessor):
         self.mark = handle.getValueState("mark", f"closed long, timer long, last {self.row}")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        closed, timer, last = self.mark.get() or (None, None, None)
+        closed, timer, last = self.marked()
         new: dict[int, list] = {}
         for r in rows:
             if closed is None or r["_t"] > closed:
@@ -99,6 +99,10 @@ class Trailing(StatefulProcessor):
             self.mark.update((closed, self.ring(timer, min(t for d in new.values() for t, *_ in d)), last))
         return iter(())
 
+    def marked(self) -> tuple:
+        closed, timer, last = self.mark.get() or (None, None, None)
+        return closed, timer, None if last is None else tuple(last)
+
     def ring(self, timer: int | None, t: int) -> int:
         """One timer an entity, at its earliest row that waits."""
         at = -(-t // 1000)
@@ -110,18 +114,18 @@ class Trailing(StatefulProcessor):
         return at
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        closed, timer, last = self.mark.get()
+        closed, timer, last = self.marked()
         now = timerValues.getCurrentWatermarkInMs() * 1000
         days = {d[0]: [tuple(r) for r in rows[0]] for d, rows in self.days.iterator()}
         rows = sorted((r for held in days.values() for r in held), key=rank)
         if last is not None:
-            rows.insert(0, tuple(last))
+            rows.insert(0, last)
         due = [k for k, r in enumerate(rows) if (closed is None or r[0] > closed) and r[0] <= now]
         if due:
             yield from self.given(key[0], rows, np.array(due))
         gone = [d for d in days if (d + 1) * DAY_US <= now - self.span]
         for d in gone:
-            last = max([r for r in (tuple(last) if last is not None else None, *days[d]) if r is not None], key=rank)
+            last = max(days[d] if last is None else [last, *days[d]], key=rank)
             self.days.removeKey((d,))
         later = next((r[0] for r in rows if r[0] > now), None)
         self.mark.update((now, None if later is None else self.ring(None, later), last))
@@ -150,8 +154,8 @@ def trailing(
     """key, id, ts and a double a feature of every row: windows name = (mean, sum, min, max or count; column; days) over
     (t - days, t], changes name = (column, days) against the last row at or before t - days, as `timeops.rolling` and `change`.
 
-    Rows come out in append mode when the watermark passes them. Rows that come later than `late` are dropped, as are those
-    without a time; a null key is an entity. Rows of one time see each other, repeated rows count twice (`deduplicated` first).
+    Rows come out in append mode when the watermark passes them. Rows behind the watermark that the batch
+    before the last one left are dropped, as are those without a time; a null key is an entity. Rows of one time see each other, repeated rows count twice (`deduplicated` first).
     No value in a window gives NULL. One entity's days are in one task: those of its widest window and those not yet passed.
     Start the query within `rocks()`.
     """
