@@ -76,10 +76,15 @@ def read(spark: SparkSession, path: str, version: int | None = None, only: list[
     return spark.read.schema(own).parquet(*folders) if folders else spark.createDataFrame([], own)
 
 
-def write(df: DataFrame, path: str, keys: list[str], into: dict, label: str | None) -> dict:
+def placed_in(m: dict, rows: DataFrame) -> list[int]:
+    """The buckets of a table that hold the keys of `rows`: at most as many as it has."""
+    return [r.b for r in rows.select(bucket(m.get("by") or m["keys"], m["buckets"]).alias("b")).distinct().collect()]
+
+
+def write(df: DataFrame, path: str, into: dict, label: str | None) -> dict:
     """Write df's buckets beside the old ones and commit the version that has them."""
     spark, name = df.sparkSession, f"data/{uuid.uuid4().hex}"
-    placed = df.withColumn("_bucket", bucket(keys, into["buckets"]))
+    placed = df.withColumn("_bucket", bucket(into.get("by") or into["keys"], into["buckets"]))
     placed.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/{name}")
     fs, at = file_system(spark, f"{path}/{name}")
     made = {f.getPath().getName().removeprefix("_bucket="): f"{name}/{f.getPath().getName()}" for f in fs.listStatus(at) if f.isDirectory()}
@@ -89,17 +94,20 @@ def write(df: DataFrame, path: str, keys: list[str], into: dict, label: str | No
     return new
 
 
-def upsert(new: DataFrame, path: str, keys: list[str], order: list[Column] | None = None, buckets: int = BUCKETS, label: str | None = None) -> int:
+def upsert(
+    new: DataFrame, path: str, keys: list[str], order: list[Column] | None = None, buckets: int = BUCKETS, label: str | None = None, by: list[str] | None = None,
+) -> int:
     """Rows of `new` by key into the table at `path`, the last row of a key kept: new before old, then the first of `order`.
 
-    Only buckets that hold one of new's keys are read and rewritten; `buckets` counts when the table is made. Null keys are keys.
+    Only buckets that hold one of new's keys are read and rewritten; `buckets` and `by`, the keys that choose a bucket
+    (all by default), count when the table is made. Null keys are keys.
     A write with the label (stream:number) that the stream's last write had changes nothing. Columns that the table does not
     have are refused, missing ones are null. Returns the version.
     """
     spark = new.sparkSession
     m = manifest(spark, path)
     if m is None:
-        m = {"version": 0, "buckets": buckets, "keys": keys, "schema": json.loads(new.schema.json()), "folders": {}, "labels": {}}
+        m = {"version": 0, "buckets": buckets, "keys": keys, "by": by or keys, "schema": json.loads(new.schema.json()), "folders": {}, "labels": {}}
     if m["keys"] != keys:
         raise ValueError(f"the table's keys are {m['keys']}")
     if label is not None and m["labels"].get(label.rpartition(":")[0]) == label:
@@ -108,12 +116,12 @@ def upsert(new: DataFrame, path: str, keys: list[str], order: list[Column] | Non
     if set(new.columns) - set(own.names):
         raise ValueError(f"the table has no {sorted(set(new.columns) - set(own.names))}")
     n = stored(new, "upsert")
-    touched = [r.b for r in n.select(bucket(keys, m["buckets"]).alias("b")).distinct().collect()]  # at most the number of buckets
+    touched = placed_in(m, n)
     if not touched and m["version"]:
         return m["version"]
     old = read(spark, path, m["version"] or None, touched, own)
     rows = merged(old, n, keys, order).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in own.fields])
-    return write(rows, path, keys, m, label)["version"]
+    return write(rows, path, m, label)["version"]
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:

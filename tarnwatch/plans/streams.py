@@ -174,6 +174,32 @@ def l_late_backfill(spark, d):
     return spark.read.parquet(f"{at}/spans").select("lake_uid", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("from", "to")])
 
 
+# Weather of a fifth of the entities comes late, was wrong or was dated wrongly at first, then that of another fifth comes late:
+# only those entities' features and moments are computed again, and equal those of the whole tables.
+@query(
+    f"select i.*, m.n, m.mean, m.deviation from ({alignment.ORACLES['i05_weather_features']}) i join (select user_id as lake_uid, count(value) "
+    "as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as deviation from events where event_type = 'view' group by 1) m "
+    "using (lake_uid)"
+)
+def l_recomputed(spark, d):
+    at = folder(spark, "recomputed-" + uuid.uuid4().hex)
+    w = S.weather(spark, d)
+    own, k, t = F.col("lake_uid") % 5, F.col("observation_id"), F.col("observation_timestamp")
+    missing = (own == 0) & (k % 7 == 0) | (own == 1) & (k % 3 == 0)
+    wrong, shifted = (own == 0) & (k % 11 == 0), (own == 0) & (k % 13 == 0)
+    first = w.where(~missing).withColumns(
+        {"temperature_2m_c": F.when(wrong, F.col("temperature_2m_c") + 1000).otherwise(F.col("temperature_2m_c")),
+         "observation_timestamp": F.when(shifted, F.timestamp_add("DAY", F.lit(-3), t)).otherwise(t)},
+    )
+    s = in_order(spark, [first, w.where((own == 0) & (missing | wrong | shifted)), w.where((own == 1) & missing)])
+    run(s.writeStream.foreachBatch(L.maintain_sink(at, features.engineer_weather, 30, "temperature_2m_c", "temperature_2m_c")), at)
+    made, m = buckets.read(spark, f"{at}/features"), buckets.read(spark, f"{at}/moments")
+    spread = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / F.nullif(F.col("n") - 1, F.lit(0))))
+    m = m.select("lake_uid", "n", F.round("mean", 6).alias("mean"), F.round(spread, 6).alias("deviation"))
+    names = [*features.WEATHER, "temperature_change_1d", "temperature_change_7d"]
+    return alignment.rounded(made.select("observation_id", "lake_uid", *names), *names).join(m, "lake_uid")
+
+
 LAST = "2024-12-31"  # of a row that only moves the watermark past all others
 
 

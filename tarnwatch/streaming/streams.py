@@ -1,6 +1,6 @@
 """Streaming twins of the batch operators."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tarnwatch.functions.scalars import DAY_US
 from tarnwatch.operators import buckets as store
 from tarnwatch.operators import labels as L
+from tarnwatch.operators import maintain
 
 
 def deduplicated(stream: DataFrame, key: str = "observation_id", ts: str = "observation_timestamp", late: str = "2 days") -> DataFrame:
@@ -104,6 +105,15 @@ def upsert_sink(path: str, keys: list[str], order: str, buckets: int = 16):
     return run
 
 
+def maintain_sink(path: str, compute: Callable[[DataFrame], DataFrame], days: float, value: str, order: str, buckets: int = 16):
+    """A foreachBatch function that keeps observations, features and moments (operators.maintain) current as late rows come."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        maintain.absorb(batch, path, f"sink:{number}", compute, days, value, [F.col(order).desc()], buckets)
+
+    return run
+
+
 def affected(late: DataFrame, key: str = "lake_uid", ts: str = "observation_timestamp", days: int = 30) -> DataFrame:
     """(key, from, to): the span whose trailing features a late row changes."""
     return late.groupBy(key).agg(F.min(ts).alias("from"), F.timestamp_add("DAY", F.lit(days), F.max(ts)).alias("to"))
