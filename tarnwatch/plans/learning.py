@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tarnwatch.operators import ml, shift
+from tarnwatch.operators import boosting, ml, shift
 from tarnwatch.plans import standins as S
 from tarnwatch.plans.alignment import rounded
 from tarnwatch.plans.register import registry
@@ -72,6 +72,41 @@ def k09_boosted_trees(spark, d):
     return ranking(scored, []).select("positives", "negatives", (F.col("roc_auc") > 0.6).alias("better_than_chance"))
 
 
+def level_sql(table: str) -> str:
+    """The best split of each node of a table (node, g, h and the features), every value a bin of its own."""
+    return (
+        f"select * from (select node, feature, v as edge, missing_left, gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1) "
+        "as gain, row_number() over (partition by node order by round(gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1), "
+        "6) desc, feature, v, missing_left desc) as r from (select node, feature, v, missing_left, ga, ha, coalesce(gb, 0) + case when missing_left then "
+        "gm else 0 end as gl, coalesce(hb, 0) + case when missing_left then hm else 0 end as hl from (select *, sum(g) over f as ga, sum(h) over f as ha, "
+        "coalesce(sum(g) filter (v is null) over f, 0) as gm, coalesce(sum(h) filter (v is null) over f, 0) as hm, sum(g) filter (v is not null) over b "
+        "as gb, sum(h) filter (v is not null) over b as hb from (select node, feature, v, sum(g) as g, sum(h) as h from (select node, g, h, "
+        "unnest([0, 1, 2]) as feature, unnest([l_quantity::double, l_discount::double, digit::double]) as v from "
+        f"{table}) group by all) window f as (partition by node, feature), b as (partition by node, feature order by v nulls first rows between unbounded "
+        "preceding and 1 preceding)), unnest([true, false]) m(missing_left) where v is not null) where hl >= 1 and ha - hl >= 1) where r = 1"
+    )
+
+
+def side_sql() -> str:
+    return "case when x is null then case when missing_left then 1 else 2 end when x < edge then 1 else 2 end"
+
+
+# The first two levels of the first tree, gains and all.
+@query(
+    S.ctes("shifted") + ", r as (select l_quantity, l_discount, unit % 10 as digit, case when l_quantity + unit % 10 > 40 then 1 else 0 end as y from shifted), "
+    "m as (select avg(y) as p from r), r0 as (select 0 as node, r.*, p - y as g, p * (1 - p) as h from r, m), s0 as (" + level_sql("r0") + "), "
+    "r1 as (select " + side_sql() + " as node, l_quantity, l_discount, digit, g, h from (select r0.*, edge, missing_left, case s0.feature when 0 then "
+    "l_quantity when 1 then l_discount else digit end as x from r0, s0)), s1 as (" + level_sql("r1") + ") select node, ['l_quantity', 'l_discount', "
+    "'digit'][feature + 1] as feature, round(edge, 6) as edge, missing_left, round(gain, 4) as gain from (select * from s0 union all select * from s1) "
+    "where gain > 1e-6"
+)
+def k09_histogram_boosting(spark, d):
+    r = rows(spark, d).withColumn("digit", F.col("unit") % 10)
+    tree = boosting.fit(r, ["l_quantity", "l_discount", "digit"], trees=1, depth=2).trees[0]
+    made = [(k, f, round(e, 6), left, round(g, 4)) for k, (f, e, left, g) in tree.splits.items()]
+    return spark.createDataFrame(made, "node int, feature string, edge double, missing_left boolean, gain double")
+
+
 @query(
     "select 'XGB_d' || d || '_lr' || r || '_n' || n as model_name, 3 as complexity from unnest([2, 3, 4]) a(d), unnest(['0.03', "
     "'0.05', '0.1']) b(r), unnest([100, 200, 400]) c(n) union all select unnest(['LogisticRegression', "
