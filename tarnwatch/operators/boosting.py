@@ -55,7 +55,7 @@ def edges(df: DataFrame, features: list[str], bins: int) -> dict[str, list[float
 
 def binned(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     """df with _bin_<k> of the k-th feature of cuts: the number of edges at or below the value, one more than all if missing."""
-    values = df.withColumns({f"_x_{k}": F.col(f).cast("double") for k, f in enumerate(cuts)})
+    values = df.withColumns({f"_x_{k}": F.coalesce(F.col(f).cast("double"), F.lit(math.nan)) for k, f in enumerate(cuts)})
     n = range(len(cuts))
     b = Bucketizer(
         inputCols=[f"_x_{k}" for k in n], outputCols=[f"_bin_{k}" for k in n], handleInvalid="keep",

@@ -91,9 +91,9 @@ def side_sql() -> str:
     return "case when x is null then case when missing_left then 1 else 2 end when x < edge then 1 else 2 end"
 
 
-# The first two levels of the first tree, gains and all.
+# The first two levels of the first tree, gains and all; a third of the quantities is missing.
 @query(
-    S.ctes("shifted") + ", r as (select l_quantity, l_discount, unit % 10 as digit, case when l_quantity + unit % 10 > 40 then 1 else 0 end as y from shifted), "
+    S.ctes("shifted") + ", r as (select case when unit % 3 <> 0 then l_quantity end as l_quantity, l_discount, unit % 10 as digit, case when l_quantity + unit % 10 > 40 then 1 else 0 end as y from shifted), "
     "m as (select avg(y) as p from r), r0 as (select 0 as node, r.*, p - y as g, p * (1 - p) as h from r, m), s0 as (" + level_sql("r0") + "), "
     "r1 as (select " + side_sql() + " as node, l_quantity, l_discount, digit, g, h from (select r0.*, edge, missing_left, case s0.feature when 0 then "
     "l_quantity when 1 then l_discount else digit end as x from r0, s0)), s1 as (" + level_sql("r1") + ") select node, ['l_quantity', 'l_discount', "
@@ -101,7 +101,7 @@ def side_sql() -> str:
     "where gain > 1e-6"
 )
 def k09_histogram_boosting(spark, d):
-    r = rows(spark, d).withColumn("digit", F.col("unit") % 10)
+    r = rows(spark, d).withColumns({"digit": F.col("unit") % 10, "l_quantity": F.when(F.col("unit") % 3 != 0, F.col("l_quantity"))})
     tree = boosting.fit(r, ["l_quantity", "l_discount", "digit"], trees=1, depth=2).trees[0]
     made = [(k, f, round(e, 6), left, round(g, 4)) for k, (f, e, left, g) in tree.splits.items()]
     return spark.createDataFrame(made, "node int, feature string, edge double, missing_left boolean, gain double")
