@@ -1,5 +1,6 @@
 """Queries over streams: each reads a folder of files as a stream, runs to its end and returns what the sink holds."""
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -34,9 +35,13 @@ def source(spark, d):
 def in_order(spark, parts):
     """A stream of the given tables, one a batch, in this order."""
     at = folder(spark, "arrivals-" + uuid.uuid4().hex)
+    start = int(time.time() * 1000) - 60_000
     for k, p in enumerate(parts):
-        # a later folder is a later file: the source reads files by time of change, then by name
         p.coalesce(1).write.parquet(f"{at}/part={k}")
+        # the source reads files by time of change, which a file system may keep in whole seconds
+        fs, folder_ = buckets.file_system(spark, f"{at}/part={k}")
+        for f in fs.listStatus(folder_):
+            fs.setTimes(f.getPath(), start + 2000 * k, -1)
     s = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
     return s.parquet(at)
 
