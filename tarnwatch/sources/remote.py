@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tarnwatch.functions.ranges import numbered
+from tarnwatch.functions.storage import stored
 
 GRANULE = "granule_id string, product string, start string, stop string, url string"
 
@@ -180,13 +181,36 @@ def tile_rows(lake_uid: str, scene_id: str, ts: str, bands: list) -> tuple:
     return (lake_uid, scene_id, ts, height, width, *([float(v) for row in b for v in row] for b in bands))
 
 
+def asked(spark: SparkSession, ask: Callable[[int], Iterable[list[tuple]]], n: int, schema: str, name: str) -> DataFrame:
+    """The rows that ask(k) gives page by page for k from 0 to n - 1, asked once by tasks and written: only numbers leave the driver."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def read(batches):
+        import pandas as pd
+
+        for t in batches:
+            for k in t.id:
+                for page in ask(int(k)):
+                    yield pd.DataFrame(page, columns=names)
+
+    tasks = min(n, max(spark.sparkContext.defaultParallelism, -(-n // 64)))
+    return stored(spark.range(0, n, 1, max(tasks, 1)).mapInPandas(read, schema), name)
+
+
 def granules(
     spark: SparkSession, search: Callable[[dict], list], product: str, version: str, box: tuple, start: str, stop: str,
+    pages: int | None = None,
 ) -> DataFrame:
-    """A granule search's answers as GRANULE rows; those without a time are rejected."""
-    found = retried(lambda: search({"short_name": product, "version": version, "bounding_box": box, "temporal": (start, stop)}))
-    rows = [(g.get("id"), product, g.get("start"), g.get("stop"), g.get("url")) for g in found]
-    return with_time(spark.createDataFrame(rows, GRANULE))
+    """A granule search's answers as GRANULE rows; those without a time are rejected.
+
+    With `pages` (as many as the service's hits make), each is asked for by a task, as page_num from 1 on, so search must be a
+    function that can be sent there; without, the one answer comes to the driver.
+    """
+    query = {"short_name": product, "version": version, "bounding_box": box, "temporal": (start, stop)}
+    rows = lambda found: [(g.get("id"), product, g.get("start"), g.get("stop"), g.get("url")) for g in found]
+    if pages is None:
+        return with_time(spark.createDataFrame(rows(retried(lambda: search(query))), GRANULE))
+    return with_time(asked(spark, lambda k: [rows(retried(lambda: search(query | {"page_num": k + 1})))], pages, GRANULE, "granules"))
 
 
 def features_by_id(spark: SparkSession, query: Callable[[dict], dict], size: int = 500) -> DataFrame:

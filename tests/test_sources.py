@@ -67,6 +67,21 @@ def test_granules_and_features(spark):
     assert spark.createDataFrame([row], remote.TILE).first().green == [1.0, 2.0, 3.0, 4.0]
 
 
+def test_granule_pages_are_asked_for_by_tasks(spark):
+    import os
+
+    driver = os.getpid()
+
+    def search(q):
+        n = q["page_num"]
+        return [{"id": f"g{n}-{k}", "start": None if k == 1 else "2024-01-01", "url": str(os.getpid())} for k in range(n)]
+
+    got = remote.granules(spark, search, "P", "1", (0, 0, 1, 1), "x", "y", 5).collect()
+    assert sorted(r.granule_id for r in got) == sorted(f"g{n}-{k}" for n in range(1, 6) for k in range(n) if k != 1)
+    assert str(driver) not in {r.url for r in got}
+    assert remote.granules(spark, search, "P", "1", (0, 0, 1, 1), "x", "y", 0).count() == 0
+
+
 def test_sinks(spark, tmp_path):
     p = [[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 1.0, "y": 2.0}]]
     t = spark.createDataFrame([(1, p)], f"id long, polygon {tables.RINGS}")
