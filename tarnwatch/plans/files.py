@@ -29,11 +29,12 @@ def place(spark, name):
     return path
 
 
-def page_rows(uri):
-    """A Parquet file's rows, read within a task."""
+def page_rows(path, system=None):
+    """A Parquet file's rows, read within a task; path is a URI where no file system is given."""
     from pyarrow import fs, parquet
 
-    system, path = fs.FileSystem.from_uri(uri)
+    if system is None:
+        system, path = fs.FileSystem.from_uri(path)
     with system.open_input_file(path) as f:
         return parquet.read_table(f).to_pylist()
 
@@ -193,22 +194,33 @@ def a10_download(spark, d):
 
 @query("select s_suppkey::varchar as scene_id, 'l2' as collection, s_acctbal as cloud_cover from supplier")
 def a12_catalogue(spark, d):
-    """All pages of a search of 30 items each."""
-    rows = [
-        (str(r.s_suppkey), r.s_acctbal) for r in S.table(spark, d, "supplier").select("s_suppkey", "s_acctbal").orderBy("s_suppkey").collect()
-    ]
+    """All pages of searches of 30 items each, a day a search. The service's items lie in files of 100 pages, a folder a day."""
+    at = folder(spark, "a12-" + uuid.uuid4().hex)
+    s = S.table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("cloud"), F.pmod("s_suppkey", F.lit(31)).alias("day"))
+    s = s.repartition("day").sortWithinPartitions("day", "s_suppkey")
+    s.write.option("maxRecordsPerFile", 3000).partitionBy("day").parquet(at)
+    days = [f"2024-01-{k + 1:02d}" for k in range(31)]
 
     def search(body):
-        n = body.get("page", 0)
+        from pyarrow import fs
+
+        n, day = body.get("page", 0), body["datetime"][:10]
+        system, path = fs.FileSystem.from_uri(f"{at}/day={days.index(day)}")
+        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet"))
+        rows = page_rows(files[n // 100], system) if files else []
+        first = 30 * (n % 100)
         items = [
             {
-                "id": i, "collection": body["collections"][0], "bbox": [0, 0, 1, 1],
-                "properties": {"datetime": "2024-01-01", "eo:cloud_cover": c},
-            } for i, c in rows[30 * n : 30 * n + 30]
+                "id": str(r["s_suppkey"]), "collection": body["collections"][0], "bbox": [0, 0, 1, 1],
+                "properties": {"datetime": f"{day}T12:00:00Z", "eo:cloud_cover": r["cloud"]},
+            } for r in rows[first : first + 30]
         ]
-        return {"features": items, "links": [{"rel": "next", "body": {"page": n + 1}}] if 30 * n + 30 < len(rows) else []}
+        more = first + 30 < len(rows) or n // 100 + 1 < len(files)
+        return {"features": items, "links": [{"rel": "next", "body": {"page": n + 1}}] if more else []}
 
-    return remote.scenes(spark, search, (0, 0, 1, 1), "2024-01-01", "2024-02-01", "l2").select("scene_id", "collection", "cloud_cover")
+    spans = list(zip(days, [*days[1:], "2024-02-01"], strict=True))
+    found = remote.scenes(spark, search, (0, 0, 1, 1), "2024-01-01", "2024-02-01", "l2", 30, spans)
+    return found.select("scene_id", "collection", "cloud_cover")
 
 
 @query("select k as call, cast(k // 4 + 1 as varchar) as token from range(12) r(k)")

@@ -128,18 +128,31 @@ class Token:
         return self.value
 
 
+def asked(spark: SparkSession, ask: Callable[[int], Iterable[list[tuple]]], n: int, schema: str, name: str) -> DataFrame:
+    """The rows that ask(k) gives page by page for k from 0 to n - 1, asked once by tasks and written: only numbers leave the driver."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def read(batches):
+        import pandas as pd
+
+        for t in batches:
+            for k in t.id:
+                for page in ask(int(k)):
+                    yield pd.DataFrame(page, columns=names)
+
+    tasks = min(n, max(spark.sparkContext.defaultParallelism * 4, -(-n // 64)))
+    return stored(spark.range(0, n, 1, max(tasks, 1)).mapInPandas(read, schema), name)
+
+
 SCENE = "scene_id string, collection string, datetime string, cloud_cover double, west double, south double, east double, north double"
 
 
-def scenes(
-    spark: SparkSession, search: Callable[[dict], dict], box: tuple, start: str, stop: str, collection: str, limit: int = 100,
-    most_pages: int = 1000,
-) -> DataFrame:
-    """A STAC catalogue's items in a box and time span, all pages (search: a request's body -> a FeatureCollection)."""
-    # Fixed values of the service: the fields of a search.
-    body, rows = {"collections": [collection], "bbox": list(box), "datetime": f"{start}/{stop}", "limit": limit}, []
-    for _ in range(most_pages):
-        page = retried(lambda body=body: search(body))
+def found_pages(search: Callable[[dict], dict], body: dict) -> Iterable[list[tuple]]:
+    """A search's pages of SCENE rows, each named by the one before, to the last; one that is named twice would never end."""
+    seen = set()
+    while body is not None:
+        seen.add(hash(repr(body)))
+        page, rows = retried(lambda body=body: search(body)), []
         for f in page.get("features", []):
             p, b = f.get("properties", {}), f.get("bbox") or [None] * 4
             rows.append(
@@ -149,11 +162,27 @@ def scenes(
                     *[None if v is None else float(v) for v in (b[:2] + b[-2:])[:4]],
                 )
             )
+        yield rows
         after = next((x for x in page.get("links", []) if x.get("rel") == "next"), None)
-        if after is None:
-            return spark.createDataFrame(rows, SCENE)
-        body = body | after.get("body", {"next": after.get("href")})
-    raise RuntimeError(f"the catalogue has more than {most_pages} pages: narrow the box or the span")
+        body = None if after is None else body | after.get("body", {"next": after.get("href")})
+        if body is not None and hash(repr(body)) in seen:
+            raise RuntimeError("the catalogue names a page again that was read already")
+
+
+def scenes(
+    spark: SparkSession, search: Callable[[dict], dict], box: tuple, start: str, stop: str, collection: str, limit: int = 100,
+    spans: list[tuple[str, str]] | None = None,
+) -> DataFrame:
+    """A STAC catalogue's items in a box and time span, all pages (search: a request's body -> a FeatureCollection).
+
+    A page is named by the one before, so a span is one task, which writes page by page; `spans` cut the time into several, each
+    with pages of its own. An item on the border of two spans is a row once.
+    """
+    # Fixed values of the service: the fields of a search.
+    cut = spans or [(start, stop)]
+    body = {"collections": [collection], "bbox": list(box), "limit": limit}
+    rows = asked(spark, lambda k: found_pages(search, body | {"datetime": "/".join(cut[k])}), len(cut), SCENE, "scenes")
+    return rows.dropDuplicates() if len(cut) > 1 else rows
 
 
 def process_request(
@@ -181,22 +210,6 @@ def tile_rows(lake_uid: str, scene_id: str, ts: str, bands: list) -> tuple:
     return (lake_uid, scene_id, ts, height, width, *([float(v) for row in b for v in row] for b in bands))
 
 
-def asked(spark: SparkSession, ask: Callable[[int], Iterable[list[tuple]]], n: int, schema: str, name: str) -> DataFrame:
-    """The rows that ask(k) gives page by page for k from 0 to n - 1, asked once by tasks and written: only numbers leave the driver."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def read(batches):
-        import pandas as pd
-
-        for t in batches:
-            for k in t.id:
-                for page in ask(int(k)):
-                    yield pd.DataFrame(page, columns=names)
-
-    tasks = min(n, max(spark.sparkContext.defaultParallelism, -(-n // 64)))
-    return stored(spark.range(0, n, 1, max(tasks, 1)).mapInPandas(read, schema), name)
-
-
 def granules(
     spark: SparkSession, search: Callable[[dict], list], product: str, version: str, box: tuple, start: str, stop: str,
     pages: int | None = None,

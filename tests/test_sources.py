@@ -2,6 +2,7 @@
 
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarnwatch.operators import geo
@@ -67,6 +68,27 @@ def test_granules_and_features(spark):
     assert spark.createDataFrame([row], remote.TILE).first().green == [1.0, 2.0, 3.0, 4.0]
 
 
+def test_scene_search_has_no_last_page_but_the_services(spark):
+    """More than 1,000 pages, spans that share an item on their border, and pages that go round."""
+    item = lambda i, day: {"id": i, "collection": "c", "bbox": [1, 2, 3, 4], "properties": {"datetime": day}}
+
+    def search(body):
+        n, (lo, hi) = body.get("page", 0), body["datetime"].split("/")
+        own = [item(f"{lo}-{n}", lo), *([item("border", "2024-01-02")] if n == 0 else [])]
+        return {"features": own, "links": [{"rel": "next", "body": {"page": n + 1}}] if n < 1100 else []}
+
+    spans = [("2024-01-01", "2024-01-02"), ("2024-01-02", "2024-01-03")]
+    got = remote.scenes(spark, search, (0, 0, 1, 1), "2024-01-01", "2024-01-03", "c", 1, spans)
+    assert got.count() == 2 * 1101 + 1 and got.where("scene_id = 'border'").count() == 1
+    assert remote.scenes(spark, search, (0, 0, 1, 1), "2024-01-01", "2024-01-02", "c").count() == 1102
+
+    def turning(body):
+        return {"features": [], "links": [{"rel": "next", "body": {"page": (body.get("page", 0) + 1) % 3}}]}
+
+    with pytest.raises(Exception, match="names a page again"):
+        remote.scenes(spark, turning, (0, 0, 1, 1), "2024-01-01", "2024-01-02", "c").count()
+
+
 def test_granule_pages_are_asked_for_by_tasks(spark):
     import os
 
