@@ -5,11 +5,11 @@ an equi-join; exact predicates then decide.
 """
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwatch.functions.ranges import numbered
 from tarnwatch.functions.scalars import col, haversine_km, mercator_x, mercator_y, zfill
+from tarnwatch.functions.storage import stored
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -91,20 +91,16 @@ def cells(x, y, size: float, reach: int = 0) -> Column:
     return F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in offsets for j in offsets])
 
 
-def within_distance(
-    a: DataFrame, b: DataFrame, metres: float, metric: str = "mercator", a_id: str = "a_id", b_id: str = "b_id",
-) -> DataFrame:
-    """(a columns, b columns, distance_m) of points (lat, lon) at most `metres` apart, inclusive.
+def near_places(a: DataFrame, b: DataFrame, metres: float, metric: str = "mercator") -> DataFrame:
+    """(a_lat, a_lon, b_lat, b_lon, distance_m): the different places of a and of b at most `metres` apart, each pair once.
 
-    a holds a_id, a_lat, a_lon; b holds b_id, b_lat, b_lon. Each b stands in its own cell, each a looks in nine.
-    Mercator distances are inflated by 1 / cos(lat); metric 'haversine' gives true ones. Its cells are Mercator too, of a
-    size that covers the distance up to 85 degrees.
+    Each place of b stands in its own cell, each of a looks in nine. However many points share a place, it is met once.
     """
     xy = lambda p: {"_x": mercator_x(f"{p}_lon"), "_y": mercator_y(f"{p}_lat")}
     # a true distance spans at most metres / cos(lat); both ends' stretch is bounded by the point's own cell size
     size = metres if metric == "mercator" else metres * 12
-    left = a.withColumns(xy("a")).withColumn("_cell", F.explode(cells("_x", "_y", size, 1)))
-    right = b.withColumns(xy("b")).withColumnsRenamed({"_x": "_bx", "_y": "_by"}).withColumn(
+    left = a.select("a_lat", "a_lon").distinct().withColumns(xy("a")).withColumn("_cell", F.explode(cells("_x", "_y", size, 1)))
+    right = b.select("b_lat", "b_lon").distinct().withColumns(xy("b")).withColumnsRenamed({"_x": "_bx", "_y": "_by"}).withColumn(
         "_cell", F.get(cells("_bx", "_by", size), F.lit(0)),
     )
     met = left.join(right, "_cell")
@@ -113,22 +109,53 @@ def within_distance(
     return met.withColumn("distance_m", d).where(F.col("distance_m") <= metres).drop("_cell", "_x", "_y", "_bx", "_by")
 
 
+def dealt(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """rows with what was found at their places, dealt by place to many tasks: the result is larger than both sides, so neither
+    their sizes nor a broadcast may set the number of tasks."""
+    spark = rows.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, *on).join(found.repartition(tasks, *on).hint("merge"), on)
+
+
+def within_distance(
+    a: DataFrame, b: DataFrame, metres: float, metric: str = "mercator", a_id: str = "a_id", b_id: str = "b_id",
+) -> DataFrame:
+    """(a columns, b columns, distance_m) of points (lat, lon) at most `metres` apart, inclusive.
+
+    a holds a_id, a_lat, a_lon; b holds b_id, b_lat, b_lon. Places meet, then their points are listed: only the result grows with
+    the number of pairs. Mercator distances are inflated by 1 / cos(lat); metric 'haversine' gives true ones. Its cells are
+    Mercator too, of a size that covers the distance up to 85 degrees.
+    """
+    met = near_places(a, b, metres, metric).join(b, ["b_lat", "b_lon"])
+    return dealt(a, met, ["a_lat", "a_lon"]).select(*a.columns, *b.columns, "distance_m")
+
+
 def near_duplicates(points: DataFrame, metres: float = 50.0, order: str = "idx", metric: str = "mercator") -> DataFrame:
-    """points (id, idx, lat, lon) plus duplicate_of: the earliest row at most `metres` away, for later rows."""
-    side = lambda p: points.select(
-        F.col("id").alias(f"{p}_id"), F.col(order).alias(f"{p}_idx"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"),
+    """points (id, idx, lat, lon) plus duplicate_of: the earliest row at most `metres` away, for later rows.
+
+    The earliest row of a place stands for it: what is the earliest row near a place is so for each of its rows that is later.
+    """
+    side = lambda p: points.select(F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"))
+    earliest = points.where(F.col(order).isNotNull()).groupBy(F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")).agg(
+        F.min(F.struct(F.col(order).alias("at"), F.col("id").alias("of"))).alias("_m"),
     )
-    met = within_distance(side("a"), side("b"), metres, metric).where("b_idx < a_idx")
-    first = met.groupBy("a_id").agg(F.min_by("b_id", "b_idx").alias("duplicate_of"))
-    return points.join(first, points.id == first.a_id, "left").drop("a_id")
+    met = near_places(side("a"), side("b"), metres, metric).join(earliest, ["b_lat", "b_lon"])
+    first = met.groupBy(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).agg(F.min("_m").alias("_m"))
+    later = F.when(F.col("_m.at") < F.col(order), F.col("_m.of"))
+    return points.join(first, ["lat", "lon"], "left").select(*points.columns, later.alias("duplicate_of"))
 
 
 def nearest(a: DataFrame, b: DataFrame, metres: float, metric: str = "mercator") -> DataFrame:
-    """Each a with its nearest b at most `metres` away (ties by b_id); NULLs where there is none."""
-    met = within_distance(a, b, metres, metric)
-    w = W.partitionBy("a_id").orderBy("distance_m", "b_id")
-    best = met.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("a_id", "b_id", "distance_m")
-    return a.join(best, "a_id", "left")
+    """Each a with its nearest b at most `metres` away (ties by b_id); NULLs where there is none.
+
+    The least b_id of a place stands for it, and all points of a place have one nearest.
+    """
+    least = b.groupBy("b_lat", "b_lon").agg(F.min("b_id").alias("b_id"))
+    met = near_places(a, b, metres, metric).join(least, ["b_lat", "b_lon"])
+    best = met.groupBy("a_lat", "a_lon").agg(F.min(F.struct("distance_m", "b_id")).alias("_m")).select(
+        "a_lat", "a_lon", F.col("_m.b_id").alias("b_id"), F.col("_m.distance_m").alias("distance_m"),
+    )
+    return a.join(best, ["a_lat", "a_lon"], "left").select(*a.columns, "b_id", "distance_m")
 
 
 def listed(df: DataFrame, polygon: str, size: float, reach: float = 0.0) -> DataFrame:
@@ -139,31 +166,48 @@ def listed(df: DataFrame, polygon: str, size: float, reach: float = 0.0) -> Data
     return d.withColumn("_cell", F.struct(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))).drop("_cx", "_cy")
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 0.25) -> DataFrame:
-    """(point_id, polygon_id) of points (point_id, x, y) in polygons (polygon_id, polygon).
+def places_in_shapes(points: DataFrame, shapes: DataFrame, size: float = 0.25) -> DataFrame:
+    """(x, y, shape) of the different places of points (x, y) in shapes (shape, polygon).
 
-    Points and bounding boxes meet in adaptive cells (quadtree); sides are rows, of which an odd number is crossed inside.
+    Places and bounding boxes meet in adaptive cells (quadtree); sides are rows, of which an odd number is crossed inside.
     """
     from tarnwatch.operators import quadtree
 
-    p = points.select(
-        "point_id", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
+    p = points.where("x is not null and y is not null").select("x", "y").distinct()
+    p = p.withColumns({"_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")})
     box = bounds("polygon")
-    b = polygons.select(
-        "polygon_id", quadtree.sides(F.col("polygon")).alias("_sides"), box["min_x"].alias("_x0"), box["max_x"].alias("_x1"), box["min_y"].alias("_y0"),
-        box["max_y"].alias("_y1"), F.monotonically_increasing_id().alias("_of"),
+    b = shapes.select(
+        "shape", quadtree.sides(F.col("polygon")).alias("_sides"), box["min_x"].alias("_x0"), box["max_x"].alias("_x1"),
+        box["min_y"].alias("_y0"), box["max_y"].alias("_y1"),
     )
-    met = quadtree.meet(p.where("_x is not null and _y is not null"), b, size).withColumn("_side", F.explode("_sides"))
+    met = quadtree.meet(p, b, size).withColumn("_side", F.explode("_sides"))
     odd = F.count_if(quadtree.crosses(F.col("_side"), F.col("_x"), F.col("_y"))) % 2 == 1
-    return met.groupBy("point_id", "polygon_id", "_row", "_of").agg(odd.alias("inside")).where("inside").select("point_id", "polygon_id")
+    return met.groupBy("x", "y", "shape").agg(odd.alias("inside")).where("inside").select("x", "y", "shape")
+
+
+def shapes_of(polygons: DataFrame, polygon: str = "polygon") -> tuple[DataFrame, DataFrame]:
+    """(shape, polygon) of the different polygons, numbered and written, and polygons with their shape instead of the corners."""
+    s = polygons.where(F.col(polygon).isNotNull()).select(polygon).distinct()
+    s = stored(s.select(F.monotonically_increasing_id().alias("shape"), polygon), "shapes")
+    return s, polygons.join(s, polygon).drop(polygon)
+
+
+def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 0.25) -> DataFrame:
+    """(point_id, polygon_id) of points (point_id, x, y) in polygons (polygon_id, polygon).
+
+    Different places meet different polygons; then the ids of both are listed, so that only the result grows with the number of pairs.
+    """
+    shapes, named = shapes_of(polygons.select("polygon_id", "polygon"))
+    held = places_in_shapes(points, shapes, size).join(named, "shape").select("x", "y", "polygon_id")
+    return dealt(points.select("point_id", "x", "y"), held, ["x", "y"]).select("point_id", "polygon_id")
 
 
 def first_region(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Every point with the first polygon (by id) that holds it, or NULL."""
-    hit = point_in_polygon(points, polygons).groupBy("point_id").agg(F.min("polygon_id").alias("region"))
-    return points.join(hit, "point_id", "left")
+    shapes, named = shapes_of(polygons.select("polygon_id", "polygon"))
+    first = named.groupBy("shape").agg(F.min("polygon_id").alias("polygon_id"))
+    hit = places_in_shapes(points, shapes).join(first, "shape").groupBy("x", "y").agg(F.min("polygon_id").alias("region"))
+    return points.join(hit, ["x", "y"], "left").select(*points.columns, "region")
 
 
 def link_epochs(old: DataFrame, new: DataFrame, metres: float = 200.0, prefix: str = "TARN_") -> DataFrame:
