@@ -128,7 +128,7 @@ def beyond(middles: DataFrame, others: DataFrame) -> DataFrame:
     m = middles.withColumns({"ua": up("a"), "ub": up("b"), "mx": (F.col("ax") + F.col("bx")) / 2}).withColumn("mu", (F.col("ua") + F.col("ub")) / 2)
     m = m.join(span, "id").withColumn("_s", strip(F.col("mu"))).drop("_lo", "_of", "_n")
     o = o.join(span, "id").withColumn("_s", F.explode(F.sequence(strip(F.least("ua", "ub")), strip(F.greatest("ua", "ub"))))).drop("_lo", "_of", "_n")
-    met = m.join(o.withColumnsRenamed({c: f"o_{c}" for c in o.columns if c not in ("id", "_s")}), ["id", "_s"])
+    met = geo.dealt(m, o.withColumnsRenamed({c: f"o_{c}" for c in o.columns if c not in ("id", "_s")}), ["id", "_s"])
     same = (F.col("o_ax") == F.col("ax")) & (F.col("o_ay") == F.col("ay")) & (F.col("o_bx") == F.col("bx")) & (F.col("o_by") == F.col("by"))
     x = F.col("o_ax") + F.try_divide(F.col("mu") - F.col("o_ua"), F.col("o_ub") - F.col("o_ua")) * (F.col("o_bx") - F.col("o_ax"))
     crossed = ((F.col("o_ua") > F.col("mu")) != (F.col("o_ub") > F.col("mu"))) & (x > F.col("mx"))
@@ -277,8 +277,9 @@ def dissolve(df: DataFrame, by: list[str], polygon: str = "polygon", digits: int
     Edges, not polygons, meet: within cells where they cross, within strips where their flanks are looked at. One group is as many
     tasks as it has cells and strips; only the points of one outline come together in a row. A polygon's own inside is what an
     odd number of its rings covers. Corners are rounded to `digits`. NULL polygons count for nothing; groups with no area have
-    no row.
+    no row. Equal polygons of a group count once, as their union is one of them.
     """
+    df = df.select(*by, polygon).where(F.col(polygon).isNotNull()).distinct()
     p = df.select(F.struct(F.struct(*by).alias("g"), F.monotonically_increasing_id().alias("owner")).alias("id"), F.col(polygon).alias("polygon"))
     e = edge_rows(p, "id", "polygon", digits).select(F.col("id.g").alias("id"), F.col("id.owner").alias("owner"), "ring", "x0", "y0", "x1", "y1")
     e = stored(e.withColumn("edge", F.monotonically_increasing_id()), "edges")
