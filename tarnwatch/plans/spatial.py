@@ -485,7 +485,7 @@ def j02_merged_events(spark, d):
 )
 def j02_reconciliation(spark, d):
     r = records(spark, d)
-    return resolve.reconciliation(resolve.leaders(r, resolve.pair_scores(r, only_absorbing=True)), resolve.pair_scores(r))
+    return resolve.reconciliation(r, resolve.leaders(r, resolve.pair_scores(r, only_absorbing=True)))
 
 
 TILES = "tiles as (select user_id as tile, list(cast(floor(value) as int) order by event_id) as g, list(cast(event_id % 60 as int) order by event_id) as s, list(cast(event_id % 12 as int) order by event_id) as c from events group by 1)"

@@ -110,3 +110,37 @@ def test_equal_polygons_dissolve_as_one(spark):
     t = polygons(spark, 40_000).selectExpr("polygon_id % 2 as g", "polygon")
     got = edges.dissolve(t, ["g"]).select("g", F.round(geo.area("polygon"), 9)).collect()
     assert sorted(r[:] for r in got) == [(0, 0.0036), (1, 0.0036)]
+
+
+def test_pair_scores_equal_the_loop(spark):
+    """Each pair once, whatever of date, name and place it shares; no join puts a date or a name into one task."""
+    from datetime import date
+
+    rnd = random.Random(4)
+    pick = lambda *c: rnd.choice(c)
+    rows = [
+        (k, pick(None, date(2000, 1, 1), date(2000, 6, 1), date(2001, 1, 1)), pick(None, 27.0, 27.01, 27.06), 86.0 + pick(0, 0.05), pick(None, "unknown", "Lake a", "Lake b"))
+        for k in range(60)
+    ]
+    e = spark.createDataFrame(rows, "idx long, event_date date, latitude double, longitude double, lake_name string")
+
+    def km(a, b):
+        if a[2] is None or b[2] is None:
+            return math.inf
+        p, q = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(h))
+
+    want = []
+    for a in rows:
+        for b in rows[a[0] + 1 :]:
+            d, both = km(a, b), None not in (a[1], b[1])
+            name = a[4] == b[4] and str(a[4]).startswith("Lake")
+            score = (3 if d < 2 else 1 if d < 10 else 0) + (4 if both and a[1] == b[1] else 2 if both and a[1].year == b[1].year else 0) + 3 * name
+            if score >= 3:
+                want.append((a[0], b[0], score, score >= 6 or d < 2 and both and a[1] == b[1]))
+    assert sorted(r[:] for r in resolve.pair_scores(e).collect()) == want
+    absorbing = [(i, j) for i, j, _, x in want if x]
+    assert sorted((r.i, r.j) for r in resolve.pair_scores(e, only_absorbing=True).collect()) == absorbing
+    plan = resolve.pair_scores(e)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_salt") > 0 and "dropDuplicates" not in plan
