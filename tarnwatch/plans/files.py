@@ -353,19 +353,22 @@ def rasters(spark, d, suffix, encode):
     at = folder(spark, "raster-" + uuid.uuid4().hex)
 
     def write(batches):
-        import pandas as pd
+        import pyarrow as pa
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(at)
         system.create_dir(path)
         for t in batches:
-            for tile, p in zip(t.tile, t.p, strict=True):
-                bands = np.array([[[x["a"] for x in p]], [[x["b"] for x in p]]], np.float32)
+            pixels = t.column("p")
+            ends = np.cumsum([0, *(n or 0 for n in pixels.value_lengths().to_pylist())])
+            _, one, two = (c.to_numpy(zero_copy_only=False) for c in pixels.flatten().flatten())
+            for tile, lo, hi in zip(t.column("tile").to_pylist(), ends, ends[1:]):
+                bands = np.array([[one[lo:hi]], [two[lo:hi]]], np.float32)
                 with system.open_output_stream(f"{path}/{tile}.{suffix}", compression=None) as f:
                     f.write(encode(bands))
-            yield pd.DataFrame({"tile": t.tile})
+            yield pa.RecordBatch.from_arrays([t.column("tile")], ["tile"])
 
-    e.mapInPandas(write, "tile long").count()
+    e.mapInArrow(write, "tile long").count()
     return at
 
 

@@ -215,3 +215,12 @@ def test_grids_of_all_formats(spark, tmp_path):
     assert got["b.nc", "t2m"]["values"][0] is None and t.where(F.col("variable") == "t2m").count() == 1
     with pytest.raises(ValueError):
         R.variables(b"plain text")
+
+
+def test_rows_leave_before_all_files_are_read(spark, tmp_path, monkeypatch):
+    """A batch of files is not held whole as Python numbers."""
+    for k in range(6):
+        (tmp_path / f"{k}.tif").write_bytes(R.write_tiff(np.full((2, 1, 50), float(k), np.float32)))
+    monkeypatch.setattr(R, "VALUES", 120)
+    t = R.grids(spark, f"file://{tmp_path}")
+    assert sorted((r.path[-5], r.variable, sum(r["values"])) for r in t.collect()) == [(str(k), f"band{b}", 50.0 * k) for k in range(6) for b in (1, 2)]
