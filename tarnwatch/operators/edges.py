@@ -47,6 +47,7 @@ def crossings(edges: DataFrame, digits: int = DIGITS) -> DataFrame:
     """(id, edge, t, x, y, bad): where edges are to be cut, t along the edge, and whether that cut shows an invalid polygon.
 
     Every pair of edges that share a cell is looked at: where they cross, where one's end lies on the other, where they overlap.
+    Cells are dealt to many tasks, however few bytes the edges are.
     """
     f = edges.join(frames(edges), "id")
     cell = "cast(greatest(0, least(_n - 1, floor(({v} - {b}) / {s}))) as int)"
@@ -61,7 +62,7 @@ def crossings(edges: DataFrame, digits: int = DIGITS) -> DataFrame:
     c = f.select("id", "ring", "edge", "x0", "y0", "x1", "y1", F.explode(cells).alias("_cell"))
     b = c.select("id", "_cell", *[F.col(n).alias(f"b_{n}") for n in ("ring", "edge", "x0", "y0", "x1", "y1")])
     near = "least(x0, x1) <= greatest(b_x0, b_x1) and least(b_x0, b_x1) <= greatest(x0, x1) and least(y0, y1) <= greatest(b_y0, b_y1) and least(b_y0, b_y1) <= greatest(y0, y1)"
-    m = c.join(b, ["id", "_cell"]).where(f"edge < b_edge and {near}").drop("_cell").distinct()
+    m = geo.dealt(c, b, ["id", "_cell"]).where(f"edge < b_edge and {near}").drop("_cell").distinct()
     m = m.selectExpr("*", "x1 - x0 as rx", "y1 - y0 as ry", "b_x1 - b_x0 as sx", "b_y1 - b_y0 as sy", "b_x0 - x0 as dx", "b_y0 - y0 as dy")
     m = m.selectExpr(
         "*", "rx * sy - ry * sx as k", "sqrt((rx * rx + ry * ry) * (sx * sx + sy * sy)) as kk", "rx * rx + ry * ry as rr",

@@ -1,9 +1,11 @@
 """Repair of polygons whose areas are known, and of random ones against even-odd areas from a fine raster."""
 
 import random
+import re
 
 import pytest
 
+from tarnwatch.functions.storage import stored
 from tarnwatch.operators import edges, overlay
 
 POLYGONS = "id long, polygon array<array<struct<x:double,y:double>>>"
@@ -108,3 +110,13 @@ def test_random_unions(spark):
 def test_nothing(spark):
     assert edges.dissolve(spark.createDataFrame([], GROUPED), ["g"]).count() == 0
     assert edges.repair(spark.createDataFrame([], POLYGONS)).count() == 0
+
+
+def test_edges_of_small_files_meet_in_many_tasks(spark):
+    """Few bytes of edges make many pairs: neither a broadcast nor the file's one split may make them one task."""
+    squares = [(k, [[(0.0, 0.0), (1.0 + k, 1.0), (1.0 + k, 0.0), (0.0, 1.0)]]) for k in range(64)]
+    e = stored(edges.edge_rows(spark.createDataFrame(rows(squares), POLYGONS)).coalesce(1), "one-file")
+    made = edges.crossings(e)
+    met = made._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[id#\d+L?, _cell#", met) and met.count("REPARTITION_BY_NUM") == 2
+    assert made.select("id").distinct().count() == 64
