@@ -139,3 +139,24 @@ def test_no_later_row_changes_a_feature(spark):
     more = [("a", 50 + d, f"2024-01-{d:02d} 12:00:00", 1e6, 9.0) for d in range(10, 20)]
     alone, both = streamed(spark, frame(spark, first)), streamed(spark, frame(spark, first + more))
     assert rows(both.where("observation_id < 50")) == rows(alone)
+
+
+class Counted:
+    """Stands for a handle and its states; counts the calls that would cross to the JVM."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def __getattr__(self, name):
+        def call(*_):
+            self.calls += 1
+            return False if name == "containsKey" else None
+
+        return (lambda *_: self) if name.endswith("State") else call
+
+
+def test_a_batch_of_many_days_takes_few_state_calls():
+    made, state = T.Trailing(["_v0"], {"m": ("mean", "_v0", 30)}, {}, "struct<t:bigint,id:bigint,_v0:double>"), Counted()
+    made.init(state)
+    rows = [{"_t": d * 86_400_000_000, "_id": d, "_v0": 1.0} for d in range(30)]
+    assert list(made.handleInputRows(("a",), iter(rows), None)) == [] and state.calls <= 4
