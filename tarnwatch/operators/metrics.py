@@ -32,11 +32,16 @@ def rates(counts: DataFrame, null_if_one_class: bool = False) -> DataFrame:
     return counts.withColumns({n: F.when(both, c) for n, c in made.items()})
 
 
-def ranking(df: DataFrame, by: list[str], y: str = "true_label", p: str = "predicted_probability") -> DataFrame:
+def ranking(
+    df: DataFrame, by: list[str], y: str = "true_label", p: str = "predicted_probability", rows: str | None = None,
+) -> DataFrame:
     """roc_auc (ties count half) and pr_auc (average precision, tied scores one step); NULL without both classes, or
-    without a positive. Rows are summed by score first; running counts then go over ranges of distinct scores."""
+    without a positive. Rows are summed by score first; running counts then go over ranges of distinct scores. rows: a column of
+    how many rows each stands for."""
+    n = F.col(rows) if rows else F.lit(1)
     s = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_s")).agg(
-        F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) != 1).alias("_neg"),
+        F.sum(F.when(F.col(y) == 1, n).otherwise(0)).cast("long").alias("_pos"),
+        F.sum(F.when(F.col(y) != 1, n).otherwise(0)).cast("long").alias("_neg"),
     )
     s = running(s, by, [F.col("_s").desc()], {"_tp": "_pos", "_fp": "_neg"})
     # pairs of a positive with a negative of lower score, ties half; all in whole halves

@@ -12,10 +12,22 @@ from tarnwatch.operators.metrics import balanced_mean, ranking
 from tarnwatch.operators.shift import long, present_columns
 
 
-def impute_values(train: DataFrame, features: list[str], how: str = "median") -> dict[str, float]:
-    """Exact medians (or means) of the training rows; 0 for a feature without a value."""
+ROWS = "_rows"  # of counted(): how many rows are equal
+
+
+def counted(df: DataFrame, by: list[str], features: list[str], y: str = "true_label") -> DataFrame:
+    """(by, y, features, _rows): rows that a model cannot tell apart, counted once, as a written table.
+
+    A fit over counts as weights is the fit over the rows, and each of its passes reads different rows only.
+    """
+    f = [F.col(c).cast("double").alias(c) for c in features]
+    return stored(df.groupBy(*by, y, *f).agg(F.count("*").alias(ROWS)), "counted")
+
+
+def impute_values(train: DataFrame, features: list[str], how: str = "median", rows: str | None = None) -> dict[str, float]:
+    """Exact medians (or means) of the training rows; 0 for a feature without a value. rows: as in percentiles(), for medians."""
     if how == "median":
-        middle = percentiles(long(train, [], features), ["feature"], "value", [0.5])
+        middle = percentiles(long(train, [rows] if rows else [], features), ["feature"], "value", [0.5], rows)
         found = {r.feature: r.q[0] for r in middle.collect()}
     else:
         found = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in features]).first().asDict()
@@ -26,8 +38,18 @@ def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in values.items()})
 
 
-def scale_values(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
+def weighted_means(df: DataFrame, values: dict, rows: str) -> dict[str, float | None]:
+    """Means of columns by name, each row counted `rows` times."""
+    there = lambda c: F.sum(F.when(c.isNotNull(), F.col(rows)))
+    return df.agg(*[(F.sum(c * F.col(rows)) / there(c)).alias(n) for n, c in values.items()]).first().asDict()
+
+
+def scale_values(train: DataFrame, features: list[str], rows: str | None = None) -> dict[str, tuple[float, float]]:
     """(mean, population deviation) of the training rows; a constant feature keeps its scale."""
+    if rows:
+        m = weighted_means(train, {c: F.col(c) for c in features}, rows)
+        v = weighted_means(train, {c: F.pow(F.col(c) - F.lit(m[c]), 2) for c in features}, rows)
+        return {c: (m[c] or 0.0, (v[c] or 0.0) ** 0.5 or 1.0) for c in features}
     row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
     return {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in features}
 
@@ -36,9 +58,9 @@ def standardise(df: DataFrame, values: dict[str, tuple[float, float]]) -> DataFr
     return df.withColumns({c: (F.col(c) - m) / s for c, (m, s) in values.items()})
 
 
-def class_weights(df: DataFrame, y: str) -> DataFrame:
+def class_weights(df: DataFrame, y: str, rows: str | None = None) -> DataFrame:
     """balanced weights: rows / (classes * rows of the class)."""
-    g = df.groupBy(y).agg(F.count("*").alias("_n"))
+    g = df.groupBy(y).agg((F.sum(rows) if rows else F.count("*")).alias("_n"))
     t = g.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     return df.join(F.broadcast(g), y).join(F.broadcast(t), how="cross").withColumn(
         "weight", F.col("_all") / (F.col("_k") * F.col("_n")),
@@ -70,16 +92,21 @@ def estimator(kind: str, weighted: bool, **settings):
 
 def fit_predict(
     train: DataFrame, test: DataFrame, features: list[str], y: str = "true_label", kind: str = "logistic", balanced: bool = False,
-    **settings
+    rows: str | None = None, **settings
 ) -> tuple[DataFrame, object]:
-    """Imputation and scaling fitted on train only -> (test with predicted_probability, model)."""
-    values = impute_values(train, features)
+    """Imputation and scaling fitted on train only -> (test with predicted_probability, model).
+
+    Equal training rows are counted first; rows names their number where train is counted() already.
+    """
+    train, rows = (train, rows) if rows else (counted(train, [], features, y), ROWS)
+    values = impute_values(train, features, rows=rows)
     a, b = impute(train, values), impute(test, values)
     if kind == "logistic":
-        s = scale_values(a, features)
+        s = scale_values(a, features, rows)
         a, b = standardise(a, s), standardise(b, s)
-    a = class_weights(a, y) if balanced else a
-    model = estimator(kind, balanced, **settings).fit(assemble(a.withColumn("label", F.col(y).cast("double")), features))
+    a = class_weights(a, y, rows) if balanced else a.withColumn("weight", F.lit(1.0))
+    a = a.withColumn("weight", F.col("weight") * F.col(rows))
+    model = estimator(kind, True, **settings).fit(assemble(a.withColumn("label", F.col(y).cast("double")), features))
     out = model.transform(assemble(b, features))
     from pyspark.ml.functions import vector_to_array
 
@@ -143,13 +170,14 @@ def shap_of(x, weights: list, trees: list):
     return out, base
 
 
-def shap(df: DataFrame, model, features: list[str]) -> DataFrame:
+def shap(df: DataFrame, model, features: list[str], rows: str | None = None) -> DataFrame:
     """df (features without NULLs) plus shap, an array of each feature's value, and margin, base plus their sum.
 
-    Boosted trees: exact and path-dependent. Linear models: coefficient times distance from the mean of df.
+    Boosted trees: exact and path-dependent. Linear models: coefficient times distance from the mean of df. rows: a column of how
+    many rows each stands for.
     """
     if hasattr(model, "coefficients"):
-        means = df.agg(*[F.avg(f).alias(f) for f in features]).first()
+        means = weighted_means(df.withColumn("_one", F.col(rows) if rows else F.lit(1)), {f: F.col(f) for f in features}, "_one")
         parts = [F.lit(float(c)) * (F.col(f) - F.lit(means[f])) for f, c in zip(features, model.coefficients, strict=True)]
         base = float(model.intercept) + sum(float(c) * means[f] for f, c in zip(features, model.coefficients, strict=True))
         return df.withColumn("shap", F.array(*parts)).withColumn("margin", F.aggregate("shap", F.lit(base), lambda s, v: s + v))
@@ -520,9 +548,9 @@ def smote(df: DataFrame, features: list[str], y: str = "true_label", k: int = 5,
 def domain_classifier(df: DataFrame, features: list[str], domain: str, unit: str, folds: int = 3) -> DataFrame:
     """Out-of-fold scores of which domain a row is from (units never split), as one row of unit-balanced ROC-AUC."""
     d = df.withColumn("true_label", F.col(domain).cast("int")).withColumn("_fold", F.pmod(F.xxhash64(unit), F.lit(folds)))
-    out = None
+    out, c = None, counted(d, ["_fold"], features)
     for f in range(folds):
-        scored, _ = fit_predict(d.where(F.col("_fold") != f), d.where(F.col("_fold") == f), features)
+        scored, _ = fit_predict(c.where(F.col("_fold") != f), d.where(F.col("_fold") == f), features, rows=ROWS)
         out = scored if out is None else out.unionByName(scored)
     return ranking(balanced_mean(out, [], unit), [])
 
@@ -548,15 +576,18 @@ def choose_rounded(results: DataFrame) -> DataFrame:
 
 
 def region_strategies(df: DataFrame, features: list[str], region: str, y: str, strategies: dict) -> DataFrame:
-    """Leave-one-region-out predictions of several feature strategies, each a function of the training rows."""
-    out = None
+    """(strategy, fold, true_label, predicted_probability, _rows): leave-one-region-out predictions of several feature strategies,
+    each a function of the training rows; `_rows` is how many rows are equal, here and in what the strategies are given."""
+    out, df = None, counted(df, [region], features, y)
     for r in sorted(x[0] for x in df.select(region).where(F.col(region).isNotNull()).distinct().collect()):
         train, test = df.where(F.col(region) != r), df.where(F.col(region) == r)
         for name, (pick, prepare) in strategies.items():
             own = pick(train, features)
             if not own:
                 continue
-            scored, _ = fit_predict(prepare(train), prepare(test), own, y)
-            p = scored.select(F.lit(name).alias("strategy"), F.lit(r).alias("fold"), F.col(y).alias("true_label"), "predicted_probability")
+            scored, _ = fit_predict(prepare(train), prepare(test), own, y, rows=ROWS)
+            p = scored.select(
+                F.lit(name).alias("strategy"), F.lit(r).alias("fold"), F.col(y).alias("true_label"), "predicted_probability", ROWS,
+            )
             out = p if out is None else out.unionByName(p)
     return out

@@ -38,14 +38,16 @@ def percentiles(df: DataFrame, by: list[str], c: str, at=(0.01, 0.05, 0.25, 0.5,
     return ranges.percentiles(df, by, c, at).select(*by, *[F.col("q")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(at)])
 
 
-def availability(df: DataFrame, by: list[str], features: list[str]) -> DataFrame:
-    """Share of non-null values a group and feature."""
-    return long(df, by, features).groupBy(*by, "feature").agg(F.avg(F.col("value").isNotNull().cast("int")).alias("availability"))
+def availability(df: DataFrame, by: list[str], features: list[str], rows: str | None = None) -> DataFrame:
+    """Share of non-null values a group and feature; rows: a column of how many rows each stands for."""
+    there = F.col("value").isNotNull()
+    share = F.sum(F.when(there, F.col(rows)).otherwise(0)) / F.sum(rows) if rows else F.avg(there.cast("int"))
+    return long(df, [*by, rows] if rows else by, features).groupBy(*by, "feature").agg(share.alias("availability"))
 
 
-def common_core(df: DataFrame, features: list[str], region: str, least: float = 0.8, spread: float = 0.2) -> DataFrame:
+def common_core(df: DataFrame, features: list[str], region: str, least: float = 0.8, spread: float = 0.2, rows: str | None = None) -> DataFrame:
     """Features whose least regional availability is at least `least` and whose regions differ by at most `spread`."""
-    a = availability(df, [region], features).groupBy("feature").agg(F.min("availability").alias("lo"), F.max("availability").alias("hi"))
+    a = availability(df, [region], features, rows).groupBy("feature").agg(F.min("availability").alias("lo"), F.max("availability").alias("hi"))
     return a.select("feature", "lo", "hi", ((F.col("lo") >= least) & (F.round(F.col("hi") - F.col("lo"), 12) <= spread)).alias("included"))
 
 

@@ -142,17 +142,18 @@ def k07_smote(spark, d):
 def k17_importance(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    r = rows(spark, d)
+    r = ml.counted(rows(spark, d), ["test"], X)
     test, out = r.where("test"), None
     for name, kind in (("linear", "logistic"), ("trees", "boosted")):
         train = r.where("not test")
-        values = ml.impute_values(train, X)
+        values = ml.impute_values(train, X, rows=ml.ROWS)
         a, b = ml.impute(train, values), ml.impute(test, values)
-        scales = ml.scale_values(a, X)
+        scales = ml.scale_values(a, X, ml.ROWS)
         a, b = (ml.standardise(t, scales) for t in (a, b)) if kind == "logistic" else (a, b)
-        model = ml.estimator(kind, False, trees=5).fit(ml.assemble(a.withColumn("label", F.col("true_label").cast("double")), X))
-        raw = model.transform(ml.assemble(b, X)).withColumn("raw", F.get(vector_to_array("rawPrediction"), F.lit(1))).select(*X, "raw")
-        s = ml.shap(raw, model, X).agg(F.count("*").alias("rows"), (F.max(F.abs(F.col("margin") - F.col("raw"))) < 1e-6).alias("additive"))
+        a = a.withColumns({"label": F.col("true_label").cast("double"), "weight": F.col(ml.ROWS).cast("double")})
+        model = ml.estimator(kind, True, trees=5).fit(ml.assemble(a, X))
+        raw = model.transform(ml.assemble(b, X)).withColumn("raw", F.get(vector_to_array("rawPrediction"), F.lit(1))).select(*X, "raw", ml.ROWS)
+        s = ml.shap(raw, model, X, ml.ROWS).agg(F.sum(ml.ROWS).alias("rows"), (F.max(F.abs(F.col("margin") - F.col("raw"))) < 1e-6).alias("additive"))
         s = s.select(F.lit(name).alias("model"), "rows", "additive")
         out = s if out is None else out.unionByName(s)
     return out
@@ -173,7 +174,7 @@ def k16_domain_classifier(spark, d):
     "'with_indicators', 'all']) s(strategy) group by all"
 )
 def k22_region_strategies(spark, d):
-    core = lambda t, f: [r.feature for r in shift.common_core(t, f, "domain").where("included").orderBy("feature").collect()]
+    core = lambda t, f: [r.feature for r in shift.common_core(t, f, "domain", rows=ml.ROWS).where("included").orderBy("feature").collect()]
     flags = lambda t: shift.add_missing_flags(t, X)
     same = lambda t: t
     plans = {
@@ -182,7 +183,7 @@ def k22_region_strategies(spark, d):
     }
     from tarnwatch.operators.metrics import ranking
 
-    out = ranking(ml.region_strategies(rows(spark, d), X, "domain", "true_label", plans), ["strategy", "fold"])
+    out = ranking(ml.region_strategies(rows(spark, d), X, "domain", "true_label", plans), ["strategy", "fold"], rows=ml.ROWS)
     return out.select("strategy", "fold", "positives", "negatives", F.col("roc_auc").between(0, 1).alias("is_auc"))
 
 

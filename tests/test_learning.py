@@ -89,3 +89,24 @@ def test_configurations_are_in_the_order_of_the_scan():
     assert len(names) == 31 and names[:4] == [
         "LogisticRegression", "LogisticRegression_Balanced", "HistGB", "HistGB_Balanced",
     ] and names[4] == "XGB_d2_lr0.03_n100" and names[-1] == "XGB_d4_lr0.1_n400"
+
+
+def test_equal_rows_are_fitted_once(groups):
+    """Copies change neither model nor ranking, and are not carried along row by row."""
+    rows = groups.select("region", "true_label", F.round("a", 1).alias("a"), F.when(F.col("b") > 0.3, F.round("b", 1)).alias("b"))
+    many = rows.crossJoin(groups.sparkSession.range(6)).drop("id")
+    assert (n := ml.counted(many, ["region"], ["a", "b"]).count()) == rows.distinct().count() < many.count() / 6
+    one, _ = ml.fit_predict(rows, rows, ["a", "b"], balanced=True)
+    six, _ = ml.fit_predict(many, rows, ["a", "b"], balanced=True)
+    p = [[r.p for r in t.select(F.col("predicted_probability").alias("p")).orderBy("p").collect()] for t in (one, six)]
+    assert np.allclose(*p, atol=1e-6)
+    kept = rows.crossJoin(groups.sparkSession.range(1)).drop("id")
+    plans = {"all": (lambda t, f: f, lambda t: t)}
+    a, b = (ml.region_strategies(t, ["a", "b"], "region", "true_label", plans) for t in (kept, many))
+    assert a.count() == b.count() == n and b.agg(F.sum(ml.ROWS)).first()[0] == many.count()
+    ranked = [ml.ranking(t, ["fold"], rows=ml.ROWS).orderBy("fold").collect() for t in (a, b)]
+    for x, y in zip(*ranked, strict=True):
+        assert (6 * x.positives, 6 * x.negatives) == (y.positives, y.negatives)
+        assert (x.roc_auc is None) == (y.roc_auc is None) and (x.roc_auc is None or abs(x.roc_auc - y.roc_auc) < 1e-6)
+    m, w = ml.impute_values(many, ["a", "b"]), ml.impute_values(ml.counted(many, [], ["a", "b"]), ["a", "b"], rows=ml.ROWS)
+    assert m == w
