@@ -431,6 +431,13 @@ def nearest(q, x, k: int, part: int = 256):
     return far, near
 
 
+def by_leaf(df: DataFrame, leaf: str) -> DataFrame:
+    """Leaves dealt to many tasks: the work of one is large for its few bytes, by which tasks would be joined."""
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, leaf)
+
+
 def neighbours(points: DataFrame, features: list[str], k: int = 5, block: int = 2000) -> tuple[DataFrame, list]:
     """(rows (features, _home, _d, _n, near_...), leaves' (number, rows)): of each distinct point its own other copies
     (_d 0, _n of them), and candidates with their copies, among which are its k nearest.
@@ -488,7 +495,7 @@ def neighbours(points: DataFrame, features: list[str], k: int = 5, block: int =
         return pd.concat([selves, pd.DataFrame(found(x, x, t._home.to_numpy(), m, far, near)).assign(_asks=None)], ignore_index=True)
 
     schema = f"{made}, _home int, _d double, _n long, {nears}"
-    first = stored(dealt.groupBy("_home").applyInPandas(own, f"{schema}, _asks array<int>"), "smote-own")
+    first = stored(by_leaf(dealt, "_home").groupBy("_home").applyInPandas(own, f"{schema}, _asks array<int>"), "smote-own")
 
     def other(asked, held):
         import pandas as pd
@@ -500,7 +507,8 @@ def neighbours(points: DataFrame, features: list[str], k: int = 5, block: int =
         )
 
     asked = first.select(*features, "_home", F.explode("_asks").alias("_leaf"))
-    more = asked.groupBy("_leaf").cogroup(dealt.withColumnRenamed("_home", "_leaf").groupBy("_leaf")).applyInPandas(other, schema)
+    held = by_leaf(dealt.withColumnRenamed("_home", "_leaf"), "_leaf")
+    more = by_leaf(asked, "_leaf").groupBy("_leaf").cogroup(held.groupBy("_leaf")).applyInPandas(other, schema)
     return first.drop("_asks").unionByName(more), [(b._home, b.rows) for b in boxes]
 
 
@@ -541,7 +549,7 @@ def smote(df: DataFrame, features: list[str], y: str = "true_label", k: int = 5,
         a, b = t[features].to_numpy(float)[starts[i]], t[named].to_numpy(float)[j]
         return pd.DataFrame(a + rng.random((count, 1)) * (b - a), columns=features)
 
-    made = near.groupBy("_home").applyInPandas(make, ", ".join(f"{f} double" for f in features))
+    made = by_leaf(near, "_home").groupBy("_home").applyInPandas(make, ", ".join(f"{f} double" for f in features))
     return df.unionByName(made.withColumn(y, F.lit(1)), allowMissingColumns=True)
 
 

@@ -110,3 +110,12 @@ def test_equal_rows_are_fitted_once(groups):
         assert (x.roc_auc is None) == (y.roc_auc is None) and (x.roc_auc is None or abs(x.roc_auc - y.roc_auc) < 1e-6)
     m, w = ml.impute_values(many, ["a", "b"]), ml.impute_values(ml.counted(many, [], ["a", "b"]), ["a", "b"], rows=ml.ROWS)
     assert m == w
+
+
+def test_leaves_are_many_tasks(spark):
+    """Few bytes of points are much work: tasks are not joined by their bytes."""
+    points = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), F.col("id").cast("double").alias("b"))
+    near, sizes = ml.neighbours(points, ["a", "b"], k=3, block=50)
+    assert len(sizes) > 4 and near.where("_d = 0").count() == 400
+    plan = near._jdf.queryExecution().logical().toString()
+    assert plan.count("RepartitionByExpression [_leaf") == 2
