@@ -4,7 +4,12 @@ A polygon is array<array<struct<x,y>>> (rings, the first the shell). Joins go th
 an equi-join; exact predicates then decide.
 """
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwatch.functions.ranges import numbered
@@ -109,24 +114,46 @@ def near_places(a: DataFrame, b: DataFrame, metres: float, metric: str = "mercat
     return met.withColumn("distance_m", d).where(F.col("distance_m") <= metres).drop("_cell", "_x", "_y", "_bx", "_by")
 
 
+PACK = 1024  # rows of one key that packed() puts into an array
+
+
+def packed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """`by` and _pack, arrays of at most PACK of a key's rows with all other columns."""
+    rest = [c for c in rows.columns if c not in by]
+    at = F.floor((F.row_number().over(W.partitionBy(*by).orderBy(F.lit(0))) - 1) / PACK)
+    return rows.withColumn("_at", at).groupBy(*by, "_at").agg(F.collect_list(F.struct(*rest)).alias("_pack")).drop("_at")
+
+
 def dealt(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
-    """rows with what was found at their places, dealt by place to many tasks: the result is larger than both sides, so neither
-    their sizes nor a broadcast may set the number of tasks."""
+    """rows with what was found at their places (packs are unpacked), dealt by place to many tasks: the result is larger than both
+    sides, so neither their sizes nor a broadcast may set the number of tasks.
+
+    They are dealt by a hash and then compared by ends: equal doubles as a join's keys would be shuffled once more, to as few
+    tasks as their bytes fill.
+    """
     spark = rows.sparkSession
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(tasks, *on).join(found.repartition(tasks, *on).hint("merge"), on)
+    known = reduce(and_, [F.col(c).isNotNull() for c in on])
+    deal = lambda df: df.where(known).withColumn("_deal", F.xxhash64(*on)).repartition(tasks, "_deal")
+    other = deal(found).withColumnsRenamed({c: f"_found_{c}" for c in on})
+    same = reduce(and_, [F.col(c).between(F.col(f"_found_{c}"), F.col(f"_found_{c}")) for c in on])
+    met = deal(rows).join(other.hint("merge"), "_deal").where(same).drop("_deal", *[f"_found_{c}" for c in on])
+    return met.select(*[c for c in met.columns if c != "_pack"], F.inline("_pack")) if "_pack" in met.columns else met
 
 
 def within_distance(
-    a: DataFrame, b: DataFrame, metres: float, metric: str = "mercator", a_id: str = "a_id", b_id: str = "b_id",
+    a: DataFrame, b: DataFrame, metres: float, metric: str = "mercator", given: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """(a columns, b columns, distance_m) of points (lat, lon) at most `metres` apart, inclusive.
 
     a holds a_id, a_lat, a_lon; b holds b_id, b_lat, b_lon. Places meet, then their points are listed: only the result grows with
-    the number of pairs. Mercator distances are inflated by 1 / cos(lat); metric 'haversine' gives true ones. Its cells are
-    Mercator too, of a size that covers the distance up to 85 degrees.
+    the number of pairs. `given` (such as rounding) makes distance_m of a distance, once for two places. Mercator distances are
+    inflated by 1 / cos(lat); metric 'haversine' gives true ones. Its cells are Mercator too, of a size that covers the distance
+    up to 85 degrees.
     """
-    met = near_places(a, b, metres, metric).join(b, ["b_lat", "b_lon"])
+    met = near_places(a, b, metres, metric)
+    met = met.withColumn("distance_m", given(F.col("distance_m"))) if given else met
+    met = met.join(packed(b, ["b_lat", "b_lon"]), ["b_lat", "b_lon"])
     return dealt(a, met, ["a_lat", "a_lon"]).select(*a.columns, *b.columns, "distance_m")
 
 
@@ -198,7 +225,7 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 0.25)
     Different places meet different polygons; then the ids of both are listed, so that only the result grows with the number of pairs.
     """
     shapes, named = shapes_of(polygons.select("polygon_id", "polygon"))
-    held = places_in_shapes(points, shapes, size).join(named, "shape").select("x", "y", "polygon_id")
+    held = places_in_shapes(points, shapes, size).join(packed(named, ["shape"]), "shape").drop("shape")
     return dealt(points.select("point_id", "x", "y"), held, ["x", "y"]).select("point_id", "polygon_id")
 
 

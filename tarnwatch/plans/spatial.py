@@ -31,8 +31,8 @@ def suppliers(spark, d):
 @query(POINTS + f" select a.id as a_id, b.id as b_id, round({FLAT}, 3) as distance_m from customers a, suppliers b where {FLAT} <= 5000")
 def d09_within_distance(spark, d):
     return geo.within_distance(
-        side(customers(spark, d), "a"), side(suppliers(spark, d), "b"), 5000,
-    ).select("a_id", "b_id", F.round("distance_m", 3).alias("distance_m"))
+        side(customers(spark, d), "a"), side(suppliers(spark, d), "b"), 5000, given=lambda m: F.round(m, 3),
+    ).select("a_id", "b_id", "distance_m")
 
 
 @query(
@@ -40,8 +40,8 @@ def d09_within_distance(spark, d):
     f"{HAVERSINE.format(a='a', b='b')} <= 5"
 )
 def h06_haversine_join(spark, d):
-    out = geo.within_distance(side(customers(spark, d), "a"), side(suppliers(spark, d), "b"), 5000, "haversine")
-    return out.select("a_id", "b_id", F.round(F.col("distance_m") / 1000, 6).alias("km"))
+    out = geo.within_distance(side(customers(spark, d), "a"), side(suppliers(spark, d), "b"), 5000, "haversine", lambda m: F.round(m / 1000, 6))
+    return out.select("a_id", "b_id", F.col("distance_m").alias("km"))
 
 
 @query(
@@ -140,7 +140,7 @@ def j04_match_tiers(spark, d):
     "select a_id, b_id, round(e, 3) as distance_m, cast(r as int) as candidate_rank from c"
 )
 def d09_polygon_candidates(spark, d):
-    return resolve.candidate_queue(events_off(spark, d), site_polygons(spark, d)).withColumn("distance_m", F.round("distance_m", 3))
+    return resolve.candidate_queue(events_off(spark, d), site_polygons(spark, d), given=lambda m: F.round(m, 3))
 
 
 @query(

@@ -62,6 +62,30 @@ def test_pairs_equal_the_loop(spark):
     assert sum(audit.values()) == 60 and audit["NO_USABLE_GEOGRAPHY"] == sum(x[1] is None for x in ra)
 
 
+def test_pairs_are_dealt_to_many_tasks(spark):
+    """400 places are dealt to 16 tasks, though their few bytes would fill one; 2,500 points of a place are more than a pack."""
+    a = spark.range(400).selectExpr("id as a_id", "27D + id * 0.01D as a_lat", "86D as a_lon")
+    b = spark.range(2502).selectExpr("id as b_id", "27D + greatest(0, id - 2499) * 0.01D as b_lat", "86D as b_lon")
+    rounded = lambda m: F.round(m, 1)
+    got = geo.within_distance(a, a.toDF("b_id", "b_lat", "b_lon"), 500, given=rounded)
+    assert got.select(F.spark_partition_id()).distinct().count() > 8 and got.where("distance_m = 0").count() == 400
+    got = geo.within_distance(a.where("a_id < 3").unionByName(a.where("a_id = 0").withColumn("a_id", F.lit(9).cast("long"))), b, 1200, given=rounded)
+    held = {(r.a_id, r.distance_m): r.n for r in got.groupBy("a_id", "distance_m").agg(F.countDistinct("b_id").alias("n")).collect()}
+    step = round(math.dist(flat(27.0, 86.0), flat(27.01, 86.0)), 1), round(math.dist(flat(27.01, 86.0), flat(27.02, 86.0)), 1)
+    assert step[0] > 1200 and held == {(0, 0.0): 2500, (9, 0.0): 2500, (1, 0.0): 1, (2, 0.0): 1}
+    queue = resolve.candidate_queue(a.where("a_id = 0"), b, 1200)
+    assert sorted(r.candidate_rank for r in queue.collect()) == list(range(1, 2501))
+
+
+def test_no_second_shuffle_of_doubles(spark):
+    """-0.0 and 0.0 are one place; rows without one are left out and not dealt to one task."""
+    a = spark.createDataFrame([(1, -0.0, 86.0), (2, 0.0, 86.0), (3, None, 86.0), (4, None, None)], "a_id long, a_lat double, a_lon double")
+    found = spark.createDataFrame([(0.0, 86.0, 7), (None, 86.0, 8), (None, None, 9)], "a_lat double, a_lon double, b_id long")
+    got = geo.dealt(a, found, ["a_lat", "a_lon"])
+    assert sorted((r.a_id, r.b_id) for r in got.collect()) == [(1, 7), (2, 7)]
+    assert "ENSURE_REQUIREMENTS" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_epochs_of_a_crowd(spark):
     """Every old point has the least uid of its place."""
     side = lambda p, n: crowd(spark, p, n).select(*[F.col(f"{p}_{c}").alias(c) for c in ("id", "lat", "lon")])
