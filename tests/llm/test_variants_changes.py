@@ -176,6 +176,21 @@ def test_changes_equal_one_fold(spark):
     assert sum(r[4] for r in want) > 10 and sum(r[2] == "rejected" for r in want) > 10
 
 
+def test_clients_share_a_state_value(spark):
+    """300 clients in the few lanes of a small table: those without rows in a batch keep what they hold."""
+    rnd, start = random.Random(6), datetime.datetime(2024, 1, 2)
+    rows = [
+        (k, k % 300, rnd.randrange(6), rnd.choice("IUD"), start + datetime.timedelta(days=rnd.random() * 110), "s", None, "a", float(k), 5, "x")
+        for k in range(900)
+    ]
+    got = changes.applied(spark.createDataFrame(rows, CHANGES)).collect()
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    want = applied(rows)
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key) and sum(r[4] > 0 for r in want) > 10
+    state = changes.clients(spark, next(p for p in changes._stored[::-1] if "changes-checkpoint" in p))
+    assert state.select("client_id").distinct().count() == state.count() == len({r[1] for r in want})
+
+
 def test_no_changes(spark):
     assert changes.applied(spark.createDataFrame([], CHANGES)).count() == 0
 
