@@ -458,7 +458,7 @@ walk as (with recursive w(r, idx, leader, leads) as (select 0::bigint, null::big
 @query(f"with {LEADERS} select idx, leader from walk")
 def j01_cross_source_dedup(spark, d):
     r = records(spark, d)
-    return resolve.leaders(r, resolve.pair_scores(r, only_absorbing=True))
+    return resolve.settled(r)
 
 
 @query(
@@ -473,7 +473,7 @@ def j01_cross_source_dedup(spark, d):
 )
 def j02_merged_events(spark, d):
     r = records(spark, d)
-    out = resolve.merge_events(r, resolve.leaders(r, resolve.pair_scores(r, only_absorbing=True)))
+    out = resolve.merge_events(r, resolve.settled(r))
     return rounded(out.drop("source_url"), "latitude", "longitude")
 
 
@@ -485,7 +485,7 @@ def j02_merged_events(spark, d):
 )
 def j02_reconciliation(spark, d):
     r = records(spark, d)
-    return resolve.reconciliation(r, resolve.leaders(r, resolve.pair_scores(r, only_absorbing=True)))
+    return resolve.reconciliation(r, resolve.settled(r))
 
 
 TILES = "tiles as (select user_id as tile, list(cast(floor(value) as int) order by event_id) as g, list(cast(event_id % 60 as int) order by event_id) as s, list(cast(event_id % 12 as int) order by event_id) as c from events group by 1)"

@@ -168,3 +168,27 @@ def test_pair_scores_equal_the_loop(spark):
     assert sorted((r.i, r.j) for r in resolve.pair_scores(e, only_absorbing=True).collect()) == absorbing
     plan = resolve.pair_scores(e)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("_salt") > 0 and "dropDuplicates" not in plan
+
+
+def test_equal_records_are_led_by_their_first(spark):
+    """Leaders and reviews of copies equal the loop over all pairs; 60,000 equal records are no pairs at all."""
+    from datetime import date
+
+    rnd = random.Random(8)
+    rows = [
+        (k, rnd.choice([None, date(2000, 1, 1), date(2000, 1, 2)]), rnd.choice([None, -0.0, 0.0, 0.03]), rnd.choice([86.0, 86.05]), rnd.choice([None, "unknown", "Lake a", "lake A", "Lake b"]))
+        for k in range(90)
+    ]
+    e = spark.createDataFrame(rows, "idx long, event_date date, latitude double, longitude double, lake_name string")
+    scores = {(r.i, r.j): r for r in resolve.pair_scores(e).collect()}
+    leader = {}
+    for k in range(90):
+        leader[k] = min((i for i in range(k) if leader[i] == i and (i, k) in scores and scores[i, k].absorbs), default=k)
+    assigned = resolve.settled(e)
+    assert {r.idx: r.leader for r in assigned.collect()} == leader and 5 < sum(k == v for k, v in leader.items()) < 60
+    review = sorted(p for p, r in scores.items() if not r.absorbs and leader[p[0]] == p[0] and (leader[p[1]] > p[0] or leader[p[1]] == p[1]))
+    got = resolve.reconciliation(e, assigned).collect()
+    assert sorted((r.canonical, r.idx) for r in got if r.dedup_status == "CROSS_SOURCE_REVIEW") == review and len(review) > 20
+    assert sorted((r.idx, r.canonical) for r in got if r.dedup_status != "CROSS_SOURCE_REVIEW") == sorted(leader.items())
+    same = spark.range(60_000).selectExpr("id as idx", "date'2000-01-01' as event_date", "27D as latitude", "86D as longitude", "'Lake a' as lake_name")
+    assert resolve.settled(same).groupBy("leader").count().first()[:] == (0, 60_000)
