@@ -216,3 +216,16 @@ def test_names_in_archives_exist_after_a_shuffle(spark):
             refers.append((m[1], digests[name]))
     assert len(names) == 600 and len(refers) > 500
     assert all(digests.get(name) == digest for name, digest in refers)
+
+
+def test_clients_say_what_they_hold(spark, monkeypatch):
+    """Between starts no state store is read back: the output says who waits since when, and the result leaves that out."""
+    said = [(1, 10, 1), (1, None, 2), (2, 20, 1), (2, 15, 3), (None, 5, 2)]
+    out = spark.createDataFrame([(None, c, n, "waits", b, 0, None, None, None) for c, n, b in said] + [(7, 1, 9, "applied", 4, 0, "I", "a", 1.0)], changes.RESULT)
+    assert {r[:] for r in changes.waiting(out).collect()} == {(2, 15), (None, 5)}
+    reads, clients = [], changes.clients
+    monkeypatch.setattr(changes, "clients", lambda *a: reads.append(a) or clients(*a))
+    start = datetime.datetime(2024, 1, 2)
+    rows = [(k, 1, seq, "I", start + datetime.timedelta(days=d), "s", None, "a", 1.0, 5, "x") for k, seq, d in ((1, 1, 0), (2, 3, 1), (3, 4, 90), (12, 2, 130))]
+    got = changes.applied(spark.createDataFrame(rows, CHANGES)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(applied(rows)) and len(reads) == 1
