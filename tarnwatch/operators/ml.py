@@ -4,6 +4,7 @@ from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwatch.functions.ranges import percentiles
@@ -13,15 +14,23 @@ from tarnwatch.operators.shift import long, present_columns
 
 
 ROWS = "_rows"  # of counted(): how many rows are equal
+MANY = 1_000_000  # rows from which counted() looks whether they differ
+SHARE = 64  # one row in so many gives Newton's steps a start; they end on all rows
+RANGES = 256  # of a model's scores, each ranked by a task
 
 
 def counted(df: DataFrame, by: list[str], features: list[str], y: str = "true_label") -> DataFrame:
     """(by, y, features, _rows): rows that a model cannot tell apart, counted once, as a written table.
 
-    A fit over counts as weights is the fit over the rows, and each of its passes reads different rows only.
+    A fit over counts as weights is the fit over the rows, and each of its passes reads different rows only. Where nearly all of many
+    rows differ, by estimate, counting would shuffle all to save little: each is then written with a count of 1.
     """
-    f = [F.col(c).cast("double").alias(c) for c in features]
-    return stored(df.groupBy(*by, y, *f).agg(F.count("*").alias(ROWS)), "counted")
+    df = df.select(*by, y, *[F.col(c).cast("double").alias(c) for c in features])
+    some = df.select(F.xxhash64(*df.columns).alias("h")).where("h % 16 = 0")  # all copies of a row or none
+    n = some.agg(F.count("*").alias("rows"), F.approx_count_distinct("h", 0.01).alias("different")).first()
+    if 16 * n.rows > MANY and n.different > 0.85 * n.rows:
+        return stored(df.withColumn(ROWS, F.lit(1).cast("long")), "counted")
+    return stored(df.groupBy(*df.columns).agg(F.count("*").alias(ROWS)), "counted")
 
 
 def impute_values(train: DataFrame, features: list[str], how: str = "median", rows: str | None = None) -> dict[str, float]:
@@ -335,8 +344,6 @@ def permutation_importance(predict, df: DataFrame, features: list[str], y: str =
     base = ranking(predict(df), [], y).first().roc_auc
     out = []
     numbered = df.withColumn("_g", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
-    from pyspark.sql import Window as W
-
     for f in features:
         a = numbered.withColumn("_r", F.row_number().over(W.partitionBy("_g").orderBy(F.xxhash64(*df.columns))))
         b = a.select(
@@ -583,19 +590,307 @@ def choose_rounded(results: DataFrame) -> DataFrame:
     return results.orderBy(*[F.round(m, 3).desc() for m in ("pr_auc", "f1", "recall")], "complexity", "model_name").limit(1)
 
 
-def region_strategies(df: DataFrame, features: list[str], region: str, y: str, strategies: dict) -> DataFrame:
-    """(strategy, fold, true_label, predicted_probability, _rows): leave-one-region-out predictions of several feature strategies,
-    each a function of the training rows; `_rows` is how many rows are equal, here and in what the strategies are given."""
-    out, df = None, counted(df, [region], features, y)
-    for r in sorted(x[0] for x in df.select(region).where(F.col(region).isNotNull()).distinct().collect()):
-        train, test = df.where(F.col(region) != r), df.where(F.col(region) == r)
-        for name, (pick, prepare) in strategies.items():
-            own = pick(train, features)
-            if not own:
+def frame(df: DataFrame, features: list[str], region: str, y: str, regions: list, prepares: dict, picked: dict) -> tuple[DataFrame, dict]:
+    """(region, true_label, _rows, _region, _x0, ...; {strategy: {feature: its column}}): what strategies pick, side by side; columns of one
+    name and the same values in every row once.
+
+    `_region` is the region's place in `regions`. A NaN counts as missing.
+    """
+    own = [c for c in df.columns if c in (region, y, ROWS, *features)]
+    t, made = df.withColumns({f"_own_{c}": F.col(c) for c in own}), {}
+    for name, prepare in prepares.items():
+        wanted = sorted({f for (n, _), fs in picked.items() if n == name for f in fs})
+        made[name] = {f: f"_x{sum(map(len, made.values())) + k}" for k, f in enumerate(wanted)}
+        kept = [c for c in t.columns if c.startswith(("_own_", "_x"))]
+        t = prepare(t).withColumns({x: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f, x in made[name].items()})
+        t = t.select(*[F.col(f"_own_{c}").alias(c) for c in own], *kept, *made[name].values())
+    places, first = F.array_position(F.lit(regions), F.col(region)).cast("int") - 1, {}
+    twins = {x: first[f] for m in made.values() for f, x in m.items() if first.setdefault(f, x) != x}
+    if twins:
+        differ = t.agg(*[F.count_if(~F.col(x).eqNullSafe(F.col(o))).alias(x) for x, o in twins.items()]).first()
+        made = {name: {f: x if differ.asDict().get(x, 1) else twins[x] for f, x in m.items()} for name, m in made.items()}
+    xs = sorted({x for m in made.values() for x in m.values()})
+    return t.select(region, F.col(y).alias("true_label"), ROWS, places.alias("_region"), *xs), made
+
+
+def left_out_medians(t: DataFrame, columns: list[str], regions: int) -> dict[tuple[str, int], float]:
+    """{(column, region): exact median of the rows outside of the region}."""
+    v = long(t, ["_region", ROWS], columns).where(F.col("value").isNotNull()).groupBy("_region", "feature", "value").agg(F.sum(ROWS).alias(ROWS))
+    others = F.explode(F.array_except(F.sequence(F.lit(0), F.lit(regions - 1)), F.array("_region")))
+    found = percentiles(v.withColumn("_out", others), ["feature", "_out"], "value", [0.5], ROWS)
+    return {(r.feature, r._out): r.q[0] for r in found.collect()}
+
+
+def summed(t: DataFrame, columns: list[str], of) -> dict[int, np.ndarray]:
+    """{number: sum over all rows} of what of(regions, labels, weights, columns' values) gives for a batch: {number: array}."""
+    import pyarrow as pa
+
+    def run(batches):
+        total = {}
+        for b in batches:
+            region, y, w, *x = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for k, v in of(region, y, w, np.array(x).reshape(len(x), len(w))).items():
+                total[k] = total[k] + v if k in total else v
+        for k, v in total.items():
+            yield pa.RecordBatch.from_pydict({
+                "_k": pa.array(np.full(v.size, k), pa.int32()), "_at": pa.array(np.arange(v.size), pa.int32()), "_v": pa.array(v.ravel(), pa.float64()),
+            })
+
+    read = t.select("_region", F.col("true_label").cast("double"), F.col(ROWS).cast("double"), *columns)
+    sums = read.mapInArrow(run, "_k int, _at int, _v double").groupBy("_k", "_at").agg(F.sum("_v").alias("_v")).orderBy("_k", "_at").collect()
+    out = {}
+    for r in sums:
+        out.setdefault(r._k, []).append(r._v)
+    return {k: np.array(v) for k, v in out.items()}
+
+
+def left_out_fits(
+    t: DataFrame, regions: int, models: list[tuple[int, list[str]]], reg: float = 1e-3, iterations: int = 100, close: float = 1e-12,
+) -> list[tuple[float, dict, dict] | None]:
+    """(intercept, {column: coefficient}, {column: value for a missing one}) of logistic models, each fitted on the rows of t outside
+    of one region: models are (that region's place, columns). None where no row is left.
+
+    Each model's columns are imputed by their medians and standardised on its own rows; the penalty is on standardised
+    coefficients. All models are fitted together by Newton's steps, of which each reads the rows once: a model's design is a linear
+    map of the same columns 1, x and 1 where x is missing, so sums over these serve every model. In a large table the steps start where those over one
+    row in SHARE ended, which saves passes and does not move the end.
+    """
+    t = t.where(F.col("_region").isNotNull() & F.col("true_label").isNotNull())
+    columns = sorted({c for _, cs in models for c in cs})
+    stats = t.agg(
+        F.count("*").alias("rows"), *[f(c).alias(f"{n}{c}") for c in columns for n, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop), ("lo", F.min))]
+    ).first()
+    gaps = [c for c in columns if stats[f"n{c}"] < stats.rows]
+    fills = left_out_medians(t, gaps, regions) if gaps else {}
+    scale = {c: stats[f"s{c}"] or 1.0 for c in columns}
+    centre = {c: (stats[f"m{c}"] if stats[f"s{c}"] else stats[f"lo{c}"]) or 0.0 for c in columns}
+    missing = [columns.index(c) for c in gaps]
+    wide = 1 + len(columns) + len(gaps)
+    pairs = np.triu_indices(wide)
+    c0, s0 = np.array([[centre[c]] for c in columns]).reshape(-1, 1), np.array([[scale[c]] for c in columns]).reshape(-1, 1)
+
+    def design(x):
+        """Rows 1, x centred and scaled (0 where missing), and 1 where missing."""
+        z = np.nan_to_num((x - c0) / s0, nan=0.0, posinf=np.inf, neginf=-np.inf)
+        return np.vstack([np.ones((1, x.shape[1])), z, np.isnan(x[missing])])
+
+    def moments(region, y, w, x):
+        z = design(x)
+        z = np.vstack([z[pairs[0]] * z[pairs[1]], y == 1])
+        return {int(r): z[:, region == r] @ w[region == r] for r in np.unique(region)}
+
+    found = summed(t, columns, moments)
+    within = [found.get(r, np.zeros(len(pairs[0]) + 1)) for r in range(regions)]
+    fits = []
+    for out, cs in models:
+        total = sum((m for r, m in enumerate(within) if r != out), np.zeros(len(pairs[0]) + 1))
+        m, positives = square(total[:-1], pairs), total[-1]
+        if not m[0, 0]:
+            fits.append(None)
+            continue
+        to = np.zeros((wide, 1 + len(cs)))
+        to[0, 0] = 1
+        values = {c: fills.get((c, out)) or 0.0 for c in cs}
+        for k, c in enumerate(cs, 1):
+            u = np.zeros(wide)
+            u[0], u[1 + columns.index(c)] = centre[c], scale[c]
+            if c in gaps:
+                u[1 + len(columns) + gaps.index(c)] = values[c] - centre[c]
+            u[0] -= u @ m[0] / m[0, 0]
+            spread = u @ m @ u / m[0, 0]
+            to[:, k] = u / (spread**0.5 if spread > 1e-20 * scale[c] ** 2 else 1.0)
+        share = positives / m[0, 0]
+        b, none = np.zeros(1 + len(cs)), 0.0
+        b[0] = np.log(share) - np.log1p(-share) if 0 < share < 1 else np.inf if share else -np.inf
+        if 0 < share < 1:
+            none = -share * np.log(share) - (1 - share) * np.log1p(-share)
+        fits.append({"out": out, "columns": cs, "values": values, "to": to, "begin": b, "b": b, "none": none + 1e-9})
+    first = t.where(F.pmod(F.xxhash64(*columns), F.lit(SHARE)) == 0)
+    for part in (first, t) if stats.rows > 1000 * SHARE else (t,):
+        newton(part, columns, [f for f in fits if f], design, pairs, reg, iterations, close)
+    return [f and (*plain(f, columns, centre, scale), f["values"]) for f in fits]
+
+
+def newton(t: DataFrame, columns: list[str], fits: list[dict], design, pairs, reg: float, iterations: int, close: float) -> None:
+    """Newton's steps of left_out_fits() over t, from where its fits are; a step that raises the loss is halved."""
+    wide = int(pairs[0].max()) + 1
+    for f in fits:
+        f["loss"], f["done"] = np.inf, not np.isfinite(f["b"][0])
+    for _ in range(iterations):
+        live = [f for f in fits if not f["done"]]
+        if not live:
+            break
+        maps = np.array([f["to"] @ f["b"] for f in live])
+        outs = np.array([f["out"] for f in live])
+
+        def slopes(region, y, w, x, maps=maps, outs=outs):
+            """A row a model: weight, loss, slopes and bends, over what is not of its region."""
+            z, sign, total = design(x), np.where(y == 1, -1.0, 1.0), np.zeros((len(outs), 2 + wide + len(pairs[0])))
+            for r in np.unique(region):
+                at, own = outs != r, region == r
+                u, side, weight = z[:, own], sign[own], w[own]
+                away = (maps[at] @ u) * side  # how far on the wrong side
+                e = np.exp(-np.abs(away))
+                d = 1 / (1 + e)
+                lost = np.log1p(e) + np.maximum(away, 0)
+                total[at] += np.hstack([
+                    np.full((at.sum(), 1), weight.sum()), (lost @ weight)[:, None], (np.where(away >= 0, d, e * d) * (weight * side)) @ u.T, (e * d * d * weight) @ (u[pairs[0]] * u[pairs[1]]).T,
+                ])
+            return {0: total}
+
+        sums = summed(t, columns, slopes).get(0, np.zeros(len(live) * (2 + wide + len(pairs[0])))).reshape(len(live), -1)
+        for f, v in zip(live, sums, strict=True):
+            weight, lost, first, second = v[0], v[1], v[2 : 2 + wide], square(v[2 + wide :], pairs)
+            penalty = reg * np.r_[0.0, np.ones(len(f["b"]) - 1)]
+            loss = lost / weight + (penalty * f["b"] ** 2).sum() / 2 if weight else 0.0
+            if not weight or f["loss"] == np.inf and loss > f["none"]:  # what a share of the rows gave is no start: begin anew
+                f["b"], f["done"], f["loss"] = f["begin"], not weight, f["none"] + 1
                 continue
-            scored, _ = fit_predict(prepare(train), prepare(test), own, y, rows=ROWS)
-            p = scored.select(
-                F.lit(name).alias("strategy"), F.lit(r).alias("fold"), F.col(y).alias("true_label"), "predicted_probability", ROWS,
-            )
-            out = p if out is None else out.unionByName(p)
-    return out
+            if not loss <= f["loss"] + 1e-9 * abs(f["loss"]):  # too far: half the step
+                f["step"] = f["step"] / 2
+                f["b"] = f["b"] - f["step"]
+                continue
+            slope = f["to"].T @ first / weight + penalty * f["b"]
+            bend = f["to"].T @ second @ f["to"] / weight + np.diag(penalty)
+            f["step"] = -np.linalg.lstsq(bend, slope, rcond=None)[0]
+            f["loss"], f["done"] = loss, not slope @ -f["step"] > close
+            f["b"] = f["b"] + f["step"]
+
+
+def square(v, pairs):
+    """The symmetric matrix whose upper half is v."""
+    m = np.zeros([int(pairs[0].max()) + 1] * 2)
+    m[pairs] = v
+    return m + np.triu(m, 1).T
+
+
+def plain(fit: dict, columns: list[str], centre: dict, scale: dict) -> tuple[float, dict]:
+    """(intercept, {column: coefficient}) of the columns as they were before they were centred and scaled."""
+    at = fit["to"] @ fit["b"] if np.isfinite(fit["b"][0]) else np.r_[fit["b"][0], np.zeros(len(fit["to"]) - 1)]
+    b = {c: float(at[1 + columns.index(c)] / scale[c]) for c in fit["columns"]}
+    return float(at[0] - sum(b[c] * centre[c] for c in b)), b
+
+
+def region_fits(df: DataFrame, features: list[str], region: str, y: str, strategies: dict) -> tuple[DataFrame, list[str], list[tuple]] | None:
+    """(frame(), its columns, models) of region_strategies(); a model is (region's place, strategy, intercept, coefficients, fills)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    df = counted(df, [region], features, y)
+    regions = sorted(x[0] for x in df.select(region).where(F.col(region).isNotNull()).distinct().collect())
+    todo = [(name, k) for k in range(len(regions)) for name in strategies]
+    with ThreadPoolExecutor(4) as pool:
+        own = pool.map(lambda x: strategies[x[0]][0](df.where(F.col(region) != regions[x[1]]), features), todo)
+        picked = {x: fs for x, fs in zip(todo, own, strict=True) if fs}
+    if not picked:
+        return None
+    t, columns = frame(df, features, region, y, regions, {name: prepare for name, (_, prepare) in strategies.items()}, picked)
+    fits = left_out_fits(t, len(regions), [(k, [columns[name][f] for f in fs]) for (name, k), fs in picked.items()])
+    xs = sorted({c for m in columns.values() for c in m.values()})
+    return t, xs, [
+        (k, name, fit[0], [fit[1].get(x, 0.0) for x in xs], [fit[2].get(x, 0.0) for x in xs]) for (name, k), fit in zip(picked, fits, strict=True) if fit
+    ]
+
+
+def region_scores(t: DataFrame, xs: list[str], models: list[tuple], region: str) -> DataFrame:
+    """(strategy, fold, true_label, predicted_probability, _rows) of region_fits()."""
+    models = t.sparkSession.createDataFrame(models, "_region int, strategy string, _b0 double, _b array<double>, _fill array<double>")
+    margin = sum((F.col("_b")[k] * F.coalesce(x, F.col("_fill")[k]) for k, x in enumerate(xs)), F.col("_b0"))
+    return t.join(F.broadcast(models), "_region").select(
+        "strategy", F.col(region).alias("fold"), "true_label", (1 / (1 + F.exp(-margin))).alias("predicted_probability"), ROWS,
+    )
+
+
+def region_strategies(df: DataFrame, features: list[str], region: str, y: str, strategies: dict) -> DataFrame | None:
+    """(strategy, fold, true_label, predicted_probability, _rows): leave-one-region-out predictions of several feature strategies;
+    `_rows` is how many rows are equal, as counted(), here and in what the strategies are given.
+
+    A strategy is (pick, prepare): pick chooses features by the training rows, prepare adds columns row by row. The models
+    are those of fit_predict(), fitted together.
+    """
+    found = region_fits(df, features, region, y, strategies)
+    return found and region_scores(*found, region)
+
+
+def region_rankings(df: DataFrame, features: list[str], region: str, y: str, strategies: dict) -> DataFrame | None:
+    """(strategy, fold, roc_auc, pr_auc, positives, negatives): ranking() of region_strategies().
+
+    Tasks score rows and pack equal scores once, by ranges of each model's scores; a range is then ranked by one task, which knows how many
+    are above it. A sample of the scores lays out the ranges and changes no result. Rows are not shuffled one by one.
+    """
+    import pyarrow as pa
+
+    found = region_fits(df, features, region, y, strategies)
+    if not found or not found[2]:
+        return None
+    t, xs, models = found
+    t = t.where(F.col("true_label").isNotNull() & F.col("_region").isNotNull())
+    spark, names = t.sparkSession, {(k, name): i for i, (k, name, *_) in enumerate(models)}
+    scores = region_scores(t.withColumn("_place", F.col("_region")), xs, models, "_place")
+    some = scores.sample(min(1.0, 1000 * RANGES * len(models) / max(1, t.count() * len({name for _, name, *_ in models}))), 1)
+    cuts = [k / RANGES for k in range(1, RANGES)]
+    bounds = {
+        names[r.fold, r.strategy]: np.unique(r.at)
+        for r in some.groupBy("fold", "strategy").agg(F.percentile_approx("predicted_probability", cuts).alias("at")).collect()
+    }
+    of = [(k, np.array([b0]), np.array(b), np.array(fill)) for k, _, b0, b, fill in models]
+
+    def packed(parts):
+        """Rows of a model's range: its different scores, how many positives and negatives have each."""
+        region, hit, w, x = (np.concatenate(p, -1) for p in zip(*parts, strict=True))
+        out = []
+        for i, (k, b0, b, fill) in enumerate(of):
+            own = region == k
+            if not own.any():
+                continue
+            v = x[:, own]
+            with np.errstate(over="ignore"):
+                s, at = np.unique(1 / (1 + np.exp(-(b0 + b @ np.where(np.isnan(v), fill[:, None], v)))), return_inverse=True)
+            pos, neg = (np.bincount(at, w[own] * side, len(s)).astype("int64") for side in (hit[own], ~hit[own]))
+            ends = [0, *np.searchsorted(s, bounds.get(i, np.zeros(0)), "right"), len(s)]
+            out += [
+                (i, r, s[a:z].tobytes(), pos[a:z].tobytes(), neg[a:z].tobytes(), int(pos[a:z].sum()), int(neg[a:z].sum()))
+                for r, (a, z) in enumerate(zip(ends, ends[1:])) if a < z
+            ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.int64(), pa.int64()))], ["_fit", "_range", "s", "pos", "neg", "positives", "negatives"],
+        )
+
+    def pack(batches):
+        parts, n = [], 0
+        for b in batches:
+            region, y, w, *x = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            parts.append((region, y == 1, w, np.array(x).reshape(len(x), len(w))))
+            n += len(w)
+            if n >= 500_000:
+                yield packed(parts)
+                parts, n = [], 0
+        if n:
+            yield packed(parts)
+
+    read = t.select("_region", F.col("true_label").cast("double"), F.col(ROWS).cast("double"), *xs)
+    p = stored(read.mapInArrow(pack, "_fit int, _range int, s binary, pos binary, neg binary, positives long, negatives long"), "packed")
+    sums = p.groupBy("_fit", "_range").agg(F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"))
+    up = W.partitionBy("_fit").orderBy(F.col("_range").desc()).rowsBetween(W.unboundedPreceding, -1)
+    above = sums.select("_fit", "_range", *[F.coalesce(F.sum(c).over(up), F.lit(0)).alias(n) for c, n in (("positives", "tp"), ("negatives", "fp"))])
+
+    def rank(table):
+        s, pos, neg = (np.concatenate([np.frombuffer(v, kind) for v in table[c].to_pylist()]) for c, kind in (("s", "f8"), ("pos", "i8"), ("neg", "i8")))
+        s, at = np.unique(-s, return_inverse=True)
+        pos, neg = (np.bincount(at, n, len(s)).astype("int64") for n in (pos, neg))
+        tp, fp = table["tp"][0].as_py() + np.cumsum(pos), table["fp"][0].as_py() + np.cumsum(neg)
+        return pa.table({
+            "_fit": table["_fit"][:1], "won": [int((neg * (2 * (tp - pos) + pos)).sum())], "steps": [float((pos * (tp / (tp + fp))).sum())],
+            "positives": [int(pos.sum())], "negatives": [int(neg.sum())],
+        })
+
+    ranked = p.select("_fit", "_range", "s", "pos", "neg").join(F.broadcast(above), ["_fit", "_range"]).groupBy("_fit", "_range").applyInArrow(
+        rank, "_fit int, won long, steps double, positives long, negatives long",
+    ).groupBy("_fit").agg(*[F.sum(c).alias(c) for c in ("won", "steps", "positives", "negatives")])
+    folds = {r._region: r.fold for r in t.select("_region", F.col(region).alias("fold")).distinct().collect()}
+    named = spark.createDataFrame([(i, name, k) for (k, name), i in names.items()], "_fit int, strategy string, _region int")
+    regions = spark.createDataFrame(list(folds.items()), t.select("_region", F.col(region).alias("fold")).schema)
+    pos, neg = F.col("positives"), F.col("negatives")
+    return ranked.join(F.broadcast(named), "_fit").join(F.broadcast(regions), "_region").select(
+        "strategy", "fold", F.when((pos > 0) & (neg > 0), F.col("won") / (2.0 * pos * neg)).alias("roc_auc"),
+        F.when(pos > 0, F.col("steps") / pos).alias("pr_auc"), "positives", "negatives",
+    )

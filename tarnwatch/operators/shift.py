@@ -40,9 +40,9 @@ def percentiles(df: DataFrame, by: list[str], c: str, at=(0.01, 0.05, 0.25, 0.5,
 
 def availability(df: DataFrame, by: list[str], features: list[str], rows: str | None = None) -> DataFrame:
     """Share of non-null values a group and feature; rows: a column of how many rows each stands for."""
-    there = F.col("value").isNotNull()
-    share = F.sum(F.when(there, F.col(rows)).otherwise(0)) / F.sum(rows) if rows else F.avg(there.cast("int"))
-    return long(df, [*by, rows] if rows else by, features).groupBy(*by, "feature").agg(share.alias("availability"))
+    n = F.sum(rows) if rows else F.count("*")
+    there = lambda f: F.sum(F.when(F.col(f).isNotNull(), F.col(rows)).otherwise(0)) if rows else F.count(f)
+    return df.groupBy(*by).agg(*[(there(f) / n).alias(f) for f in features]).unpivot(by, features, "feature", "availability")
 
 
 def common_core(df: DataFrame, features: list[str], region: str, least: float = 0.8, spread: float = 0.2, rows: str | None = None) -> DataFrame:

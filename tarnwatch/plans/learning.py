@@ -181,9 +181,7 @@ def k22_region_strategies(spark, d):
         "common_core": (core, same), "with_indicators": (lambda t, f: [*core(t, f), "l_discount_missing"], flags),
         "all": (lambda t, f: shift.present_columns(t, f), same),
     }
-    from tarnwatch.operators.metrics import ranking
-
-    out = ranking(ml.region_strategies(rows(spark, d), X, "domain", "true_label", plans), ["strategy", "fold"], rows=ml.ROWS)
+    out = ml.region_rankings(rows(spark, d), X, "domain", "true_label", plans)
     return out.select("strategy", "fold", "positives", "negatives", F.col("roc_auc").between(0, 1).alias("is_auc"))
 
 

@@ -119,3 +119,71 @@ def test_leaves_are_many_tasks(spark):
     assert len(sizes) > 4 and near.where("_d = 0").count() == 400
     plan = near._jdf.queryExecution().logical().toString()
     assert plan.count("RepartitionByExpression [_leaf") == 2
+
+
+def regional(spark, n=1200):
+    """Rows of four regions, one of them NULL, with missing values, scores that tie and a column that a strategy makes."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(n):
+        a, b = float(rng.integers(0, 9)), None if rng.random() < 0.3 else float(rng.integers(-4, 5)) / 2
+        rows.append((["N", "S", "T", None][k % 4], a, b, 7.0, int(a + (b or 0) + rng.normal() * 3 > 4)))
+    return spark.createDataFrame(rows, "region string, a double, b double, c double, true_label int")
+
+
+PLANS = {
+    "all": (lambda t, f: f, lambda t: t),
+    "made": (lambda t, f: ["a", "flag"], lambda t: t.withColumn("flag", F.col("b").isNull().cast("int"))),
+    "moved": (lambda t, f: ["a", "b"], lambda t: t.withColumn("b", F.col("b") * 2)),
+    "none": (lambda t, f: [], lambda t: t),
+}
+
+
+def test_regions_are_fitted_together(spark, monkeypatch):
+    """Each model is that of fit_predict() on its own; the passes do not grow with the models."""
+    df, features = regional(spark), ["a", "b", "c"]
+    want = []
+    c = ml.counted(df, ["region"], features)
+    for name, (pick, prepare) in PLANS.items():
+        for r in "NST":
+            train, test = prepare(c.where(F.col("region") != r)), prepare(c.where(F.col("region") == r))
+            if own := pick(train, features):
+                want += [(name, r, x.predicted_probability) for x in ml.fit_predict(train, test, own, rows=ml.ROWS)[0].collect()]
+    passes, summed = [], ml.summed
+    monkeypatch.setattr(ml, "fit_predict", None)
+    monkeypatch.setattr(ml, "summed", lambda *a: passes.append(a) or summed(*a))
+    scored = ml.region_strategies(df, features, "region", "true_label", PLANS)
+    assert len(passes) < 12 and scored.count() == len(want) and scored.agg(F.sum(ml.ROWS)).first()[0] == 3 * 900
+    for x in scored.groupBy("strategy", "fold").agg(F.collect_list("predicted_probability").alias("p")).collect():
+        mine = sorted(p for s, r, p in want if (s, r) == (x.strategy, x.fold))
+        assert np.allclose(sorted(x.p), mine, atol=1e-5)
+
+
+def test_region_rankings_equal_the_ranking_of_all_scores(spark, monkeypatch):
+    monkeypatch.setattr(ml, "SHARE", 1)  # a start from a share of the rows too
+    monkeypatch.setattr(ml, "RANGES", 5)
+    df, features = regional(spark), ["a", "b", "c"]
+    got = ml.region_rankings(df, features, "region", "true_label", PLANS).orderBy("strategy", "fold").collect()
+    want = ml.ranking(ml.region_strategies(df, features, "region", "true_label", PLANS), ["strategy", "fold"], rows=ml.ROWS)
+    want = want.orderBy("strategy", "fold").collect()
+    assert len(got) == len(want) == 9
+    for x, y in zip(got, want, strict=True):
+        assert (x.strategy, x.fold, x.positives, x.negatives) == (y.strategy, y.fold, y.positives, y.negatives)
+        assert abs(x.roc_auc - y.roc_auc) < 1e-6 and abs(x.pr_auc - y.pr_auc) < 1e-6
+
+
+def test_models_of_one_class_and_of_no_rows(spark):
+    plans = {"all": PLANS["all"]}
+    one = spark.createDataFrame([(r, float(k), 1 if r == "N" else k % 2) for r in "NS" for k in range(20)], "region string, a double, true_label int")
+    p = {r.fold: r.p for r in ml.region_strategies(one, ["a"], "region", "true_label", plans).groupBy("fold").agg(F.min("predicted_probability").alias("p")).collect()}
+    assert p["S"] == 1.0 and 0 < p["N"] < 1  # trained on positives alone, as Spark's own model
+    alone = ml.region_rankings(one.where("region = 'N'"), ["a"], "region", "true_label", plans)
+    assert alone is None or alone.count() == 0
+
+
+def test_rows_that_differ_are_not_counted(spark, monkeypatch):
+    monkeypatch.setattr(ml, "MANY", 0)
+    df = spark.range(5000).select((F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("double").alias("b"), (F.col("id") % 2).cast("int").alias("true_label"))
+    kept = ml.counted(df, [], ["a", "b"])
+    assert kept.agg(F.count("*"), F.sum(ml.ROWS), F.max(ml.ROWS)).first()[:] == (5000, 5000, 1)
+    assert ml.counted(df, [], ["a"]).agg(F.count("*"), F.sum(ml.ROWS)).first()[:] == (14, 5000)
