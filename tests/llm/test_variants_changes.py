@@ -229,3 +229,28 @@ def test_clients_say_what_they_hold(spark, monkeypatch):
     rows = [(k, 1, seq, "I", start + datetime.timedelta(days=d), "s", None, "a", 1.0, 5, "x") for k, seq, d in ((1, 1, 0), (2, 3, 1), (3, 4, 90), (12, 2, 130))]
     got = changes.applied(spark.createDataFrame(rows, CHANGES)).collect()
     assert sorted(tuple(r) for r in got) == sorted(applied(rows)) and len(reads) == 1
+
+
+def test_the_state_decides_every_change(spark, monkeypatch):
+    """Repeats of a number are not known as such before the stream: they go to their client's lane, and its state rejects them."""
+    rnd, start, seen = random.Random(8), datetime.datetime(2024, 1, 2), []
+    rows = [
+        (k, k % 3 or None, rnd.randrange(9), "I", start + datetime.timedelta(days=rnd.random() * 110), "s", None, rnd.choice("ab"), float(k), 5, "x")
+        for k in range(120)
+    ]
+    rows += [(50, 2, 4, "I", start, "s", None, c, 1.0, 5, "x") for c in "pqr"]
+    table = spark.createDataFrame(rows, CHANGES)
+    fed = changes.arranged(table, 64).select("client_id", "lane").distinct().collect()
+    assert len(fed) == 3 and all(r.lane >= 0 for r in fed)
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    want = applied(rows)
+    assert sorted((tuple(r) for r in changes.applied(table).collect()), key=key) == sorted(want, key=key)
+    assert sum(r[2] == "rejected" for r in want) > 60
+
+
+def test_rows_that_differ_in_another_column_are_different(spark):
+    """Whole rows are distinct changes, whatever columns the table has."""
+    at = datetime.datetime(2024, 1, 2)
+    rows = [(k, 1, k, "I", at, "s", None, "a", 1.0, n, "x") for k in (1, 2, 3) for n in (5, 6, 6)]
+    got = changes.applied(spark.createDataFrame(rows, CHANGES)).collect()
+    assert sorted((r.change_id, r.status) for r in got) == [(k, s) for k in (1, 2, 3) for s in ("applied", "rejected")]
